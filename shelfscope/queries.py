@@ -38,3 +38,305 @@ def q_market_outlook(spark, d):
 @register("market_outlook_format", OUTLOOK_DOUBLES, OUTLOOK_INTS)
 def q_market_outlook_format(spark, d):
     return outlook.market_outlook(*_market(spark, d), P.with_(unit_size=FORMAT_ML))
+
+
+# ------------------------------------------------------- outlook building blocks
+
+def _mo_base(spark, d, p=P):
+    return outlook.brand_base(*_market(spark, d), p)
+
+
+BASE_D = ("sale_vol_ly", "sale_vol_ty", "revenue_ly", "revenue_ty")
+
+
+@register("market_base", BASE_D)
+def q_market_base(spark, d):
+    return _mo_base(spark, d)
+
+
+@register("market_share_rank", BASE_D + ("market_share_ly", "market_share_ty", "cum_market_share_ty"), ("rank_by_sale",))
+def q_market_share_rank(spark, d):
+    return outlook.ranked(_mo_base(spark, d))
+
+
+@register("win_share", ("market_share_ly", "market_share_ty"))
+def q_win_share(spark, d):
+    return outlook.ranked(_mo_base(spark, d)).select("province_code", "varietal", "brand",
+                                                     "market_share_ly", "market_share_ty")
+
+
+@register("win_running_share", ("sale_vol_ty", "cum_market_share_ty"))
+def q_win_running_share(spark, d):
+    return outlook.ranked(_mo_base(spark, d)).select("province_code", "varietal", "brand",
+                                                     "sale_vol_ty", "cum_market_share_ty")
+
+
+@register("win_lag_cum", ("cum_market_share_ty", "lag_cum_market_share"))
+def q_win_lag_cum(spark, d):
+    from shelfscope.operators import measures as M
+    rk = outlook.ranked(_mo_base(spark, d))
+    return rk.select("province_code", "varietal", "brand", "cum_market_share_ty",
+                     M.lagged("cum_market_share_ty", outlook.MARKET, outlook.brand_order()).alias("lag_cum_market_share"))
+
+
+SEG_D = BASE_D + ("market_share_ly", "market_share_ty", "market_share_growth")
+
+
+@register("market_tiers", SEG_D, ("rank_by_sale", "tier"))
+def q_market_tiers(spark, d):
+    return outlook.segmented(outlook.ranked(_mo_base(spark, d)), P)
+
+
+def _kpis(spark, d):
+    return outlook.market_kpis(outlook.segmented(outlook.ranked(_mo_base(spark, d)), P), P)
+
+
+@register("market_concentration", ("hhi_ly", "hhi_ty", "cr3", "cr5", "cr10"))
+def q_market_concentration(spark, d):
+    return _kpis(spark, d).select("province_code", "varietal", "hhi_ly", "hhi_ty", "cr3", "cr5", "cr10")
+
+
+@register("hhi_segment", ("hhi_ty",))
+def q_hhi_segment(spark, d):
+    return outlook.positioned(_kpis(spark, d)).select("province_code", "varietal", "hhi_ty", "hhi_segment")
+
+
+@register("market_performance", ("total_market_sale_ty", "market_yoy_change"), ("total_active_brands",))
+def q_market_performance(spark, d):
+    return _kpis(spark, d).select("province_code", "varietal", "total_market_sale_ty", "total_active_brands",
+                                  "market_yoy_change")
+
+
+FOCAL_COLS = ("focal_total_sale_ty", "focal_yoy_sale_change", "focal_market_share_ly", "focal_market_share_ty",
+              "focal_market_share_growth")
+
+
+@register("focal_kpis", FOCAL_COLS, ("focal_rank_by_volume", "focal_tier_by_volume"))
+def q_focal_kpis(spark, d):
+    return _kpis(spark, d).select("province_code", "varietal", "focal_rank_by_volume", "focal_tier_by_volume",
+                                  *FOCAL_COLS)
+
+
+TIER_D = tuple(f"tier_{t}_{m}" for m in ("yoy_change", "market_share_change") for t in (1, 2, 3))
+TIER_I = tuple(f"tier_{t}_brands_count" for t in (1, 2, 3))
+
+
+@register("tier_kpis", TIER_D, TIER_I)
+def q_tier_kpis(spark, d):
+    return _kpis(spark, d).select("province_code", "varietal", *TIER_D, *TIER_I)
+
+
+@register("archetype")
+def q_archetype(spark, d):
+    return outlook.positioned(_kpis(spark, d)).select(
+        "province_code", "varietal", "focal_archetype_position", "focal_archetype_1st_part", "focal_archetype_2nd_part")
+
+
+@register("filter_portfolio", ("sale_9l_case", "revenue"))
+def q_filter_portfolio(spark, d):
+    from shelfscope.operators.conform import market_filter, with_portfolio, with_relative_year
+    sales, periods, varietals = _market(spark, d)
+    s = with_portfolio(with_relative_year(sales, periods), varietals)
+    s = s.filter(market_filter(P.origin, P.exception_varietal, P.exception_origin, portfolio_col="bb_portfolio"))
+    return s.select("province_code", "varietal", "brand", "origin", "period_code", "relative_year",
+                    "sale_9l_case", "revenue")
+
+
+@register("agg_rolling_year", ("sale_ly", "sale_ty", "revenue_ly", "revenue_ty"))
+def q_agg_rolling_year(spark, d):
+    from shelfscope.operators import measures as M
+    from shelfscope.operators.conform import with_relative_year
+    sales, periods, _ = _market(spark, d)
+    return M.rolling_year(with_relative_year(sales, periods), ["province_code", "varietal", "origin"], {
+        "sale_ly": ("sale_9l_case", "LRY"), "sale_ty": ("sale_9l_case", "TRY"),
+        "revenue_ly": ("revenue", "LRY"), "revenue_ty": ("revenue", "TRY")})
+
+
+# ------------------------------------------------------------- flagship pricing
+
+from shelfscope.plans import flagship  # noqa: E402
+
+FL_D = ("retail_price", "sale_ly", "sale_ty", "revenue_ly", "revenue_ty")
+
+
+def _fl_base(spark, d):
+    return flagship.flagship_base(proxy.calc_sales(spark, d, window=True), proxy.report_periods(spark),
+                                  proxy.products(spark, d), P)
+
+
+@register("flagship_base", FL_D, ("unit_size",))
+def q_flagship_base(spark, d):
+    return _fl_base(spark, d)
+
+
+@register("flagship_sku", FL_D + ("sku_volume_share_for_brand_pct", "brand_total_sale_ty", "brand_market_share_pct"),
+          ("unit_size", "sku_rank_by_volume"))
+def q_flagship_sku(spark, d):
+    return flagship.flagship_candidates(_fl_base(spark, d)).filter(F.col("sku_rank_by_volume") == 1)
+
+
+@register("brand_cutoff", ("brand_market_share_pct", "brand_cum_market_share", "lag_brand_cum_market_share"),
+          ("unit_size",))
+def q_brand_cutoff(spark, d):
+    cum = flagship.flagship_cumulative(flagship.flagship_candidates(_fl_base(spark, d)))
+    return cum.filter(F.col("lag_brand_cum_market_share") <= P.cum_share_cutoff).select(
+        "province_code", "varietal", "unit_size", "brand", "product_code", "brand_market_share_pct",
+        "brand_cum_market_share", "lag_brand_cum_market_share")
+
+
+@register("flagship_pricing", FL_D + ("sku_yoy_volume_change_frac", "sku_volume_share_for_brand_pct",
+                                      "brand_total_sale_ty", "brand_market_share_frac"),
+          ("unit_size", "brand_tier", "brand_rank_by_volume"))
+def q_flagship_pricing(spark, d):
+    return flagship.flagship_pricing(proxy.calc_sales(spark, d, window=True), proxy.report_periods(spark),
+                                     proxy.products(spark, d), P)
+
+
+@register("filter_origin_exception", ("sale_9l_case",), ("unit_size",))
+def q_filter_origin_exception(spark, d):
+    from shelfscope.operators.filters import where_market
+    s = where_market(proxy.calc_sales(spark, d), P.origin, P.exception_varietal, P.exception_origin)
+    return s.select("province_code", "varietal", "unit_size", "brand", "product_code", "origin", "period_code",
+                    "sale_9l_case")
+
+
+# ------------------------------------------------------------ varietal benchmark
+
+from shelfscope.plans import benchmark as VB  # noqa: E402
+
+
+def _vb_base(spark, d):
+    return VB.base(proxy.calc_sales(spark, d, window=True), proxy.report_periods(spark), P)
+
+
+@register("agg_origin_level", ("total_sale_ly", "total_sale_ty"))
+def q_agg_origin_level(spark, d):
+    return VB.origin_level(_vb_base(spark, d))
+
+
+@register("agg_varietal_level", ("total_sale_ly", "total_sale_ty"))
+def q_agg_varietal_level(spark, d):
+    return VB.varietal_level(VB.origin_level(_vb_base(spark, d)))
+
+
+@register("varietal_performance", ("total_sale_ty", "varietal_volume_growth_yoy", "varietal_market_share_ty"),
+          ("varietal_rank_by_volume",))
+def q_varietal_performance(spark, d):
+    return VB.varietal_performance(VB.origin_level(_vb_base(spark, d)))
+
+
+TOP_ORIGIN_D = ("top_origin_volume_sale", "top_origin_volume_growth_yoy", "top_origin_market_share",
+                "home_origin_volume_sale", "home_origin_volume_growth_yoy", "home_origin_market_share")
+
+
+@register("top_origin", TOP_ORIGIN_D)
+def q_top_origin(spark, d):
+    return VB.top_origin(VB.origin_level(_vb_base(spark, d)), P)
+
+
+@register("agg_argmax_pivot", TOP_ORIGIN_D[:3])
+def q_agg_argmax_pivot(spark, d):
+    return VB.top_origin(VB.origin_level(_vb_base(spark, d)), P).select(
+        "province_code", "varietal", "top_origin", *TOP_ORIGIN_D[:3])
+
+
+@register("origin_stats", TOP_ORIGIN_D[3:])
+def q_origin_stats(spark, d):
+    return VB.top_origin(VB.origin_level(_vb_base(spark, d)), P).select(
+        "province_code", "varietal", *TOP_ORIGIN_D[3:])
+
+
+@register("market_leader", ("market_leader_volume", "market_leader_volume_growth_yoy", "market_leader_market_share_ty"))
+def q_market_leader(spark, d):
+    return VB.market_leader(_vb_base(spark, d))
+
+
+@register("origin_leader", ("home_top_brand_volume", "home_top_brand_volume_growth_yoy",
+                            "home_top_brand_share_in_origin", "focal_volume", "focal_volume_growth_yoy",
+                            "focal_share_in_origin"))
+def q_origin_leader(spark, d):
+    return VB.origin_leader(_vb_base(spark, d), P)
+
+
+BENCH_D = ("varietal_total_volume", "varietal_yoy_volume_growth", "varietal_market_share_in_province",
+           "top_origin_total_volume", "top_origin_yoy_volume_growth", "top_origin_market_share",
+           "home_origin_total_volume", "home_origin_yoy_volume_growth", "home_origin_market_share",
+           "market_leader_brand_total_volume", "market_leader_brand_yoy_volume_growth",
+           "market_leader_brand_market_share", "home_origin_top_brand_total_volume",
+           "home_origin_top_brand_yoy_volume_growth", "home_origin_top_brand_market_share",
+           "focal_total_volume", "focal_yoy_volume_growth", "focal_market_share")
+
+
+@register("varietal_benchmark", BENCH_D, ("varietal_rank_by_volume_in_province", "focal_presence"))
+def q_varietal_benchmark(spark, d):
+    return VB.varietal_benchmark(proxy.calc_sales(spark, d, window=True), proxy.report_periods(spark),
+                                 proxy.province_dim(spark, d), P)
+
+
+@register("filter_format", ("sale_9l_case",), ("unit_size",))
+def q_filter_format(spark, d):
+    from shelfscope.operators.filters import where_format
+    s = where_format(proxy.calc_sales(spark, d), 750)
+    return s.groupBy("province_code", "varietal", "unit_size").agg(F.sum("sale_9l_case").alias("sale_9l_case"))
+
+
+# ---------------------------------------------------------------- top-N SKUs
+
+from shelfscope.plans import top_sku as TS  # noqa: E402
+
+TOP_P = P.with_(unit_size=750, varietal="LARGE", top_n=3)
+
+
+@register("top3_sku", ("retail_price_this_year", "sale_ly", "sale_ty", "volume_growth_frac", "market_share_pct"),
+          ("rank_by_volume",))
+def q_top3_sku(spark, d):
+    return TS.top_sku(proxy.calc_sales(spark, d), proxy.report_periods(spark), proxy.products(spark, d), TOP_P)
+
+
+@register("join_period_left", ("retail_price_this_year", "sale_ly", "sale_ty"))
+def q_join_period_left(spark, d):
+    return TS.top_sku_base(proxy.calc_sales(spark, d), proxy.report_periods(spark), proxy.products(spark, d), TOP_P)
+
+
+@register("win_topn", ("sale_ty",), ("rn",))
+def q_win_topn(spark, d):
+    from shelfscope.operators import measures as M
+    from shelfscope.operators.filters import top_n
+    b = outlook.brand_base(*_market(spark, d), P)
+    return top_n(b.select("province_code", "varietal", "brand", "sale_vol_ty"),
+                 ["province_code", "varietal"], M.order_desc("sale_vol_ty", tiebreak=("brand",)), 3) \
+        .withColumnRenamed("sale_vol_ty", "sale_ty")
+
+
+# -------------------------------------------------------------- conformed layer
+
+@register("conf_sales_view", ("sale_9l_case", "revenue"), ("unit_size",))
+def q_conf_sales_view(spark, d):
+    return proxy.calc_sales(spark, d)
+
+
+@register("dim_period_analogy", (), ("season",))
+def q_dim_period_analogy(spark, d):
+    from shelfscope.functions.calendar import fiscal_period, month_label
+    from shelfscope.operators.conform import period_analogy
+    from shelfscope.sources.tables import read_table
+    li = read_table(spark, d, "lineitem", ["l_shipdate"])
+    labels = li.select(F.explode(F.array(month_label("l_shipdate"), fiscal_period("l_shipdate"))).alias("period_code"))
+    return period_analogy(labels, {"M": proxy.MONTHLY_ANCHOR, "P": proxy.FISCAL_ANCHOR})
+
+
+@register("conf_fiscal_period", ("quantity",), ("lines",))
+def q_conf_fiscal_period(spark, d):
+    from shelfscope.functions.calendar import fiscal_period
+    from shelfscope.sources.tables import read_table
+    li = read_table(spark, d, "lineitem", ["l_shipdate", "l_quantity"])
+    return li.groupBy(fiscal_period("l_shipdate").alias("fiscal_period")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"))
+
+
+@register("filter_origin", ("sale_9l_case",), ("lines",))
+def q_filter_origin(spark, d):
+    from shelfscope.operators.filters import where_origin
+    s = where_origin(proxy.calc_sales(spark, d), "america")
+    return s.groupBy("province_code", "varietal", "origin").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("sale_9l_case").alias("sale_9l_case"))
