@@ -119,3 +119,8 @@ FROM f GROUP BY 1"""
 SQL["filter_origin"] = with_base("""
 SELECT province_code, varietal, origin, COUNT(*) AS lines, SUM(sale_9l_case) AS sale_9l_case
 FROM calc_sales WHERE UPPER(origin) = UPPER('america') GROUP BY province_code, varietal, origin""")
+
+# ---------------------------------------------------------------------- ETL
+from oracle import etl_sql  # noqa: E402
+
+SQL.update(etl_sql.SQL)

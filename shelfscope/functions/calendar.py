@@ -76,3 +76,25 @@ def python_labels(kind: str, anchor: str, count: int) -> list[str]:
             yy, ss = yy - 1, per_year
         out.append(f"{yy:04d}{kind}{ss:02d}")
     return out
+
+
+def python_label_bounds(labels: list[str]):
+    """[start, end) dates covered by a contiguous label list (driver-side, from
+    parameters only): used to push a date range to the fact scan."""
+    import datetime as dt
+
+    def start(label: str) -> dt.date:
+        y, k, s = int(label[:4]), label[4], int(label[5:])
+        if k == "M":
+            return dt.date(y, s, 1)
+        return dt.date(y, FISCAL_START_MONTH, FISCAL_START_DAY) + dt.timedelta(days=FISCAL_PERIOD_DAYS * (s - 1))
+
+    last = labels[-1]
+    y, k, s = int(last[:4]), last[4], int(last[5:])
+    if k == "M":
+        end = dt.date(y + (s == 12), s % 12 + 1, 1)
+    elif s == FISCAL_PERIODS:
+        end = dt.date(y + 1, FISCAL_START_MONTH, FISCAL_START_DAY)
+    else:
+        end = start(last) + dt.timedelta(days=FISCAL_PERIOD_DAYS)
+    return start(labels[0]), end

@@ -109,5 +109,12 @@ def set_constant(df: DataFrame, cols: list[str], value=0.0) -> DataFrame:
 
 
 def coerce_prices(df: DataFrame, cols: list[str] = PRICE_COLUMNS) -> DataFrame:
-    """Invalid text -> 0, round 2 (NumPy style)."""
-    return df.withColumns({c: N.coerce_numeric(c) for c in cols})
+    """Invalid text -> 0, round 2 (NumPy style). Columns that are already
+    numeric skip the text check."""
+    from pyspark.sql.types import NumericType
+
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumns({
+        c: (N.round2(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) if isinstance(types[c], NumericType)
+            else N.coerce_numeric(c))
+        for c in cols})

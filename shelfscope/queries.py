@@ -340,3 +340,138 @@ def q_filter_origin(spark, d):
     s = where_origin(proxy.calc_sales(spark, d), "america")
     return s.groupBy("province_code", "varietal", "origin").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("sale_9l_case").alias("sale_9l_case"))
+
+
+# ----------------------------------------------------------------------- ETL
+
+from shelfscope.plans import etl as ETL  # noqa: E402
+
+ZERO_WHOLESALE = ("AFRICA", "AMERICA", "EUROPE", "MIDDLE EAST")   # every region but ASIA
+
+
+def _spec(kind: str) -> ETL.CalendarSpec:
+    return ETL.CalendarSpec(tuple(proxy.wide_labels(kind)),
+                            fix_usa=tuple(proxy.FISCAL_PROVINCES) if kind == "P" else (),
+                            zero_wholesale=ZERO_WHOLESALE)
+
+
+def _raw(spark, d, kind):
+    return proxy.raw_wide(spark, d, kind)
+
+
+def _cleaned(spark, d, kind):
+    return ETL.cleaned_attributes(ETL.keyed(_raw(spark, d, kind)), _spec(kind))
+
+
+def _enriched(spark, d, kind, unmatched="null"):
+    return ETL.enriched(_cleaned(spark, d, kind), proxy.color_map(spark), proxy.price_bands(spark), _spec(kind),
+                        unmatched)
+
+
+def _both(fn):
+    from shelfscope.operators.reshape import union_all
+    return lambda spark, d: union_all(fn(spark, d, "M"), fn(spark, d, "P"))
+
+
+@register("etl_tag_key")
+def q_etl_tag_key(spark, d):
+    return _both(lambda s, dd, k: ETL.keyed(_raw(s, dd, k)).select("province_code", "code", "global_code"))(spark, d)
+
+
+@register("etl_positive_total", ("total_sale",))
+def q_etl_positive_total(spark, d):
+    from shelfscope.operators.clean import filter_positive
+    return _both(lambda s, dd, k: filter_positive(ETL.keyed(_raw(s, dd, k)), list(_spec(k).period_labels))
+                 .select("global_code", "total_sale"))(spark, d)
+
+
+@register("etl_titlecase")
+def q_etl_titlecase(spark, d):
+    from shelfscope.operators.clean import TITLECASE_COLUMNS
+    return _both(lambda s, dd, k: _cleaned(s, dd, k).select("global_code", *TITLECASE_COLUMNS))(spark, d)
+
+
+@register("etl_value_replace")
+def q_etl_value_replace(spark, d):
+    return _both(lambda s, dd, k: _cleaned(s, dd, k).select("global_code", "province_code", "country_of_origin"))(spark, d)
+
+
+@register("etl_lead_strip")
+def q_etl_lead_strip(spark, d):
+    return _both(lambda s, dd, k: _cleaned(s, dd, k).select("global_code", "description"))(spark, d)
+
+
+@register("etl_notnull", (), ("rows",))
+def q_etl_notnull(spark, d):
+    return _both(lambda s, dd, k: _cleaned(s, dd, k))(spark, d).groupBy("province_code").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+@register("etl_color_lookup")
+def q_etl_color_lookup(spark, d):
+    return _both(lambda s, dd, k: _enriched(s, dd, k).select("global_code", "color", "color_five"))(spark, d)
+
+
+@register("etl_price_band")
+def q_etl_price_band(spark, d):
+    return _both(lambda s, dd, k: _enriched(s, dd, k).select("global_code", "retail_price_this_year",
+                                                             "price_segment_retail"))(spark, d)
+
+
+@register("etl_price_band_last")
+def q_etl_price_band_last(spark, d):
+    return _both(lambda s, dd, k: _enriched(s, dd, k, "last").select("global_code", "retail_price_this_year",
+                                                                     "price_segment_retail"))(spark, d)
+
+
+def _products(spark, d):
+    return ETL.conform_products(ETL.products_of(_enriched(spark, d, "M")), ETL.products_of(_enriched(spark, d, "P")))
+
+
+PRICE_D = ("wholesale_price_last_year", "wholesale_price_this_year", "retail_price_last_year",
+           "retail_price_this_year", "retail_price_current")
+
+
+@register("etl_union_products", PRICE_D, ("size_ml_per_unit", "units_per_case"))
+def q_etl_union_products(spark, d):
+    return _products(spark, d)
+
+
+@register("etl_numeric_coerce", PRICE_D)
+def q_etl_numeric_coerce(spark, d):
+    return _products(spark, d).select("global_code", *PRICE_D)
+
+
+@register("etl_melt", ("sale_actual_cases",))
+def q_etl_melt(spark, d):
+    return ETL.sales_of(_enriched(spark, d, "M"), _spec("M"))
+
+
+@register("etl_union_sales", ("sale_actual_cases",))
+def q_etl_union_sales(spark, d):
+    return ETL.conform_sales(ETL.sales_of(_enriched(spark, d, "M"), _spec("M")),
+                             ETL.sales_of(_enriched(spark, d, "P"), _spec("P")))
+
+
+@register("dq_null_profile", (), ("null_count",))
+def q_dq_null_profile(spark, d):
+    from shelfscope.operators.reshape import null_profile
+    return null_profile(_raw(spark, d, "M"))
+
+
+@register("dq_step_counts", (), ("rows",))
+def q_dq_step_counts(spark, d):
+    from shelfscope.operators.clean import filter_positive
+    from shelfscope.operators.reshape import step_counts
+    raw = ETL.keyed(_raw(spark, d, "M"))
+    return step_counts({
+        "raw": raw,
+        "positive_total": filter_positive(raw, list(_spec("M").period_labels)),
+        "required_attributes": _cleaned(spark, d, "M"),
+        "sales_long": ETL.sales_of(_enriched(spark, d, "M"), _spec("M")),
+    })
+
+
+@register("fc_promo_codes", (), ("occurrences",))
+def q_fc_promo_codes(spark, d):
+    return ETL.promo_codes(ETL.keyed(_raw(spark, d, "M")))

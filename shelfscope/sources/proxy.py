@@ -174,3 +174,89 @@ def population(spark: SparkSession, d: str) -> DataFrame:
     return (cust.join(nr, cust.c_nationkey == nr.n_nationkey)
                 .groupBy(F.col("r_name").alias("province_code"))
                 .agg(F.count(F.lit(1)).alias("population")))
+
+
+# ------------------------------------------------------------ raw wide files
+# Fixed values of the proxy raw files: which regions report on which calendar, and
+# the rules that make the attribute text as untidy as real provincial files.
+MONTHLY_PROVINCES = ["AFRICA", "AMERICA", "ASIA"]
+FISCAL_PROVINCES = ["EUROPE", "MIDDLE EAST"]
+DESCRIPTION_PREFIXES = [">>", "#-", "*«", "->", " "]
+RAW_COLORS = ["RED", "WHITE", "ROSE", "SPARKLING", "AMBER"]
+COLOR_MAP_ROWS = [(1, "Red", "Red"), (2, "White", "White"), (3, "Rose", "Pink"),
+                  (4, "Sparkling", "Sparkling"), (5, "White", "White Still")]
+UNITS_PER_CASE = {375: 24, 750: 12, 1500: 6, 3000: 4}
+
+
+def color_map(spark: SparkSession) -> DataFrame:
+    """Colour dimension file (ord = row position; 'White' is listed twice, the later
+    entry wins; 'Amber' is missing)."""
+    return spark.createDataFrame(COLOR_MAP_ROWS, "ord int, color string, color_five string")
+
+
+def wide_labels(kind: str) -> list[str]:
+    return python_labels(kind, MONTHLY_ANCHOR if kind == "M" else FISCAL_ANCHOR, 24 if kind == "M" else 26)
+
+
+def raw_wide(spark: SparkSession, d: str, kind: str = "M") -> DataFrame:
+    """One raw wide 'file' per calendar: (province_code, code, attributes..., one
+    quantity column per period label). Built with a single hash aggregation whose
+    pivot values are given up front (no extra job to discover them)."""
+    from shelfscope.functions.calendar import fiscal_period
+
+    labels = wide_labels(kind)
+    provinces = MONTHLY_PROVINCES if kind == "M" else FISCAL_PROVINCES
+    from shelfscope.functions.calendar import python_label_bounds
+
+    lo, hi = python_label_bounds(labels)
+    li = read_table(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_quantity", "l_shipdate"])
+    li = li.filter((F.col("l_shipdate") >= F.lit(lo).cast("timestamp")) & (F.col("l_shipdate") < F.lit(hi).cast("timestamp")))
+    label = month_label("l_shipdate") if kind == "M" else fiscal_period("l_shipdate")
+    op = order_province(spark, d).filter(F.col("province_code").isin(*provinces))
+    j = li.join(op, li.l_orderkey == op.o_orderkey).select("province_code", "l_partkey", "l_quantity",
+                                                           label.alias("label"))
+    # pivot by conditional sums: one hash aggregate with a column per label
+    wide = j.groupBy("province_code", "l_partkey").agg(
+        *[F.sum(F.when(F.col("label") == x, F.col("l_quantity"))).alias(x) for x in labels])
+
+    part = read_table(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
+    nation = F.broadcast(read_table(spark, d, "nation", ["n_nationkey", "n_name"]))
+    part = part.join(nation, F.pmod(part.p_partkey, F.lit(25)) == nation.n_nationkey, "left")
+    size = unit_size("p_size")
+    price = F.format_string("%.2f", F.col("p_retailprice"))
+    k = F.col("p_partkey")
+    upc = F.lit(UNITS_PER_CASE[3000])
+    for ml in (1500, 750, 375):
+        upc = F.when(size == ml, F.lit(UNITS_PER_CASE[ml])).otherwise(upc)
+    attrs = part.select(
+        "p_partkey",
+        k.cast("string").alias("code"),
+        F.concat(F.element_at(F.array(*[F.lit(x) for x in DESCRIPTION_PREFIXES]), (F.pmod(k, F.lit(5)) + 1).cast("int")),
+                 F.col("p_name"), F.lit(" ,  "), F.col("p_type"), F.lit(" ")).alias("description"),
+        F.upper("p_brand").alias("brand"),
+        F.col("p_type").alias("category"),
+        F.concat(F.col("p_type"), F.lit(","), size.cast("string")).alias("category_prov"),
+        F.when(F.pmod(F.col("p_size"), F.lit(17)) == 0, F.lit(None).cast("string"))
+         .otherwise(F.element_at(F.array(*[F.lit(x) for x in RAW_COLORS]),
+                                 (F.pmod(F.col("p_size"), F.lit(5)) + 1).cast("int"))).alias("color"),
+        F.when(F.col("n_name") == "UNITED STATES", F.lit("usa")).otherwise(F.col("n_name")).alias("country_of_origin"),
+        F.when(F.col("p_size") > 25, F.lit("special order")).otherwise(F.lit("general list")).alias("listing_type"),
+        F.when(F.pmod(k, F.lit(10)) == 0, F.lit("delisted")).otherwise(F.lit("active")).alias("status"),
+        F.col("p_type").alias("varietal"),
+        size.alias("size_ml_per_unit"),
+        upc.alias("units_per_case"),
+        (F.col("p_retailprice") * F.lit(0.5)).alias("wholesale_price_last_year"),  # fixed ratios
+        (F.col("p_retailprice") * F.lit(0.6)).alias("wholesale_price_this_year"),
+        F.when(F.pmod(k, F.lit(7)) == 0, F.concat(price, F.lit("d")))
+         .when(F.pmod(k, F.lit(7)) == 1, F.concat(F.lit(" "), price, F.lit(" ")))
+         .otherwise(price).alias("retail_price_last_year"),
+        price.alias("retail_price_this_year"),
+        F.when(F.pmod(k, F.lit(13)) == 0, F.concat(F.lit("$"), price))
+         .when(F.pmod(k, F.lit(13)) == 1, F.lit("1e3"))
+         .otherwise(price).alias("retail_price_current"),
+        F.lit("N/A").alias("price_segment"),
+        F.when(F.pmod(k, F.lit(3)) == 0, F.lit("tpr; dsp")).when(F.pmod(k, F.lit(3)) == 1, F.lit("TPR"))
+         .alias("promos_list_this_year"),
+    )
+    out = wide.join(attrs, wide.l_partkey == attrs.p_partkey)
+    return out.select("province_code", *[c for c in attrs.columns if c != "p_partkey"], *labels)
