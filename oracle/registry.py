@@ -124,3 +124,11 @@ FROM calc_sales WHERE UPPER(origin) = UPPER('america') GROUP BY province_code, v
 from oracle import etl_sql  # noqa: E402
 
 SQL.update(etl_sql.SQL)
+
+# ------------------------------------------------------- insights, forecast
+from oracle import insights_sql  # noqa: E402
+
+SQL.update(insights_sql.SQL)
+SQL["ins_price_volume"] = with_base(_FL + """
+SELECT province_code, varietal, unit_size, brand, product_code, retail_price, price_segment, sale_ty
+FROM (""" + R.FL_FINAL + ") f")

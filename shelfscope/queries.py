@@ -475,3 +475,126 @@ def q_dq_step_counts(spark, d):
 @register("fc_promo_codes", (), ("occurrences",))
 def q_fc_promo_codes(spark, d):
     return ETL.promo_codes(ETL.keyed(_raw(spark, d, "M")))
+
+
+# ------------------------------------------------------------------ insights
+
+from shelfscope.plans import insights as INS  # noqa: E402
+
+
+def _sp(spark, d):
+    return proxy.calc_sales(spark, d, window=True), proxy.report_periods(spark)
+
+
+@register("ins_national_trend", ("market_ly", "market_ty", "market_change", "market_yoy_pct", "focal_ly",
+                                 "focal_ty", "focal_yoy_pct"))
+def q_ins_national_trend(spark, d):
+    return INS.national_trend(*_sp(spark, d), P)
+
+
+@register("ins_national_rank", ("sale_ly", "sale_ty", "yoy_pct"), ("national_rank",))
+def q_ins_national_rank(spark, d):
+    return INS.national_rank(*_sp(spark, d), P)
+
+
+@register("ins_per_capita", ("sale_ty", "per_capita", "ratio_to_reference"), ("population",))
+def q_ins_per_capita(spark, d):
+    return INS.per_capita(*_sp(spark, d), proxy.population(spark, d), P, reference_province="AMERICA")
+
+
+@register("ins_region_mix", ("sale_ty", "share_of_focal_pct"))
+def q_ins_region_mix(spark, d):
+    return INS.region_mix(*_sp(spark, d), P)
+
+
+@register("ins_challengers", ("leader_yoy_pct", "yoy_pct", "share_pct"), ("rank",))
+def q_ins_challengers(spark, d):
+    return INS.challengers(*_sp(spark, d), P)
+
+
+@register("ins_consistent_rank", (), ("provinces", "min_rank", "max_rank", "same_rank_everywhere",
+                                      "declining_everywhere"))
+def q_ins_consistent_rank(spark, d):
+    return INS.consistent_rank(*_sp(spark, d), P)
+
+
+@register("ins_format_share", ("sale_ty", "format_share_pct"), ("unit_size",))
+def q_ins_format_share(spark, d):
+    return INS.format_share(*_sp(spark, d), P)
+
+
+@register("ins_format_leader", ("sale_ty", "leader_share_pct"), ("unit_size",))
+def q_ins_format_leader(spark, d):
+    return INS.format_leader(*_sp(spark, d), P)
+
+
+@register("ins_portfolio_gap", ("market_volume_ty",), ("unit_size", "gap_rank"))
+def q_ins_portfolio_gap(spark, d):
+    sales, periods = _sp(spark, d)
+    from shelfscope.functions.text import ieq
+    return INS.portfolio_gap(sales.filter(ieq("origin", P.origin)), periods, P,
+                             keys=("province_code", "varietal", "unit_size"))
+
+
+@register("ins_price_histogram", (), ("products",))
+def q_ins_price_histogram(spark, d):
+    return INS.price_histogram(proxy.products(spark, d))
+
+
+@register("ins_price_volume", ("retail_price", "sale_ty"), ("unit_size",))
+def q_ins_price_volume(spark, d):
+    return INS.price_volume(q_flagship_pricing(spark, d))
+
+
+# ------------------------------------------------------------------ forecast
+
+from shelfscope.plans import forecast as FC  # noqa: E402
+
+
+def _points(spark, d):
+    from shelfscope.sources.tables import read_table
+    li = read_table(spark, d, "lineitem", ["l_partkey", "l_quantity", "l_discount", "l_shipdate"])
+    part = read_table(spark, d, "part", ["p_partkey", "p_type"])
+    s = li.join(part, li.l_partkey == part.p_partkey)
+    return FC.series_points(s, "p_type", "l_shipdate", "l_quantity", "l_discount", 5)
+
+
+def _fit(spark, d):
+    pts = _points(spark, d)
+    return pts, FC.ols_fit(pts)
+
+
+@register("fc_promo_lift", ("avg_promoted", "avg_unpromoted", "lift_pct"), ("promoted_periods",))
+def q_fc_promo_lift(spark, d):
+    return FC.promo_lift(_points(spark, d))
+
+
+@register("fc_ols_fit", ("promo_slope", "resid_se"), ("n", "seasons"))
+def q_fc_ols_fit(spark, d):
+    return _fit(spark, d)[1]
+
+
+@register("fc_organic", ("forecast_median",), ("step", "season"))
+def q_fc_organic(spark, d):
+    pts, fit = _fit(spark, d)
+    f = FC.organic_forecast(pts, fit)
+    return f.select("series", "step", F.date_format("target_period", "yyyy-MM").alias("target_period"), "season",
+                    "forecast_median")
+
+
+@register("fc_bands", ("forecast_median", "forecast_high", "forecast_low"), ("step",))
+def q_fc_bands(spark, d):
+    pts, fit = _fit(spark, d)
+    return FC.organic_forecast(pts, fit).select("series", "step", "forecast_low", "forecast_median", "forecast_high")
+
+
+@register("fc_accuracy", ("r2", "mape_pct"))
+def q_fc_accuracy(spark, d):
+    pts, fit = _fit(spark, d)
+    return FC.accuracy(pts, fit)
+
+
+@register("fc_decompose", ("actual", "promo_effect", "baseline"), ("year",))
+def q_fc_decompose(spark, d):
+    pts, fit = _fit(spark, d)
+    return FC.decompose(pts, fit)
