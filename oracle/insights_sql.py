@@ -71,7 +71,7 @@ FROM hl WHERE rank > 1 AND yoy_pct > leader_yoy_pct""")
 SQL["ins_consistent_rank"] = with_base(_HOME + """
 SELECT varietal, brand, COUNT(*) AS provinces, MIN(rank) AS min_rank, MAX(rank) AS max_rank,
        CAST(MIN(rank) = MAX(rank) AS INTEGER) AS same_rank_everywhere,
-       CAST(bool_and(sale_ty < sale_ly) AS INTEGER) AS declining_everywhere
+       CAST(COALESCE(bool_and(sale_ty < sale_ly), false) AS INTEGER) AS declining_everywhere
 FROM hm GROUP BY varietal, brand""")
 
 SQL["ins_format_share"] = with_base(f""",

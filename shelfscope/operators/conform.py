@@ -10,14 +10,15 @@ from shelfscope.functions.text import ieq
 
 
 def period_analogy(labels: DataFrame, anchors: dict[str, str], label_col: str = "period_code",
-                   this_year: str = "TRY", last_year: str = "LRY") -> DataFrame:
+                   this_year: str = "TRY", last_year: str = "LRY", distinct: bool = True) -> DataFrame:
     """Map period labels of both calendars to a relative year and a season.
 
     ``anchors`` gives, per calendar kind ('M' monthly, 'P' fiscal), the last label of
     the current rolling year. A label ``k`` steps before its anchor (k >= 0) is in the
     current year when ``k < periods_per_year`` and in the previous year when
     ``k < 2 * periods_per_year``; other labels are not part of the analogy (dropped).
-    Season is the month / fiscal period number.
+    Season is the month / fiscal period number. ``distinct=False`` skips the
+    de-duplication when the labels are already unique (a literal label list).
     """
     kind = label_kind(label_col)
     per_year = F.when(kind == "P", F.lit(FISCAL_PERIODS)).otherwise(F.lit(MONTHS))
@@ -29,8 +30,10 @@ def period_analogy(labels: DataFrame, anchors: dict[str, str], label_col: str =
     dist = anchor_ord - label_ordinal(label_col)
     rel = (F.when((dist >= 0) & (dist < per_year), F.lit(this_year))
              .when((dist >= per_year) & (dist < per_year * 2), F.lit(last_year)))
-    return (labels.select(F.col(label_col).alias("period_code")).distinct()
-                  .select("period_code", rel.alias("relative_year"),
+    lab = labels.select(F.col(label_col).alias("period_code"))
+    if distinct:
+        lab = lab.distinct()
+    return (lab.select("period_code", rel.alias("relative_year"),
                           label_seq("period_code").alias("season"),
                           F.when(kind == "P", F.lit("fiscal")).otherwise(F.lit("monthly")).alias("calendar"))
                   .filter(F.col("relative_year").isNotNull()))

@@ -85,13 +85,16 @@ def challengers(sales: DataFrame, periods: DataFrame, p: MarketParams) -> DataFr
 
 def consistent_rank(sales: DataFrame, periods: DataFrame, p: MarketParams) -> DataFrame:
     """Per (varietal, brand) across provinces: rank range and whether the brand
-    declined in every province where it sold last year."""
+    declined in every province where it sold in both years."""
     r = _home_markets(sales, periods, p)
     return r.groupBy("varietal", "brand").agg(
         F.count(F.lit(1)).alias("provinces"),
         F.min("rank").alias("min_rank"), F.max("rank").alias("max_rank"),
         (F.min("rank") == F.max("rank")).cast("int").alias("same_rank_everywhere"),
-        F.bool_and(F.col("sale_ty") < F.col("sale_ly")).cast("int").alias("declining_everywhere"),
+        # 1 when the brand fell in every province with sales in both years (and there
+        # is at least one such province); 0 otherwise
+        F.coalesce(F.bool_and(F.col("sale_ty") < F.col("sale_ly")), F.lit(False)).cast("int")
+         .alias("declining_everywhere"),
     )
 
 

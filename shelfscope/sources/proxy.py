@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from shelfscope.functions.calendar import month_label, python_labels
 from shelfscope.operators.conform import period_analogy
 from shelfscope.operators.clean import price_band
-from shelfscope.sources.tables import read_table
+from shelfscope.sources.tables import local_table, read_table
 
 # Fixed values of the proxy market.
 MONTHLY_ANCHOR = "2001M10"      # last month of the "this rolling year" window
@@ -59,7 +59,7 @@ def price_band_rows() -> list[tuple[str, float, float]]:
 
 
 def price_bands(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(price_band_rows(), "price_segment string, price_range_start double, price_range_end double")
+    return local_table(spark, price_band_rows(), "price_segment string, price_range_start double, price_range_end double")
 
 
 def unit_size(p_size) -> F.Column:
@@ -124,8 +124,8 @@ def report_periods(spark: SparkSession) -> DataFrame:
     """Period analogy dim for the reports: both calendars, two rolling years each
     (24 monthly + 26 fiscal labels, fixed size)."""
     labels = python_labels("M", MONTHLY_ANCHOR, 24) + python_labels("P", FISCAL_ANCHOR, 26)
-    df = spark.createDataFrame([(x,) for x in labels], "period_code string")
-    return period_analogy(df, {"M": MONTHLY_ANCHOR, "P": FISCAL_ANCHOR})
+    df = local_table(spark, [(x,) for x in labels], "period_code string")
+    return period_analogy(df, {"M": MONTHLY_ANCHOR, "P": FISCAL_ANCHOR}, distinct=False)
 
 
 def window_bounds(anchor: str = MONTHLY_ANCHOR, months: int = 24) -> tuple[_dt.date, _dt.date]:
@@ -191,7 +191,7 @@ UNITS_PER_CASE = {375: 24, 750: 12, 1500: 6, 3000: 4}
 def color_map(spark: SparkSession) -> DataFrame:
     """Colour dimension file (ord = row position; 'White' is listed twice, the later
     entry wins; 'Amber' is missing)."""
-    return spark.createDataFrame(COLOR_MAP_ROWS, "ord int, color string, color_five string")
+    return local_table(spark, COLOR_MAP_ROWS, "ord int, color string, color_five string")
 
 
 def wide_labels(kind: str) -> list[str]:

@@ -7,11 +7,39 @@ from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, base_dir: str, name: str, cols: list[str] | None = None) -> DataFrame:
-    """Parquet scan; selecting ``cols`` here lets Catalyst prune the ReadSchema."""
-    df = spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+    """Parquet scan; selecting ``cols`` here lets Catalyst prune the ReadSchema.
+
+    The relation is memoised per session and path, so composing a report that
+    reads the same table several times infers its schema (footer read) once.
+    """
+    path = f"{base_dir.rstrip('/')}/{name}.parquet"
+    cache = spark.__dict__.setdefault("_shelfscope_relations", {})
+    df = cache.get(path)
+    if df is None:
+        df = cache[path] = spark.read.parquet(path)
     return df.select(*cols) if cols else df
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Small fixed table (dimension parameters) as a SQL ``VALUES`` local relation:
+    size statistics are exact at planning time, so joins to it are planned as
+    broadcasts without a shuffle or an extra job."""
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
+        return str(v)
+
+    names = [f.strip().split()[0] for f in schema.split(",")]
+    types = [" ".join(f.strip().split()[1:]) for f in schema.split(",")]
+    values = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in zip(names, types))
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def wide_schema(attributes: dict[str, T.DataType], period_labels: list[str]) -> T.StructType:
     """Explicit schema for a wide provincial sales file: attributes + one double per
     period label. No inference pass over the data; every period column has one type so
