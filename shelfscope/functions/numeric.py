@@ -71,11 +71,9 @@ def coerce_numeric(c) -> Column:
 
 
 def row_total(cols) -> Column:
-    """Row-wise sum treating NULL as 0 (pandas ``sum(axis=1)`` skips NaN).
-
-    Written as one higher-order ``aggregate`` over an array of the columns (summed
-    left to right) rather than a chain of ``+``: the chained form makes Catalyst's
-    constraint propagation grow combinatorially with the number of period columns.
-    """
-    arr = F.array(*[F.coalesce(_c(c).cast("double"), F.lit(0.0)) for c in cols])
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+    """Row-wise sum treating NULL as 0 (pandas ``sum(axis=1)`` skips NaN), summed
+    left to right."""
+    expr = F.lit(0.0)
+    for c in cols:
+        expr = expr + F.coalesce(_c(c).cast("double"), F.lit(0.0))
+    return expr

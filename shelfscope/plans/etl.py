@@ -36,9 +36,16 @@ def keyed(raw: DataFrame, province_code: str | None = None) -> DataFrame:
 
 
 def cleaned_attributes(df: DataFrame, spec: CalendarSpec) -> DataFrame:
-    """B3-B10 in reference order: positive total, title case + commas + whitespace,
-    USA repair, leading-character strip, required attributes."""
+    """Positive total, required attributes, title case + commas + whitespace,
+    USA repair, leading-character strip.
+
+    The reference drops rows with a missing required attribute after the text
+    cleaning; the cleaning maps NULL to NULL and non-NULL to non-NULL, so checking
+    first is equivalent -- and it keeps the (pushed-down) NOT NULL filter from
+    evaluating every cleaning expression a second time.
+    """
     df = C.filter_positive(df, list(spec.period_labels))
+    df = C.require(df)
     df = C.title_case(df)
     if spec.fix_usa:
         fixed = F.col("country_of_origin")
@@ -46,8 +53,7 @@ def cleaned_attributes(df: DataFrame, spec: CalendarSpec) -> DataFrame:
             fixed = F.when(F.col("country_of_origin") == old, F.lit(new)).otherwise(fixed)
         df = df.withColumn("country_of_origin",
                            F.when(F.col("province_code").isin(*spec.fix_usa), fixed).otherwise(F.col("country_of_origin")))
-    df = C.lead_strip(df, "description")
-    return C.require(df)
+    return C.lead_strip(df, "description")
 
 
 def price_as_number(c) -> F.Column:

@@ -67,7 +67,15 @@ def segmented(rk: DataFrame, p: MarketParams) -> DataFrame:
 
 def market_kpis(seg: DataFrame, p: MarketParams) -> DataFrame:
     """J7-J17 in one aggregate: concentration, market YoY, focal KPIs, tier KPIs."""
-    fb = p.focal_brand
+    cache = seg.sparkSession.__dict__.setdefault("_shelfscope_kpi_aggs", {})
+    key = p.focal_brand
+    if key not in cache:
+        cache[key] = _kpi_aggs(p.focal_brand)
+    return seg.groupBy(*MARKET).agg(*cache[key])
+
+
+def _kpi_aggs(fb: str) -> list:
+    """The aggregate expressions of ``market_kpis`` (unresolved columns, reusable)."""
     is_focal = ieq("brand", fb)
     ty, ly = F.col("sale_vol_ty"), F.col("sale_vol_ly")
     aggs = [
@@ -95,7 +103,7 @@ def market_kpis(seg: DataFrame, p: MarketParams) -> DataFrame:
     for t in (1, 2, 3):
         cond = (F.col("tier") == t) & ine("brand", fb)
         aggs.append(M.count_when(cond, ty).alias(f"tier_{t}_brands_count"))
-    return seg.groupBy(*MARKET).agg(*aggs)
+    return aggs
 
 
 OUTLOOK_COLUMNS = [

@@ -36,6 +36,23 @@ from shelfscope.operators.conform import period_analogy
 from shelfscope.operators.clean import price_band
 from shelfscope.sources.tables import local_table, read_table
 
+
+def _memo(fn):
+    """Memoise a plan builder per (session, arguments). Only the lazy plan (a
+    DataFrame) is reused -- every action still reads the files -- so composing
+    several reports over one view pays the Python-side plan construction once."""
+    import functools
+
+    @functools.wraps(fn)
+    def wrapper(spark, *args, **kw):
+        cache = spark.__dict__.setdefault("_shelfscope_plans", {})
+        key = (fn.__name__, args, tuple(sorted(kw.items())))
+        if key not in cache:
+            cache[key] = fn(spark, *args, **kw)
+        return cache[key]
+
+    return wrapper
+
 # Fixed values of the proxy market.
 MONTHLY_ANCHOR = "2001M10"      # last month of the "this rolling year" window
 FISCAL_ANCHOR = "2001P08"       # last fiscal period of the same window
@@ -58,6 +75,7 @@ def price_band_rows() -> list[tuple[str, float, float]]:
     return out
 
 
+@_memo
 def price_bands(spark: SparkSession) -> DataFrame:
     return local_table(spark, price_band_rows(), "price_segment string, price_range_start double, price_range_end double")
 
@@ -77,6 +95,7 @@ def region_of_nation(spark: SparkSession, d: str) -> DataFrame:
     return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
 
 
+@_memo
 def order_province(spark: SparkSession, d: str) -> DataFrame:
     """(o_orderkey, province_code): region of the ordering customer."""
     nr = F.broadcast(region_of_nation(spark, d))
@@ -86,12 +105,14 @@ def order_province(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "province_code")
 
 
+@_memo
 def supplier_origin(spark: SparkSession, d: str) -> DataFrame:
     nr = F.broadcast(region_of_nation(spark, d))
     sup = read_table(spark, d, "supplier", ["s_suppkey", "s_nationkey"])
     return sup.join(nr, sup.s_nationkey == nr.n_nationkey).select("s_suppkey", F.col("r_name").alias("origin"))
 
 
+@_memo
 def products(spark: SparkSession, d: str, unmatched: str = "null") -> DataFrame:
     """Product dimension: one row per part with its price segment (range lookup)."""
     part = read_table(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
@@ -107,6 +128,7 @@ def products(spark: SparkSession, d: str, unmatched: str = "null") -> DataFrame:
     return price_band(prod, price_bands(spark), "retail_price_this_year", out="price_segment", unmatched=unmatched)
 
 
+@_memo
 def varietal_dim(spark: SparkSession, d: str) -> DataFrame:
     """(varietal, bb_portfolio). Derived from the part vocabulary; no broadcast hint --
     AQE converts the join once the (tiny) distinct stage has measured its size."""
@@ -115,11 +137,13 @@ def varietal_dim(spark: SparkSession, d: str) -> DataFrame:
         "bb_portfolio", F.when(F.col("varietal").isin(*NON_PORTFOLIO_VARIETALS), 0).otherwise(1))
 
 
+@_memo
 def province_dim(spark: SparkSession, d: str) -> DataFrame:
     region = read_table(spark, d, "region", ["r_name"])
     return region.select(F.col("r_name").alias("province_code"), F.lower("r_name").alias("province_name"))
 
 
+@_memo
 def report_periods(spark: SparkSession) -> DataFrame:
     """Period analogy dim for the reports: both calendars, two rolling years each
     (24 monthly + 26 fiscal labels, fixed size)."""
@@ -139,6 +163,7 @@ def window_bounds(anchor: str = MONTHLY_ANCHOR, months: int = 24) -> tuple[_dt.d
     return _dt.date(y0, m0, 1), _dt.date(y1, m1, 1)
 
 
+@_memo
 def calc_sales(spark: SparkSession, d: str, window: bool = False, extra_cols: tuple[str, ...] = ()) -> DataFrame:
     """Conformed sales view at line grain.
 
@@ -167,6 +192,7 @@ def calc_sales(spark: SparkSession, d: str, window: bool = False, extra_cols: tu
     )
 
 
+@_memo
 def population(spark: SparkSession, d: str) -> DataFrame:
     """(province_code, population): customers per region stand in for population."""
     nr = F.broadcast(region_of_nation(spark, d))
@@ -188,6 +214,7 @@ COLOR_MAP_ROWS = [(1, "Red", "Red"), (2, "White", "White"), (3, "Rose", "Pink"),
 UNITS_PER_CASE = {375: 24, 750: 12, 1500: 6, 3000: 4}
 
 
+@_memo
 def color_map(spark: SparkSession) -> DataFrame:
     """Colour dimension file (ord = row position; 'White' is listed twice, the later
     entry wins; 'Amber' is missing)."""
@@ -198,6 +225,7 @@ def wide_labels(kind: str) -> list[str]:
     return python_labels(kind, MONTHLY_ANCHOR if kind == "M" else FISCAL_ANCHOR, 24 if kind == "M" else 26)
 
 
+@_memo
 def raw_wide(spark: SparkSession, d: str, kind: str = "M") -> DataFrame:
     """One raw wide 'file' per calendar: (province_code, code, attributes..., one
     quantity column per period label). Built with a single hash aggregation whose
