@@ -143,6 +143,10 @@ def province_dim(spark: SparkSession, d: str) -> DataFrame:
     return region.select(F.col("r_name").alias("province_code"), F.lower("r_name").alias("province_name"))
 
 
+def report_period_labels() -> list[str]:
+    return python_labels("M", MONTHLY_ANCHOR, 24) + python_labels("P", FISCAL_ANCHOR, 26)
+
+
 @_memo
 def report_periods(spark: SparkSession) -> DataFrame:
     """Period analogy dim for the reports: both calendars, two rolling years each

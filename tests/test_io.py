@@ -50,3 +50,26 @@ def test_streaming_ingest_matches_batch(spark):
     b = batch.groupBy().agg(F.count(F.lit(1)), F.sum("sale_actual_cases")).first()
     assert tuple(a) == tuple(b)
     assert streamed.select(*key).distinct().count() == batch.select(*key).distinct().count()
+
+
+def test_materialised_view_prunes_periods_and_matches(spark):
+    from shelfscope.params import DEFAULT
+    from shelfscope.plans import outlook
+    from shelfscope.sources.warehouse import read_conformed_sales, write_conformed_sales
+
+    path = tempfile.mkdtemp(prefix="shelfscope-wh-") + "/calc_sales"
+    write_conformed_sales(proxy.calc_sales(spark, SMALL), path)
+    stored = read_conformed_sales(spark, path, proxy.report_period_labels())
+    periods, varietals = proxy.report_periods(spark), proxy.varietal_dim(spark, SMALL)
+    from_table = outlook.market_outlook(stored, periods, varietals, DEFAULT)
+    direct = outlook.market_outlook(proxy.calc_sales(spark, SMALL, window=True), periods, varietals, DEFAULT)
+    assert sorted(map(tuple, from_table.collect())) == sorted(map(tuple, direct.collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fresh = outlook.market_outlook(read_conformed_sales(spark, path, proxy.report_period_labels()),
+                                       periods, varietals, DEFAULT)
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    scan = [line for line in plan.splitlines() if "calc_sales]" in line][0]
+    assert "PartitionFilters: [period_code" in scan and "INSET" in scan
