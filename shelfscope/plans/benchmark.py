@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import ratio0, yoy
+from shelfscope.functions.numeric import yoy
 from shelfscope.functions.text import ieq
 from shelfscope.operators import measures as M
 from shelfscope.operators.conform import with_relative_year

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import dec2, ratio0, yoy
+from shelfscope.functions.numeric import dec2, yoy
 from shelfscope.functions.text import ieq, ine
 from shelfscope.operators import measures as M
 from shelfscope.operators.conform import market_filter, with_portfolio, with_relative_year

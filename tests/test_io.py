@@ -73,3 +73,20 @@ def test_materialised_view_prunes_periods_and_matches(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     scan = [line for line in plan.splitlines() if "calc_sales]" in line][0]
     assert "PartitionFilters: [period_code" in scan and "INSET" in scan
+
+
+def test_read_wide_batch_round_trip(spark):
+    from pyspark.sql import types as T
+
+    from shelfscope.sources.tables import RAW_ATTRIBUTES, read_wide
+
+    root = tempfile.mkdtemp(prefix="shelfscope-wide-")
+    raw = proxy.raw_wide(spark, SMALL, "M")
+    raw.write.option("header", True).csv(f"{root}/wide")
+    back = read_wide(spark, f"{root}/wide", list(_spec("M").period_labels),
+                     attributes={"province_code": T.StringType(), **RAW_ATTRIBUTES})
+    assert back.schema["code"].dataType == T.StringType()
+    assert back.schema["retail_price_last_year"].dataType == T.StringType()
+    assert back.count() == raw.count()
+    label = _spec("M").period_labels[0]
+    assert back.agg(F.sum(label)).first()[0] == raw.agg(F.sum(label)).first()[0]
