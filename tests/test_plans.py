@@ -69,3 +69,24 @@ def test_fixed_dims_are_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert p.count("BroadcastExchange") >= 3
+
+
+def test_fact_aggregate_not_partitioned_by_low_cardinality_dim_key(spark):
+    """With no broadcasts at all (tables beyond the threshold), the fact-side
+    aggregate must shuffle on its full group key, never on the varietal alone."""
+    import re
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = outlook.market_outlook(proxy.calc_sales(spark, SMALL, window=True), proxy.report_periods(spark),
+                                    proxy.varietal_dim(spark, SMALL), DEFAULT)
+        p = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the exchange directly feeding the fact aggregate is keyed by the brand grain
+    keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", p)]
+    # (before the fix the fact aggregate reused a varietal-only join partitioning and
+    # no brand-grain exchange existed)
+    assert any(k.startswith("province_code, varietal, brand") for k in keys), keys
