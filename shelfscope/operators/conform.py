@@ -57,9 +57,30 @@ def with_price(df: DataFrame, products: DataFrame, how: str = "inner",
     return df.join(p, df[key] == p["__pk"], how).drop("__pk")
 
 
+BROADCAST_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast a data-derived dimension only after checking its size.
+
+    Runs one bounded count (``limit(max_rows + 1)``) on the dim -- a small job -- and
+    hints a broadcast only when the dim has at most ``max_rows`` rows; above that the
+    join is left to the planner (shuffle join). The decision is remembered on the
+    DataFrame object so composing several reports checks once.
+    """
+    decided = getattr(dim, "_shelfscope_small", None)
+    if decided is None:
+        decided = dim.limit(max_rows + 1).count() <= max_rows
+        dim._shelfscope_small = decided
+    return F.broadcast(dim) if decided else dim
+
+
 def with_portfolio(df: DataFrame, varietals: DataFrame, how: str = "inner") -> DataFrame:
-    """Attach the portfolio flag (E5)."""
-    return df.join(varietals.select("varietal", "bb_portfolio"), "varietal", how)
+    """Attach the portfolio flag (E5). The varietal dim is data-derived (one row per
+    varietal); it is broadcast behind a size check, because a shuffle join on this
+    low-cardinality key would hash all of ``df`` into a handful of partitions."""
+    dim = broadcast_if_small(varietals.select("varietal", "bb_portfolio"))
+    return df.join(dim, "varietal", how)
 
 
 def canonical_keys(df: DataFrame, cols: list[str], suffix: str = "_key") -> DataFrame:
