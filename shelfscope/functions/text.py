@@ -29,14 +29,14 @@ def py_title(c) -> Column:
     expressions; no lambda functions in the hot path.
     """
     marked = F.regexp_replace(F.lower(_c(c)), r"(?<=\P{L})(\p{L})", _SENTINEL + " $1")
-    return F.regexp_replace(F.initcap(marked), _SENTINEL + " ", "")
+    return F.replace(F.initcap(marked), F.lit(_SENTINEL + " "), F.lit(""))
 
 
 _SENTINEL = "\u0001"
 
 
 def strip_commas(c) -> Column:
-    return F.regexp_replace(_c(c), ",", "")
+    return F.translate(_c(c), ",", "")
 
 
 def squeeze_ws(c) -> Column:
