@@ -79,8 +79,9 @@ def with_portfolio(df: DataFrame, varietals: DataFrame, how: str = "inner") -> D
     """Attach the portfolio flag (E5). The varietal dim is data-derived (one row per
     varietal); it is broadcast behind a size check, because a shuffle join on this
     low-cardinality key would hash all of ``df`` into a handful of partitions."""
-    dim = broadcast_if_small(varietals.select("varietal", "bb_portfolio"))
-    return df.join(dim, "varietal", how)
+    small = broadcast_if_small(varietals) is not varietals   # decision cached on the dim
+    dim = varietals.select("varietal", "bb_portfolio")
+    return df.join(F.broadcast(dim) if small else dim, "varietal", how)
 
 
 def canonical_keys(df: DataFrame, cols: list[str], suffix: str = "_key") -> DataFrame:

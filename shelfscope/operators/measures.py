@@ -121,3 +121,31 @@ def sum_when(cond: Column, value) -> Column:
 def count_when(cond: Column, value) -> Column:
     """COUNT(CASE WHEN cond THEN value END): counts matching non-NULL values."""
     return F.count(F.when(cond, _c(value)))
+
+
+def global_row_number(df: DataFrame, value: str, tiebreak: tuple[str, ...] = (), out: str = "rn",
+                      buckets: int = 64) -> DataFrame:
+    """Exact ``ROW_NUMBER() OVER (ORDER BY value DESC NULLS LAST, tiebreak...)`` over a
+    whole DataFrame without moving every row into one task.
+
+    Rows are range-bucketed by ``value`` with ``width_bucket`` over [min, max] (both
+    one-row scalar subqueries). The bucket is a monotone pure function of the value,
+    so equal values share a bucket and bucket order follows value order. Each bucket
+    is ranked on its own (parallel window); a bucket's offset is the running count of
+    the buckets before it -- a window over at most ``buckets + 3`` rows, broadcast
+    back (size bound: one row per bucket).
+    """
+    v = F.col(value).cast("double")
+    lo = df.select(F.min(F.col(value).cast("double"))).scalar()
+    hi = df.select(F.max(F.col(value).cast("double"))).scalar()
+    wb = F.when(hi > lo, F.width_bucket(v, lo, hi, F.lit(buckets))).otherwise(F.lit(0))
+    bucket = F.when(v.isNull(), F.lit(buckets + 2)).otherwise(F.lit(buckets + 1) - wb)
+    d = df.withColumn("__bucket", bucket)
+    order = [F.col(value).desc_nulls_last()] + [F.col(t).asc_nulls_first() for t in tiebreak]
+    ranked = d.withColumn("__local", F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)))
+    counts = d.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return (ranked.join(F.broadcast(offsets), "__bucket")
+                  .withColumn(out, (F.col("__off") + F.col("__local")).cast("int"))
+                  .drop("__bucket", "__local", "__off"))

@@ -41,9 +41,9 @@ def national_trend(sales: DataFrame, periods: DataFrame, p: MarketParams) -> Dat
 def national_rank(sales: DataFrame, periods: DataFrame, p: MarketParams) -> DataFrame:
     """L2: brands ranked nationally by TY volume within the home origin."""
     b = _base(sales.filter(ieq("origin", p.origin)), periods, ["brand"], p)
-    # one national partition over brands: bounded by the brand catalogue, not by sales rows
-    return b.select("brand", "sale_ly", "sale_ty", yoy("sale_ty", "sale_ly").alias("yoy_pct"),
-                    M.row_number([], M.order_desc("sale_ty", tiebreak=("brand",))).alias("national_rank"))
+    b = b.select("brand", "sale_ly", "sale_ty", yoy("sale_ty", "sale_ly").alias("yoy_pct"))
+    # national ranking without an un-partitioned window (see measures.global_row_number)
+    return M.global_row_number(b, "sale_ty", ("brand",), out="national_rank")
 
 
 def per_capita(sales: DataFrame, periods: DataFrame, population: DataFrame, p: MarketParams,

@@ -175,3 +175,18 @@ def test_unmapped_period_inner_vs_left(spark):
     assert with_relative_year(sales, dim).count() == 0
     left = M.rolling_year(with_relative_year(sales, dim, "left"), ["k"], {"ty": ("v", "TRY")}).collect()
     assert [(r.k, r.ty) for r in left] == [("X", None)]
+
+
+def test_global_row_number_matches_single_window(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    rnd = random.Random(7)
+    rows = [(f"b{i:04d}", None if i % 29 == 0 else (Decimal(500) if i % 3 == 0 else Decimal(rnd.randint(0, 10_000))))
+            for i in range(2000)]                   # a third of the rows share one hot value
+    df = spark.createDataFrame(rows, "brand string, v decimal(18,4)")
+    got = {r.brand: r.rn for r in M.global_row_number(df, "v", ("brand",), buckets=16).collect()}
+    w = Window.orderBy(F.col("v").desc_nulls_last(), F.col("brand").asc())
+    want = {r.brand: r.rn for r in df.select("brand", F.row_number().over(w).alias("rn")).collect()}
+    assert got == want
