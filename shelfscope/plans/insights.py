@@ -117,12 +117,20 @@ def format_leader(sales: DataFrame, periods: DataFrame, p: MarketParams) -> Data
 def portfolio_gap(sales: DataFrame, periods: DataFrame, p: MarketParams,
                   keys: tuple[str, ...] = ("province_code", "varietal")) -> DataFrame:
     """Markets (``keys``) without focal-brand sales this year, ranked by market
-    volume within the province (left anti join against the focal brand's markets)."""
+    volume within the province.
+
+    One aggregate carries both the market volume and the focal brand's volume; the
+    markets where the focal brand sold are then removed with a left anti join
+    between two projections of that same aggregate, so the fact is scanned once.
+    """
     mk = list(keys)
-    markets = _base(sales, periods, mk, p)
-    present = (_base(sales.filter(ieq("brand", p.focal_brand)), periods, mk, p)
-               .filter(F.col("sale_ty") > 0).select(*mk))
-    gaps = markets.join(present, mk, "left_anti")
+    s = with_relative_year(sales, periods)
+    ty = F.col("relative_year") == p.this_year
+    agg = s.groupBy(*mk).agg(
+        F.sum(F.when(ty, F.col("sale_9l_case"))).alias("sale_ty"),
+        F.sum(F.when(ty & ieq("brand", p.focal_brand), F.col("sale_9l_case"))).alias("focal_ty"))
+    present = agg.filter(F.col("focal_ty") > 0).select(*mk)
+    gaps = agg.join(present, mk, "left_anti")
     tie = tuple(k for k in mk if k != "province_code")
     return gaps.select(*mk, F.col("sale_ty").alias("market_volume_ty"),
                        M.row_number(["province_code"], M.order_desc("sale_ty", tiebreak=tie)).alias("gap_rank"))
