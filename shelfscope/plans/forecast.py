@@ -79,21 +79,40 @@ def fitted(points: DataFrame, fit: DataFrame) -> DataFrame:
             .withColumn("resid", F.col("y") - F.col("y_hat"))
 
 
-def organic_forecast(points: DataFrame, fit: DataFrame, horizon: int = HORIZON, z: float = Z90) -> DataFrame:
+def organic_forecast(points: DataFrame, fit: DataFrame | None = None, horizon: int = HORIZON,
+                     z: float = Z90) -> DataFrame:
     """K3/K4: organic forecast (promo = 0) for the ``horizon`` months after each
-    series' last observed month, with High / Low bands at +-z residual SE."""
-    intercepts = (_demeaned(points).groupBy("series", "season")
-                  .agg(F.first("y_season_mean").alias("y_season_mean"),
-                       F.first("promo_season_mean").alias("promo_season_mean")))
-    last = points.groupBy("series").agg(F.max("period_start").alias("last_period"))
-    steps = last.select("series", "last_period", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
-    steps = steps.withColumn("target_period", F.add_months("last_period", F.col("step"))) \
-                 .withColumn("season", F.month("target_period"))
-    f = steps.join(intercepts, ["series", "season"], "left").join(fit.select("series", "promo_slope", "resid_se"), "series")
+    series' last observed month, with High / Low bands at +-z residual SE.
+
+    One linear plan over ``points`` (no branches joined back, so the fact is
+    aggregated once): season windows give the seasonal means, series windows give
+    the FWL sums, one aggregate per (series, season) gives the intercept, and the
+    forecast steps landing in that season are generated in place. ``fit`` is
+    accepted for API symmetry; the slope is recomputed in the same pass.
+    """
+    d = _demeaned(points)
+    ws = Window.partitionBy("series")
+    d = d.select("*",
+                 F.sum(F.col("x_dm") * F.col("y_dm")).over(ws).alias("sxy"),
+                 F.sum(F.col("x_dm") * F.col("x_dm")).over(ws).alias("sxx"),
+                 F.sum(F.col("y_dm") * F.col("y_dm")).over(ws).alias("syy"),
+                 F.count(F.lit(1)).over(ws).alias("n"),
+                 F.size(F.collect_set("season").over(ws)).alias("seasons"),
+                 F.max("period_start").over(ws).alias("last_period"))
+    slope = F.coalesce(F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0)), F.lit(0.0))
+    sse = F.greatest(F.col("syy") - slope * F.col("sxy"), F.lit(0.0))
+    se = F.sqrt(sse / F.nullif((F.col("n") - F.col("seasons") - F.lit(1)).cast("double"), F.lit(0.0)))
+    per_season = d.groupBy("series", "season").agg(
+        F.first("y_season_mean").alias("y_season_mean"), F.first("promo_season_mean").alias("promo_season_mean"),
+        F.first(slope).alias("promo_slope"), F.first(se).alias("resid_se"), F.first("last_period").alias("last_period"))
+    steps = F.filter(F.sequence(F.lit(1), F.lit(horizon)),
+                     lambda h: F.month(F.add_months(F.col("last_period"), h)) == F.col("season"))
+    f = per_season.select("*", F.explode(steps).alias("step"))
     median = F.col("y_season_mean") - F.col("promo_slope") * F.col("promo_season_mean")
     band = F.lit(z) * F.coalesce(F.col("resid_se"), F.lit(0.0))
-    return f.select("series", "step", "target_period", "season", median.alias("forecast_median"),
-                    (median + band).alias("forecast_high"), (median - band).alias("forecast_low"))
+    return f.select("series", "step", F.add_months("last_period", F.col("step")).alias("target_period"), "season",
+                    median.alias("forecast_median"), (median + band).alias("forecast_high"),
+                    (median - band).alias("forecast_low"))
 
 
 def accuracy(points: DataFrame, fit: DataFrame) -> DataFrame:
