@@ -108,6 +108,23 @@ class WordIds(dict):
             self.hashes.clear()
 
 
+class WordHashes(dict):
+    """Word -> 64-bit content hash, remembered for up to ``room`` words."""
+
+    def __init__(self, room: int = 400_000):
+        super().__init__()
+        self.room = room
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.room:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from shelfscope.llm import quality_rules, sharding
+from shelfscope.llm import decontamination, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {f.__name__: f for f in (
+    decontamination.op2_decontamination,
+    toxicity.op3_toxicity,
     sharding.op4_sharding,
     quality_rules.op8_quality_rules,
+    quality_classifier.op9_quality_classifier,
 )}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_decontamination": decontamination.SQL,
+}
