@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from shelfscope.llm import decontamination, quality_classifier, quality_rules, sharding, toxicity
+from shelfscope.llm import decontamination, near_duplicates, pii, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {f.__name__: f for f in (
     decontamination.op2_decontamination,
     toxicity.op3_toxicity,
     sharding.op4_sharding,
+    pii.op7_pii,
     quality_rules.op8_quality_rules,
     quality_classifier.op9_quality_classifier,
+    near_duplicates.op10_near_duplicates,
 )}
 
 ORACLE: dict[str, str] = {
     "op2_decontamination": decontamination.SQL,
+    "op10_near_duplicates": near_duplicates.SQL,
 }
