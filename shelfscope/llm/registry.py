@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from shelfscope.llm import decontamination, near_duplicates, pii, quality_classifier, quality_rules, sharding, toxicity
+from shelfscope.llm import byte_bpe, decontamination, lm_scoring, near_duplicates, pii, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {f.__name__: f for f in (
+    lm_scoring.op1_lm_scoring,
     decontamination.op2_decontamination,
     toxicity.op3_toxicity,
     sharding.op4_sharding,
+    byte_bpe.op6_byte_bpe,
     pii.op7_pii,
     quality_rules.op8_quality_rules,
     quality_classifier.op9_quality_classifier,
