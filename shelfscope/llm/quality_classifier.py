@@ -219,6 +219,23 @@ def scores(vectors: DataFrame, model: dict | None, threshold: float = THRESHOLD)
     return vectors.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def accepted(docs: DataFrame, vectors: np.ndarray, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
+    """Those rows of ``docs``, with all their columns, whose text the network doesn't reject."""
+    sent = docs.sparkSession.sparkContext.broadcast((vectors.astype(np.float64), model))
+
+    def keep(batches):
+        (v, m), known = sent.value, Tokens()
+        for b in batches:
+            x = np.zeros((b.num_rows, DIM), np.float32)
+            for i, text in enumerate(b.column("text").to_pylist()):
+                at = known.rows((text or "").encode())
+                if len(at):
+                    x[i] = np.bincount(at, minlength=1 << BITS) @ v / len(at) if len(at) > 20_000 else v[at].mean(0)
+            yield b.filter(pa.array(probability(m, x.astype(float)) >= threshold)) if m else b
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The whole operator: fit on ``labels``, score every row of ``docs``."""
     vectors = stored(pooled(docs, word_vectors(docs)), "doc-vectors")

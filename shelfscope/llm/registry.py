@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from shelfscope.llm import byte_bpe, decontamination, lm_scoring, near_duplicates, pii, quality_classifier, quality_rules, sharding, toxicity
+from shelfscope.llm import byte_bpe, decontamination, license_scan, lm_scoring, near_duplicates, pii, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {f.__name__: f for f in (
     lm_scoring.op1_lm_scoring,
     decontamination.op2_decontamination,
     toxicity.op3_toxicity,
     sharding.op4_sharding,
+    license_scan.op5_license_scan,
     byte_bpe.op6_byte_bpe,
     pii.op7_pii,
     quality_rules.op8_quality_rules,
@@ -18,5 +19,6 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLE: dict[str, str] = {
     "op2_decontamination": decontamination.SQL,
+    "op5_license_scan": license_scan.SQL,
     "op10_near_duplicates": near_duplicates.SQL,
 }
