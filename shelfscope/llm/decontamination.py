@@ -195,7 +195,7 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, k: int = SHING
     """Those rows of ``docs``, with all their columns, without a benchmark window. Rows that
     share a doc_id are one document: one contaminated text takes them all out."""
     found = contamination(docs, items, width, k).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.expr("doc_id <=> __id"), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

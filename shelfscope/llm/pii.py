@@ -220,10 +220,10 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         array(substr(__text, array_max(transform(cuts, x -> x.until)) + 1))), '')""".replace(
         "reach(c, i)", "if(i = 0, 0, array_max(transform(slice(cuts, 1, i), x -> x.until)))"))
     new = cuts.select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"), put.alias("__clean"))
-    version = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    return (docs.withColumn("__version", version)
-            .join(new, F.expr(f"`{doc_id}` <=> __id and __version = __v"), "left")
-            .select(*(F.coalesce("__clean", f"`{c}`").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns)))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{doc_id}`").alias("i"),
+                        F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("v"))
+    return (whole.join(new, F.expr("i <=> __id and v = __v"), "left")
+            .select(*((F.coalesce("__clean", f"row.`{c}`") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns)))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
