@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.proxy_sql import BANDS_CTE, FISCAL, MONTHS
+from oracle.proxy_sql import BANDS_CTE, FISCAL, MONTHS, PERIODS_CTE
 
 NUM_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 ZERO_WHOLESALE = "('AFRICA', 'AMERICA', 'EUROPE', 'MIDDLE EAST')"
@@ -37,7 +37,7 @@ attrs AS (
                                  WHEN p.p_size <= 45 THEN 1500 ELSE 3000 END AS VARCHAR) AS category_prov,
     CASE WHEN p.p_size % 17 = 0 THEN NULL
          ELSE ['RED', 'WHITE', 'ROSE', 'SPARKLING', 'AMBER'][(p.p_size % 5) + 1] END AS color,
-    CASE WHEN n.n_name = 'UNITED STATES' THEN 'usa' ELSE n.n_name END AS country_of_origin,
+    CASE WHEN n.n_nationkey = 24 THEN 'usa' ELSE n.n_name END AS country_of_origin,
     CASE WHEN p.p_size > 25 THEN 'special order' ELSE 'general list' END AS listing_type,
     CASE WHEN p.p_partkey % 10 = 0 THEN 'delisted' ELSE 'active' END AS status,
     p.p_type AS varietal,
@@ -79,7 +79,8 @@ def raw_cte(kind: str) -> str:
     pivots = ",\n    ".join(f"SUM(CASE WHEN label = '{x}' THEN l_quantity END) AS {_q(x)}" for x in labels)
     return f""",
 j_{kind} AS (
-  SELECT op.province_code, l.l_partkey, l.l_quantity, {lab} AS label
+  SELECT op.province_code, l.l_partkey, {lab} AS label,
+         l.l_quantity * CASE l.l_partkey % 11 WHEN 0 THEN 0.0 WHEN 1 THEN -1.0 ELSE 1.0 END AS l_quantity
   FROM lineitem l JOIN op ON l.l_orderkey = op.o_orderkey
   WHERE op.province_code IN {provinces}
     AND l.l_shipdate >= TIMESTAMP '{lo}' AND l.l_shipdate < TIMESTAMP '{hi}'),
@@ -170,6 +171,7 @@ def melt_sql(kind: str) -> str:
 
 
 def with_etl(body: str, kinds=("M", "P"), clean=True, products=False) -> str:
+    """``body`` after the ETL's CTEs; one that begins with a comma goes on with CTEs of its own."""
     ctes = COMMON
     for k in kinds:
         ctes += raw_cte(k)
@@ -201,20 +203,72 @@ SQL["etl_union_products"] = with_etl("SELECT * FROM prods_c", products=True)
 SQL["etl_numeric_coerce"] = with_etl(
     "SELECT global_code, wholesale_price_last_year, wholesale_price_this_year, retail_price_last_year, "
     "retail_price_this_year, retail_price_current FROM prods_c", products=True)
-SQL["etl_melt"] = with_etl(melt_sql("M"), kinds=("M",))
+def raw_melt_sql(kind: str) -> str:
+    return melt_sql(kind).replace(f"FROM band_{kind})", f"FROM keyed_{kind})")
+
+
+SQL["etl_melt"] = with_etl(raw_melt_sql("M") + "\nUNION ALL\n" + raw_melt_sql("P"), clean=False)
+SQL["etl_round2"] = with_etl(both(
+    "SELECT global_code, round_even(wholesale_price_this_year / 8.0 * 100, 0) / 100 AS rounded FROM keyed_M"), clean=False)
+SQL["etl_comma_ws"] = with_etl(both(
+    r"""SELECT global_code, regexp_replace(replace(description, ',', ''), '\s+', ' ', 'g') AS description,
+       regexp_replace(replace(category_prov, ',', ''), '\s+', ' ', 'g') AS category_prov FROM keyed_M"""), clean=False)
 SQL["etl_union_sales"] = with_etl(melt_sql("M") + "\nUNION ALL\n" + melt_sql("P"))
+def _null_counts(kind: str) -> str:
+    cols = ["province_code", *ATTRS, *(MONTHS if kind == "M" else FISCAL)]
+    return ("(SELECT " + ", ".join(f"COUNT(*) - COUNT({_q(c)}) AS {_q(c)}" for c in cols)
+            + f" FROM raw_{kind}) UNPIVOT INCLUDE NULLS (null_count FOR column_name IN ("
+            + ", ".join(_q(c) for c in cols) + "))")
+
+
 SQL["dq_null_profile"] = with_etl(
-    "SELECT column_name, null_count FROM (SELECT "
-    + ", ".join(f"COUNT(*) - COUNT({_q(c)}) AS {_q(c)}" for c in ["province_code", *ATTRS, *MONTHS])
-    + " FROM raw_M) UNPIVOT INCLUDE NULLS (null_count FOR column_name IN ("
-    + ", ".join(_q(c) for c in ["province_code", *ATTRS, *MONTHS]) + "))", kinds=("M",), clean=False)
-SQL["dq_step_counts"] = with_etl(f"""
-SELECT 'raw' AS step, COUNT(*) AS rows FROM keyed_M
-UNION ALL SELECT 'positive_total', COUNT(*) FROM pos2_M
-UNION ALL SELECT 'required_attributes', COUNT(*) FROM clean_M
-UNION ALL SELECT 'sales_long', COUNT(*) * {len(MONTHS)} FROM clean_M""", kinds=("M",))
-SQL["fc_promo_codes"] = with_etl("""
+    f"SELECT column_name, sum(null_count) AS null_count FROM (SELECT * FROM {_null_counts('M')} UNION ALL "
+    f"SELECT * FROM {_null_counts('P')}) GROUP BY column_name", clean=False)
+SQL["dq_step_counts"] = with_etl(
+    "SELECT step, sum(rows) AS rows FROM (" + " UNION ALL ".join(f"""
+SELECT 'raw' AS step, COUNT(*) AS rows FROM keyed_{k}
+UNION ALL SELECT 'positive_total', COUNT(*) FROM pos2_{k}
+UNION ALL SELECT 'required_attributes', COUNT(*) FROM clean_{k}
+UNION ALL SELECT 'sales_long', COUNT(*) * {n} FROM clean_{k}""" for k, n in (("M", len(MONTHS)), ("P", len(FISCAL))))
+    + ") GROUP BY step")
+_CODES = """
 SELECT global_code, promo_code, COUNT(*) AS occurrences FROM (
-  SELECT global_code, upper(trim(unnest(string_split(promos_list_this_year, ';')))) AS promo_code FROM keyed_M
+  SELECT global_code, upper(trim(unnest(string_split(promos_list_this_year, ';')))) AS promo_code
+  FROM (SELECT global_code, promos_list_this_year FROM keyed_M UNION ALL SELECT global_code, promos_list_this_year FROM keyed_P)
   WHERE promos_list_this_year IS NOT NULL) t
-WHERE promo_code <> '' GROUP BY global_code, promo_code""", kinds=("M",), clean=False)
+WHERE promo_code <> '' GROUP BY global_code, promo_code"""
+SQL["fc_promo_codes"] = with_etl(_CODES, clean=False)
+
+SALES_CTE = f""",
+sales AS ({melt_sql("M")}
+  UNION ALL {melt_sql("P")})"""
+SQL["fc_promo_lift_by_type"] = with_etl(SALES_CTE + f""",
+codes AS ({_CODES}),
+types AS (SELECT DISTINCT promo_code FROM codes),
+marked AS (
+  SELECT t.promo_code, s.sale_actual_cases AS cases, s.global_code, c.global_code IS NOT NULL AS listed
+  FROM sales s CROSS JOIN types t LEFT JOIN codes c ON c.global_code = s.global_code AND c.promo_code = t.promo_code
+  WHERE s.sale_actual_cases IS NOT NULL)
+SELECT promo_code, count(DISTINCT global_code) FILTER (listed) AS products, avg(cases) FILTER (listed) AS avg_promoted,
+       avg(cases) FILTER (NOT listed) AS avg_unpromoted,
+       (avg(cases) FILTER (listed) / NULLIF(avg(cases) FILTER (NOT listed), 0) - 1) * 100 AS lift_pct
+FROM marked GROUP BY promo_code""")
+
+#: The conformed view from the ETL's own output: standard cases by integers (a ninetieth of
+#: the units' hundredths times millilitres is a ten-thousandth of a nine-litre case).
+VIEW_CTE = SALES_CTE + f""",
+{PERIODS_CTE},
+varietals AS (
+  SELECT DISTINCT upper(p_type[1]) || lower(p_type[2:]) AS varietal, CAST(p_type NOT IN ('STANDARD', 'PROMO') AS INTEGER) AS in_portfolio
+  FROM part),
+units AS (
+  SELECT p.*, s.sale_period, CAST(round(s.sale_actual_cases * 100) AS HUGEINT) * p.units_per_case AS hundredths,
+         CAST(if(relative_year = 'LRY', retail_price_last_year, retail_price_this_year) AS DECIMAL(12,2)) AS price
+  FROM sales s JOIN prods_c p USING (global_code) LEFT JOIN periods a ON a.period_code = s.sale_period
+  WHERE s.sale_actual_cases IS NOT NULL),
+calc_sales AS (
+  SELECT province_code, varietal, size_ml_per_unit AS unit_size, brand, global_code AS product_code, description AS product_name,
+         price_segment_retail AS price_segment, country_of_origin AS origin, sale_period AS period_code,
+         CAST((2 * hundredths * size_ml_per_unit + 90) // 180 AS DECIMAL(30,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS sale_9l_case,
+         CAST(hundredths AS DECIMAL(24,0)) * CAST(0.01 AS DECIMAL(3,2)) * price AS revenue
+  FROM units)"""

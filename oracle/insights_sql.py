@@ -126,17 +126,6 @@ fit AS (SELECT series, n, seasons, COALESCE(sxy / NULLIF(sxx, 0.0), 0.0) AS prom
 fit2 AS (SELECT series, n, seasons, promo_slope,
                 sqrt(greatest(syy - promo_slope * sxy, 0.0) / NULLIF(CAST(n - seasons - 1 AS DOUBLE), 0.0)) AS resid_se
          FROM fit),
-icpt AS (SELECT DISTINCT series, season, y_season_mean, promo_season_mean FROM dm2),
-steps AS (SELECT series, last_period, unnest(range(1, 13)) AS step
-          FROM (SELECT series, MAX(period_start) AS last_period FROM pts GROUP BY series) l),
-fc AS (SELECT st.series, st.step, CAST(st.last_period + to_months(CAST(st.step AS INTEGER)) AS DATE) AS target_period
-       FROM steps st),
-fc2 AS (SELECT fc.*, month(fc.target_period) AS season FROM fc),
-fc3 AS (SELECT fc2.series, fc2.step, fc2.target_period, fc2.season,
-               i.y_season_mean - f.promo_slope * i.promo_season_mean AS forecast_median,
-               1.6448536269514722 * COALESCE(f.resid_se, 0.0) AS band
-        FROM fc2 LEFT JOIN icpt i ON fc2.series = i.series AND fc2.season = i.season
-        JOIN fit2 f ON fc2.series = f.series),
 fitted AS (SELECT d.*, d.y - (d.y_season_mean + f.promo_slope * d.x_dm) AS resid
            FROM dm2 d JOIN fit2 f ON d.series = f.series)
 """
@@ -147,9 +136,38 @@ SELECT series, AVG(CASE WHEN promo = 1.0 THEN y END) AS avg_promoted, AVG(CASE W
        (AVG(CASE WHEN promo = 1.0 THEN y END) / NULLIF(AVG(CASE WHEN promo = 0.0 THEN y END), 0.0) - 1.0) * 100.0 AS lift_pct
 FROM pts GROUP BY series"""
 SQL["fc_ols_fit"] = POINTS + "SELECT * FROM fit2"
-SQL["fc_organic"] = POINTS + "SELECT series, step, strftime(target_period, '%Y-%m') AS target_period, season, forecast_median FROM fc3"
-SQL["fc_bands"] = POINTS + """
-SELECT series, step, forecast_median - band AS forecast_low, forecast_median, forecast_median + band AS forecast_high FROM fc3"""
+
+
+def forecast_sql(columns: str, fiscal: bool = False) -> str:
+    """Thirteen steps for each series and its first-half copy; an unseen season gives NULLs."""
+    n = 13 if fiscal else 12
+    points = f"""
+WITH days AS (SELECT p.p_type AS series, CAST(l.l_shipdate AS DATE) AS d, l.l_quantity, l.l_discount
+              FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+fy AS (SELECT *, CASE WHEN d < make_date(year(d), 4, 1) THEN year(d) - 1 ELSE year(d) END AS fy FROM days),
+numbered AS (SELECT *, {'fy * 13 + least(13, datediff(' + "'day'" + ', make_date(fy, 4, 1), d) // 28 + 1) - 1' if fiscal
+                  else 'year(d) * 12 + month(d) - 1'} AS no FROM fy),
+one AS (SELECT series, no, no % {n} + 1 AS season, CAST(sum(l_quantity) AS DOUBLE) AS y,
+               CAST(sum(CAST(round(l_discount * 100.0) AS BIGINT)) >= 5 * count(*) AS INTEGER) * 1.0 AS promo FROM numbered GROUP BY ALL),
+pts AS (FROM one UNION ALL SELECT series || ' (H1)', no, season, y, promo FROM one WHERE season <= 6),
+means AS (SELECT series, season, avg(y) AS my, avg(promo) AS mp, count(*) AS n FROM pts GROUP BY ALL),
+fit AS (SELECT series, sum((promo - mp) * (y - my)) AS sxy, sum((promo - mp) * (promo - mp)) AS sxx, sum((y - my) * (y - my)) AS syy,
+               count(*) - count(DISTINCT season) - 1 AS dof, max(no) AS last
+        FROM pts JOIN means USING (series, season) GROUP BY ALL),
+slope AS (SELECT series, last, COALESCE(sxy / NULLIF(sxx, 0), 0) AS b, syy - COALESCE(sxy / NULLIF(sxx, 0), 0) * sxy AS sse, dof FROM fit),
+ahead AS (SELECT *, last + step AS no, CAST((last + step) % {n} + 1 AS INTEGER) AS season
+          FROM slope CROSS JOIN (SELECT unnest(range(1, 14)) AS step)),
+fc AS (SELECT a.series, a.step, a.season, {"printf('%04dP%02d', a.no // 13, a.season)" if fiscal else "printf('%04d-%02d', a.no // 12, a.season)"} AS target_period,
+              my - b * mp AS forecast_median, 1.6448536269514722 * COALESCE(sqrt(greatest(sse, 0) / NULLIF(CAST(dof AS DOUBLE), 0)), 0) AS band
+       FROM ahead a LEFT JOIN means m ON m.series = a.series AND m.season = a.season)"""
+    return points + f"""
+SELECT {columns} FROM (SELECT *, forecast_median - band AS forecast_low, forecast_median + band AS forecast_high FROM fc)"""
+
+
+SQL["fc_organic"] = forecast_sql("series, step, target_period, season, forecast_median")
+SQL["fc_organic_fiscal"] = forecast_sql(
+    "series, step, target_period, season, forecast_median, forecast_high, forecast_low", fiscal=True)
+SQL["fc_bands"] = forecast_sql("series, step, forecast_low, forecast_median, forecast_high")
 SQL["fc_accuracy"] = POINTS + """,
 ym AS (SELECT *, AVG(y) OVER (PARTITION BY series) AS y_mean FROM fitted)
 SELECT series, 1.0 - SUM(resid * resid) / NULLIF(SUM((y - y_mean) * (y - y_mean)), 0.0) AS r2,

@@ -80,7 +80,7 @@ calc_sales AS (
 {PERIODS_CTE},
 varietals AS (
   SELECT DISTINCT p_type AS varietal,
-         CASE WHEN p_type IN ('STANDARD', 'PROMO') THEN 0 ELSE 1 END AS bb_portfolio
+         CASE WHEN p_type IN ('STANDARD', 'PROMO') THEN 0 ELSE 1 END AS in_portfolio
   FROM part),
 provinces AS (SELECT r_name AS province_code, lower(r_name) AS province_name FROM region)
 """

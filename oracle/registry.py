@@ -35,34 +35,28 @@ SQL["archetype"] = with_base(_MO + """
 SELECT province_code, varietal, focal_archetype_position, focal_archetype_1st_part, focal_archetype_2nd_part
 FROM (""" + MO.FINAL_SELECT + ") f")
 SQL["filter_portfolio"] = with_base("""
-SELECT s.province_code, s.varietal, s.brand, s.origin, s.period_code, a.relative_year, s.sale_9l_case, s.revenue
-FROM calc_sales s JOIN periods a ON s.period_code = a.period_code JOIN varietals v ON v.varietal = s.varietal
-WHERE (v.bb_portfolio = 1 AND UPPER(s.origin) = 'AMERICA') OR (s.varietal = 'PROMO' AND UPPER(s.origin) = 'EUROPE')""")
-SQL["agg_rolling_year"] = with_base("""
-SELECT s.province_code, s.varietal, s.origin,
-       SUM(CASE WHEN a.relative_year = 'LRY' THEN s.sale_9l_case END) AS sale_ly,
-       SUM(CASE WHEN a.relative_year = 'TRY' THEN s.sale_9l_case END) AS sale_ty,
-       SUM(CASE WHEN a.relative_year = 'LRY' THEN s.revenue END) AS revenue_ly,
-       SUM(CASE WHEN a.relative_year = 'TRY' THEN s.revenue END) AS revenue_ty
-FROM calc_sales s JOIN periods a ON s.period_code = a.period_code
-GROUP BY s.province_code, s.varietal, s.origin""")
+SELECT province_code, varietal, brand, origin, period_code, relative_year, sale_9l_case, revenue
+FROM calc_sales JOIN periods USING (period_code) JOIN varietals USING (varietal)
+WHERE (upper(origin), if(upper(origin) = 'AMERICA', CAST(in_portfolio AS VARCHAR), varietal)) IN (('AMERICA', '1'), ('EUROPE', 'PROMO'))""")
+SQL["agg_rolling_year"] = with_base(f"""
+SELECT province_code, varietal, origin, {R.SUMS}, sum(revenue) FILTER (NOT now) AS revenue_ly,
+       sum(revenue) FILTER (now) AS revenue_ty FROM {R.FLAGGED.format(how="")} GROUP BY ALL""")
 SQL["win_topn"] = with_base(MO.base_cte() + """
-SELECT province_code, varietal, brand, sale_ty, rn FROM (
-  SELECT province_code, varietal, brand, sale_vol_ty AS sale_ty,
-         ROW_NUMBER() OVER (PARTITION BY province_code, varietal ORDER BY sale_vol_ty DESC NULLS LAST, brand ASC) AS rn
-  FROM mo_base) t WHERE rn <= 3""")
+SELECT province_code, varietal, brand, sale_vol_ty AS sale_ty,
+       row_number() OVER (PARTITION BY province_code, varietal ORDER BY sale_vol_ty DESC NULLS LAST, brand) AS rn
+FROM mo_base QUALIFY rn <= 3""")
 
 # ----------------------------------------------------------------- flagship
 _FL = R.FL_BASE + R.FL_SKU + R.FL_CUM
 SQL["flagship_base"] = with_base(R.FL_BASE + """
 SELECT province_code, varietal, unit_size, brand, product_code, product_name, retail_price, price_segment,
        sale_ly, sale_ty, revenue_ly, revenue_ty FROM fl_base""")
-SQL["flagship_sku"] = with_base(R.FL_BASE + R.FL_SKU + "\nSELECT * FROM fl_sku WHERE sku_rank_by_volume = 1")
+SQL["flagship_sku"] = with_base(R.FL_BASE + R.FL_SKU + "\nSELECT * FROM fl_sku")
 SQL["brand_cutoff"] = with_base(_FL + R.FL_CUTOFF)
 SQL["flagship_pricing"] = with_base(_FL + R.FL_FINAL)
 SQL["filter_origin_exception"] = with_base("""
-SELECT province_code, varietal, unit_size, brand, product_code, origin, period_code, sale_9l_case
-FROM calc_sales WHERE UPPER(origin) = 'AMERICA' OR (varietal = 'PROMO' AND UPPER(origin) = 'EUROPE')""")
+SELECT province_code, varietal, unit_size, brand, product_code, origin, period_code, sale_9l_case FROM calc_sales
+WHERE CASE upper(origin) WHEN 'AMERICA' THEN true WHEN 'EUROPE' THEN varietal = 'PROMO' ELSE false END""")
 
 # ------------------------------------------------------- varietal benchmark
 SQL["agg_origin_level"] = with_base(R.VB_BASE + "\nSELECT * FROM vb_origin")
@@ -124,6 +118,9 @@ FROM calc_sales WHERE UPPER(origin) = UPPER('america') GROUP BY province_code, v
 from oracle import etl_sql  # noqa: E402
 
 SQL.update(etl_sql.SQL)
+SQL["conf_sales_view_etl"] = etl_sql.with_etl(etl_sql.VIEW_CTE + "\nSELECT * FROM calc_sales", products=True)
+SQL["market_outlook_etl"] = etl_sql.with_etl(
+    etl_sql.VIEW_CTE + MO.outlook_chain(home="NATION_6", varietal="Promo", other="NATION_7") + MO.FINAL_SELECT, products=True)
 
 # ------------------------------------------------------- insights, forecast
 from oracle import insights_sql  # noqa: E402

@@ -53,6 +53,26 @@ def dec2(c) -> Column:
     return round_half_away(c, 2)
 
 
+def percent2(num, den) -> Column:
+    """``CAST(num * 100 / NULLIF(den, 0) AS DECIMAL(p, 2))`` of exact decimals, half away
+    from zero, as a double; NULL or zero denominators give 0.
+
+    The quotient in hundredths of a percent is an integral division of decimals, so a
+    tie such as 1.005 % is decided exactly (1.01), not on its binary neighbour.
+    """
+    n, d = _c(num), _c(den)
+    # a plain 0 / NULL denominator must not reach the division (ANSI mode raises)
+    safe = F.nullif(F.abs(d), F.lit(0).cast("decimal(1,0)"))
+    whole = F.call_function("div", F.abs(n) * F.lit(20000).cast("decimal(5,0)") + safe, safe * F.lit(2).cast("decimal(1,0)"))
+    sign = F.signum(n.cast("double")) * F.signum(d.cast("double"))
+    return F.coalesce(whole.cast("double") / F.lit(100.0) * sign, F.lit(0.0))
+
+
+def yoy2(ty, ly) -> Column:
+    """Year-on-year change in percent, two exact decimals (0 without a base)."""
+    return percent2(_c(ty) - _c(ly), ly)
+
+
 def dec0(c) -> Column:
     return F.round(_c(c), 0)
 

@@ -64,13 +64,12 @@ def match_key(c) -> Column:
 
 
 def ieq(a, b) -> Column:
-    """``UPPER(a) = UPPER(b)``; ``b`` may be a Python literal."""
-    left = F.upper(_c(a))
+    """Equality of match keys; ``b`` may be a Python literal."""
     if isinstance(b, str):
-        return left == F.lit(b.upper())
-    return left == F.upper(b)
+        return match_key(a) == F.lit(b.strip().upper())
+    return match_key(a) == match_key(b)
 
 
 def ine(a, b: str) -> Column:
-    """``UPPER(a) <> UPPER(b)``: NULL ``a`` is neither equal nor unequal (excluded)."""
-    return F.upper(_c(a)) != F.lit(b.upper())
+    """Inequality of match keys: NULL ``a`` is neither equal nor unequal (excluded)."""
+    return match_key(a) != F.lit(b.strip().upper())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions import numeric as N
@@ -35,7 +35,9 @@ def global_code(df: DataFrame, code_col: str = "code") -> DataFrame:
 
 def filter_positive(df: DataFrame, period_cols: list[str], total_col: str = "total_sale") -> DataFrame:
     """B3+B4: row total over the period columns (NULL counts 0), keep total > 0."""
-    return df.withColumn(total_col, N.row_total(period_cols)).filter(F.col(total_col) > 0)
+    if period_cols:  # else the input has the total itself
+        df = df.withColumn(total_col, N.row_total(period_cols))
+    return df.filter(F.col(total_col) > 0)
 
 
 def title_case(df: DataFrame, cols: list[str] = TITLECASE_COLUMNS) -> DataFrame:
@@ -43,11 +45,12 @@ def title_case(df: DataFrame, cols: list[str] = TITLECASE_COLUMNS) -> DataFrame:
     return df.withColumns({c: X.clean_attribute(c) for c in cols})
 
 
-def replace_values(df: DataFrame, col: str, mapping: dict[str, str]) -> DataFrame:
-    """Exact whole-value replacement."""
+def replace_values(df: DataFrame, col: str, mapping: dict[str, str], where: Column | None = None) -> DataFrame:
+    """Exact whole-value replacement, only in the rows of ``where`` if given."""
     expr = F.col(col)
     for old, new in mapping.items():
-        expr = F.when(F.col(col) == F.lit(old), F.lit(new)).otherwise(expr)
+        hit = F.col(col) == F.lit(old)
+        expr = F.when(hit if where is None else hit & where, F.lit(new)).otherwise(expr)
     return df.withColumn(col, expr)
 
 
@@ -61,38 +64,48 @@ def require(df: DataFrame, cols: list[str] = NOTNULL_COLUMNS) -> DataFrame:
     return df.na.drop(how="any", subset=cols)
 
 
-def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, out: str | None = None,
-           order_col: str | None = None) -> DataFrame:
-    """Dictionary lookup (left join). A duplicated dim key keeps its *last* entry,
-    like a Python dict built from the rows in order; ``order_col`` gives that order
-    (default: the dim's row order via ``monotonically_increasing_id``).
-
-    The dim is a small, fixed-size mapping file and is broadcast.
-    """
+def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, order_col: str, out: str | None = None) -> DataFrame:
+    """Dictionary lookup (left join). A duplicated dim key keeps its *last* entry by
+    ``order_col`` (the row's place in the file, see ``sources.tables.read_dim``), like a
+    Python dict built from the rows in order. The planner broadcasts the mapping where
+    its size allows."""
     out = out or value
-    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    d = dim.select(F.col(key).alias("__k"), F.col(value).alias("__v"), order.alias("__o"))
-    d = (d.withColumn("__r", F.row_number().over(Window.partitionBy("__k").orderBy(F.col("__o").desc())))
-          .filter(F.col("__r") == 1).select("__k", "__v"))
-    return df.join(F.broadcast(d), df[key] == d["__k"], "left").drop("__k").withColumnRenamed("__v", out)
+    d = dim.groupBy(F.col(key).alias("__k")).agg(F.max_by(value, order_col).alias("__v"))
+    return df.join(d, df[key] == d["__k"], "left").drop("__k").withColumnRenamed("__v", out)
+
+
+#: Bands are an expression over the row; a file with more is refused.
+MAX_BANDS = 1000
+
+
+def band_rows(bands: DataFrame) -> list[tuple[str, float, float]]:
+    """The rows of a price-band file, checked; at most ``MAX_BANDS`` come to the driver."""
+    got = bands.select("price_segment", "price_range_start", "price_range_end").limit(MAX_BANDS + 1).collect()
+    if len(got) > MAX_BANDS:
+        raise ValueError(f"more than {MAX_BANDS} price bands")
+    rows = [tuple(r) for r in got]
+    validate_bands(rows)
+    return rows
 
 
-def price_band(df: DataFrame, bands: DataFrame, price_col: str, out: str = "price_segment_retail",
+def price_band(df: DataFrame, bands: list[tuple[str, float, float]], price_col: str, out: str = "price_segment_retail",
                unmatched: str = "null") -> DataFrame:
-    """Closed-interval lookup of a price into disjoint bands.
+    """Closed-interval lookup of a price into disjoint bands (rows of label, start
+    and end; overlaps are refused).
 
     ``unmatched='null'`` leaves NULL for gaps, NULL and out-of-range prices;
     ``unmatched='last'`` reproduces the reference's silent fallback to the last band
-    (greatest start). Bands are a small fixed file: broadcast nested-loop range join.
+    (greatest start). The lookup is a column expression: no join, and nothing to do
+    where the segment isn't read.
     """
-    b = bands.select(F.col("price_segment").alias("__seg"), F.col("price_range_start").alias("__lo"),
-                     F.col("price_range_end").alias("__hi"))
-    j = df.join(F.broadcast(b), (df[price_col] >= b["__lo"]) & (df[price_col] <= b["__hi"]), "left")
-    seg = F.col("__seg")
-    if unmatched == "last":
-        # scalar subquery over the band file: the band with the greatest start
-        seg = F.coalesce(seg, bands.select(F.max_by("price_segment", "price_range_start")).scalar())
-    return j.withColumn(out, seg).drop("__seg", "__lo", "__hi")
+    validate_bands(bands)
+    rows = sorted(bands, key=lambda r: r[1])
+    price, seg = F.col(price_col), F.lit(None).cast("string")
+    for label, lo, hi in reversed(rows):
+        seg = F.when((price >= F.lit(lo)) & (price <= F.lit(hi)), F.lit(label)).otherwise(seg)
+    if unmatched == "last" and rows:
+        seg = F.coalesce(seg, F.lit(rows[-1][0]))
+    return df.withColumn(out, seg)
 
 
 def validate_bands(rows: list[tuple[str, float, float]]) -> None:
@@ -103,9 +116,11 @@ def validate_bands(rows: list[tuple[str, float, float]]) -> None:
             raise ValueError(f"price bands {a} [{lo_a}, {hi_a}] and {b} [{lo_b}, {hi_b}] overlap")
 
 
-def set_constant(df: DataFrame, cols: list[str], value=0.0) -> DataFrame:
-    """B14."""
-    return df.withColumns({c: F.lit(value) for c in cols})
+def set_constant(df: DataFrame, cols: list[str], value=0.0, where: Column | None = None) -> DataFrame:
+    """A constant in ``cols``, only in the rows of ``where`` if given."""
+    if where is None:
+        return df.withColumns({c: F.lit(value) for c in cols})
+    return df.withColumns({c: F.when(where, F.lit(value)).otherwise(F.col(c).cast("double")) for c in cols})
 
 
 def coerce_prices(df: DataFrame, cols: list[str] = PRICE_COLUMNS) -> DataFrame:

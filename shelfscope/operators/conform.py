@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.calendar import FISCAL_PERIODS, MONTHS, label_kind, label_ordinal, label_seq
-from shelfscope.functions.text import ieq
+from shelfscope.functions.text import ieq, match_key
 
 
 def period_analogy(labels: DataFrame, anchors: dict[str, str], label_col: str = "period_code",
@@ -57,38 +57,16 @@ def with_price(df: DataFrame, products: DataFrame, how: str = "inner",
     return df.join(p, df[key] == p["__pk"], how).drop("__pk")
 
 
-BROADCAST_MAX_ROWS = 100_000
-
-
-def broadcast_if_small(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a data-derived dimension only after checking its size.
-
-    Runs one bounded count (``limit(max_rows + 1)``) on the dim -- a small job -- and
-    hints a broadcast only when the dim has at most ``max_rows`` rows; above that the
-    join is left to the planner (shuffle join). The decision is remembered on the
-    DataFrame object so composing several reports checks once.
-    """
-    decided = getattr(dim, "_shelfscope_small", None)
-    if decided is None:
-        decided = dim.limit(max_rows + 1).count() <= max_rows
-        dim._shelfscope_small = decided
-    return F.broadcast(dim) if decided else dim
-
-
 def with_portfolio(df: DataFrame, varietals: DataFrame, how: str = "inner") -> DataFrame:
-    """Attach the portfolio flag (E5). The varietal dim is data-derived (one row per
-    varietal); it is broadcast behind a size check, because a shuffle join on this
-    low-cardinality key would hash all of ``df`` into a handful of partitions."""
-    small = broadcast_if_small(varietals) is not varietals   # decision cached on the dim
-    dim = varietals.select("varietal", "bb_portfolio")
-    return df.join(F.broadcast(dim) if small else dim, "varietal", how)
+    """Attach the portfolio flag (E5). The key has few values, so attach it to a side that is
+    small by then: products before the fact join, or rows at brand grain after the
+    aggregate. No hint: the planner broadcasts the dim where its size allows."""
+    return df.join(varietals.select("varietal", "in_portfolio"), "varietal", how)
 
 
 def canonical_keys(df: DataFrame, cols: list[str], suffix: str = "_key") -> DataFrame:
-    """Add upper/trimmed match keys beside display values."""
-    for c in cols:
-        df = df.withColumn(c + suffix, F.upper(F.trim(F.col(c))))
-    return df
+    """Add upper-case, trimmed match keys beside display values."""
+    return df.withColumns({c + suffix: match_key(c) for c in cols})
 
 
 def market_filter(origin: str, exc_varietal: str | None = None, exc_origin: str | None = None,
@@ -103,5 +81,5 @@ def market_filter(origin: str, exc_varietal: str | None = None, exc_origin: str
     # Implied single-table conjunct: Catalyst does not split a disjunction that spans
     # joined tables, so state the origin-only consequence explicitly; it is pushed to
     # the supplier/origin side and shrinks that side before the fact joins.
-    implied = F.upper(F.col("origin")).isin(origin.upper(), exc_origin.upper())
+    implied = match_key("origin").isin(origin.strip().upper(), exc_origin.strip().upper())
     return implied & either

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import dec0, dec2, ratio, ratio0
+from shelfscope.functions.numeric import dec0, percent2, ratio, ratio0
 
 
 def _c(c) -> Column:
@@ -98,7 +98,7 @@ def hhi(share_col) -> Column:
 def concentration_ratio(k: int, rank_col, vol_col) -> Column:
     """CR_k = volume of the top-k ranked brands as % of the market, 2 dp."""
     top = F.sum(F.when(_c(rank_col) <= k, _c(vol_col)))
-    return dec2(ratio0(top, F.sum(_c(vol_col)), 100.0))
+    return percent2(top, F.sum(_c(vol_col)))
 
 
 def at_rank(rank_col, value, r: int = 1) -> Column:
@@ -128,19 +128,19 @@ def global_row_number(df: DataFrame, value: str, tiebreak: tuple[str, ...] = (),
     """Exact ``ROW_NUMBER() OVER (ORDER BY value DESC NULLS LAST, tiebreak...)`` over a
     whole DataFrame without moving every row into one task.
 
-    Rows are range-bucketed by ``value`` with ``width_bucket`` over [min, max] (both
-    one-row scalar subqueries). The bucket is a monotone pure function of the value,
-    so equal values share a bucket and bucket order follows value order. Each bucket
-    is ranked on its own (parallel window); a bucket's offset is the running count of
-    the buckets before it -- a window over at most ``buckets + 3`` rows, broadcast
-    back (size bound: one row per bucket).
+    Rows are bucketed by ``value`` between its approximate quantiles (one scalar
+    subquery of ``buckets - 1`` numbers), so buckets are even however skewed the values
+    are. The bucket is a monotone pure function of the value, so equal values share a
+    bucket and bucket order follows value order; the approximation moves only the
+    bounds, never a rank. Each bucket is ranked on its own (parallel window); a bucket's
+    offset is the running count of the buckets before it -- a window over at most
+    ``buckets + 1`` rows, broadcast back (size bound: one row per bucket).
     """
     v = F.col(value).cast("double")
-    lo = df.select(F.min(F.col(value).cast("double"))).scalar()
-    hi = df.select(F.max(F.col(value).cast("double"))).scalar()
-    wb = F.when(hi > lo, F.width_bucket(v, lo, hi, F.lit(buckets))).otherwise(F.lit(0))
-    bucket = F.when(v.isNull(), F.lit(buckets + 2)).otherwise(F.lit(buckets + 1) - wb)
-    d = df.withColumn("__bucket", bucket)
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = df.select(F.percentile_approx(v, shares, F.lit(1000))).scalar()
+    bucket = F.when(v.isNull(), F.lit(buckets)).otherwise(F.size(F.filter("__bounds", lambda b: b > v)))
+    d = df.withColumn("__bounds", bounds).withColumn("__bucket", bucket).drop("__bounds")
     order = [F.col(value).desc_nulls_last()] + [F.col(t).asc_nulls_first() for t in tiebreak]
     ranked = d.withColumn("__local", F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)))
     counts = d.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))

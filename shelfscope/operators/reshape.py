@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import round2
@@ -31,10 +31,8 @@ def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return wide.unpivot([], cols, "column_name", "null_count")
 
 
-def step_counts(steps: dict[str, DataFrame]) -> DataFrame:
-    """Row count after each named pipeline step as one audit table
-    (step, rows). Each count is a distributed aggregate; the steps are unioned so a
-    single job computes them all."""
-    parts = [df.agg(F.count(F.lit(1)).cast("long").alias("rows")).withColumn("step", F.lit(name))
-             for name, df in steps.items()]
-    return union_all(*parts).select("step", "rows")
+def step_counts(df: DataFrame, steps: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
+    """(step, rows): how many rows of ``df`` reach each named step, all in one pass. A step
+    is a condition, or a number of rows that each row gives to it (0 if it was dropped)."""
+    counts = [F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long")).alias(n) for n, c in steps.items()]
+    return df.groupBy(*(keys or [])).agg(*counts).unpivot(keys or [], list(steps), "step", "rows")

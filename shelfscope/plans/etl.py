@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import NUMERIC_TEXT, round2
+from shelfscope.functions.numeric import NUMERIC_TEXT
 from shelfscope.operators import clean as C
 from shelfscope.operators.reshape import melt, union_all
 
@@ -40,19 +40,16 @@ def cleaned_attributes(df: DataFrame, spec: CalendarSpec) -> DataFrame:
     USA repair, leading-character strip.
 
     The reference drops rows with a missing required attribute after the text
-    cleaning; the cleaning maps NULL to NULL and non-NULL to non-NULL, so checking
+    cleaning. An input that has ``total_sale`` instead of the period columns is the
+    product branch's. The cleaning maps NULL to NULL and non-NULL to non-NULL, so checking
     first is equivalent -- and it keeps the (pushed-down) NOT NULL filter from
     evaluating every cleaning expression a second time.
     """
-    df = C.filter_positive(df, list(spec.period_labels))
+    df = C.filter_positive(df, [] if "total_sale" in df.columns else list(spec.period_labels))
     df = C.require(df)
     df = C.title_case(df)
     if spec.fix_usa:
-        fixed = F.col("country_of_origin")
-        for old, new in C.USA_FIX.items():
-            fixed = F.when(F.col("country_of_origin") == old, F.lit(new)).otherwise(fixed)
-        df = df.withColumn("country_of_origin",
-                           F.when(F.col("province_code").isin(*spec.fix_usa), fixed).otherwise(F.col("country_of_origin")))
+        df = C.replace_values(df, "country_of_origin", C.USA_FIX, F.col("province_code").isin(*spec.fix_usa))
     return C.lead_strip(df, "description")
 
 
@@ -62,18 +59,17 @@ def price_as_number(c) -> F.Column:
     return F.when(s.rlike(NUMERIC_TEXT), s.try_cast("double"))
 
 
-def enriched(df: DataFrame, colors: DataFrame, bands: DataFrame, spec: CalendarSpec,
+def enriched(df: DataFrame, colors: DataFrame, bands: list[tuple[str, float, float]], spec: CalendarSpec,
              unmatched: str = "null") -> DataFrame:
     """Drop helpers, colour lookup, price band of this year's retail price,
     zero wholesale prices where the province has none."""
     df = df.drop("code", "total_sale")
-    df = C.lookup(df, colors, "color", "color_five", order_col="ord" if "ord" in colors.columns else None)
+    df = C.lookup(df, colors, "color", "color_five", order_col="ord")
     df = df.withColumn("__price", price_as_number("retail_price_this_year"))
     df = C.price_band(df, bands, "__price", out="price_segment_retail", unmatched=unmatched).drop("__price")
     if spec.zero_wholesale:
-        z = F.col("province_code").isin(*spec.zero_wholesale)
-        df = df.withColumns({c: F.when(z, F.lit(0.0)).otherwise(F.col(c).cast("double"))
-                             for c in ("wholesale_price_last_year", "wholesale_price_this_year")})
+        df = C.set_constant(df, ["wholesale_price_last_year", "wholesale_price_this_year"],
+                            where=F.col("province_code").isin(*spec.zero_wholesale))
     return df
 
 
@@ -87,7 +83,7 @@ def sales_of(df: DataFrame, spec: CalendarSpec) -> DataFrame:
     return melt(df.select("global_code", *spec.period_labels), ["global_code"], list(spec.period_labels))
 
 
-def clean(raw: DataFrame, colors: DataFrame, bands: DataFrame, spec: CalendarSpec,
+def clean(raw: DataFrame, colors: DataFrame, bands: list[tuple[str, float, float]], spec: CalendarSpec,
           unmatched: str = "null") -> tuple[DataFrame, DataFrame]:
     """Full per-calendar block: returns (products, long sales)."""
     e = enriched(cleaned_attributes(keyed(raw), spec), colors, bands, spec, unmatched)
@@ -114,5 +110,37 @@ def promo_codes(products_raw: DataFrame, col: str = "promos_list_this_year", sep
             .groupBy("global_code", "promo_code").agg(F.count(F.lit(1)).alias("occurrences")))
 
 
-def round_cases(df: DataFrame, col: str = "sale_actual_cases") -> DataFrame:
-    return df.withColumn(col, round2(col))
+#: Litres of a standard case are nine; package sizes are in millilitres.
+STANDARD_CASE_ML = 9000
+
+
+def sales_view(sales: DataFrame, products: DataFrame, periods: DataFrame | None = None, this_year: str = "TRY",
+               last_year: str = "LRY") -> DataFrame:
+    """the conformed sales view from the ETL's long sales and products.
+
+    ``sale_9l_case = cases * units_per_case * size_ml / 9000`` and
+    ``revenue = cases * units_per_case * retail price``, in exact decimals. With the period
+    dim, revenue takes last year's price in its last-year periods and this year's
+    otherwise; without it, this year's price throughout. Both sides grow, so the join
+    has no hint.
+    """
+    p = products.select(
+        "global_code", "province_code", "varietal", F.col("size_ml_per_unit").alias("unit_size"), "brand",
+        F.col("description").alias("product_name"), F.col("price_segment_retail").alias("price_segment"),
+        F.col("country_of_origin").alias("origin"), "units_per_case",
+        F.col("retail_price_this_year").cast("decimal(12,2)").alias("__ty"),
+        F.col("retail_price_last_year").cast("decimal(12,2)").alias("__ly"))
+    s = sales.where(F.col("sale_actual_cases").isNotNull()).select(
+        F.col("global_code").alias("product_code"), F.col("sale_period").alias("period_code"),
+        F.col("sale_actual_cases").cast("decimal(18,2)").alias("__cases"))
+    j = s.join(p, s.product_code == p.global_code)
+    price = F.col("__ty")
+    if periods is not None:
+        year = periods.select(F.col("period_code").alias("__period"), "relative_year")
+        j = j.join(year, j.period_code == year["__period"], "left")
+        price = F.when(F.col("relative_year") == last_year, F.col("__ly")).otherwise(price)
+    units = (F.col("__cases") * F.col("units_per_case")).cast("decimal(18,2)")
+    return j.select(
+        "province_code", "varietal", "unit_size", "brand", "product_code", "product_name", "price_segment", "origin",
+        "period_code", (units * F.col("unit_size") / F.lit(STANDARD_CASE_ML)).cast("decimal(18,4)").alias("sale_9l_case"),
+        (units * price).cast("decimal(28,4)").alias("revenue"))

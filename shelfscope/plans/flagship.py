@@ -3,14 +3,13 @@ format) segment, the brand's share, cumulative-share tier and rank, cut at a
 cumulative share.
 
 Evaluation order that matters: brand totals and shares are computed over *all*
-SKUs before the rank-1 filter; the running brand share over flagship rows only;
+SKUs before the rank-1 filter; segment totals from the brand totals; the running brand share over flagship rows only;
 LAG over all flagship rows before the cut; the final ROW_NUMBER after the cut.
 
 Physical shape: the fact aggregate runs first at SKU grain; the product dim is
 joined to that aggregate (one row per SKU and segment) instead of to every fact
-row -- equivalent because ``global_code`` is the dim's key. Catalyst's window
-ordering puts the coarse (segment) partitioning first so the brand-level windows
-reuse its exchange.
+row -- equivalent because ``global_code`` is the dim's key. SKU rows are shuffled by
+brand; only flagship rows are shuffled by segment.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from shelfscope.functions.numeric import ratio, ratio0, yoy
 from shelfscope.operators import measures as M
 from shelfscope.operators.conform import market_filter, with_price, with_relative_year
+from shelfscope.operators.filters import share_cutoff
 from shelfscope.params import MarketParams
 
 SEGMENT = ["province_code", "varietal", "unit_size"]
@@ -43,16 +43,26 @@ def flagship_base(sales: DataFrame, periods: DataFrame, products: DataFrame, p:
 
 
 def flagship_candidates(base: DataFrame) -> DataFrame:
-    """SKU rank within brand (RANK keeps exact ties), SKU share of brand,
-    brand total and brand share of the segment (brand totals *before* the filter)."""
-    brand_total = M.total_over("sale_ty", BRAND)
-    seg_total = M.total_over("sale_ty", SEGMENT)
-    return base.select(
+    """Each brand's flagship SKUs (rank 1 within the brand; RANK keeps exact
+    ties), SKU share of brand, brand total and brand share of the segment.
+
+    SKU rows are windowed by brand only. What goes on to the few segment partitions is
+    the flagship rows, one a brand but for ties; a segment's total is the sum of its
+    brands' totals, each counted once.
+    """
+    order = M.order_desc(*SKU_ORDER_COLS)
+    flagship = base.select(
         "*",
-        M.rank(BRAND, M.order_desc(*SKU_ORDER_COLS)).alias("sku_rank_by_volume"),
-        ratio0("sale_ty", brand_total, 100.0).alias("sku_volume_share_for_brand_pct"),
-        brand_total.alias("brand_total_sale_ty"),
-        ratio(brand_total, seg_total, 100.0).alias("brand_market_share_pct"),
+        M.rank(BRAND, order).alias("sku_rank_by_volume"),
+        M.row_number(BRAND, order + [F.col("product_code").asc_nulls_first()]).alias("__first"),
+        M.total_over("sale_ty", BRAND).alias("brand_total_sale_ty"),
+    ).filter(F.col("sku_rank_by_volume") == 1)
+    seg_total = M.total_over(F.when(F.col("__first") == 1, F.col("brand_total_sale_ty")), SEGMENT)
+    return flagship.select(
+        *base.columns, "sku_rank_by_volume",
+        ratio0("sale_ty", "brand_total_sale_ty", 100.0).alias("sku_volume_share_for_brand_pct"),
+        "brand_total_sale_ty",
+        ratio("brand_total_sale_ty", seg_total, 100.0).alias("brand_market_share_pct"),
     )
 
 
@@ -62,11 +72,10 @@ def brand_order():
 
 
 def flagship_cumulative(cand: DataFrame) -> DataFrame:
-    """Flagship rows only; running brand share and its lag (COALESCE 0)."""
-    fl = cand.filter(F.col("sku_rank_by_volume") == 1)
+    """Running brand share and its lag (COALESCE 0)."""
     o = brand_order()
     cum = M.running_sum("brand_market_share_pct", SEGMENT, o)
-    return (fl.withColumn("brand_cum_market_share", cum)
+    return (cand.withColumn("brand_cum_market_share", cum)
               .withColumn("lag_brand_cum_market_share", M.lagged("brand_cum_market_share", SEGMENT, o, default0=True)))
 
 
@@ -79,7 +88,7 @@ PRICING_COLUMNS = ["province_code", "varietal", "unit_size", "brand", "product_c
 def flagship_pricing(sales: DataFrame, periods: DataFrame, products: DataFrame, p: MarketParams) -> DataFrame:
     """Cut at the cumulative share, tier (inclusive bounds) and rank after the cut."""
     cum = flagship_cumulative(flagship_candidates(flagship_base(sales, periods, products, p)))
-    kept = cum.filter(F.col("lag_brand_cum_market_share") <= F.lit(float(p.cum_share_cutoff)))
+    kept = share_cutoff(cum, "lag_brand_cum_market_share", p.cum_share_cutoff)
     rank_order = M.order_desc("brand_total_sale_ty", *SKU_ORDER_COLS, tiebreak=("brand", "product_code"))
     return kept.select(
         *SEGMENT, "brand", "product_code", "retail_price", "price_segment", "sale_ly", "sale_ty",

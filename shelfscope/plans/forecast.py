@@ -16,27 +16,42 @@ trend) is a reconstruction; the reference describes the model but does not ship
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# 90% two-sided normal quantile, horizon of one year of months.
+from shelfscope.functions.calendar import FISCAL_PERIODS, MONTHS, fiscal_period, label_seq, month_label
+
+# 90% two-sided normal quantile, horizon of thirteen periods.
 Z90 = 1.6448536269514722
-HORIZON = 12
+HORIZON = 13
+
+#: Periods a year of each calendar.
+PER_YEAR = {"month": MONTHS, "fiscal": FISCAL_PERIODS}
 
 
 def series_points(sales: DataFrame, series: str, period: str, y: str, promo_score: str,
-                  promo_threshold_pct: int = 5) -> DataFrame:
-    """(series, period_start, season, year, y, promo): one point per series and month.
+                  promo_threshold_pct: int = 5, calendar: str = "month") -> DataFrame:
+    """(series, period_no, season, year, y, promo): one point per series and period of the
+    calendar, where ``period_no`` counts periods (year * periods a year + season - 1).
 
-    promo = 1 when the month's average promotion score (a fraction, e.g. a discount)
+    promo = 1 when the period's average promotion score (a fraction, e.g. a discount)
     reaches ``promo_threshold_pct`` percent; the test runs on whole percent points
     summed as integers, so the decision is exact."""
     pts = F.round(F.col(promo_score) * F.lit(100.0)).cast("long")
-    g = sales.groupBy(F.col(series).alias("series"), F.trunc(period, "month").alias("period_start")).agg(
+    label = month_label(period) if calendar == "month" else fiscal_period(period)
+    g = sales.groupBy(F.col(series).alias("series"), label.alias("__label")).agg(
         F.sum(y).cast("double").alias("y"), F.sum(pts).alias("__pts"), F.count(F.lit(1)).alias("__n"))
     promo = F.when(F.col("__pts") >= F.col("__n") * F.lit(promo_threshold_pct), 1.0).otherwise(0.0)
-    return g.select("series", "period_start", F.month("period_start").alias("season"),
-                    F.year("period_start").alias("year"), "y", promo.alias("promo"))
+    year, season = F.substring("__label", 1, 4).cast("int"), label_seq("__label")
+    return g.select("series", (year * F.lit(PER_YEAR[calendar]) + season - F.lit(1)).alias("period_no"),
+                    season.alias("season"), year.alias("year"), "y", promo.alias("promo"))
+
+
+def period_text(no: Column, calendar: str = "month") -> Column:
+    """``yyyy-MM`` or ``yyyyPpp`` of a period number."""
+    n = F.lit(PER_YEAR[calendar])
+    return F.format_string("%04d-%02d" if calendar == "month" else "%04dP%02d", F.floor(no / n).cast("int"),
+                           (F.pmod(no, n) + 1).cast("int"))
 
 
 def promo_lift(points: DataFrame) -> DataFrame:
@@ -49,6 +64,33 @@ def promo_lift(points: DataFrame) -> DataFrame:
     return g.withColumn("lift_pct", lift)
 
 
+def promo_lift_by_type(sales: DataFrame, codes: DataFrame) -> DataFrame:
+    """K1 over K0: per promotion type, the average cases of a product period with the type
+    listed, of one without it, and the lift in %.
+
+    ``sales`` is the long sales fact, ``codes`` (global_code, promo_code) with each pair once.
+    Products are summed first; what a type lacks is the whole less what it has, so the
+    fact is read once and no product is paired with the types that it doesn't list.
+    """
+    per = (sales.where(F.col("sale_actual_cases").isNotNull()).groupBy("global_code")
+           .agg(F.sum("sale_actual_cases").alias("cases"), F.count("sale_actual_cases").alias("periods")))
+    listed = (per.join(codes.select("global_code", "promo_code"), "global_code", "left")
+              # a product of several types counts once in the whole
+              .withColumn("__first", F.row_number().over(Window.partitionBy("global_code").orderBy("promo_code")) == 1))
+    by = listed.groupBy("promo_code").agg(
+        F.sum("cases").alias("cases"), F.sum("periods").alias("periods"), F.count(F.lit(1)).alias("products"),
+        F.sum(F.when(F.col("__first"), F.col("cases"))).alias("__cases"),
+        F.sum(F.when(F.col("__first"), F.col("periods"))).alias("__periods"))
+    whole = Window.partitionBy(F.lit(1))  # a row a type
+    r = by.select("*", F.sum("__cases").over(whole).alias("all_cases"), F.sum("__periods").over(whole).alias("all_periods"))
+    avg_with = F.col("cases") / F.nullif(F.col("periods").cast("double"), F.lit(0.0))
+    avg_without = ((F.col("all_cases") - F.col("cases"))
+                   / F.nullif((F.col("all_periods") - F.col("periods")).cast("double"), F.lit(0.0)))
+    return (r.where(F.col("promo_code").isNotNull())
+            .select("promo_code", "products", avg_with.alias("avg_promoted"), avg_without.alias("avg_unpromoted"))
+            .withColumn("lift_pct", (F.col("avg_promoted") / F.nullif(F.col("avg_unpromoted"), F.lit(0.0)) - 1.0) * 100.0))
+
+
 def _demeaned(points: DataFrame) -> DataFrame:
     w = Window.partitionBy("series", "season")
     return points.select("*", F.avg("y").over(w).alias("y_season_mean"), F.avg("promo").over(w).alias("promo_season_mean"),
@@ -80,37 +122,29 @@ def fitted(points: DataFrame, fit: DataFrame) -> DataFrame:
 
 
 def organic_forecast(points: DataFrame, fit: DataFrame | None = None, horizon: int = HORIZON,
-                     z: float = Z90) -> DataFrame:
-    """K3/K4: organic forecast (promo = 0) for the ``horizon`` months after each
-    series' last observed month, with High / Low bands at +-z residual SE.
-
-    One linear plan over ``points`` (no branches joined back, so the fact is
-    aggregated once): season windows give the seasonal means, series windows give
-    the FWL sums, one aggregate per (series, season) gives the intercept, and the
-    forecast steps landing in that season are generated in place. ``fit`` is
-    accepted for API symmetry; the slope is recomputed in the same pass.
+                     z: float = Z90, calendar: str = "month") -> DataFrame:
+    """K3/K4: organic forecast (promo = 0) for each of the ``horizon`` periods after each
+    series' last observed one, with High / Low bands at +-z residual SE.
+
+    ``fit`` (per series: ``promo_slope``, ``resid_se``) is used where given; else the model is
+    fitted on ``points``. A step whose season was never observed for the series is there
+    with NULL values: there is nothing to forecast it from. Without residual degrees
+    of freedom the band has no width.
     """
-    d = _demeaned(points)
-    ws = Window.partitionBy("series")
-    d = d.select("*",
-                 F.sum(F.col("x_dm") * F.col("y_dm")).over(ws).alias("sxy"),
-                 F.sum(F.col("x_dm") * F.col("x_dm")).over(ws).alias("sxx"),
-                 F.sum(F.col("y_dm") * F.col("y_dm")).over(ws).alias("syy"),
-                 F.count(F.lit(1)).over(ws).alias("n"),
-                 F.size(F.collect_set("season").over(ws)).alias("seasons"),
-                 F.max("period_start").over(ws).alias("last_period"))
-    slope = F.coalesce(F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0)), F.lit(0.0))
-    sse = F.greatest(F.col("syy") - slope * F.col("sxy"), F.lit(0.0))
-    se = F.sqrt(sse / F.nullif((F.col("n") - F.col("seasons") - F.lit(1)).cast("double"), F.lit(0.0)))
-    per_season = d.groupBy("series", "season").agg(
-        F.first("y_season_mean").alias("y_season_mean"), F.first("promo_season_mean").alias("promo_season_mean"),
-        F.first(slope).alias("promo_slope"), F.first(se).alias("resid_se"), F.first("last_period").alias("last_period"))
-    steps = F.filter(F.sequence(F.lit(1), F.lit(horizon)),
-                     lambda h: F.month(F.add_months(F.col("last_period"), h)) == F.col("season"))
-    f = per_season.select("*", F.explode(steps).alias("step"))
-    median = F.col("y_season_mean") - F.col("promo_slope") * F.col("promo_season_mean")
+    fit = ols_fit(points) if fit is None else fit
+    seasons = points.groupBy("series", "season").agg(
+        F.avg("y").alias("y"), F.avg("promo").alias("promo"), F.max("period_no").alias("last"))
+    # one row a series: its last period and, for each of at most 13 seasons, the two means
+    means = F.map_from_entries(F.collect_list(F.struct("season", F.struct("y", "promo").alias("m"))))
+    s = (seasons.groupBy("series").agg(F.max("last").alias("last"), means.alias("means"))
+         .join(fit.select("series", "promo_slope", "resid_se"), "series")
+         .select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+         .withColumn("no", F.col("last") + F.col("step"))
+         .withColumn("season", (F.pmod("no", F.lit(PER_YEAR[calendar])) + 1).cast("int")))
+    m = F.try_element_at("means", F.col("season"))
+    median = m["y"] - F.col("promo_slope") * m["promo"]
     band = F.lit(z) * F.coalesce(F.col("resid_se"), F.lit(0.0))
-    return f.select("series", "step", F.add_months("last_period", F.col("step")).alias("target_period"), "season",
+    return s.select("series", "step", period_text(F.col("no"), calendar).alias("target_period"), "season",
                     median.alias("forecast_median"), (median + band).alias("forecast_high"),
                     (median - band).alias("forecast_low"))
 

@@ -51,7 +51,8 @@ def per_capita(sales: DataFrame, periods: DataFrame, population: DataFrame, p: M
     """L3: TY volume per head by province and its ratio to a reference province."""
     b = _base(sales, periods, ["province_code"], p).join(population, "province_code")
     b = b.withColumn("per_capita", ratio("sale_ty", "population"))
-    ref = b.filter(F.col("province_code") == reference_province).select(F.max("per_capita")).scalar()
+    # a window over one row a province
+    ref = F.max(F.when(F.col("province_code") == reference_province, F.col("per_capita"))).over(Window.partitionBy(F.lit(1)))
     return b.select("province_code", "sale_ty", "population", "per_capita",
                     (F.col("per_capita") / F.nullif(ref, F.lit(0.0))).alias("ratio_to_reference"))
 
@@ -119,9 +120,8 @@ def portfolio_gap(sales: DataFrame, periods: DataFrame, p: MarketParams,
     """Markets (``keys``) without focal-brand sales this year, ranked by market
     volume within the province.
 
-    One aggregate carries both the market volume and the focal brand's volume; the
-    markets where the focal brand sold are then removed with a left anti join
-    between two projections of that same aggregate, so the fact is scanned once.
+    One aggregate carries both the market volume and the focal brand's volume, so the
+    gaps are a filter on its rows.
     """
     mk = list(keys)
     s = with_relative_year(sales, periods)
@@ -129,8 +129,7 @@ def portfolio_gap(sales: DataFrame, periods: DataFrame, p: MarketParams,
     agg = s.groupBy(*mk).agg(
         F.sum(F.when(ty, F.col("sale_9l_case"))).alias("sale_ty"),
         F.sum(F.when(ty & ieq("brand", p.focal_brand), F.col("sale_9l_case"))).alias("focal_ty"))
-    present = agg.filter(F.col("focal_ty") > 0).select(*mk)
-    gaps = agg.join(present, mk, "left_anti")
+    gaps = agg.filter(~F.coalesce(F.col("focal_ty") > 0, F.lit(False)))
     tie = tuple(k for k in mk if k != "province_code")
     return gaps.select(*mk, F.col("sale_ty").alias("market_volume_ty"),
                        M.row_number(["province_code"], M.order_desc("sale_ty", tiebreak=tie)).alias("gap_rank"))

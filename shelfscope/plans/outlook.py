@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import dec2, yoy
+from shelfscope.functions.numeric import yoy2
 from shelfscope.functions.text import ieq, ine
 from shelfscope.operators import measures as M
 from shelfscope.operators.conform import with_portfolio, with_relative_year
@@ -47,7 +47,7 @@ def brand_base(sales: DataFrame, periods: DataFrame, varietals: DataFrame, p: Ma
         "revenue_ty": ("revenue", p.this_year),
     }
     arms = M.rolling_year(s, MARKET + ["brand", "__home", "__exc"], measures)
-    kept = with_portfolio(arms, varietals).filter((F.col("__home") & (F.col("bb_portfolio") == 1)) | F.col("__exc"))
+    kept = with_portfolio(arms, varietals).filter((F.col("__home") & (F.col("in_portfolio") == 1)) | F.col("__exc"))
     return kept.groupBy(*MARKET, "brand").agg(*[F.sum(m).alias(m) for m in measures])
 
 
@@ -81,15 +81,11 @@ def segmented(rk: DataFrame, p: MarketParams) -> DataFrame:
 
 def market_kpis(seg: DataFrame, p: MarketParams) -> DataFrame:
     """J7-J17 in one aggregate: concentration, market YoY, focal KPIs, tier KPIs."""
-    cache = seg.sparkSession.__dict__.setdefault("_shelfscope_kpi_aggs", {})
-    key = p.focal_brand
-    if key not in cache:
-        cache[key] = _kpi_aggs(p.focal_brand)
-    return seg.groupBy(*MARKET).agg(*cache[key])
+    return seg.groupBy(*MARKET).agg(*_kpi_aggs(p.focal_brand))
 
 
 def _kpi_aggs(fb: str) -> list:
-    """The aggregate expressions of ``market_kpis`` (unresolved columns, reusable)."""
+    """The aggregate expressions of ``market_kpis``."""
     is_focal = ieq("brand", fb)
     ty, ly = F.col("sale_vol_ty"), F.col("sale_vol_ly")
     aggs = [
@@ -98,18 +94,18 @@ def _kpi_aggs(fb: str) -> list:
         *[M.concentration_ratio(k, "rank_by_sale", "sale_vol_ty").alias(f"cr{k}") for k in (3, 5, 10)],
         F.sum(ty).alias("total_market_sale_ty"),
         F.count("brand").alias("total_active_brands"),
-        dec2(yoy(F.sum(ty), F.sum(ly))).alias("market_yoy_change"),
+        yoy2(F.sum(ty), F.sum(ly)).alias("market_yoy_change"),
         M.at_entity(is_focal, "rank_by_sale").alias("focal_rank_by_volume"),
         M.at_entity(is_focal, "tier").alias("focal_tier_by_volume"),
         F.coalesce(M.sum_when(is_focal, ty), F.lit(0)).alias("focal_total_sale_ty"),
-        dec2(yoy(M.sum_when(is_focal, ty), M.sum_when(is_focal, ly))).alias("focal_yoy_sale_change"),
+        yoy2(M.sum_when(is_focal, ty), M.sum_when(is_focal, ly)).alias("focal_yoy_sale_change"),
         M.at_entity(is_focal, "market_share_ly", "sum", 0.0).alias("focal_market_share_ly"),
         M.at_entity(is_focal, "market_share_ty", "sum", 0.0).alias("focal_market_share_ty"),
         M.at_entity(is_focal, "market_share_growth", "sum", 0.0).alias("focal_market_share_growth"),
     ]
     for t in (1, 2, 3):
         cond = (F.col("tier") == t) & ine("brand", fb)
-        aggs.append(dec2(yoy(M.sum_when(cond, ty), M.sum_when(cond, ly))).alias(f"tier_{t}_yoy_change"))
+        aggs.append(yoy2(M.sum_when(cond, ty), M.sum_when(cond, ly)).alias(f"tier_{t}_yoy_change"))
     for t in (1, 2, 3):
         cond = (F.col("tier") == t) & ine("brand", fb)
         aggs.append((M.at_entity(cond, "market_share_ty", "sum", 0.0)

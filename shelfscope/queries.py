@@ -134,10 +134,11 @@ def q_archetype(spark, d):
 
 @register("filter_portfolio", ("sale_9l_case", "revenue"))
 def q_filter_portfolio(spark, d):
-    from shelfscope.operators.conform import market_filter, with_portfolio, with_relative_year
-    sales, periods, varietals = _market(spark, d)
-    s = with_portfolio(with_relative_year(sales, periods), varietals)
-    s = s.filter(market_filter(P.origin, P.exception_varietal, P.exception_origin, portfolio_col="bb_portfolio"))
+    from shelfscope.operators.conform import with_relative_year
+    from shelfscope.operators.filters import where_market
+    sales = proxy.calc_sales(spark, d, window=True, portfolio=True)
+    s = where_market(with_relative_year(sales, proxy.report_periods(spark)), P.origin, P.exception_varietal,
+                     P.exception_origin, portfolio_col="in_portfolio")
     return s.select("province_code", "varietal", "brand", "origin", "period_code", "relative_year",
                     "sale_9l_case", "revenue")
 
@@ -172,14 +173,15 @@ def q_flagship_base(spark, d):
 @register("flagship_sku", FL_D + ("sku_volume_share_for_brand_pct", "brand_total_sale_ty", "brand_market_share_pct"),
           ("unit_size", "sku_rank_by_volume"))
 def q_flagship_sku(spark, d):
-    return flagship.flagship_candidates(_fl_base(spark, d)).filter(F.col("sku_rank_by_volume") == 1)
+    return flagship.flagship_candidates(_fl_base(spark, d))
 
 
 @register("brand_cutoff", ("brand_market_share_pct", "brand_cum_market_share", "lag_brand_cum_market_share"),
           ("unit_size",))
 def q_brand_cutoff(spark, d):
+    from shelfscope.operators.filters import share_cutoff
     cum = flagship.flagship_cumulative(flagship.flagship_candidates(_fl_base(spark, d)))
-    return cum.filter(F.col("lag_brand_cum_market_share") <= P.cum_share_cutoff).select(
+    return share_cutoff(cum, "lag_brand_cum_market_share", P.cum_share_cutoff).select(
         "province_code", "varietal", "unit_size", "brand", "product_code", "brand_market_share_pct",
         "brand_cum_market_share", "lag_brand_cum_market_share")
 
@@ -321,6 +323,7 @@ def q_dim_period_analogy(spark, d):
     from shelfscope.operators.conform import period_analogy
     from shelfscope.sources.tables import read_table
     li = read_table(spark, d, "lineitem", ["l_shipdate"])
+    li = li.select(F.to_date("l_shipdate").alias("l_shipdate")).distinct()  # days first: two labels a day, not a row
     labels = li.select(F.explode(F.array(month_label("l_shipdate"), fiscal_period("l_shipdate"))).alias("period_code"))
     return period_analogy(labels, {"M": proxy.MONTHLY_ANCHOR, "P": proxy.FISCAL_ANCHOR})
 
@@ -364,8 +367,13 @@ def _cleaned(spark, d, kind):
 
 
 def _enriched(spark, d, kind, unmatched="null"):
-    return ETL.enriched(_cleaned(spark, d, kind), proxy.color_map(spark), proxy.price_bands(spark), _spec(kind),
-                        unmatched)
+    return ETL.enriched(_cleaned(spark, d, kind), proxy.color_map(spark), proxy.price_band_rows(), _spec(kind), unmatched)
+
+
+def _product_branch(spark, d, kind):
+    """The ETL's products from the raw file's totals: no period columns are built."""
+    cleaned = ETL.cleaned_attributes(ETL.keyed(proxy.raw_totals(spark, d, kind)), _spec(kind))
+    return ETL.products_of(ETL.enriched(cleaned, proxy.color_map(spark), proxy.price_band_rows(), _spec(kind)))
 
 
 def _both(fn):
@@ -425,7 +433,11 @@ def q_etl_price_band_last(spark, d):
 
 
 def _products(spark, d):
-    return ETL.conform_products(ETL.products_of(_enriched(spark, d, "M")), ETL.products_of(_enriched(spark, d, "P")))
+    return ETL.conform_products(_product_branch(spark, d, "M"), _product_branch(spark, d, "P"))
+
+
+def _sales(spark, d):
+    return ETL.conform_sales(*(ETL.sales_of(_enriched(spark, d, k), _spec(k)) for k in "MP"))
 
 
 PRICE_D = ("wholesale_price_last_year", "wholesale_price_this_year", "retail_price_last_year",
@@ -444,37 +456,84 @@ def q_etl_numeric_coerce(spark, d):
 
 @register("etl_melt", ("sale_actual_cases",))
 def q_etl_melt(spark, d):
-    return ETL.sales_of(_enriched(spark, d, "M"), _spec("M"))
+    return _both(lambda s, dd, k: ETL.sales_of(ETL.keyed(_raw(s, dd, k)), _spec(k)))(spark, d)
+
+
+@register("etl_round2", ("rounded",))
+def q_etl_round2(spark, d):
+    from shelfscope.functions.numeric import round2
+    return _both(lambda s, dd, k: ETL.keyed(_raw(s, dd, k)).select(
+        "global_code", round2(F.col("wholesale_price_this_year") / F.lit(8.0)).alias("rounded")))(spark, d)
+
+
+@register("etl_comma_ws")
+def q_etl_comma_ws(spark, d):
+    from shelfscope.functions.text import squeeze_ws, strip_commas
+    return _both(lambda s, dd, k: ETL.keyed(_raw(s, dd, k)).select(
+        "global_code", squeeze_ws(strip_commas("description")).alias("description"),
+        squeeze_ws(strip_commas("category_prov")).alias("category_prov")))(spark, d)
 
 
 @register("etl_union_sales", ("sale_actual_cases",))
 def q_etl_union_sales(spark, d):
-    return ETL.conform_sales(ETL.sales_of(_enriched(spark, d, "M"), _spec("M")),
-                             ETL.sales_of(_enriched(spark, d, "P"), _spec("P")))
+    return _sales(spark, d)
+
+
+def _etl_view(spark, d):
+    return ETL.sales_view(_sales(spark, d), _products(spark, d), proxy.report_periods(spark))
+
+
+@register("conf_sales_view_etl", ("sale_9l_case", "revenue"), ("unit_size",))
+def q_conf_sales_view_etl(spark, d):
+    return _etl_view(spark, d)
+
+
+ETL_P = P.with_(origin="NATION_6", exception_varietal="Promo", exception_origin="NATION_7")
+
+
+@register("market_outlook_etl", OUTLOOK_DOUBLES, OUTLOOK_INTS)
+def q_market_outlook_etl(spark, d):
+    varietals = proxy.varietal_dim(spark, d).withColumn("varietal", F.initcap("varietal"))
+    return outlook.market_outlook(_etl_view(spark, d), proxy.report_periods(spark), varietals, ETL_P)
 
 
 @register("dq_null_profile", (), ("null_count",))
 def q_dq_null_profile(spark, d):
     from shelfscope.operators.reshape import null_profile
-    return null_profile(_raw(spark, d, "M"))
+    profiles = _both(lambda s, dd, k: null_profile(_raw(s, dd, k)))(spark, d)
+    return profiles.groupBy("column_name").agg(F.sum("null_count").alias("null_count"))
 
 
 @register("dq_step_counts", (), ("rows",))
 def q_dq_step_counts(spark, d):
-    from shelfscope.operators.clean import filter_positive
+    from shelfscope.operators.clean import NOTNULL_COLUMNS
     from shelfscope.operators.reshape import step_counts
-    raw = ETL.keyed(_raw(spark, d, "M"))
-    return step_counts({
-        "raw": raw,
-        "positive_total": filter_positive(raw, list(_spec("M").period_labels)),
-        "required_attributes": _cleaned(spark, d, "M"),
-        "sales_long": ETL.sales_of(_enriched(spark, d, "M"), _spec("M")),
-    })
+
+    def counts(s, dd, k):
+        # what the cleaning steps test, as conditions on the keyed rows: one pass, no text is cleaned
+        positive = F.coalesce(F.col("total_sale") > 0, F.lit(False))
+        whole = positive
+        for c in NOTNULL_COLUMNS:
+            whole = whole & F.col(c).isNotNull()
+        return step_counts(proxy.raw_totals(s, dd, k), {
+            "raw": F.lit(1), "positive_total": positive, "required_attributes": whole,
+            "sales_long": F.when(whole, F.lit(len(_spec(k).period_labels))).otherwise(0)})
+
+    return _both(counts)(spark, d).groupBy("step").agg(F.sum("rows").alias("rows"))
 
 
 @register("fc_promo_codes", (), ("occurrences",))
 def q_fc_promo_codes(spark, d):
-    return ETL.promo_codes(ETL.keyed(_raw(spark, d, "M")))
+    return _promo_codes(spark, d)
+
+
+def _promo_codes(spark, d):
+    return _both(lambda s, dd, k: ETL.promo_codes(ETL.keyed(proxy.raw_totals(s, dd, k))))(spark, d)
+
+
+@register("fc_promo_lift_by_type", ("avg_promoted", "avg_unpromoted", "lift_pct"), ("products",))
+def q_fc_promo_lift_by_type(spark, d):
+    return FC.promo_lift_by_type(_sales(spark, d), _promo_codes(spark, d))
 
 
 # ------------------------------------------------------------------ insights
@@ -551,12 +610,19 @@ def q_ins_price_volume(spark, d):
 from shelfscope.plans import forecast as FC  # noqa: E402
 
 
-def _points(spark, d):
+def _points(spark, d, calendar="month"):
     from shelfscope.sources.tables import read_table
     li = read_table(spark, d, "lineitem", ["l_partkey", "l_quantity", "l_discount", "l_shipdate"])
     part = read_table(spark, d, "part", ["p_partkey", "p_type"])
     s = li.join(part, li.l_partkey == part.p_partkey)
-    return FC.series_points(s, "p_type", "l_shipdate", "l_quantity", "l_discount", 5)
+    return FC.series_points(s, "p_type", "l_shipdate", "l_quantity", "l_discount", 5, calendar)
+
+
+def _points_and_short(spark, d, calendar="month"):
+    """The series, and each one's first half of the seasons as a short series of its own."""
+    pts = _points(spark, d, calendar)
+    copies = F.array(F.col("series"), F.when(F.col("season") <= 6, F.concat(F.col("series"), F.lit(" (H1)"))))
+    return pts.withColumn("series", F.explode(F.array_compact(copies)))
 
 
 def _fit(spark, d):
@@ -576,16 +642,19 @@ def q_fc_ols_fit(spark, d):
 
 @register("fc_organic", ("forecast_median",), ("step", "season"))
 def q_fc_organic(spark, d):
-    pts, fit = _fit(spark, d)
-    f = FC.organic_forecast(pts, fit)
-    return f.select("series", "step", F.date_format("target_period", "yyyy-MM").alias("target_period"), "season",
-                    "forecast_median")
+    return FC.organic_forecast(_points_and_short(spark, d)).select("series", "step", "target_period", "season",
+                                                                   "forecast_median")
+
+
+@register("fc_organic_fiscal", ("forecast_median", "forecast_high", "forecast_low"), ("step", "season"))
+def q_fc_organic_fiscal(spark, d):
+    return FC.organic_forecast(_points_and_short(spark, d, "fiscal"), calendar="fiscal")
 
 
 @register("fc_bands", ("forecast_median", "forecast_high", "forecast_low"), ("step",))
 def q_fc_bands(spark, d):
-    pts, fit = _fit(spark, d)
-    return FC.organic_forecast(pts, fit).select("series", "step", "forecast_low", "forecast_median", "forecast_high")
+    return FC.organic_forecast(_points_and_short(spark, d)).select("series", "step", "forecast_low", "forecast_median",
+                                                                   "forecast_high")
 
 
 @register("fc_accuracy", ("r2", "mape_pct"))

@@ -1,10 +1,10 @@
-"""Session construction and lineage-cut helpers."""
+"""Session construction and the checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings chosen for the shapes in this library: AQE coalesces the many small
 # post-aggregate partitions, splits skewed join partitions, and converts joins to
@@ -51,12 +51,3 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     spark.conf.set("spark.checkpoint.dir", fallback)
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
-
-    Used only where a plan is reused several times and recomputation from the fact
-    scan would be more expensive than writing the (small, aggregated) result.
-    """
-    return df.checkpoint(eager=eager)

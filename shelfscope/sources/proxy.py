@@ -32,27 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.functions.calendar import month_label, python_labels
-from shelfscope.operators.conform import period_analogy
+from shelfscope.operators.conform import period_analogy, with_portfolio
 from shelfscope.operators.clean import price_band
 from shelfscope.sources.tables import local_table, read_table
 
 
-def _memo(fn):
-    """Memoise a plan builder per (session, arguments). Only the lazy plan (a
-    DataFrame) is reused -- every action still reads the files -- so composing
-    several reports over one view pays the Python-side plan construction once."""
-    import functools
-
-    @functools.wraps(fn)
-    def wrapper(spark, *args, **kw):
-        cache = spark.__dict__.setdefault("_shelfscope_plans", {})
-        key = (fn.__name__, args, tuple(sorted(kw.items())))
-        if key not in cache:
-            cache[key] = fn(spark, *args, **kw)
-        return cache[key]
-
-    return wrapper
-
 # Fixed values of the proxy market.
 MONTHLY_ANCHOR = "2001M10"      # last month of the "this rolling year" window
 FISCAL_ANCHOR = "2001P08"       # last fiscal period of the same window
@@ -75,7 +59,6 @@ def price_band_rows() -> list[tuple[str, float, float]]:
     return out
 
 
-@_memo
 def price_bands(spark: SparkSession) -> DataFrame:
     return local_table(spark, price_band_rows(), "price_segment string, price_range_start double, price_range_end double")
 
@@ -95,7 +78,6 @@ def region_of_nation(spark: SparkSession, d: str) -> DataFrame:
     return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
 
 
-@_memo
 def order_province(spark: SparkSession, d: str) -> DataFrame:
     """(o_orderkey, province_code): region of the ordering customer."""
     nr = F.broadcast(region_of_nation(spark, d))
@@ -105,16 +87,15 @@ def order_province(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "province_code")
 
 
-@_memo
 def supplier_origin(spark: SparkSession, d: str) -> DataFrame:
     nr = F.broadcast(region_of_nation(spark, d))
     sup = read_table(spark, d, "supplier", ["s_suppkey", "s_nationkey"])
     return sup.join(nr, sup.s_nationkey == nr.n_nationkey).select("s_suppkey", F.col("r_name").alias("origin"))
 
 
-@_memo
 def products(spark: SparkSession, d: str, unmatched: str = "null") -> DataFrame:
-    """Product dimension: one row per part with its price segment (range lookup)."""
+    """Product dimension: one row per part with its price segment (an expression over the
+    bands, which costs nothing where the segment isn't read)."""
     part = read_table(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
     prod = part.select(
         "p_partkey",
@@ -125,19 +106,17 @@ def products(spark: SparkSession, d: str, unmatched: str = "null") -> DataFrame:
         unit_size("p_size").alias("unit_size"),
         F.col("p_retailprice").alias("retail_price_this_year"),
     )
-    return price_band(prod, price_bands(spark), "retail_price_this_year", out="price_segment", unmatched=unmatched)
+    return price_band(prod, price_band_rows(), "retail_price_this_year", out="price_segment", unmatched=unmatched)
 
 
-@_memo
 def varietal_dim(spark: SparkSession, d: str) -> DataFrame:
-    """(varietal, bb_portfolio). Derived from the part vocabulary; no broadcast hint --
+    """(varietal, in_portfolio). Derived from the part vocabulary; no broadcast hint --
     AQE converts the join once the (tiny) distinct stage has measured its size."""
     part = read_table(spark, d, "part", ["p_type"])
     return part.select(F.col("p_type").alias("varietal")).distinct().withColumn(
-        "bb_portfolio", F.when(F.col("varietal").isin(*NON_PORTFOLIO_VARIETALS), 0).otherwise(1))
+        "in_portfolio", F.when(F.col("varietal").isin(*NON_PORTFOLIO_VARIETALS), 0).otherwise(1))
 
 
-@_memo
 def province_dim(spark: SparkSession, d: str) -> DataFrame:
     region = read_table(spark, d, "region", ["r_name"])
     return region.select(F.col("r_name").alias("province_code"), F.lower("r_name").alias("province_name"))
@@ -147,7 +126,6 @@ def report_period_labels() -> list[str]:
     return python_labels("M", MONTHLY_ANCHOR, 24) + python_labels("P", FISCAL_ANCHOR, 26)
 
 
-@_memo
 def report_periods(spark: SparkSession) -> DataFrame:
     """Period analogy dim for the reports: both calendars, two rolling years each
     (24 monthly + 26 fiscal labels, fixed size)."""
@@ -167,21 +145,26 @@ def window_bounds(anchor: str = MONTHLY_ANCHOR, months: int = 24) -> tuple[_dt.d
     return _dt.date(y0, m0, 1), _dt.date(y1, m1, 1)
 
 
-@_memo
-def calc_sales(spark: SparkSession, d: str, window: bool = False, extra_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Conformed sales view at line grain.
+def calc_sales(spark: SparkSession, d: str, window: bool = False, extra_cols: tuple[str, ...] = (),
+               portfolio: bool = False) -> DataFrame:
+    """Conformed sales view at line grain. ``portfolio=True`` adds ``in_portfolio``, attached
+    to the products before the fact join.
 
     ``window=True`` restricts the fact scan to the two rolling years. Use it only in
     front of an *inner* join to the period dim (where out-of-window rows would be
     dropped anyway); it becomes a parquet ``PushedFilters`` range on ``l_shipdate``.
     """
     li = read_table(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity",
-                                           "l_extendedprice", "l_discount", "l_shipdate", *extra_cols])
+                                           "l_extendedprice", "l_discount", "l_shipdate",
+                                           *(c for c in extra_cols if c.startswith("l_"))])
     if window:
         lo, hi = window_bounds()
         li = li.filter((F.col("l_shipdate") >= F.lit(lo).cast("timestamp")) & (F.col("l_shipdate") < F.lit(hi).cast("timestamp")))
     op = order_province(spark, d)
     prod = products(spark, d)
+    if portfolio:
+        prod = with_portfolio(prod, varietal_dim(spark, d))
+        extra_cols = (*extra_cols, "in_portfolio")
     so = supplier_origin(spark, d)
     j = (li.join(op, li.l_orderkey == op.o_orderkey)
            .join(prod, li.l_partkey == prod.p_partkey)
@@ -196,7 +179,6 @@ def calc_sales(spark: SparkSession, d: str, window: bool = False, extra_cols: tu
     )
 
 
-@_memo
 def population(spark: SparkSession, d: str) -> DataFrame:
     """(province_code, population): customers per region stand in for population."""
     nr = F.broadcast(region_of_nation(spark, d))
@@ -218,7 +200,6 @@ COLOR_MAP_ROWS = [(1, "Red", "Red"), (2, "White", "White"), (3, "Rose", "Pink"),
 UNITS_PER_CASE = {375: 24, 750: 12, 1500: 6, 3000: 4}
 
 
-@_memo
 def color_map(spark: SparkSession) -> DataFrame:
     """Colour dimension file (ord = row position; 'White' is listed twice, the later
     entry wins; 'Amber' is missing)."""
@@ -229,28 +210,48 @@ def wide_labels(kind: str) -> list[str]:
     return python_labels(kind, MONTHLY_ANCHOR if kind == "M" else FISCAL_ANCHOR, 24 if kind == "M" else 26)
 
 
-@_memo
-def raw_wide(spark: SparkSession, d: str, kind: str = "M") -> DataFrame:
-    """One raw wide 'file' per calendar: (province_code, code, attributes..., one
-    quantity column per period label). Built with a single hash aggregation whose
-    pivot values are given up front (no extra job to discover them)."""
-    from shelfscope.functions.calendar import fiscal_period
+def _raw_lines(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """(province_code, l_partkey, quantity, period): the fact rows behind one calendar's raw
+    files. ``period`` is the label's place among the file's labels. Every eleventh
+    product has no quantities and the one after it only returns (negative ones)."""
+    from shelfscope.functions.calendar import fiscal_period, label_ordinal, python_label_bounds
 
     labels = wide_labels(kind)
     provinces = MONTHLY_PROVINCES if kind == "M" else FISCAL_PROVINCES
-    from shelfscope.functions.calendar import python_label_bounds
-
     lo, hi = python_label_bounds(labels)
     li = read_table(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_quantity", "l_shipdate"])
     li = li.filter((F.col("l_shipdate") >= F.lit(lo).cast("timestamp")) & (F.col("l_shipdate") < F.lit(hi).cast("timestamp")))
     label = month_label("l_shipdate") if kind == "M" else fiscal_period("l_shipdate")
+    first = int(labels[0][:4]) * (12 if kind == "M" else 13) + int(labels[0][5:])
     op = order_province(spark, d).filter(F.col("province_code").isin(*provinces))
-    j = li.join(op, li.l_orderkey == op.o_orderkey).select("province_code", "l_partkey", "l_quantity",
-                                                           label.alias("label"))
-    # pivot by conditional sums: one hash aggregate with a column per label
-    wide = j.groupBy("province_code", "l_partkey").agg(
-        *[F.sum(F.when(F.col("label") == x, F.col("l_quantity"))).alias(x) for x in labels])
+    sign = F.when(F.pmod("l_partkey", F.lit(11)) == 0, 0.0).when(F.pmod("l_partkey", F.lit(11)) == 1, -1.0).otherwise(1.0)
+    return (li.join(op, li.l_orderkey == op.o_orderkey)
+            .select("province_code", "l_partkey", (F.col("l_quantity") * sign).alias("quantity"), label.alias("label"))
+            .select("province_code", "l_partkey", "quantity", (label_ordinal("label") - F.lit(first)).alias("period")))
+
+
+def raw_wide(spark: SparkSession, d: str, kind: str = "M") -> DataFrame:
+    """One raw wide 'file' per calendar: (province_code, code, attributes..., one
+    quantity column per period label), by one hash aggregation of conditional sums."""
+    labels = wide_labels(kind)
+    wide = _raw_lines(spark, d, kind).groupBy("province_code", "l_partkey").agg(
+        *[F.sum(F.when(F.col("period") == i, F.col("quantity"))).alias(x) for i, x in enumerate(labels)])
+    attrs = raw_attributes(spark, d)
+    out = wide.join(attrs, wide.l_partkey == attrs.p_partkey)
+    return out.select("province_code", *[c for c in attrs.columns if c != "p_partkey"], *labels)
+
 
+def raw_totals(spark: SparkSession, d: str, kind: str = "M") -> DataFrame:
+    """The raw file with the sum over its periods (``total_sale``) in place of the period
+    columns: what the product branch of the ETL needs of it."""
+    total = _raw_lines(spark, d, kind).groupBy("province_code", "l_partkey").agg(F.sum("quantity").alias("total_sale"))
+    attrs = raw_attributes(spark, d)
+    out = total.join(attrs, total.l_partkey == attrs.p_partkey)
+    return out.select("province_code", *[c for c in attrs.columns if c != "p_partkey"], "total_sale")
+
+
+def raw_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """(p_partkey, the raw files' attributes), one row per part."""
     part = read_table(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
     nation = F.broadcast(read_table(spark, d, "nation", ["n_nationkey", "n_name"]))
     part = part.join(nation, F.pmod(part.p_partkey, F.lit(25)) == nation.n_nationkey, "left")
@@ -260,7 +261,7 @@ def raw_wide(spark: SparkSession, d: str, kind: str = "M") -> DataFrame:
     upc = F.lit(UNITS_PER_CASE[3000])
     for ml in (1500, 750, 375):
         upc = F.when(size == ml, F.lit(UNITS_PER_CASE[ml])).otherwise(upc)
-    attrs = part.select(
+    return part.select(
         "p_partkey",
         k.cast("string").alias("code"),
         F.concat(F.element_at(F.array(*[F.lit(x) for x in DESCRIPTION_PREFIXES]), (F.pmod(k, F.lit(5)) + 1).cast("int")),
@@ -271,7 +272,7 @@ def raw_wide(spark: SparkSession, d: str, kind: str = "M") -> DataFrame:
         F.when(F.pmod(F.col("p_size"), F.lit(17)) == 0, F.lit(None).cast("string"))
          .otherwise(F.element_at(F.array(*[F.lit(x) for x in RAW_COLORS]),
                                  (F.pmod(F.col("p_size"), F.lit(5)) + 1).cast("int"))).alias("color"),
-        F.when(F.col("n_name") == "UNITED STATES", F.lit("usa")).otherwise(F.col("n_name")).alias("country_of_origin"),
+        F.when(F.col("n_nationkey") == 24, F.lit("usa")).otherwise(F.col("n_name")).alias("country_of_origin"),
         F.when(F.col("p_size") > 25, F.lit("special order")).otherwise(F.lit("general list")).alias("listing_type"),
         F.when(F.pmod(k, F.lit(10)) == 0, F.lit("delisted")).otherwise(F.lit("active")).alias("status"),
         F.col("p_type").alias("varietal"),
@@ -290,5 +291,3 @@ def raw_wide(spark: SparkSession, d: str, kind: str = "M") -> DataFrame:
         F.when(F.pmod(k, F.lit(3)) == 0, F.lit("tpr; dsp")).when(F.pmod(k, F.lit(3)) == 1, F.lit("TPR"))
          .alias("promos_list_this_year"),
     )
-    out = wide.join(attrs, wide.l_partkey == attrs.p_partkey)
-    return out.select("province_code", *[c for c in attrs.columns if c != "p_partkey"], *labels)

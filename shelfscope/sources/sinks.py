@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Presentation labels of the benchmark report (fixed values for BI import).
+from shelfscope.params import MarketParams
+from shelfscope.sources.tables import require_columns
+
+# Presentation labels (fixed values for BI import), in the reports' order.
 BENCHMARK_LABELS = {
     "province_name": "Province",
     "varietal": "Varietal",
@@ -17,12 +20,29 @@ BENCHMARK_LABELS = {
     "top_origin_total_volume": "Top Origin - Total Volume",
     "top_origin_yoy_volume_growth": "Top Origin - YoY Volume Growth %",
     "top_origin_market_share": "Top Origin - Market Share %",
+    "home_origin_total_volume": "{origin} Origin - Total Volume",
+    "home_origin_yoy_volume_growth": "{origin} Origin - YoY Volume Growth %",
+    "home_origin_market_share": "{origin} Origin - Market Share %",
     "market_leader_brand_origin": "Market Leader Brand - Origin",
     "market_leader_brand": "Market Leader Brand",
     "market_leader_brand_total_volume": "Market Leader Brand - Total Volume",
     "market_leader_brand_yoy_volume_growth": "Market Leader Brand - YoY Volume Growth %",
     "market_leader_brand_market_share": "Market Leader Brand - Market Share %",
+    "home_origin_top_brand": "{origin} Origin Top Brand",
+    "home_origin_top_brand_total_volume": "{origin} Origin Top Brand - Total Volume",
+    "home_origin_top_brand_yoy_volume_growth": "{origin} Origin Top Brand - YoY Volume Growth %",
+    "home_origin_top_brand_market_share": "{origin} Origin Top Brand - Market Share %",
+    "focal_total_volume": "{focal} - Total Volume",
+    "focal_yoy_volume_growth": "{focal} - YoY Volume Growth %",
+    "focal_market_share": "{focal} - Market Share %",
+    "focal_presence": "{focal} - Presence",
 }
+TOP_SKU_LABELS = {"volume_growth_frac": "Volume Growth %", "market_share_pct": "Market Share %"}
+
+
+def labels_for(p: MarketParams, labels: dict[str, str] = BENCHMARK_LABELS) -> dict[str, str]:
+    """The labels with the report's home origin and focal brand filled in."""
+    return {c: x.format(origin=p.origin, focal=p.focal_brand) for c, x in labels.items()}
 
 
 def write_products(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -36,11 +56,13 @@ def write_products(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
 
 
 def write_sales(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: tuple[str, ...] = ("province_code",)) -> None:
-    """Long sales fact, partitioned so reports prune by province. Rows are
-    clustered by the partition column first so each task writes few files."""
-    cols = [c for c in partition_by if c in df.columns]
-    w = df.repartition(*cols).write.mode(mode).partitionBy(*cols) if cols else df.write.mode(mode)
+                partition_by: tuple[str, ...] = ("province_code",), tasks_per_partition: int = 8) -> None:
+    """Long sales fact, partitioned so reports prune by province. Each partition is
+    dealt by a hash of the product over ``tasks_per_partition`` tasks, so a province that
+    holds most of the rows isn't one task. A missing partition column is an error."""
+    require_columns(df.columns, [*partition_by, "global_code"], "the sales table")
+    salt = F.pmod(F.xxhash64("global_code"), F.lit(tasks_per_partition))
+    w = df.repartition(*partition_by, salt).write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:

@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, base_dir: str, name: str, cols: list[str] | None = None) -> DataFrame:
-    """Parquet scan; selecting ``cols`` here lets Catalyst prune the ReadSchema.
-
-    The relation is memoised per session and path, so composing a report that
-    reads the same table several times infers its schema (footer read) once.
-    """
+    """Parquet scan; selecting ``cols`` here lets Catalyst prune the ReadSchema. Files are
+    listed anew at each call, so appended files are seen; only the schema (read from
+    one footer) is remembered for the session."""
     path = f"{base_dir.rstrip('/')}/{name}.parquet"
-    cache = spark.__dict__.setdefault("_shelfscope_relations", {})
-    df = cache.get(path)
-    if df is None:
-        df = cache[path] = spark.read.parquet(path)
+    schemas = spark.__dict__.setdefault("_shelfscope_schemas", {})
+    if path not in schemas:
+        schemas[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(schemas[path]).parquet(path)
     return df.select(*cols) if cols else df
 
 
@@ -75,14 +74,32 @@ RAW_ATTRIBUTES: dict[str, T.DataType] = {
 }
 
 
+def require_columns(found: list[str], required: list[str], what: str) -> None:
+    """Fail before any data is read where a required column is missing."""
+    missing = [c for c in required if c not in found]
+    if missing:
+        raise ValueError(f"{what} lacks the columns {', '.join(missing)}")
+
+
 def read_wide(spark: SparkSession, path: str, period_labels: list[str],
               attributes: dict[str, T.DataType] | None = None, fmt: str = "csv") -> DataFrame:
-    """Read one provincial wide sales file (13-period or monthly layout)."""
+    """Read one provincial wide sales file (13-period or monthly layout), columns by name.
+
+    The header decides the order: columns may come in any, but all must be there, and
+    every file of the folder must have the same header. A value that doesn't fit its
+    column's type fails the read (FAILFAST); nothing becomes NULL or moves silently.
+    """
     schema = wide_schema(attributes or RAW_ATTRIBUTES, period_labels)
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        return reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return reader.format(fmt).load(path)
+    if fmt != "csv":
+        df = spark.read.format(fmt).load(path)
+        require_columns(df.columns, schema.names, path)
+        return df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+    header = spark.read.option("header", True).csv(path).columns
+    require_columns(header, schema.names, path)
+    in_file = T.StructType([schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header])
+    # column pruning would hide bad values and other headers in columns that a query doesn't use
+    return (spark.read.schema(in_file).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+            .option("columnPruning", False).csv(path).select(*schema.names))
 
 
 COLOR_SCHEMA = T.StructType([T.StructField("color", T.StringType()), T.StructField("color_five", T.StringType())])
@@ -93,9 +110,15 @@ PRICE_BAND_SCHEMA = T.StructType([
 ])
 
 
-def read_dim(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    """Small dimension file (colour map, price bands)."""
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        return reader.option("header", True).csv(path)
-    return reader.format(fmt).load(path)
+def read_dim(spark: SparkSession, path: str, schema: T.StructType, order_col: str = "ord") -> DataFrame:
+    """Small dimension CSV (colour map, price bands) with the row's place in the file as
+    ``order_col``. The file is read as one text, so its order doesn't depend on splits;
+    a quoted value can't hold a line break."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\\r?\\n")).alias(order_col, "line"))
+    header = lines.where(F.col(order_col) == 0).select("line").limit(1).collect()
+    names = [c.strip().strip('"') for c in header[0]["line"].split(",")] if header else []
+    require_columns(names, schema.names, path)
+    in_file = T.StructType([schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in names])
+    row = F.from_csv("line", in_file.simpleString()[7:-1].replace(":", " "), {"mode": "FAILFAST"})
+    return (lines.where((F.col(order_col) > 0) & (F.trim("line") != "")).select(F.col(order_col), row.alias("r"))
+            .select(order_col, *[f"r.{c}" for c in schema.names]))

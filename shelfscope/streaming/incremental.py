@@ -12,6 +12,8 @@ lives under the session's shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfscope.plans import etl as ETL
@@ -19,7 +21,7 @@ from shelfscope.sources.tables import RAW_ATTRIBUTES, wide_schema
 
 
 def ingest_wide(spark: SparkSession, landing: str, out: str, spec: ETL.CalendarSpec, colors: DataFrame,
-                bands: DataFrame, province_col: str = "province_code", fmt: str = "csv",
+                bands: list[tuple[str, float, float]], province_col: str = "province_code", fmt: str = "csv",
                 checkpoint: str | None = None, max_files_per_trigger: int | None = None):
     """Start an availableNow stream from ``landing`` into ``out/{products,sales}``.
 
@@ -36,14 +38,21 @@ def ingest_wide(spark: SparkSession, landing: str, out: str, spec: ETL.CalendarS
     if not base:
         raise ValueError("no checkpoint location: set spark.checkpoint.dir to a shared folder")
 
+    # one checkpoint for each landing folder and output
+    name = hashlib.sha256(f"{landing}\n{out}".encode()).hexdigest()[:16]
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        products, sales = ETL.clean(batch, colors, bands, spec)
-        products = ETL.conform_products(products)
-        products.write.mode("overwrite").parquet(f"{out}/products/batch_id={batch_id}")
-        sales.write.mode("overwrite").parquet(f"{out}/sales/batch_id={batch_id}")
+        batch = batch.persist()  # both outputs read it
+        try:
+            products, sales = ETL.clean(batch, colors, bands, spec)
+            products = ETL.conform_products(products)
+            products.write.mode("overwrite").parquet(f"{out}/products/batch_id={batch_id}")
+            sales.write.mode("overwrite").parquet(f"{out}/sales/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (stream.writeStream.foreachBatch(process)
-            .option("checkpointLocation", f"{base.rstrip('/')}/ingest_wide")
+            .option("checkpointLocation", f"{base.rstrip('/')}/ingest_wide-{name}")
             .trigger(availableNow=True).start())
 
 

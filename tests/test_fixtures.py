@@ -47,8 +47,7 @@ def test_positive_total_keeps_only_positive(spark):
 
 
 def test_price_band_null_and_last(spark):
-    bands = spark.createDataFrame([("D", 0.0, 9.99), ("E", 10.0, 20.0)],
-                                  "price_segment string, price_range_start double, price_range_end double")
+    bands = [("D", 0.0, 9.99), ("E", 10.0, 19.99)]
     prices = spark.createDataFrame([(1, 5.0), (2, 9.995), (3, None), (4, 25.0)], "k int, p double")
     null_mode = {r.k: r.price_segment_retail for r in C.price_band(prices, bands, "p").collect()}
     last_mode = {r.k: r.price_segment_retail for r in C.price_band(prices, bands, "p", unmatched="last").collect()}
@@ -190,3 +189,49 @@ def test_global_row_number_matches_single_window(spark):
     w = Window.orderBy(F.col("v").desc_nulls_last(), F.col("brand").asc())
     want = {r.brand: r.rn for r in df.select("brand", F.row_number().over(w).alias("rn")).collect()}
     assert got == want
+
+
+def test_two_decimal_percentages_are_exact(spark):
+    from decimal import Decimal
+
+    from shelfscope.functions.numeric import percent2
+
+    rows = [("1.0050", "100.0000", 1.01), ("-1.0050", "100.0000", -1.01), ("1.0049", "100.0000", 1.0), ("1.0000", "3.0000", 33.33),
+            ("2.0000", "0.0000", 0.0), (None, "1.0000", 0.0), ("1.0000", None, 0.0), ("123456789012.0000", "7.0000", 1763668414457.14)]
+    df = spark.createDataFrame([(None if a is None else Decimal(a), None if b is None else Decimal(b), w) for a, b, w in rows],
+                               "a decimal(28,4), b decimal(28,4), w double")
+    assert [r["g"] for r in df.select(percent2("a", "b").alias("g")).collect()] == [w for *_, w in rows]
+
+
+def test_forecast_gives_every_step_and_uses_the_fit(spark):
+    from shelfscope.plans import forecast
+
+    rows = [("s", 2023 * 12 + m, m + 1, 2023, 100.0 + m, float(m % 2)) for m in range(6)]
+    pts = spark.createDataFrame(rows, "series string, period_no int, season int, year int, y double, promo double")
+    got = {r["step"]: r for r in forecast.organic_forecast(pts).collect()}
+    assert sorted(got) == list(range(1, 14))
+    assert [k for k in got if got[k]["forecast_median"] is None] == [1, 2, 3, 4, 5, 6, 13]
+    assert got[7]["target_period"] == "2024-01" and got[7]["forecast_median"] == 100.0
+    fit = spark.createDataFrame([("s", 1000.0, 2.0)], "series string, promo_slope double, resid_se double")
+    got = {r["step"]: r for r in forecast.organic_forecast(pts, fit).collect()}
+    assert got[8]["forecast_median"] == 101.0 - 1000.0 and got[8]["forecast_high"] > got[8]["forecast_low"]
+
+
+def test_row_numbers_of_skewed_values(spark):
+    from shelfscope.operators import measures as M
+
+    df = spark.createDataFrame([(f"b{i:04d}", 1e12 if i == 7 else float(i % 50) if i % 9 else None) for i in range(2000)],
+                               "brand string, v double")
+    rows = df.collect()
+    want = sorted(rows, key=lambda r: (r["v"] is None, -(r["v"] or 0), r["brand"]))
+    got = {r["brand"]: r["rn"] for r in M.global_row_number(df, "v", ("brand",), buckets=16).collect()}
+    assert got == {r["brand"]: i + 1 for i, r in enumerate(want)}
+
+
+def test_match_keys_ignore_case_and_edges(spark):
+    from shelfscope.functions.text import ieq, ine
+    from shelfscope.operators.conform import canonical_keys
+
+    df = spark.createDataFrame([(" Usa ",), ("usa",), ("uk",), (None,)], "origin string")
+    assert df.filter(ieq("origin", "USA")).count() == 2 and df.filter(ine("origin", "USA")).count() == 1
+    assert [r["origin_key"] for r in canonical_keys(df, ["origin"]).collect()] == ["USA", "USA", "UK", None]

@@ -3,19 +3,22 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfscope.plans import etl as ETL
 from shelfscope.queries import _spec
 from shelfscope.sources import proxy
 from shelfscope.sources.sinks import BENCHMARK_LABELS, presentation, publish, write_products, write_sales
+from shelfscope.sources.tables import read_wide
 from tests.conftest import SMALL
 
 
 def test_csv_round_trip(spark):
     out = tempfile.mkdtemp(prefix="shelfscope-io-")
     e = ETL.enriched(ETL.cleaned_attributes(ETL.keyed(proxy.raw_wide(spark, SMALL, "M")), _spec("M")),
-                     proxy.color_map(spark), proxy.price_bands(spark), _spec("M"))
+                     proxy.color_map(spark), proxy.price_band_rows(), _spec("M"))
     prods = ETL.conform_products(ETL.products_of(e))
     write_products(prods, f"{out}/products", fmt="csv")
     back = spark.read.option("header", True).csv(f"{out}/products")
@@ -41,10 +44,10 @@ def test_streaming_ingest_matches_batch(spark):
     raw = proxy.raw_wide(spark, SMALL, "M")
     raw.write.option("header", True).csv(f"{root}/landing")
     q = ingest_wide(spark, f"{root}/landing", f"{root}/out", _spec("M"), proxy.color_map(spark),
-                    proxy.price_bands(spark), checkpoint=f"{root}/ckpt")
+                    proxy.price_band_rows(), checkpoint=f"{root}/ckpt")
     q.awaitTermination()
     streamed = spark.read.parquet(f"{root}/out/sales").drop("batch_id")
-    _, batch = ETL.clean(raw, proxy.color_map(spark), proxy.price_bands(spark), _spec("M"))
+    _, batch = ETL.clean(raw, proxy.color_map(spark), proxy.price_band_rows(), _spec("M"))
     key = ["global_code", "sale_period"]
     a = streamed.groupBy().agg(F.count(F.lit(1)), F.sum("sale_actual_cases")).first()
     b = batch.groupBy().agg(F.count(F.lit(1)), F.sum("sale_actual_cases")).first()
@@ -90,3 +93,86 @@ def test_read_wide_batch_round_trip(spark):
     assert back.count() == raw.count()
     label = _spec("M").period_labels[0]
     assert back.agg(F.sum(label)).first()[0] == raw.agg(F.sum(label)).first()[0]
+
+
+def _wide_file(root, lines):
+    os.makedirs(root, exist_ok=True)
+    with open(f"{root}/f{len(os.listdir(root))}.csv", "w") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+ATTRS = {"code": T.StringType()}
+
+
+def test_read_wide_goes_by_name(spark):
+    root = tempfile.mkdtemp(prefix="shelfscope-wide-")
+    _wide_file(root, ["code,2024M02,2024M01,extra", "a,2,1,x", "b,,3,y"])
+    got = read_wide(spark, root, ["2024M01", "2024M02"], ATTRS).orderBy("code")
+    assert [tuple(r) for r in got.collect()] == [("a", 1.0, 2.0), ("b", 3.0, None)]
+
+
+def test_read_wide_refuses_bad_files(spark):
+    root = tempfile.mkdtemp(prefix="shelfscope-wide-")
+    _wide_file(f"{root}/missing", ["code,2024M01", "a,1"])
+    with pytest.raises(ValueError, match="2024M02"):
+        read_wide(spark, f"{root}/missing", ["2024M01", "2024M02"], ATTRS)
+    _wide_file(f"{root}/value", ["code,2024M01", "a,x"])
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        read_wide(spark, f"{root}/value", ["2024M01"], ATTRS).collect()
+    _wide_file(f"{root}/other", ["code,2024M01,2024M02", "a,1,2"])
+    _wide_file(f"{root}/other", ["code,2024M02,2024M01", "b,2,1"])
+    with pytest.raises(Exception, match="header|schema"):
+        read_wide(spark, f"{root}/other", ["2024M01", "2024M02"], ATTRS).collect()
+
+
+def test_read_dim_keeps_the_files_order(spark):
+    from shelfscope.operators.clean import band_rows, lookup
+    from shelfscope.sources.tables import COLOR_SCHEMA, PRICE_BAND_SCHEMA, read_dim
+
+    root = tempfile.mkdtemp(prefix="shelfscope-dim-")
+    _wide_file(f"{root}/c", ["color_five,color", *(f"{x},Red" for x in "abcdefghij"), '"Pi,nk",Rose'])
+    colors = read_dim(spark, f"{root}/c", COLOR_SCHEMA)
+    rows = spark.createDataFrame([("Red",), ("Rose",), ("Blue",)], "color string")
+    got = {r["color"]: r["color_five"] for r in lookup(rows, colors, "color", "color_five", "ord").collect()}
+    assert got == {"Red": "j", "Rose": "Pi,nk", "Blue": None}
+    _wide_file(f"{root}/b", ["price_segment,price_range_start,price_range_end", "D,0,9.99", "E,10,19.99"])
+    assert band_rows(read_dim(spark, f"{root}/b", PRICE_BAND_SCHEMA)) == [("D", 0.0, 9.99), ("E", 10.0, 19.99)]
+    _wide_file(f"{root}/o", ["price_segment,price_range_start,price_range_end", "D,0,10", "E,10,20"])
+    with pytest.raises(ValueError, match="overlap"):
+        band_rows(read_dim(spark, f"{root}/o", PRICE_BAND_SCHEMA))
+
+
+def test_write_sales_spreads_a_province(spark):
+    out = tempfile.mkdtemp(prefix="shelfscope-sales-")
+    df = spark.range(5000).selectExpr("cast(id as string) global_code", "'ON' province_code", "1.0 sale_actual_cases")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # 5,000 rows would fit one task
+    try:
+        write_sales(df, f"{out}/s")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = [f for f in os.listdir(f"{out}/s/province_code=ON") if f.endswith(".parquet")]
+    assert len(files) > 1 and spark.read.parquet(f"{out}/s").count() == 5000
+    with pytest.raises(ValueError, match="province_code"):
+        write_sales(df.drop("province_code"), f"{out}/t")
+
+
+def test_appended_files_are_read(spark):
+    from shelfscope.sources.tables import read_table
+
+    out = tempfile.mkdtemp(prefix="shelfscope-append-")
+    spark.range(5).write.parquet(f"{out}/t.parquet")
+    assert read_table(spark, out, "t").count() == 5
+    spark.range(7).write.mode("append").parquet(f"{out}/t.parquet")
+    assert read_table(spark, out, "t").count() == 12
+
+
+def test_published_benchmark_has_every_label(spark):
+    from shelfscope.params import DEFAULT
+    from shelfscope.sources.sinks import TOP_SKU_LABELS, labels_for
+
+    out = tempfile.mkdtemp(prefix="shelfscope-labels-")
+    df = spark.createDataFrame([tuple("x" for _ in BENCHMARK_LABELS)], list(BENCHMARK_LABELS))
+    publish(df, f"{out}/b", labels_for(DEFAULT))
+    got = spark.read.parquet(f"{out}/b").columns
+    assert len(got) == 26 and "AMERICA Origin Top Brand - Market Share %" in got and "Brand#7 - Presence" in got
+    assert set(TOP_SKU_LABELS) == {"volume_growth_frac", "market_share_pct"}

@@ -51,43 +51,46 @@ def test_outlook_aggregates_are_fused(spark):
     assert "Join" not in top
 
 
-def test_top_n_uses_window_group_limit(spark):
-    p = DEFAULT.with_(unit_size=750, varietal="LARGE", top_n=3)
-    df = top_sku.top_sku(proxy.calc_sales(spark, SMALL), proxy.report_periods(spark), proxy.products(spark, SMALL), p)
+@pytest.fixture
+def static_plans(spark):
+    """Plans as at scale: no adaptive node around them, no broadcast of a growing side."""
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        assert "WindowGroupLimit" in plan_of(df)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    for k, v in keep.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_fixed_dims_are_broadcast(spark):
-    df = outlook.market_outlook(proxy.calc_sales(spark, SMALL, window=True), proxy.report_periods(spark),
-                                proxy.varietal_dim(spark, SMALL), DEFAULT)
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        p = plan_of(df)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert p.count("BroadcastExchange") >= 3
+def test_top_n_limits_below_the_exchange(spark, static_plans):
+    p = DEFAULT.with_(unit_size=750, varietal="LARGE", top_n=3)
+    lines = plan_of(top_sku.top_sku(proxy.calc_sales(spark, SMALL), proxy.report_periods(spark), proxy.products(spark, SMALL), p)
+                    ).splitlines()
+    partial = next(i for i, x in enumerate(lines) if "WindowGroupLimit" in x and "Partial" in x)
+    final = next(i for i, x in enumerate(lines) if "WindowGroupLimit" in x and "Final" in x)
+    between = [x for x in lines[final:partial] if "Exchange hashpartitioning(province_code" in x]
+    assert final < partial and between
 
 
-def test_fact_aggregate_not_partitioned_by_low_cardinality_dim_key(spark):
-    """With no broadcasts at all (tables beyond the threshold), the fact-side
-    aggregate must shuffle on its full group key, never on the varietal alone."""
-    import re
+@pytest.mark.parametrize("name", ["ins_portfolio_gap", "ins_per_capita", "market_outlook", "flagship_pricing", "varietal_benchmark"])
+def test_the_fact_is_scanned_once(spark, static_plans, name):
+    p = plan_of(QUERIES[name](spark, SMALL))
+    scans = [x for x in p.splitlines() if "FileScan parquet" in x and "l_quantity" in x]
+    assert len(scans) == 1, p
 
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = outlook.market_outlook(proxy.calc_sales(spark, SMALL, window=True), proxy.report_periods(spark),
-                                    proxy.varietal_dim(spark, SMALL), DEFAULT)
-        p = df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # the exchange directly feeding the fact aggregate is keyed by the brand grain
-    keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", p)]
-    # (before the fix the fact aggregate reused a varietal-only join partitioning and
-    # no brand-grain exchange existed)
-    assert any(k.startswith("province_code, varietal, brand") for k in keys), keys
+
+def test_flagship_windows_of_segments_see_flagship_rows_only(spark, static_plans):
+    p = plan_of(QUERIES["flagship_sku"](spark, SMALL)).splitlines()
+    segment = [i for i, x in enumerate(p) if "Exchange hashpartitioning(province_code" in x and "brand" not in x.split(", 4")[0]]
+    rank = [i for i, x in enumerate(p) if "Filter" in x and "sku_rank_by_volume" in x]
+    assert segment and rank and segment[0] < rank[0]
+
+
+def test_no_action_while_a_plan_is_built(spark):
+    proxy.varietal_dim(spark, SMALL)  # schemas are remembered
+    QUERIES["filter_portfolio"](spark, SMALL)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    for name in ("market_outlook", "filter_portfolio", "top3_sku", "ins_national_rank"):
+        QUERIES[name](spark, SMALL)
+    assert len(tracker.getJobIdsForGroup()) == before
