@@ -5,9 +5,10 @@ two samples: texts confirmed as toxic (P) and texts taken from all documents wha
 their label (U). With the class prior pi, the risk of the negative class is estimated
 without negatives as ``mean_U l(-z) - pi * mean_P l(-z)``; where a mini-batch drives
 that estimate below ``-BETA`` (which no true risk can be) the step goes against its
-gradient instead, so the model can't fit U's hidden positives as negatives. A proximal
-L1 step keeps words without a signal at exactly zero, so long texts aren't scored by
-the sum of many small weights.
+gradient instead, so the model can't fit U's hidden positives as negatives. Only words
+whose share of texts differs between P and U beyond chance have a weight, and a proximal
+L1 step keeps weak ones at exactly zero, so long texts aren't scored by the sum of many
+small weights.
 
 Labels are read from rows whose fold (crc32 of the id as text, mod 5) is not 0; the
 score depends on the text alone. P and U are bounded samples (``FIT_P``, ``FIT_U``
@@ -35,7 +36,7 @@ from shelfscope.llm.common import batches_of, bounded, doc_bytes, fold, rows_of,
 
 BITS = 18
 FIT_P, FIT_U = 4_000, 8_000
-MIN_DOCS = 10
+MIN_DOCS, MIN_Z = 5, 4.0
 BETA, GAMMA = 0.0, 1.0
 _EDGE = bytes(i for i in range(128) if not chr(i).isalpha())
 
@@ -60,12 +61,21 @@ class Buckets(dict):
         return at[at >= 0]
 
 
-def fit(p: list[np.ndarray], u: list[np.ndarray], prior: float, epochs: int = 60, rate: float = 0.3,
-        l1: float = 5e-4, seed: int = 3, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, float]:
+def screened(p: list[np.ndarray], u: list[np.ndarray], min_docs: int = MIN_DOCS, z: float = MIN_Z) -> np.ndarray:
+    """Which buckets may have a weight: those in at least ``min_docs`` texts whose share of
+    texts differs between P and U by ``z`` standard errors."""
+    in_p, in_u = (np.bincount(np.concatenate([*x, np.zeros(0, np.int32)]), minlength=1 << BITS) for x in (p, u))
+    pooled = (in_p + in_u) / (len(p) + len(u))
+    error = np.sqrt(pooled * (1 - pooled) * (1 / len(p) + 1 / len(u))) + 1e-12
+    return (in_p + in_u >= min_docs) & (np.abs(in_p / len(p) - in_u / len(u)) >= z * error)
+
+
+def fit(p: list[np.ndarray], u: list[np.ndarray], prior: float, epochs: int = 100, rate: float = 0.1,
+        l1: float = 1e-4, seed: int = 3, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, float]:
     """Weights and bias of the classifier, from the distinct buckets of each text."""
     size = 1 << BITS
-    seen = np.bincount(np.concatenate([*p, *u, np.zeros(0, np.int32)]), minlength=size) >= min_docs
-    p, u = [x[seen[x]] for x in p], [x[seen[x]] for x in u]
+    keep = screened(p, u, min_docs)
+    p, u = [x[keep[x]] for x in p], [x[keep[x]] for x in u]
     rng = np.random.default_rng(seed)
     w, g2, b, gb2 = np.zeros(size), np.full(size, 1e-6), math.log(prior / (1 - prior)), 1e-6
     steps = max(1, math.ceil(max(len(p), len(u)) / 256))
