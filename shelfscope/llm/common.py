@@ -136,12 +136,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of the runs of ``k`` consecutive word hashes, in text order."""
+    """64-bit hashes of the runs of ``k`` consecutive word hashes, in text order: a sum
+    with an odd multiplier for each place, finalised."""
     n = len(h) - k + 1
     out = np.full(max(n, 0), np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))
-    for j in range(k):
-        out = mixed(out * np.uint64(0xD6E8FEB86659FD93) + h[j:j + len(out)])
-    return out
+    for j in range(k if n > 0 else 0):
+        odd = (int(MIX1) * (2 * j + 1) + (int(MIX2) << (j + 1))) % (1 << 64)
+        out += h[j:j + n] * np.uint64(odd)
+    return mixed(out)
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
