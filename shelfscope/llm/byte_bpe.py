@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfscope.llm.common import batches_of, doc_bytes, small_batches, table
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 SHORT = 255
-ROOM = 400_000
+ROOM = 500_000
 MEMORY = "300MB"
 
 #: start(w, pos, tok) -> the tokens of each piece, for pieces of up to ``SHORT`` bytes: one
@@ -98,7 +98,9 @@ class Bpe:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
+        #: Pieces of late, and those of the time before; what neither has is encoded anew.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         left, right, made, unsafe = [], [], [], set()
         for token, rank in self.ranks.items():
@@ -156,9 +158,16 @@ class Bpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pattern.findall(t.decode("utf-8", "replace")) for t in texts]
         pieces = set().union(*cut)
-        if len(self.known) + len(pieces) > ROOM:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(pieces) > ROOM // 2:
+            self.older, self.known = self.known, {}
+        new = []
+        for p in pieces:
+            if p in self.known:
+                continue
+            if p in self.older:
+                self.known[p] = self.older[p]
+            else:
+                new.append(p)
         for s in range(0, len(new), 50_000):
             self.learn(new[s:s + 50_000])
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
@@ -227,7 +236,7 @@ def decoded(coded: DataFrame, path: str | None = None, pattern: str | None = Non
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
         for b in batches:
-            for s, e in _slices([len(x) for x in b.column("ids")], SLICE_BYTES // 4):
+            for s, e in _slices([len(x) for x in b.column("ids")], SLICE_BYTES // 8):
                 part = b.slice(s, e - s)
                 ids = [x.values.to_numpy(zero_copy_only=False) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"),
@@ -237,6 +246,33 @@ def decoded(coded: DataFrame, path: str | None = None, pattern: str | None = Non
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """n_tokens and the digests of the ids and of the decoded bytes: ``encoded`` and
+    ``decoded`` in one pass, so that a task has one Python worker and no ids travel."""
+    found = default_tokenizer()
+    path, pattern = path or found[0], pattern or found[1]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _loaded(path, pattern)
+
+        def rows():
+            for b in batches:
+                texts, doc_ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
+                for s, e in _slices([len(t) for t in texts], SLICE_BYTES):
+                    coded = bpe.encode(texts[s:e])
+                    ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coded]
+                    for f, g in _slices([len(x) for x in ids], SLICE_BYTES // 8):
+                        for i, text in enumerate(bpe.decode(ids[f:g]), f):
+                            yield (doc_ids[s + i], len(ids[i]), hashlib.sha256(coded[i]).hexdigest(),
+                                   hashlib.sha256(text).hexdigest())
+            bpe.older.clear()  # what a worker keeps between tasks
+
+        yield from batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
+                                                 ("decoded_sha256", pa.string())]))
+
+    return doc_bytes(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def digests(both: DataFrame) -> DataFrame:
     """n_tokens and the digests of ids and bytes of a ``decoded`` table."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,4 +292,4 @@ def digests(both: DataFrame) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     small_batches(spark)
-    return digests(decoded(encoded(table(spark, sf_dir, "documents"))))
+    return round_trip(table(spark, sf_dir, "documents"))

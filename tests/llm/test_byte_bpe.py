@@ -32,9 +32,11 @@ def test_edge_rows_and_small_tables(spark):
     for docs, rows in ((edge_docs(spark), ROWS), (small(spark, "documents"), list(small_texts(spark).items()))):
         got = byte_bpe.digests(byte_bpe.decoded(byte_bpe.encoded(docs)))
         assert rows_of(got, *COLUMNS) == brute(rows)
+        assert rows_of(byte_bpe.round_trip(docs), *COLUMNS) == brute(rows)
 
 
 def test_empty_table(spark):
+    assert byte_bpe.round_trip(edge_docs(spark, [])).count() == 0
     assert byte_bpe.digests(byte_bpe.decoded(byte_bpe.encoded(edge_docs(spark, [])))).count() == 0
 
 
