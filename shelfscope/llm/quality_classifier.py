@@ -196,8 +196,8 @@ def train(vectors: DataFrame, labels: DataFrame, label: str = "quality", rows: i
     known = (labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y"))
              .where(F.col("__id").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("__id"), 5) != 0))
              .groupBy("__id").agg(F.min("y").alias("y")))
-    joined = vectors.join(known, F.col("doc_id") == F.col("__id")).select("__id", "vec", "y")
-    got = joined.orderBy(F.xxhash64("__id"), "__id", "vec").limit(rows).collect()
+    joined = vectors.join(bounded(known, "__id", rows), F.col("doc_id") == F.col("__id")).select("__id", "vec", "y")
+    got = joined.orderBy("__id", "vec").limit(2 * rows).collect()
     if not got:
         return None
     return fit(np.array([np.frombuffer(r["vec"], np.float32) for r in got], float), np.array([r["y"] for r in got], float))
