@@ -17,14 +17,20 @@
    order of the partner's id and are compared as a stream, so one set is in memory;
    a partner of many is copied to several places, ``MEMBERS`` a place.
 4. Links are joined to connected components by aggregates and joins.
+5. *Open regions.* A region larger than ``SMALL`` whose members are then still in more
+   than one component is open. All links between members of open regions are found by
+   a prefix-filtered join: each set is ordered by how rare its shingles are, and two
+   linked sets share a shingle among the first of both (by the length and positional
+   bounds of the public prefix-filter joins). The join is cut in a grid for a
+   shingle of many sets, and leaves out pairs inside a shingle's largest component.
+   What it finds is confirmed and joined like the forest's candidates.
 
 Two texts at the threshold share a region in no tree with probability (1 - 0.75**4)**32 =
-5e-6, fewer above it. In regions larger than ``SMALL``, a link between two members that
-are neighbours in no tree, and that no chain of confirmed links joins, could be missed;
-200 texts drawn from a table with near-copy groups of thousands had none of their
-89,016 links missed.
+5e-6, fewer above it; every link between two that share a region is found.
 
-Broadcast: a bitmap of fixed size that preselects the texts that take part in a round.
+Broadcast: a bitmap of fixed size that preselects the texts that take part in a round,
+and a table of fixed size of how common shingles are; it orders them and decides the cost,
+not the result.
 
 Defined results: null, empty or blank texts have the empty set, are linked with
 nothing and kept; rows with a null doc_id are not linked, their component is null and
@@ -51,6 +57,10 @@ SMALL, BIG = 8, 2_000
 #: Members of a hub that are compared in one place, in the mean.
 MEMBERS = 64
 BITMAP_BITS = 22
+#: Slots of the table of how common shingles are, and texts that it is counted on.
+SKETCH_BITS, SKETCH_TEXTS = 22, 1 << 17
+#: Sets of one shingle on each side of one place of the prefix join.
+SIDE = 1000
 _rng = np.random.default_rng(10)
 _MULTIPLIERS = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -110,14 +120,19 @@ def forest(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(expand, "region long, rest long, id long")
 
 
-def candidates(trees: DataFrame) -> DataFrame:
-    """(a, b, votes): candidate pairs a < b and the number of trees that name them."""
+def regions(trees: DataFrame) -> DataFrame:
+    """(region, rest, id, n, hub) of the regions of more than one class."""
     size = trees.groupBy("region").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
+    return trees.join(size, "region")
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """(a, b, votes): candidate pairs a < b and the number of trees that name them."""
     cut = F.when(F.col("n") <= BIG, F.lit(0)).otherwise(
         F.pmod(F.xxhash64(F.shiftrightunsigned("rest", 32)), F.ceil(F.col("n") / BIG)))
     w = W.partitionBy("region", "cut").orderBy("rest", "id")
     near = [F.lead("id", j).over(w).alias(f"p{j}") for j in range(1, SMALL)]
-    return (trees.join(size, "region").withColumn("cut", cut)
+    return (shared.withColumn("cut", cut)
             .select("id", "n", "hub", *near)
             .select("id", F.explode(F.when(F.col("n") <= SMALL, F.array(*(f"p{j}" for j in range(1, SMALL))))
                                     .otherwise(F.array("p1", "hub"))).alias("p"))
@@ -137,15 +152,9 @@ def _bits_of(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """Those (hub, member) pairs whose full shingle sets overlap enough, as (a, b)."""
-    spark = docs.sparkSession
-    # a hub of many members is asked for in several places, each with its own copy of the hub's text
-    size = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).alias("places"))
-    pairs = pairs.join(size, "hub").select("hub", "member", F.pmod(F.xxhash64("member"), F.col("places")).alias("place"))
-    asked = pairs.select("hub", "place", F.col("member").alias("id"), F.lit(1).alias("part")).union(
-        pairs.select("hub", "place", F.col("hub").alias("id"), F.lit(0).alias("part")).distinct())
-    sent = spark.sparkContext.broadcast(_bits_of(asked.select("id").distinct(), "id"))
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the texts with one of the ids, and of few others."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bits_of(ids.select("id").distinct(), "id"))
 
     def preselect(batches):
         bits = sent.value
@@ -154,8 +163,18 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int =
             keep = (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 if len(at) else at
             yield b.filter(pa.array(keep.astype(bool))).select(["doc_id", "text"])
 
-    texts = (doc_bytes(docs, F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << BITMAP_BITS)).alias("at"))
-             .where("doc_id is not null").mapInArrow(preselect, "doc_id long, text binary"))
+    return (doc_bytes(docs, F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << BITMAP_BITS)).alias("at"))
+            .where("doc_id is not null").mapInArrow(preselect, "doc_id long, text binary"))
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """Those (hub, member) pairs whose full shingle sets overlap enough, as (a, b)."""
+    # a hub of many members is asked for in several places, each with its own copy of the hub's text
+    size = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).alias("places"))
+    pairs = pairs.join(size, "hub").select("hub", "member", F.pmod(F.xxhash64("member"), F.col("places")).alias("place"))
+    asked = pairs.select("hub", "place", F.col("member").alias("id"), F.lit(1).alias("part")).union(
+        pairs.select("hub", "place", F.col("hub").alias("id"), F.lit(0).alias("part")).distinct())
+    texts = _texts_of(asked, docs)
     # The order part 0 (the hub's own texts) before part 1 (its members) makes a stream.
     sent_out = (asked.join(texts, F.col("id") == F.col("doc_id")).select("hub", "place", "part", "id", "text")
                 .repartition("hub", "place").sortWithinPartitions("hub", "place", "part"))
@@ -183,12 +202,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int =
     return sent_out.mapInArrow(compare, "a long, b long").distinct()
 
 
-def linked(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """(id, component) of the classes that are linked with another one."""
-    trees = forest(classes)
-    left = stored(candidates(trees).select("*", F.col("a").alias("ca"), F.col("b").alias("cb")), "lsh-pairs")
-    links = None
-    found = None
+def joined(pairs: DataFrame, links: DataFrame | None, found: DataFrame | None, docs: DataFrame, percent: int,
+           k: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links and components once the candidate pairs are confirmed, in rounds."""
+    left = stored(pairs.select("*", F.col("a").alias("ca"), F.col("b").alias("cb")), "lsh-pairs")
     round_no, take = 0, (1, 3)
     while not left.isEmpty():
         if round_no < len(take):
@@ -216,7 +233,113 @@ def linked(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int =
                 comp, F.coalesce("__c", end)).drop("__id", "__c")
         left = stored(rest.where("ca <> cb").select("a", "b", "votes", "ca", "cb"), "lsh-pairs")
         round_no += 1
-    return found if found is not None else classes.select("id", F.col("id").alias("component")).limit(0)
+    return links, found
+
+
+def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, c) of the members of regions above ``SMALL`` that hold several components."""
+    name = found.select(F.col("id").alias("__id"), "component")
+    large = (shared.where(F.col("n") > SMALL).select("region", "id").join(name, F.col("id") == F.col("__id"), "left")
+             .select("region", "id", F.coalesce("component", "id").alias("c")))
+    several = large.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region")
+    return large.join(several, "region", "left_semi").select("id", "c").distinct()
+
+
+def common_shingles(texts: DataFrame, n: int, k: int) -> tuple[np.ndarray, bool]:
+    """How common the shingles of a slot are, on a log scale, and whether all texts were counted."""
+    if n > SKETCH_TEXTS:
+        texts = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n)) < SKETCH_TEXTS)
+
+    def count(batches):
+        hashes, slots = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        for _, text in rows_of(batches, "doc_id", "text"):
+            np.add.at(slots, (shingle_set(text, hashes, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(slots)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000].astype(np.int32)),
+                                              pa.array(slots[at[i:i + 100_000]].astype(np.int64))], names=["slot", "n"])
+
+    got = (texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas())
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    out[got["slot"].to_numpy(np.int64)] = np.minimum(255, 4 * np.log2(got["n"].to_numpy(np.float64))).astype(np.uint8)
+    return out, n <= SKETCH_TEXTS
+
+
+def prefixes(members: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """(token, id, c, n, p, short): the shingles at the rare end of each member's sets,
+    with the set's size and the place. ``short``: also within the bound for a partner that
+    is no smaller; the others matter for a smaller partner only."""
+    texts = _texts_of(members, docs)
+    table, whole = common_shingles(texts, members.count(), k)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def cut(batches):
+        hashes, common = WordHashes(), sent.value
+        for b in batches:
+            parts = []
+            for i, c, text in rows_of([b], "id", "c", "text"):
+                s = shingle_set(text, hashes, k)
+                often = common[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                # ties in the order of the hash, so all sets are in one order
+                order = np.lexsort((s, often))[:len(s) + (-percent * len(s) // 100) + 1]
+                p = np.arange(len(order))
+                # a shingle of one set only can't be shared
+                keep = often[order] > 0 if whole else np.ones(len(order), bool)
+                parts.append((s[order][keep].view(np.int64), np.full(keep.sum(), i), np.full(keep.sum(), c),
+                              np.full(keep.sum(), len(s)), p[keep],
+                              ((100 + percent) * (len(s) - p) >= 2 * percent * len(s))[keep]))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)],
+                                                 names=["token", "id", "c", "n", "p", "short"])
+
+    return (members.join(texts, F.col("id") == F.col("doc_id")).select("id", "c", "text")
+            .mapInArrow(cut, "token long, id long, c long, n long, p long, short boolean"))
+
+
+def open_pairs(members: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b, votes): pairs a < b of different components that share a shingle at the rare
+    ends of their sets, and the number of such shingles."""
+    rare = stored(prefixes(members, docs, percent, k), "lsh-prefixes")
+    size = (rare.groupBy("token", "c").agg(F.count("*").alias("n_c"), F.count_if("short").alias("s_c"))
+            .groupBy("token").agg(F.count("*").alias("components"), F.sum("n_c").alias("n_all"), F.sum("s_c").alias("s_all"),
+                                  F.max(F.struct("n_c", "s_c", "c")).alias("most"))
+            .where("components > 1 and s_all > 0")
+            .select("token", "n_all", "s_all", F.col("most.c").alias("major"), F.col("most.n_c").alias("n_major"),
+                    F.col("most.s_c").alias("s_major")))
+    rare = stored(rare.join(size, "token"), "lsh-shared")
+    own, other = F.col("c") == F.col("major"), F.col("c") != F.col("major")
+
+    def pairs(x: DataFrame, y: DataFrame, n_x: str, n_y: str) -> DataFrame:
+        """Smaller sets x with larger ones y by shingle, in a grid of places."""
+        rows, columns = F.ceil(F.expr(n_x) / SIDE), F.ceil(F.expr(n_y) / SIDE)
+        x = (x.where(rows * columns > 0)
+             .select("token", F.pmod(F.xxhash64("id"), rows).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), columns - 1)).alias("j"),
+                     F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px")))
+        y = (y.where(rows * columns > 0)
+             .select("token", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("i"), F.pmod(F.xxhash64("id"), columns).alias("j"),
+                     F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("p").alias("py")))
+        bound = (100 + percent) * F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= percent * (F.col("nx") + F.col("ny"))
+        x, y = x.alias("l"), y.alias("r")
+        on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("token", "i", "j")]
+        return (x.join(y, [*on, F.col("cx") != F.col("cy"), F.col("nx") <= F.col("ny"), bound])
+                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("l.token").alias("token")).distinct())
+
+    short = rare.where("short")
+    both = pairs(short.where(other), rare, "s_all - s_major", "n_all").union(
+        pairs(short.where(own), rare.where(other), "s_major", "n_all - n_major"))
+    return both.groupBy("a", "b").agg(F.count("*").alias("votes"))
+
+
+def linked(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """(id, component) of the classes that are linked with another one."""
+    shared = stored(regions(forest(classes)), "lsh-regions")
+    links, found = joined(candidates(shared), None, None, docs, percent, k)
+    if found is None:
+        return classes.select("id", F.col("id").alias("component")).limit(0)
+    members = stored(open_members(shared, found), "lsh-open")
+    if not members.isEmpty():
+        _, found = joined(open_pairs(members, docs, percent, k), links, found, docs, percent, k)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:

@@ -53,6 +53,32 @@ def test_sub_regions(spark, monkeypatch):
     assert rows_of(near_duplicates.near_duplicates(edge_docs(spark, rows)), *COLUMNS) == brute(rows)
 
 
+def family(n=240, form=420, own=82, common=14):
+    """Texts that share a form (similarity 0.72) and are linked only in pairs (0.755) by a
+    few more shingles of their own."""
+    rows, base = [], [f"form{i}" for i in range(form)]
+    for i in range(n):
+        pair = [f"pair{i // 2}x{j}" for j in range(common)] if i % 4 < 2 else []
+        rows.append((1000 + (i * 101) % n, " ".join(base + pair + [f"own{i}x{j}" for j in range(own - len(pair))])))
+    return rows
+
+
+def test_links_inside_a_family(spark):
+    rows = family()
+    want = brute(rows)
+    assert sum(not r[-1] for r in want) == len(rows) // 4
+    assert rows_of(near_duplicates.near_duplicates(edge_docs(spark, rows)), *COLUMNS) == want
+
+
+def test_family_in_a_grid(spark, monkeypatch):
+    """Cut in many places, counted on a part of the texts, beside near copies in one component."""
+    monkeypatch.setattr(near_duplicates, "SIDE", 3)
+    monkeypatch.setattr(near_duplicates, "SKETCH_TEXTS", 20)
+    rows = family(120)
+    rows += [(5000 + i, rows[0][1] + f" more{i}") for i in range(30)]
+    assert rows_of(near_duplicates.near_duplicates(edge_docs(spark, rows)), *COLUMNS) == brute(rows)
+
+
 def test_empty_tables(spark):
     assert near_duplicates.near_duplicates(edge_docs(spark, [])).count() == 0
     blank = [(1, None), (2, ""), (3, " ")]
