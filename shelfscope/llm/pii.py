@@ -5,20 +5,24 @@ by linear-time forms of the stated patterns: a match can only begin where a run
 characters begins or where the last match ended, so possessive runs behind a look-behind
 find the same leftmost matches without trying each place of a long run.
 
-*Disclosure.* Lines are the contexts. Over all lines of the corpus, with ``N`` lines, a
+*Disclosure.* For a kind of personal data, lines are the contexts. Over all lines of the corpus, with ``N`` lines, a
 kind of personal data in ``n_k`` of them, a term in ``n_t`` and both in ``n_tk``, the
 share of the kind's information that the term gives away is
 ``log(N * n_tk / (n_t * n_k)) / log(N / n_k)``: pointwise mutual information against
 the kind's own information, 1 where the term never occurs without the kind. Terms are
 words of letters outside base spans that occur with the kind ``SUPPORT`` times at least.
-In lines with personal data, terms that reach ``GENERALISE`` become a general label, and
-those that reach ``REMOVE`` go; they are the added ``term`` spans. Lines without
-personal data stay as they are.
+The same share is taken for each protected value (one address, one number), with documents
+as the contexts: there ``n_tk`` counts the documents in which the term stands within ``REACH``
+characters of the value, on its line or another one, in ``VALUE_SUPPORT`` different texts at
+least. Terms that reach ``GENERALISE`` for a kind or a value become a general label, and
+those that reach ``REMOVE`` go, wherever they occur outside base spans, also in texts
+without personal data; they are the added ``term`` spans.
 
 Everything is DataFrame functions. The text scan needs no shuffle; word counts are
-added up in each task before they move; only the texts that hold personal data are cut
-into word rows, keyed by document and version of its text, so a row's group is one
-document. Nothing is broadcast by hint.
+added up in each task before they move; only the texts that hold personal data or a term
+are cut into word rows with places, keyed by document and version of its text, so a row's
+group is one document. Broadcast by hint are the four kinds' counts and the hash buckets,
+``TERM_BUCKETS`` at most, by which the words and texts with a term are chosen before they move.
 
 Defined results: null and empty texts have no spans; a null ``doc_id`` is carried; rows
 alike in id and text are counted as often as they occur and get like results; equal starts
@@ -44,6 +48,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WORD = r"\p{L}{2,}"
 SUPPORT, GENERALISE, REMOVE = 5, 0.8, 0.95
+VALUE_SUPPORT, REACH = 2, 120
+TERM_BUCKETS = 1 << 18
 
 
 def _digits(m: Column) -> Column:
@@ -119,31 +125,49 @@ def line_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return terms, lines.agg(F.count("*").alias("n_lines"))
 
 
+def placed(held: DataFrame, kept: Column | None = None) -> DataFrame:
+    """A row for each word of the texts, one of each doc_id and version: the other columns,
+    term (or what is ``kept`` of the word), line, start, until."""
+    word, gap = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
+    more = [c for c in held.columns if c not in ("doc_id", "version", "text")]
+    rows = held.select("doc_id", "version", *more, F.posexplode(F.arrays_zip(word.alias("word"), gap.alias("gap"))).alias("i", "w"))
+    # only lengths move
+    rows = rows.select("doc_id", "version", *(more if kept is None else []), "i",
+                       (F.lower("w.word") if kept is None else kept).alias("term"), F.length("w.word").alias("size"),
+                       (F.length("w.gap") + F.coalesce(F.length("w.word"), F.lit(0))).alias("length"),
+                       (F.length("w.gap") - F.length(F.replace(F.col("w.gap"), F.lit("\n"), F.lit("")))).alias("breaks"))
+    upto = W.partitionBy("doc_id", "version").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    return (rows.withColumn("until", F.sum("length").over(upto).cast("int")).withColumn("line", F.sum("breaks").over(upto).cast("int"))
+            .where("size is not null and term is not null").withColumn("start", F.col("until") - F.col("size"))
+            .drop("i", "size", "length", "breaks"))
+
+
 def words_near(found: DataFrame) -> DataFrame:
-    """The words outside base spans of the lines that hold base spans: doc_id, version,
-    copies (rows alike), line, kinds of the line, term, start, until."""
+    """The words outside base spans of the lines that hold base spans, or within ``REACH`` of
+    one: doc_id, version, copies (rows alike), line, kinds of the line, values within reach,
+    term, start, until."""
     held = (found.where(F.size("spans") > 0).groupBy("doc_id", "version")
             .agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("spans").alias("spans")))
-    # of each span: the line it begins in
+    # of each span: the line it begins in, and what it protects
+    digits = F.array(*(F.lit(k in ("card", "phone")) for k in KINDS))
+
+    def value(s: Column) -> Column:
+        m = F.substr("text", s["start"] + 1, s["until"] - s["start"])
+        return F.concat_ws(":", s["kind"].cast("string"), F.when(F.element_at(digits, s["kind"] + 1), _digits(m)).otherwise(F.lower(m)))
+
     held = held.withColumn("lines", F.transform("spans", lambda s: F.struct(
         (s["start"] - F.length(F.replace(F.substr("text", F.lit(1), s["start"]), F.lit("\n"), F.lit("")))).alias("line"),
-        s["kind"].alias("kind"))))
-    word, gap = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
-    rows = held.select("doc_id", "version", "copies", "spans", "lines",
-                       F.posexplode(F.arrays_zip(word.alias("word"), gap.alias("gap"))).alias("i", "w"))
-    upto = W.partitionBy("doc_id", "version").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    length = F.length("w.gap") + F.coalesce(F.length("w.word"), F.lit(0))
-    breaks = F.length("w.gap") - F.length(F.replace(F.col("w.gap"), F.lit("\n"), F.lit("")))
-    rows = (rows.withColumn("until", F.sum(length).over(upto).cast("int")).withColumn("line", F.sum(breaks).over(upto).cast("int"))
-            .where("w.word is not null")
-            .withColumn("start", F.col("until") - F.length("w.word"))
+        s["kind"].alias("kind"), s["start"].alias("start"), s["until"].alias("until"), F.xxhash64(value(s)).alias("value"))))
+    rows = (placed(held.drop("spans"))
             .withColumn("kinds", F.expr("array_distinct(transform(filter(lines, x -> x.line = line), x -> x.kind))"))
-            .where((F.size("kinds") > 0) & ~F.expr("exists(spans, s -> s.start < until and start < s.until)")))
-    return rows.select("doc_id", "version", "copies", "line", "kinds", F.lower("w.word").alias("term"), "start", "until")
+            .withColumn("values", F.expr(f"""array_distinct(transform(filter(lines,
+                x -> x.start <= until + {REACH} and start <= x.until + {REACH}), x -> x.value))"""))
+            .where(((F.size("kinds") > 0) | (F.size("values") > 0)) & ~F.expr("exists(lines, s -> s.start < until and start < s.until)")))
+    return rows.select("doc_id", "version", "copies", "line", "kinds", "values", "term", "start", "until")
 
 
 def disclosure(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
-    """(term, kind, given): how much of a kind's information a term gives away."""
+    """(term, given): how much of a kind's information a term gives away."""
     terms, n_lines = line_terms(docs)
     held = found.where(F.size("spans") > 0)
     n_k = (held.select("doc_id", "version", F.posexplode(F.transform("spans", lambda s: F.struct(
@@ -160,20 +184,69 @@ def disclosure(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
     all_of = n_tk.join(terms, "term").join(F.broadcast(n_k), "kind").crossJoin(F.broadcast(n_lines))
     given = F.log(F.col("n_lines") * F.col("n_tk") / (F.col("n_t") * F.col("n_k"))) / F.log(F.col("n_lines") / F.col("n_k"))
     return (all_of.where("n_k < n_lines").withColumn("given", given)
-            .where(F.col("given") >= GENERALISE).select("term", "kind", "given"))
+            .where(F.col("given") >= GENERALISE).select("term", "given"))
+
+
+def _words(text: str) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def _among(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of words whose hash bucket one of the terms has."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+    return words.withColumn("at", bucket).join(F.broadcast(terms.select(bucket.alias("at")).distinct()), "at", "left_semi").drop("at")
+
+
+def value_disclosure(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """(term, given): how much of one protected value's information a term gives away."""
+    at = near.select("doc_id", "version", "copies", "term", F.explode("values").alias("value"))
+    # a value near no word at all has no term
+    n_v = (at.select("doc_id", "version", "copies", "value").distinct()
+           .groupBy("value", "version").agg(F.sum("copies").alias("rows"))
+           .groupBy("value").agg(F.sum("rows").alias("n_v"), F.count("*").alias("texts")).where(F.col("texts") >= VALUE_SUPPORT))
+    n_tv = (at.join(n_v.select("value"), "value", "left_semi").distinct()
+            .groupBy("term", "value", "version").agg(F.sum("copies").alias("rows"))
+            .groupBy("term", "value").agg(F.sum("rows").alias("n_tv"), F.count("*").alias("texts"))
+            .where(F.col("texts") >= VALUE_SUPPORT).drop("texts"))
+    n_tv = stored(n_tv.join(n_v.drop("texts"), "value"), "pii-values")
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("text").rlike(r"\S"))
+    n = texts.count()
+    n_t = (_among(texts.select(F.explode(_words("text")).alias("term")), n_tv)
+           .groupBy("term").agg(F.count("*").alias("n_t")))
+    given = F.log(F.lit(n) * F.col("n_tv") / (F.col("n_t") * F.col("n_v"))) / F.log(F.lit(n) / F.col("n_v"))
+    return (n_tv.where(F.col("n_v") < n).join(n_t, "term").withColumn("given", given)
+            .where(F.col("given") >= GENERALISE).select("term", "given"))
 
 
 def found_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(base rows, added rows): the base spans of every row, and for each document and
-    version with any, its ``term`` spans with what happens to them."""
+    version with any, its text and its ``term`` spans with what happens to them."""
     found = stored(base(docs), "pii-base")
     near = stored(words_near(found), "pii-near")
-    reveals = stored(disclosure(docs, found, near), "pii-terms")
-    added = (near.withColumn("kind", F.explode("kinds")).join(reveals, ["term", "kind"])
-             .groupBy("doc_id", "version", "start", "until").agg(F.max("given").alias("given"))
-             .groupBy("doc_id", "version")
-             .agg(F.array_sort(F.collect_list(F.struct("start", "until", (F.col("given") >= REMOVE).alias("gone")))).alias("terms"))
+    reveals = stored(disclosure(docs, found, near).union(value_disclosure(docs, near))
+                     .groupBy("term").agg(F.max("given").alias("given")), "pii-terms")
+    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = d.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    hits = stored(_among(d.select("doc_id", "version", F.explode(_words("text")).alias("term")), reveals)
+                  .join(reveals, "term").groupBy("doc_id", "version")
+                  .agg(F.map_from_entries(F.collect_set(F.struct("term", F.col("given") >= REMOVE))).alias("gone"))
+                  .select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"), "gone"), "pii-hits")
+    bucket = F.pmod("version", F.lit(TERM_BUCKETS)).cast("int")
+    chosen = hits.select(F.pmod("__v", F.lit(TERM_BUCKETS)).cast("int").alias("at")).distinct()
+    texts = (d.withColumn("at", bucket).join(F.broadcast(chosen), "at", "left_semi")
+             .join(hits, F.expr("doc_id <=> __id and version = __v")).groupBy("doc_id", "version")
+             .agg(F.first("text").alias("text"), F.first("gone").alias("gone")))
+    spans = (found.where(F.size("spans") > 0).groupBy("doc_id", "version").agg(F.first("spans").alias("spans"))
+             .withColumnsRenamed({"doc_id": "__id", "version": "__v"}))
+    texts = stored(texts.join(spans, F.expr("doc_id <=> __id and version = __v"), "left").drop("__id", "__v"), "pii-texts")
+    terms = (placed(texts.drop("spans"), F.element_at("gone", F.lower("w.word"))).groupBy("doc_id", "version")
+             .agg(F.array_sort(F.collect_list(F.struct("start", "until", F.col("term").alias("gone")))).alias("terms"))
              .select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"), "terms"))
+    outside = F.expr("""if(spans is null, terms,
+        filter(terms, t -> not exists(spans, s -> s.start < t.until and t.start < s.until)))""")
+    added = (texts.join(terms, F.expr("doc_id <=> __id and version = __v"))
+             .select("__id", "__v", F.col("text").alias("__cut"), outside.alias("terms")).where(F.size("terms") > 0))
     return found, added
 
 
@@ -187,7 +260,7 @@ def _named(spans: str, kind: str) -> Column:
 def digests(docs: DataFrame) -> DataFrame:
     """Counts, the digest of the base spans, and all spans of every row."""
     found, added = found_spans(docs)
-    d = (found.drop("text").join(added, F.expr("doc_id <=> __id and version = __v"), "left")
+    d = (found.drop("text").join(added.drop("__cut"), F.expr("doc_id <=> __id and version = __v"), "left")
          .withColumn("terms", F.coalesce("terms", F.array().cast(_NO_TERMS))))
     names = F.array(*(F.lit(k) for k in KINDS))
     text = F.transform("spans", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"),
@@ -211,7 +284,11 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     # base spans of two kinds can overlap; the one that begins first (then the longer) covers the other's part
     cuts = (found.where(F.size("spans") > 0).groupBy("doc_id", "version")
             .agg(F.first("text").alias("__text"), F.first("spans").alias("spans"))
-            .join(added, F.expr("doc_id <=> __id and version = __v"), "left").drop("__id", "__v")
+            .withColumn("held", F.lit(True))
+            .join(added, F.expr("doc_id <=> __id and version = __v"), "full")
+            .select(F.when(F.col("held"), F.col("doc_id")).otherwise(F.col("__id")).alias("doc_id"), F.coalesce("version", "__v").alias("version"),
+                    F.coalesce("__text", "__cut").alias("__text"),
+                    F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)).alias("spans"), "terms")
             .withColumn("terms", F.coalesce("terms", F.array().cast(_NO_TERMS)))
             .withColumn("cuts", F.array_sort(F.concat(spans, terms))))
     put = F.expr("""array_join(concat(

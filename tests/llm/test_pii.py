@@ -70,6 +70,19 @@ def test_disclosing_terms(spark):
     assert clean[100] == rows[40][1]
 
 
+def test_terms_of_a_value_and_everywhere(spark):
+    """A name above its number, in two texts only; 'reach' in lines and texts without an address."""
+    rows = [*disclosing(), (200, "call us\nOrtrud Zwick\n+1 555 123 4567 plain"), (201, "now Ortrud\n\n+1 (555) 123-4567 words"),
+            (202, "words of Ortrud alone\nand now"), (203, "plain reach stand"), (None, "null reach")]
+    rows += [(300 + i, "call us now, plain words") for i in range(20)]
+    docs = edge_docs(spark, rows)
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(docs).select("doc_id", "spans").collect()}
+    assert got[202] == "term:9:15" and got[203] == "term:6:11" and got[None] == "term:5:10"
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert "Ortrud" not in clean[200] + clean[201] + clean[202] and "reach" not in clean[203] + clean[None]
+    assert clean[203] == "plain  stand" and clean[300] == rows[-1][1] and "Zwick" in clean[200]
+
+
 def test_sanitised_edge_rows(spark):
     docs = edge_docs(spark, ROWS + HARD)
     got = pii.sanitised(docs)
