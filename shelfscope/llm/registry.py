@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from shelfscope.llm import byte_bpe, decontamination, license_scan, lm_scoring, near_duplicates, pii, quality_classifier, quality_rules, sharding, toxicity
+from shelfscope.llm import (byte_bpe, decontamination, license_scan, lm_scoring, near_duplicates, pii, quality_classifier,
+                            quality_rules, sharding, toxicity, vector_search)
 
 QUERIES = {f.__name__: f for f in (
     lm_scoring.op1_lm_scoring,
@@ -15,10 +16,12 @@ QUERIES = {f.__name__: f for f in (
     quality_rules.op8_quality_rules,
     quality_classifier.op9_quality_classifier,
     near_duplicates.op10_near_duplicates,
+    vector_search.op12_exact_search,
 )}
 
 ORACLE: dict[str, str] = {
     "op2_decontamination": decontamination.SQL,
     "op5_license_scan": license_scan.SQL,
     "op10_near_duplicates": near_duplicates.SQL,
+    "op12_exact_search": vector_search.SQL,
 }
