@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shelfscope.llm import (byte_bpe, decontamination, license_scan, lm_scoring, near_duplicates, pii, quality_classifier,
-                            quality_rules, sharding, toxicity, vector_search)
+                            quality_rules, sharding, toxicity, vector_codes, vector_search)
 
 QUERIES = {f.__name__: f for f in (
     lm_scoring.op1_lm_scoring,
@@ -16,6 +16,7 @@ QUERIES = {f.__name__: f for f in (
     quality_rules.op8_quality_rules,
     quality_classifier.op9_quality_classifier,
     near_duplicates.op10_near_duplicates,
+    vector_codes.op11_vector_codes,
     vector_search.op12_exact_search,
 )}
 
@@ -23,5 +24,6 @@ ORACLE: dict[str, str] = {
     "op2_decontamination": decontamination.SQL,
     "op5_license_scan": license_scan.SQL,
     "op10_near_duplicates": near_duplicates.SQL,
+    "op11_vector_codes": vector_codes.SQL,
     "op12_exact_search": vector_search.SQL,
 }
