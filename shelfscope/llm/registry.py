@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shelfscope.llm import (byte_bpe, decontamination, license_scan, lm_scoring, near_duplicates, pii, quality_classifier,
-                            quality_rules, sharding, toxicity, vector_codes, vector_search)
+                            quality_rules, sharding, source_divergence, toxicity, vector_codes, vector_search)
 
 QUERIES = {f.__name__: f for f in (
     lm_scoring.op1_lm_scoring,
@@ -18,6 +18,7 @@ QUERIES = {f.__name__: f for f in (
     near_duplicates.op10_near_duplicates,
     vector_codes.op11_vector_codes,
     vector_search.op12_exact_search,
+    source_divergence.op13_source_divergence,
 )}
 
 ORACLE: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLE: dict[str, str] = {
     "op10_near_duplicates": near_duplicates.SQL,
     "op11_vector_codes": vector_codes.SQL,
     "op12_exact_search": vector_search.SQL,
+    "op13_source_divergence": source_divergence.SQL,
 }

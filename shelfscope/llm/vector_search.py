@@ -82,7 +82,7 @@ class Block:
                 least = (floor - slack)[:, None]
                 for a, b in zip(stats, self.stats, strict=True):
                     self._keep(alive, a, b[tile], least)
-            i, j, score = self._scores(alive, q, self.x[tile], floor)
+            i, j, score = self._scores(alive, q, self.x[tile], floor, k)
             held = self._merge(tuple(np.concatenate(p) for p in zip(held, (i, j + at, score), strict=True)), k)
             i, first, n = np.unique(held[0], return_index=True, return_counts=True)
             full = n == k
@@ -98,10 +98,12 @@ class Block:
             alive[i, j] = np.einsum("ij,ij->i", a[i], b[j]) >= least[i, 0]
 
     @staticmethod
-    def _scores(alive: np.ndarray, q: np.ndarray, x: np.ndarray, floor: np.ndarray):
+    def _scores(alive: np.ndarray, q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int):
         """The surviving pairs that reach their query's floor, with exact scores."""
         if alive.mean() > SPARSE:
-            s = q @ x.T
+            s = np.where(alive, q @ x.T, -np.inf)
+            if len(x) > k and not np.isfinite(floor).all():  # the tile's own k-th best is a floor, too
+                floor = np.maximum(floor, np.partition(s, len(x) - k, axis=1)[:, len(x) - k])
             i, j = np.nonzero(alive & (s >= floor[:, None]))
             return i, j, s[i, j]
         i, j = np.nonzero(alive)
