@@ -7,23 +7,23 @@ p = 1 + floor(10^9 (c + 1) / (N + V)), with c its count there, N all of the grou
 the language's kept terms; a group's divergence from another in a term is
 f = floor((p - q)^2 / q). All arithmetic is on whole numbers.
 
-**Vectors.** Each term is marked with its language, so that one ``CountVectorizer`` with
-``minDF`` and the largest ``vocabSize`` finds every language's own vocabulary at once and
-turns documents into exact sparse vectors, whose entries are summed by group. The
-estimator gathers its vocabulary on the driver, so texts are cut into terms once and these
-are dealt over slices by a hash; each slice is a folder of its own, with an estimator of
-its own that reads nothing else. There are as many slices as keep the distinct terms of
-one at or under ``SLICE_TERMS``, by an estimate of them all (HyperLogLog, 2 % off). So
-what the driver and a broadcast hold at once has a bound that doesn't grow with the input.
+**Vectors.** ``document_vectors`` turns the documents of an Arrow batch into exact sparse
+vectors (term's number in the batch's vocabulary, count), as a count vectoriser with a
+minimum document frequency and no limit on its vocabulary does. A task adds its vectors up
+by group, entry by entry, each with the number of documents that it is not zero in, and
+sends the sums on whenever it holds ``HELD`` of them. Sums and document frequencies are
+finished by one shuffle on language and term, after which terms below ``min_docs`` go. The
+vocabulary is the resulting table: no driver or task holds it whole. (``pyspark.ml``'s own
+estimator gathers it on the driver; the vectors are held against that one in the tests.)
 
 **Pairs.** With z a group's weight of a term it lacks, the sum of f over all kept terms is
 V f(z, z') + the sums over either group's own terms of what they add to that alone, which
 need only the number of terms of each count, + the sum over the terms that both hold of
 f(p, q) - f(p, z') - f(z, q) + f(z, z'). Only the last one looks at pairs, for each term at
-those of the sources that hold it; these are added up within each task before they are
-shuffled. All pairs of a language's sources are in the result, so their number is no more
-than the result's. Nothing is broadcast by this module, and nothing but two counts is
-collected.
+those of the sources that hold it, from rows sorted by term, so many at a time; these are
+added up before they are shuffled. All pairs of a language's sources are in the result, so
+their number is no more than the result's. This module broadcasts nothing itself, and
+collects one number.
 
 Defined results: a null text, language or source is the empty one; a text without terms
 counts as a document without any; each row is a document, whatever its id, so repeated
@@ -35,171 +35,199 @@ aren't read.
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import shared_dir, small_batches, stored, table
+from shelfscope.llm.common import small_batches, stored, table
 
 MIN_DOCS, TOP_TERMS = 3, 200
-#: Distinct terms of a slice at most, by the estimate; the largest vocabulary size there is.
-SLICE_TERMS, MAX_VOCABULARY = 1 << 22, 2 ** 31 - 1
 ONE = 1_000_000_000
 BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-MARK = "\x00"
-#: Pairs of a term's sources that are evaluated at once.
-PAIRS = 1 << 20
+#: Pairs of a term's sources that are evaluated at once; entries of group sums, and terms, that a task holds.
+PAIRS, HELD, WORDS = 1 << 20, 1 << 20, 1 << 19
 
+SUMS = pa.schema([("tongue", pa.int64()), ("term", pa.string()), ("group", pa.int64()), ("n", pa.int64()), ("docs", pa.int64())])
 
-def marked_terms(text: pa.Array, lang: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The terms of an Arrow column of texts, marked with their languages, and the place of
-    each one's text."""
+
+def document_vectors(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary of some texts, and their vectors' entries that aren't zero: place of the
+    text, number of the term, count, ordered by text and term."""
     lists = pc.split_pattern_regex(pc.ascii_lower(text), BREAK)
     terms, of = lists.flatten(), pc.list_parent_indices(lists)
     there = pc.greater(pc.binary_length(terms), 0)
-    terms, of = terms.filter(there), of.filter(there)
-    return pc.binary_join_element_wise(lang.take(of), terms, MARK), of.to_numpy()
-
-
-def cutter(slices: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row for each document and slice that it has terms of."""
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            terms, of = marked_terms(b.column("text"), b.column("lang"))
-            words = terms.dictionary_encode()
-            part = np.fromiter((zlib.crc32(w.encode()) % slices for w in words.dictionary.to_pylist()), np.int64,
-                               len(words.dictionary))[words.indices.to_numpy()]
-            order = np.lexsort((of, part))
-            key = part[order] * max(len(b), 1) + of[order]
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            docs = pa.array(of[order][first])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("lang").take(docs), b.column("source").take(docs),
-                 pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), terms.take(pa.array(order))),
-                 pa.array(part[order][first], pa.int32())], names=["lang", "source", "terms", "slice"])
-    return cut
-
-
-def distinct_terms(docs: DataFrame) -> int:
-    """An estimate of the number of marked terms."""
-    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([marked_terms(b.column("text"), b.column("lang"))[0].unique()], names=["term"])
-    return docs.mapInArrow(hashed, "term string").agg(F.approx_count_distinct("term", 0.02)).first()[0]
-
-
-def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, slice_terms: int = SLICE_TERMS) -> DataFrame:
-    """lang, source, term, n: the occurrences of the kept terms in each group."""
-    spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/divergence-{uuid.uuid4().hex}"
-    slices = max(-(-distinct_terms(docs) // slice_terms), 1)
-    docs.mapInArrow(cutter(slices), "lang string, source string, terms array<string>, slice int").write.partitionBy(
-        "slice").parquet(f"{path}-terms")
-    terms = spark.read.schema("lang string, source string, terms array<string>, slice int").parquet(f"{path}-terms")
-    # min_docs documents of a mark without a language or a term, so that no vocabulary is empty
-    filler = spark.createDataFrame([("", "", [MARK])] * min_docs, "lang string, source string, terms array<string>")
-    for k in range(slices):
-        part = terms.where(F.col("slice") == k).drop("slice")
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_VOCABULARY).fit(
-            part.union(filler))
-        words = pa.array(model.vocabulary, pa.string())
-        vocabulary = spark.createDataFrame(pa.table({"index": pa.array(range(len(words)), pa.int32()), "marked": words}))
-        vectors = model.transform(part).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-        sums = (vectors.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-                .groupBy("lang", "source", F.col("e.indices").alias("index")).agg(F.sum("e.values").cast("long").alias("n")))
-        (sums.join(vocabulary, "index").select("lang", "source", F.substring_index("marked", MARK, -1).alias("term"), "n")
-         .write.mode("append").parquet(f"{path}-counts"))
-    return spark.read.schema("lang string, source string, term string, n long").parquet(f"{path}-counts")
+    words = terms.filter(there).dictionary_encode()
+    size = max(len(words.dictionary), 1)
+    entry, count = np.unique(of.filter(there).to_numpy().astype(np.int64) * size + words.indices.to_numpy(), return_counts=True)
+    return words.dictionary, entry // size, entry % size, count
+
+
+class GroupSums:
+    """Vectors added up by group, over a vocabulary that grows from batch to batch."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, group: np.ndarray, tongue: np.ndarray, text: pa.Array) -> None:
+        words, doc, term, count = document_vectors(text)
+        number = np.fromiter((self.words.setdefault(w, len(self.words)) for w in words.to_pylist()), np.int64, len(words))
+        rows = _added(np.stack([group[doc], tongue[doc], number[term], count, np.ones_like(count)]))
+        self.held.append(rows)
+        self.size += rows.shape[1]
+        if self.size > HELD:
+            self.held = [_added(np.concatenate(self.held, axis=1))]
+            self.size = self.held[0].shape[1]
+
+    def full(self) -> bool:
+        return self.size > HELD // 2 and len(self.held) == 1 or len(self.words) > WORDS
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        rows = _added(np.concatenate(self.held, axis=1)) if self.held else np.empty((5, 0), np.int64)
+        words = pa.array(list(self.words), pa.string())
+        self.__init__()
+        for at in range(0, rows.shape[1], 1 << 16):
+            group, tongue, term, n, docs = rows[:, at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(tongue), words.take(pa.array(term)), pa.array(group), pa.array(n),
+                                              pa.array(docs)], schema=SUMS)
+
+
+def _added(rows: np.ndarray) -> np.ndarray:
+    """Columns that are alike in the first three rows made one, the last two rows added up."""
+    order = np.lexsort(rows[2::-1])
+    rows = rows[:, order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])[:rows.shape[1]])
+    return np.concatenate([rows[:3, first], np.add.reduceat(rows[3:], first, axis=1)]) if len(first) else rows
+
+
+def group_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = GroupSums()
+    for b in batches:
+        sums.add(b.column("group").to_numpy(), b.column("tongue").to_numpy(), b.column("text"))
+        if sums.full():
+            yield from sums.taken()
+    yield from sums.taken()
+
+
+def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """tongue, term, group, n, lang_n: the occurrences of the kept terms in each group and in
+    its language, for rows of group, tongue (its language's number), text."""
+    w = Window.partitionBy("tongue", "term")
+    return (docs.select("group", "tongue", "text")
+            .mapInArrow(group_sums, "tongue long, term string, group long, n long, docs long")
+            .repartition("tongue", "term").groupBy("tongue", "term", "group").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+            .withColumn("lang_n", F.sum("n").over(w)).withColumn("lang_docs", F.sum("docs").over(w))
+            .where(F.col("lang_docs") >= min_docs).select("tongue", "term", "group", "n", "lang_n"))
+
+
+def div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
 
 def weight(n: Column, total: Column) -> Column:
-    """1 + floor(10^9 (n + 1) / total), exactly: the product is a decimal of 38 digits."""
-    return F.lit(1) + F.call_function("div", F.lit(ONE).cast("decimal(18,0)") * (n + 1).cast("decimal(20,0)"), total.cast("decimal(20,0)"))
+    """1 + floor(10^9 (n + 1) / total) by long division, three decimal digits at a time, so
+    that no product leaves 64 bits; 1 where the total is 0."""
+    out, rest, by = F.lit(1).cast("long"), n + 1, F.when(total > 0, total).otherwise(F.lit(ONE) * F.lit(ONE))
+    for unit in (1_000_000, 1_000, 1):
+        out, rest = out + div(rest * 1000, by) * unit, (rest * 1000) % by
+    return out
 
 
 def divergence(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), q)
+    return div((p - q) * (p - q), q)
 
 
-def common_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each ordered pair of groups that share terms of a batch, the sum over these of
-    f(p, q) - f(p, z') - f(z, q) + f(z, z')."""
-    def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return (p - q) ** 2 // q
+def divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) ** 2 // q
 
+
+def common_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by language and term: for each ordered pair of groups, the sum over
+    the terms that both hold of f(p, q) - f(p, z') - f(z, q) + f(z, z')."""
+    rest = None
     for b in batches:
-        held = b.column("held")
-        n = held.value_lengths().to_numpy().astype(np.int64)
-        fields = held.flatten()
-        group, p, z = (fields.field(c).to_numpy().astype(np.int64) for c in ("group", "p", "z"))
-        names, local = np.unique(group, return_inverse=True)
-        many = np.repeat(n, n)                      # partners of each entry, itself included
-        first = np.repeat(np.cumsum(n) - n, n)      # where its term's entries begin
-        ends = np.cumsum(many)
-        at = 0
-        while at < len(group):
-            to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")), at + 1)
-            m = many[at:to]
-            a = np.repeat(np.arange(at, to), m)
-            c = np.arange(len(a)) - np.repeat(np.cumsum(m) - m - first[at:to], m)
-            a, c = a[a != c], c[a != c]
-            value = f(p[a], p[c]) - f(p[a], z[c]) - f(z[a], p[c]) + f(z[a], z[c])
-            pairs, place = np.unique(local[a] * len(names) + local[c], return_inverse=True)
-            total = np.zeros(len(pairs), np.int64)
-            np.add.at(total, place, value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[pairs // len(names)]), pa.array(names[pairs % len(names)]), pa.array(total)],
-                names=["group", "other", "value"])
-            at = to
+        b = pa.Table.from_batches([b])
+        rows = (b if rest is None else pa.concat_tables([rest, b])).combine_chunks()
+        if not len(rows):
+            continue
+        change = _starts(rows)
+        yield from _pairs(rows.slice(0, change[-1]), change[:-1])
+        rest = rows.slice(change[-1])
+    if rest is not None:
+        yield from _pairs(rest.combine_chunks(), np.zeros(1, np.int64))
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where each term's rows begin."""
+    term, tongue = rows["term"].combine_chunks(), rows["tongue"].to_numpy()
+    differs = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.concatenate([[True], differs | (tongue[1:] != tongue[:-1])]))
+
+
+def _pairs(rows: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    group, p, z = (rows[c].to_numpy() for c in ("group", "p", "z"))
+    size = np.diff(np.append(start, len(group)))
+    names, local = np.unique(group, return_inverse=True)
+    many, first = np.repeat(size, size), np.repeat(start, size)  # partners of a row, itself included; its term's first row
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(group):
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")), at + 1)
+        m = many[at:to]
+        a = np.repeat(np.arange(at, to), m)
+        c = np.arange(len(a)) - np.repeat(np.cumsum(m) - m - first[at:to], m)
+        a, c = a[a != c], c[a != c]
+        value = divergences(p[a], p[c]) - divergences(p[a], z[c]) - divergences(z[a], p[c]) + divergences(z[a], z[c])
+        pairs, place = np.unique(local[a] * len(names) + local[c], return_inverse=True)
+        total = np.zeros(len(pairs), np.int64)
+        np.add.at(total, place, value)
+        yield pa.RecordBatch.from_arrays([pa.array(names[pairs // len(names)]), pa.array(names[pairs % len(names)]),
+                                          pa.array(total)], names=["group", "other", "value"])
+        at = to
 
 
 def audit(df: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, text: str = "text", lang: str = "lang",
-          source: str = "source", slice_terms: int = SLICE_TERMS) -> DataFrame:
+          source: str = "source") -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
     docs = df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n)
                        for c, n in ((text, "text"), (lang, "lang"), (source, "source"))))
-    counts = term_counts(docs, min_docs, slice_terms)
-    whole = stored(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")), "divergence-terms")
-    langs = whole.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
-    sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    none = F.lit(0).cast("long")
-    groups = stored(docs.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
-                    .select("lang", "source", F.monotonically_increasing_id().alias("group"),
-                            *(F.coalesce(c, none).alias(c) for c in ("kept", "total", "lang_total")))
-                    .withColumn("z", F.when(F.col("kept") > 0, weight(none, F.col("total") + F.col("kept"))).otherwise(1)),
-                    "divergence-groups")
-    held = stored(counts.join(groups, ["lang", "source"]).withColumn("p", weight(F.col("n"), F.col("total") + F.col("kept")))
-                  .select("lang", "source", "term", "p", "group", "z", "kept", "lang_total"), "divergence-held")
+    names = stored(docs.select("lang", "source").distinct().withColumn("group", F.monotonically_increasing_id()), "divergence-groups")
+    names = names.withColumn("tongue", F.min("group").over(Window.partitionBy("lang")))
+    counts = stored(term_counts(docs.join(names, ["lang", "source"]), min_docs), "divergence-counts")
+    totals = names.join(counts.groupBy("group").agg(F.sum("n").alias("total")), "group", "left").fillna(0, "total")
+    kept = counts.groupBy("tongue", "term").agg(F.min("lang_n").alias("lang_n")).groupBy("tongue").agg(
+        F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    groups = stored(totals.join(kept, "tongue", "left").fillna(0, ["kept", "lang_total"])
+                    .withColumn("z", weight(F.lit(0).cast("long"), F.col("total") + F.col("kept"))), "divergence-totals")
+    held = (counts.join(groups.drop("tongue"), "group").withColumn("p", weight(F.col("n"), F.col("total") + F.col("kept")))
+            .withColumn("q", weight(F.col("lang_n"), F.col("lang_total") + F.col("kept"))))
 
     # what each pair has if both hold nothing, what either one's own terms add, what common terms add
-    one, two = groups.alias("a"), groups.select("lang", F.col("source").alias("item"), F.col("group").alias("other"), F.col("z").alias("y"))
-    nothing = one.join(two, "lang").where("group <> other").select(
+    two = groups.select("lang", F.col("group").alias("other"), F.col("z").alias("y"))
+    nothing = groups.join(two, "lang").where("group <> other").select(
         "group", "other", (F.col("kept") * divergence(F.col("z"), F.col("y"))).alias("value"))
     own = held.groupBy("lang", "group", "z", "p").agg(F.count("*").alias("k")).join(two, "lang").where("group <> other")
     p, z, y, k = (F.col(c) for c in "pzyk")
     here = own.select("group", "other", (k * (divergence(p, y) - divergence(z, y))).alias("value"))
     there = own.select(F.col("other").alias("group"), F.col("group").alias("other"),
                        (k * (divergence(y, p) - divergence(y, z))).alias("value"))
-    common = (held.groupBy("lang", "term").agg(F.collect_list(F.struct("group", "p", "z")).alias("held")).select("held")
+    common = (held.select("tongue", "term", "group", "p", "z").repartition("tongue", "term").sortWithinPartitions("tongue", "term")
               .mapInArrow(common_terms, "group long, other long, value long"))
     values = nothing.union(here).union(there).union(common).groupBy("group", "other").agg(F.sum("value").alias("value"))
-    pairs = (values.join(groups.select("lang", "source", "group"), "group").join(two.select("item", "other"), "other")
-             .select("lang", "source", F.lit("pair").alias("part"), "item", "value"))
-
-    terms = (held.join(whole, ["lang", "term"])
-             .withColumn("q", weight(F.col("lang_n"), F.col("lang_total") + F.col("kept"))).where("p > q")
-             .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
-                     divergence(F.col("p"), F.col("q")).alias("value")))
-    w = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    return (pairs.withColumn("rank", F.row_number().over(w))
-            .unionByName(terms.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_terms)))
+    pairs = values.join(names.select(F.col("group").alias("other"), F.col("source").alias("item")), "other").select(
+        "group", F.lit("pair").alias("part"), "item", "value")
+
+    terms = held.where("p > q").select("group", F.lit("term").alias("part"), F.col("term").alias("item"),
+                                       divergence(F.col("p"), F.col("q")).alias("value"))
+    w = Window.partitionBy("group").orderBy(F.desc("value"), "item")
+    ranked = (pairs.withColumn("rank", F.row_number().over(w))
+              .unionByName(terms.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_terms)))
+    return ranked.join(names, "group").select("lang", "source", "part", "item", "value", "rank")
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
