@@ -23,7 +23,7 @@ f(p, q) - f(p, z') - f(z, q) + f(z, z'). Only the last one looks at pairs, for e
 those of the sources that hold it, from rows sorted by term, so many at a time; these are
 added up before they are shuffled. All pairs of a language's sources are in the result, so
 their number is no more than the result's. This module broadcasts nothing itself, and
-collects one number.
+collects nothing.
 
 Defined results: a null text, language or source is the empty one; a text without terms
 counts as a document without any; each row is a document, whatever its id, so repeated
@@ -132,10 +132,10 @@ def div(a: Column, b: Column) -> Column:
 def weight(n: Column, total: Column) -> Column:
     """1 + floor(10^9 (n + 1) / total) by long division, three decimal digits at a time, so
     that no product leaves 64 bits; 1 where the total is 0."""
-    out, rest, by = F.lit(1).cast("long"), n + 1, F.when(total > 0, total).otherwise(F.lit(ONE) * F.lit(ONE))
+    out, rest, by = F.lit(1).cast("long"), n + 1, F.when(total > 0, total)
     for unit in (1_000_000, 1_000, 1):
         out, rest = out + div(rest * 1000, by) * unit, (rest * 1000) % by
-    return out
+    return F.coalesce(out, F.lit(1).cast("long"))
 
 
 def divergence(p: Column, q: Column) -> Column:
