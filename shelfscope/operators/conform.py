@@ -77,7 +77,7 @@ def market_filter(origin: str, exc_varietal: str | None = None, exc_origin: str
         home = (F.col(portfolio_col) == 1) & home
     if exc_varietal is None:
         return home
-    either = home | ((F.col("varietal") == F.lit(exc_varietal)) & ieq("origin", exc_origin))
+    either = home | (ieq("varietal", exc_varietal) & ieq("origin", exc_origin))
     # Implied single-table conjunct: Catalyst does not split a disjunction that spans
     # joined tables, so state the origin-only consequence explicitly; it is pushed to
     # the supplier/origin side and shrinks that side before the fact joins.

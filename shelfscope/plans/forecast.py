@@ -128,8 +128,8 @@ def organic_forecast(points: DataFrame, fit: DataFrame | None = None, horizon: i
 
     ``fit`` (per series: ``promo_slope``, ``resid_se``) is used where given; else the model is
     fitted on ``points``. A step whose season was never observed for the series is there
-    with NULL values: there is nothing to forecast it from. Without residual degrees
-    of freedom the band has no width.
+    with NULL values: there is nothing to forecast it from; so is every step of a series that
+    a given ``fit`` has no row for. Without residual degrees of freedom the band has no width.
     """
     fit = ols_fit(points) if fit is None else fit
     seasons = points.groupBy("series", "season").agg(
@@ -137,7 +137,7 @@ def organic_forecast(points: DataFrame, fit: DataFrame | None = None, horizon: i
     # one row a series: its last period and, for each of at most 13 seasons, the two means
     means = F.map_from_entries(F.collect_list(F.struct("season", F.struct("y", "promo").alias("m"))))
     s = (seasons.groupBy("series").agg(F.max("last").alias("last"), means.alias("means"))
-         .join(fit.select("series", "promo_slope", "resid_se"), "series")
+         .join(fit.select("series", "promo_slope", "resid_se"), "series", "left")
          .select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
          .withColumn("no", F.col("last") + F.col("step"))
          .withColumn("season", (F.pmod("no", F.lit(PER_YEAR[calendar])) + 1).cast("int")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shelfscope.functions.numeric import yoy2
 from shelfscope.functions.text import ieq, ine
 from shelfscope.operators import measures as M
-from shelfscope.operators.conform import with_portfolio, with_relative_year
+from shelfscope.operators.conform import market_filter, with_portfolio, with_relative_year
 from shelfscope.operators.position import archetype, hhi_segment, momentum, position
 from shelfscope.params import MarketParams
 
@@ -24,28 +24,32 @@ MARKET = ["province_code", "varietal"]
 
 def brand_base(sales: DataFrame, periods: DataFrame, varietals: DataFrame, p: MarketParams) -> DataFrame:
     """LY/TY volume and revenue by (province, varietal, brand) for the home origin's
-    portfolio varietals plus the exception pair.
-
-    The portfolio flag lives in the varietal dim. Joining that dim to fact rows would
-    put a low-cardinality key (varietal) on a fact-side shuffle whenever the dim is
-    not broadcast, and Spark would reuse that partitioning for the aggregate -- a
-    handful of tasks for the whole fact. So the fact is aggregated first, keyed also
-    by which filter arm each row satisfies; the dim is joined at brand grain, the
-    portfolio condition applied there, and the arms re-aggregated.
+    portfolio varietals plus the exception pair. Keys are compared as match keys.
+
+    Sales that carry ``in_portfolio`` (attached to the products before the fact join) are
+    filtered and aggregated at once. Otherwise the flag comes from the varietal dim, and
+    joining that to fact rows would put a low-cardinality key (varietal) on a fact-side
+    shuffle whenever the dim is not broadcast, which Spark would reuse for the aggregate:
+    a handful of tasks for the whole fact. So the fact is aggregated first, keyed also by
+    which filter arm each row satisfies; the dim is joined at brand grain, the portfolio
+    condition applied there, and the arms re-aggregated.
     """
     s = with_relative_year(sales, periods)
     if p.unit_size is not None:
         s = s.filter(F.col("unit_size") == p.unit_size)
-    home = ieq("origin", p.origin)
-    exc = (F.col("varietal") == F.lit(p.exception_varietal)) & ieq("origin", p.exception_origin)
-    s = (s.filter(F.upper(F.col("origin")).isin(p.origin.upper(), p.exception_origin.upper()) & (home | exc))
-          .withColumn("__home", home).withColumn("__exc", exc))
     measures = {
         "sale_vol_ly": ("sale_9l_case", p.last_year),
         "sale_vol_ty": ("sale_9l_case", p.this_year),
         "revenue_ly": ("revenue", p.last_year),
         "revenue_ty": ("revenue", p.this_year),
     }
+    if "in_portfolio" in sales.columns:
+        s = s.filter(market_filter(p.origin, p.exception_varietal, p.exception_origin, "in_portfolio"))
+        return M.rolling_year(s, MARKET + ["brand"], measures)
+    home = ieq("origin", p.origin)
+    exc = ieq("varietal", p.exception_varietal) & ieq("origin", p.exception_origin)
+    s = (s.filter(market_filter(p.origin, p.exception_varietal, p.exception_origin))
+          .withColumn("__home", home).withColumn("__exc", exc))
     arms = M.rolling_year(s, MARKET + ["brand", "__home", "__exc"], measures)
     kept = with_portfolio(arms, varietals).filter((F.col("__home") & (F.col("in_portfolio") == 1)) | F.col("__exc"))
     return kept.groupBy(*MARKET, "brand").agg(*[F.sum(m).alias(m) for m in measures])

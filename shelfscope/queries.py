@@ -27,7 +27,7 @@ OUTLOOK_INTS = ("total_active_brands", "focal_rank_by_volume", "focal_tier_by_vo
 
 
 def _market(spark: SparkSession, d: str):
-    return proxy.calc_sales(spark, d, window=True), proxy.report_periods(spark), proxy.varietal_dim(spark, d)
+    return proxy.calc_sales(spark, d, window=True, portfolio=True), proxy.report_periods(spark), proxy.varietal_dim(spark, d)
 
 
 @register("market_outlook", OUTLOOK_DOUBLES, OUTLOOK_INTS)
@@ -54,6 +54,14 @@ def q_market_base(spark, d):
     return _mo_base(spark, d)
 
 
+@register("market_base_untidy", BASE_D)
+def q_market_base_untidy(spark, d):
+    """Origins with edge spaces and mixed case give the same base, from the dim's flag."""
+    sales = proxy.calc_sales(spark, d, window=True).withColumn(
+        "origin", F.when(F.crc32("product_code") % 3 == 0, F.concat(F.lit(" "), F.initcap("origin"), F.lit("  "))).otherwise(F.col("origin")))
+    return outlook.brand_base(sales, proxy.report_periods(spark), proxy.varietal_dim(spark, d), P)
+
+
 @register("market_share_rank", BASE_D + ("market_share_ly", "market_share_ty", "cum_market_share_ty"), ("rank_by_sale",))
 def q_market_share_rank(spark, d):
     return outlook.ranked(_mo_base(spark, d))
