@@ -98,3 +98,29 @@ def python_label_bounds(labels: list[str]):
     else:
         end = start(last) + dt.timedelta(days=FISCAL_PERIOD_DAYS)
     return start(labels[0]), end
+
+
+def label_start(label) -> Column:
+    """First day of a label of either calendar."""
+    y, s = label_year(label), label_seq(label)
+    fiscal = F.date_add(F.make_date(y, F.lit(FISCAL_START_MONTH), F.lit(FISCAL_START_DAY)), (s - 1) * FISCAL_PERIOD_DAYS)
+    return F.when(label_kind(label) == "P", fiscal).otherwise(F.make_date(y, F.least(s, F.lit(MONTHS)), F.lit(1)))
+
+
+def label_end(label) -> Column:
+    """Day after the last one of a label of either calendar; the last fiscal period ends with its year."""
+    y, s = label_year(label), label_seq(label)
+    fiscal = F.when(s >= FISCAL_PERIODS, F.make_date(y + 1, F.lit(FISCAL_START_MONTH), F.lit(FISCAL_START_DAY))).otherwise(
+        F.date_add(label_start(label), FISCAL_PERIOD_DAYS))
+    return F.when(label_kind(label) == "P", fiscal).otherwise(F.add_months(label_start(label), 1))
+
+
+def ordinal_label(ordinal: Column, kind: str) -> Column:
+    """The label at a position of a calendar's axis (the inverse of ``label_ordinal``)."""
+    n = F.lit(FISCAL_PERIODS if kind == "P" else MONTHS)
+    return F.format_string(f"%04d{kind}%02d", F.floor((ordinal - 1) / n).cast("int"), (F.pmod(ordinal - 1, n) + 1).cast("int"))
+
+
+def label_of(d, kind: str) -> Column:
+    """The label of a date on the calendar ``kind``."""
+    return fiscal_period(d) if kind == "P" else month_label(d)

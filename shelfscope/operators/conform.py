@@ -20,14 +20,14 @@ def period_analogy(labels: DataFrame, anchors: dict[str, str], label_col: str =
     Season is the month / fiscal period number. ``distinct=False`` skips the
     de-duplication when the labels are already unique (a literal label list).
     """
-    kind = label_kind(label_col)
+    kind = label_kind("period_code")
     per_year = F.when(kind == "P", F.lit(FISCAL_PERIODS)).otherwise(F.lit(MONTHS))
     anchor_ord = None
     for k, a in anchors.items():
         ord_a = (int(a[:4]) * (FISCAL_PERIODS if k == "P" else MONTHS)) + int(a[5:])
         anchor_ord = (F.when(kind == k, F.lit(ord_a)) if anchor_ord is None
                       else anchor_ord.when(kind == k, F.lit(ord_a)))
-    dist = anchor_ord - label_ordinal(label_col)
+    dist = anchor_ord - label_ordinal("period_code")
     rel = (F.when((dist >= 0) & (dist < per_year), F.lit(this_year))
              .when((dist >= per_year) & (dist < per_year * 2), F.lit(last_year)))
     lab = labels.select(F.col(label_col).alias("period_code"))

@@ -496,6 +496,27 @@ def q_conf_sales_view_etl(spark, d):
     return _etl_view(spark, d)
 
 
+@register("dim_period_overlap", (), ("days_before", "days", "period_days"))
+def q_dim_period_overlap(spark, d):
+    """Days that the labels of the delivered files share with the fiscal periods, and with months."""
+    from shelfscope.operators.overlap import period_overlap
+    labels = _sales(spark, d).select(F.col("sale_period").alias("period_code"))
+    return period_overlap(labels, "P").unionByName(period_overlap(labels, "M"))
+
+
+@register("conf_season_sales", ("sale_9l_case", "revenue"))
+def q_conf_season_sales(spark, d):
+    """Every product's sales by fiscal period, whichever calendar its province reports on."""
+    from shelfscope.operators.overlap import apportioned
+    return apportioned(_etl_view(spark, d), "P", ("sale_9l_case", "revenue"), ("province_code", "product_code"))
+
+
+@register("ins_season_comparison", ("rate_ly", "rate_ty", "rate_change_pct", "season_index", "index_gap"), ("season",))
+def q_ins_season_comparison(spark, d):
+    from shelfscope.plans import seasons
+    return seasons.season_comparison(_etl_view(spark, d), proxy.FISCAL_ANCHOR)
+
+
 ETL_P = P.with_(origin="NATION_6", exception_varietal="Promo", exception_origin="NATION_7")
 
 
