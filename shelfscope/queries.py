@@ -696,3 +696,30 @@ def q_fc_accuracy(spark, d):
 def q_fc_decompose(spark, d):
     pts, fit = _fit(spark, d)
     return FC.decompose(pts, fit)
+
+
+from shelfscope.plans import regression as REG  # noqa: E402
+
+PROMO_TYPES = {"tpr": "TPR", "display": "DSP"}
+REGRESSORS = ("tpr", "display", "trend")
+
+
+def _regressor_points(spark, d, calendar="month"):
+    """Lines of each varietal with the promotion types (K0) that their product lists."""
+    from shelfscope.sources.tables import read_table
+    li = read_table(spark, d, "lineitem", ["l_partkey", "l_quantity", "l_shipdate"])
+    part = proxy.raw_attributes(spark, d).select("p_partkey", F.col("code").alias("global_code"), "varietal", "promos_list_this_year")
+    flags = REG.promo_flags(ETL.promo_codes(part), PROMO_TYPES)
+    products = part.select("p_partkey", "global_code", "varietal").join(flags, "global_code", "left")
+    return REG.regressor_points(li.join(products, li.l_partkey == products.p_partkey), "varietal", "l_shipdate", "l_quantity",
+                                tuple(PROMO_TYPES), calendar)
+
+
+@register("fc_ols_regressors", (*(f"{a}_{c}" for a in ("coef", "se") for c in REGRESSORS), "resid_se", "r2"), ("n", "seasons", "used"))
+def q_fc_ols_regressors(spark, d):
+    return REG.fit(_regressor_points(spark, d), REGRESSORS)
+
+
+@register("fc_organic_regressors", ("forecast_median", "forecast_high", "forecast_low"), ("step", "season"))
+def q_fc_organic_regressors(spark, d):
+    return REG.organic_forecast(_regressor_points(spark, d, "fiscal"), tuple(PROMO_TYPES), calendar="fiscal")
