@@ -124,10 +124,11 @@ SQL["market_outlook_etl"] = etl_sql.with_etl(
     etl_sql.VIEW_CTE + MO.outlook_chain(home="NATION_6", varietal="Promo", other="NATION_7") + MO.FINAL_SELECT, products=True)
 
 # ------------------------------------------------------- insights, forecast
-from oracle import insights_sql, regression_sql, seasons_sql  # noqa: E402
+from oracle import backtest_sql, insights_sql, regression_sql, seasons_sql  # noqa: E402
 
 SQL.update(seasons_sql.SQL)
 SQL.update(regression_sql.SQL)
+SQL.update(backtest_sql.SQL)
 
 SQL.update(insights_sql.SQL)
 SQL["ins_price_volume"] = with_base(_FL + """

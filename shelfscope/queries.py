@@ -723,3 +723,26 @@ def q_fc_ols_regressors(spark, d):
 @register("fc_organic_regressors", ("forecast_median", "forecast_high", "forecast_low"), ("step", "season"))
 def q_fc_organic_regressors(spark, d):
     return REG.organic_forecast(_regressor_points(spark, d, "fiscal"), tuple(PROMO_TYPES), calendar="fiscal")
+
+
+from shelfscope.plans import backtest as BT  # noqa: E402
+
+
+@register("fc_backtest", ("mape_pct", "r2"), ("targets",))
+def q_fc_backtest(spark, d):
+    return BT.backtest(_points(spark, d))
+
+
+@register("fc_backtest_steps", ("mape_pct", "r2"), ("targets", "step"))
+def q_fc_backtest_steps(spark, d):
+    return BT.backtest_steps(_points(spark, d, "fiscal"), calendar="fiscal")
+
+
+@register("fc_promo_activations", ("actual", "baseline", "lift_pct", "gap_before", "gap_after"))
+def q_fc_promo_activations(spark, d):
+    return BT.activations(_points(spark, d))
+
+
+@register("fc_promo_activation_lift", ("mean_lift_pct", "pooled_lift_pct"), ("activations",))
+def q_fc_promo_activation_lift(spark, d):
+    return BT.activation_lift(_points(spark, d))
