@@ -231,6 +231,11 @@ UNION ALL SELECT 'positive_total', COUNT(*) FROM pos2_{k}
 UNION ALL SELECT 'required_attributes', COUNT(*) FROM clean_{k}
 UNION ALL SELECT 'sales_long', COUNT(*) * {n} FROM clean_{k}""" for k, n in (("M", len(MONTHS)), ("P", len(FISCAL))))
     + ") GROUP BY step")
+SQL["dq_rejected_rows"] = with_etl(f"""
+SELECT 'accepted' AS reason, count(*) AS rows FROM raw_M WHERE least(code::INT % 7, code::INT % 11, code::INT % 13) > 0
+UNION ALL SELECT '{MONTHS[0]}: not double', count(*) FROM raw_M WHERE code::INT % 7 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'units_per_case: not int', count(*) FROM raw_M WHERE code::INT % 11 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'code: empty', count(*) FROM raw_M WHERE code::INT % 13 = 0 HAVING count(*) > 0""", clean=False)
 _CODES = """
 SELECT global_code, promo_code, COUNT(*) AS occurrences FROM (
   SELECT global_code, upper(trim(unnest(string_split(promos_list_this_year, ';')))) AS promo_code

@@ -13,7 +13,8 @@ _MO = MO.outlook_chain()
 SQL["market_outlook"] = with_base(_MO + MO.FINAL_SELECT)
 SQL["market_outlook_format"] = with_base(MO.outlook_chain(3000) + MO.FINAL_SELECT)
 SQL["market_base"] = with_base(MO.base_cte() + "\nSELECT * FROM mo_base")
-SQL["market_base_untidy"] = SQL["market_base"]
+SQL["market_base_untidy"] = SQL["market_base_rolled"] = SQL["market_base"]
+SQL["market_outlook_rollup"] = SQL["market_outlook"]
 SQL["market_share_rank"] = with_base(MO.base_cte() + MO.RANK_CTE + "\nSELECT * FROM mo_rank")
 SQL["win_share"] = with_base(MO.base_cte() + MO.RANK_CTE +
                              "\nSELECT province_code, varietal, brand, market_share_ly, market_share_ty FROM mo_rank")

@@ -31,8 +31,7 @@ def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return wide.unpivot([], cols, "column_name", "null_count")
 
 
-def step_counts(df: DataFrame, steps: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
-    """(step, rows): how many rows of ``df`` reach each named step, all in one pass. A step
-    is a condition, or a number of rows that each row gives to it (0 if it was dropped)."""
-    counts = [F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long")).alias(n) for n, c in steps.items()]
-    return df.groupBy(*(keys or [])).agg(*counts).unpivot(keys or [], list(steps), "step", "rows")
+def counted(steps: dict[str, DataFrame]) -> DataFrame:
+    """(step, rows): the rows that each step's own result holds, so a step that drops or
+    multiplies rows where it shouldn't shows. Steps that share work share its exchanges."""
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(n).alias("step"), F.count(F.lit(1)).alias("rows")) for n, df in steps.items()])

@@ -78,9 +78,9 @@ def products_of(df: DataFrame) -> DataFrame:
     return df.select("global_code", *C.PRODUCT_ATTRIBUTES)
 
 
-def sales_of(df: DataFrame, spec: CalendarSpec) -> DataFrame:
+def sales_of(df: DataFrame, spec: CalendarSpec, ids: tuple[str, ...] = ("global_code",)) -> DataFrame:
     """B16 + C1 + B18: key + period columns, unpivoted, NumPy-rounded."""
-    return melt(df.select("global_code", *spec.period_labels), ["global_code"], list(spec.period_labels))
+    return melt(df.select(*ids, *spec.period_labels), list(ids), list(spec.period_labels))
 
 
 def clean(raw: DataFrame, colors: DataFrame, bands: list[tuple[str, float, float]], spec: CalendarSpec,

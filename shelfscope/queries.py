@@ -535,20 +535,18 @@ def q_dq_null_profile(spark, d):
 
 @register("dq_step_counts", (), ("rows",))
 def q_dq_step_counts(spark, d):
-    from shelfscope.operators.clean import NOTNULL_COLUMNS
-    from shelfscope.operators.reshape import step_counts
+    from shelfscope.operators.clean import filter_positive, require
+    from shelfscope.operators.reshape import counted
 
-    def counts(s, dd, k):
-        # what the cleaning steps test, as conditions on the keyed rows: one pass, no text is cleaned
-        positive = F.coalesce(F.col("total_sale") > 0, F.lit(False))
-        whole = positive
-        for c in NOTNULL_COLUMNS:
-            whole = whole & F.col(c).isNotNull()
-        return step_counts(proxy.raw_totals(s, dd, k), {
-            "raw": F.lit(1), "positive_total": positive, "required_attributes": whole,
-            "sales_long": F.when(whole, F.lit(len(_spec(k).period_labels))).otherwise(0)})
+    def steps(s, dd, k):
+        # the steps themselves; counting drops the text cleaning between them, which keeps every row
+        raw = ETL.keyed(proxy.raw_totals(s, dd, k))
+        wide = ETL.cleaned_attributes(ETL.keyed(_raw(s, dd, k)), _spec(k))
+        positive = filter_positive(raw, [])
+        return counted({"raw": raw, "positive_total": positive, "required_attributes": require(positive),
+                        "sales_long": ETL.sales_of(wide, _spec(k))})
 
-    return _both(counts)(spark, d).groupBy("step").agg(F.sum("rows").alias("rows"))
+    return _both(steps)(spark, d).groupBy("step").agg(F.sum("rows").alias("rows"))
 
 
 @register("fc_promo_codes", (), ("occurrences",))
@@ -746,3 +744,43 @@ def q_fc_promo_activations(spark, d):
 @register("fc_promo_activation_lift", ("mean_lift_pct", "pooled_lift_pct"), ("activations",))
 def q_fc_promo_activation_lift(spark, d):
     return BT.activation_lift(_points(spark, d))
+
+
+# ------------------------------------------------- period roll-up, rejected rows
+
+from shelfscope.sources import rollup as RU  # noqa: E402
+
+#: The proxy's anchor one period back.
+PREVIOUS_ANCHOR = "2001M09"
+
+
+@register("market_base_rolled", BASE_D)
+def q_market_base_rolled(spark, d):
+    """The outlook's base from last period's sums, moved on by one period."""
+    rows = RU.period_rollup(proxy.calc_sales(spark, d))
+    old, new = {"M": PREVIOUS_ANCHOR}, {"M": proxy.MONTHLY_ANCHOR}
+    state = RU.rolled_forward(RU.year_state(rows, old), rows, old, new)
+    return RU.base_of_state(state, proxy.varietal_dim(spark, d), P)
+
+
+@register("market_outlook_rollup", OUTLOOK_DOUBLES, OUTLOOK_INTS)
+def q_market_outlook_rollup(spark, d):
+    """The report from sums by brand and period in place of the fact's lines."""
+    rows = RU.period_rollup(proxy.calc_sales(spark, d, window=True))
+    return outlook.market_outlook(rows, proxy.report_periods(spark), proxy.varietal_dim(spark, d), P)
+
+
+@register("dq_rejected_rows", (), ("rows",))
+def q_dq_rejected_rows(spark, d):
+    """Raw files as text with bad values by fixed rules: accepted rows and rejections by reason."""
+    from shelfscope.sources.tables import RAW_ATTRIBUTES, checked, wide_schema
+    labels = proxy.wide_labels("M")
+    raw = _raw(spark, d, "M")
+    key = F.col("code").cast("long")
+    text = raw.select("province_code", *[F.col(c).cast("string").alias(c) for c in (*RAW_ATTRIBUTES, *labels)]).withColumns({
+        labels[0]: F.when(key % 7 == 0, "n/a").otherwise(F.col(labels[0])),
+        "units_per_case": F.when(key % 11 == 0, "12x").otherwise(F.col("units_per_case")),
+        "code": F.when(key % 13 == 0, "  ").otherwise(F.col("code"))})
+    accepted, rejected = checked(text, wide_schema(RAW_ATTRIBUTES, labels))
+    return accepted.agg(F.lit("accepted").alias("reason"), F.count(F.lit(1)).alias("rows")).unionByName(
+        rejected.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows")))

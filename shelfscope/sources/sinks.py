@@ -56,13 +56,12 @@ def write_products(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
 
 
 def write_sales(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: tuple[str, ...] = ("province_code",), tasks_per_partition: int = 8) -> None:
-    """Long sales fact, partitioned so reports prune by province. Each partition is
-    dealt by a hash of the product over ``tasks_per_partition`` tasks, so a province that
-    holds most of the rows isn't one task. A missing partition column is an error."""
+                partition_by: tuple[str, ...] = ("province_code",)) -> None:
+    """Long sales fact, partitioned so reports prune by province. Tasks follow the size of
+    what is written: AQE's rebalancing splits a province that holds most of the rows over
+    several tasks and puts small ones together. A missing partition column is an error."""
     require_columns(df.columns, [*partition_by, "global_code"], "the sales table")
-    salt = F.pmod(F.xxhash64("global_code"), F.lit(tasks_per_partition))
-    w = df.repartition(*partition_by, salt).write.mode(mode).partitionBy(*partition_by)
+    w = df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:

@@ -81,6 +81,18 @@ def require_columns(found: list[str], required: list[str], what: str) -> None:
         raise ValueError(f"{what} lacks the columns {', '.join(missing)}")
 
 
+#: Columns as the header says, in every file; bad values fail the read. Column pruning would
+#: hide bad values and other headers in columns that a query doesn't use.
+CHECKED_CSV = {"header": "true", "enforceSchema": "false", "mode": "FAILFAST", "columnPruning": "false"}
+
+
+def file_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
+    """``schema`` in the order of the header at ``path``, with the header's other columns as text."""
+    header = spark.read.option("header", True).csv(path).columns
+    require_columns(header, schema.names, path)
+    return T.StructType([schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header])
+
+
 def read_wide(spark: SparkSession, path: str, period_labels: list[str],
               attributes: dict[str, T.DataType] | None = None, fmt: str = "csv") -> DataFrame:
     """Read one provincial wide sales file (13-period or monthly layout), columns by name.
@@ -88,18 +100,54 @@ def read_wide(spark: SparkSession, path: str, period_labels: list[str],
     The header decides the order: columns may come in any, but all must be there, and
     every file of the folder must have the same header. A value that doesn't fit its
     column's type fails the read (FAILFAST); nothing becomes NULL or moves silently.
+    ``read_wide_checked`` sets such rows aside instead.
     """
     schema = wide_schema(attributes or RAW_ATTRIBUTES, period_labels)
     if fmt != "csv":
         df = spark.read.format(fmt).load(path)
         require_columns(df.columns, schema.names, path)
         return df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-    header = spark.read.option("header", True).csv(path).columns
-    require_columns(header, schema.names, path)
-    in_file = T.StructType([schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header])
-    # column pruning would hide bad values and other headers in columns that a query doesn't use
-    return (spark.read.schema(in_file).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
-            .option("columnPruning", False).csv(path).select(*schema.names))
+    return spark.read.schema(file_schema(spark, path, schema)).options(**CHECKED_CSV).csv(path).select(*schema.names)
+
+
+def checked(rows: DataFrame, schema: T.StructType, required: tuple[str, ...] = ("code",), row_error: str | None = None):
+    """(accepted, rejected) of rows that are all text: C6 as data instead of a failure.
+
+    Accepted rows have the types of ``schema``. A row is rejected if a value doesn't fit its
+    column's type, a required column is empty, or ``row_error`` (a condition) holds; it is
+    kept as it came, with its ``reasons`` in column order. Every row is in one of the two.
+    """
+    def bad(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        empty = c.isNull() | (F.trim(c) == "")
+        wrong = ~empty & c.try_cast(f.dataType).isNull() if not isinstance(f.dataType, T.StringType) else F.lit(False)
+        return [F.when(wrong, F.lit(f"{f.name}: not {f.dataType.simpleString()}")),
+                *([F.when(empty, F.lit(f"{f.name}: empty"))] if f.name in required else [])]
+
+    found = [r for f in schema for r in bad(f)]
+    if row_error:
+        found.insert(0, F.when(F.expr(row_error), F.lit("row: number of values")))
+    # one generated value a row, so that the conditions on some forty columns aren't pushed below and
+    # propagated: Catalyst would try each of them under every alias of every column
+    one = F.explode(F.array(F.struct(F.array_compact(F.array(*found)).alias("reasons"))))
+    marked = rows.select("*", one.alias("__r")).withColumn("reasons", F.col("__r.reasons")).drop("__r")
+    accepted = marked.where(F.size("reasons") == 0).select(
+        *[F.when(F.trim(f"`{f.name}`") != "", F.col(f"`{f.name}`").try_cast(f.dataType)).alias(f.name)
+          if not isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in schema])
+    return accepted, marked.where(F.size("reasons") > 0)
+
+
+def read_wide_checked(spark: SparkSession, path: str, period_labels: list[str], attributes: dict[str, T.DataType] | None = None):
+    """``read_wide`` for CSV files that may hold bad rows: (accepted, rejected). Rejected rows
+    keep every value as text, with ``reasons`` and ``file``; one with too few or too many
+    values is rejected too. accepted + rejected = delivered."""
+    schema = wide_schema(attributes or RAW_ATTRIBUTES, period_labels)
+    header = file_schema(spark, path, schema).names
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "__corrupt"]])
+    rows = (spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt")
+            .option("columnPruning", False).option("enforceSchema", True).csv(path).withColumn("file", F.col("_metadata.file_path")))
+    accepted, rejected = checked(rows, schema, row_error="__corrupt IS NOT NULL")
+    return accepted, rejected.drop("__corrupt")
 
 
 COLOR_SCHEMA = T.StructType([T.StructField("color", T.StringType()), T.StructField("color_five", T.StringType())])

@@ -14,13 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_conformed_sales(view: DataFrame, path: str, mode: str = "overwrite", tasks_per_period: int = 8) -> None:
-    """Store the conformed view partitioned by period. Each period is dealt by a hash of
-    the product over ``tasks_per_period`` writer tasks and sorted by the common report
-    keys inside each file, which keeps parquet min/max statistics selective for
-    province / varietal predicates."""
-    (view.repartition("period_code", F.pmod(F.xxhash64("product_code"), F.lit(tasks_per_period)))
-         .sortWithinPartitions("province_code", "varietal", "brand")
+def write_conformed_sales(view: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store the conformed view partitioned by period. Tasks follow the size of each period
+    (AQE's rebalancing) and sort their rows by the common report keys, which keeps parquet
+    min/max statistics selective for province / varietal predicates."""
+    (view.hint("rebalance", "period_code").sortWithinPartitions("period_code", "province_code", "varietal", "brand")
          .write.mode(mode).partitionBy("period_code").parquet(path))
 
 

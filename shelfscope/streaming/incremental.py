@@ -5,9 +5,13 @@ Structured Streaming job over a landing folder: ``readStream`` with the explicit
 wide schema (no inference), ``trigger(availableNow=True)`` to process whatever has
 arrived and stop, and ``foreachBatch`` applying the batch ETL to each micro-batch.
 
-Each micro-batch writes to its own ``batch_id=<n>`` directory with overwrite, so a
-retried batch replaces its own output (idempotent sink); the streaming checkpoint
-lives under the session's shared ``spark.checkpoint.dir``.
+Files are read by the same rules as in batch (columns by the header's names, a value that
+doesn't fit fails the batch). Products and sales are merged into their tables
+(``sources.merge``): a product delivered again, in the same micro-batch or a later one,
+replaces its row and the periods of its layout, so a corrected or repeated delivery is
+counted once and only the touched partitions are rewritten. A retried batch merges the
+same rows again, which changes nothing. The streaming checkpoint lives under the
+session's shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -15,9 +19,13 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from shelfscope.plans import etl as ETL
-from shelfscope.sources.tables import RAW_ATTRIBUTES, wide_schema
+from shelfscope.sources.merge import latest, merge_partitions
+from shelfscope.sources.tables import CHECKED_CSV, RAW_ATTRIBUTES, file_schema, wide_schema
+
+DELIVERED = ("__time", "__file")
 
 
 def ingest_wide(spark: SparkSession, landing: str, out: str, spec: ETL.CalendarSpec, colors: DataFrame,
@@ -29,10 +37,16 @@ def ingest_wide(spark: SparkSession, landing: str, out: str, spec: ETL.CalendarS
     Input files carry a ``province_code`` column (one folder per province, or the
     column itself in the file).
     """
-    reader = spark.readStream.schema(_schema(spec, province_col))
+    schema = wide_schema({province_col: T.StringType(), **RAW_ATTRIBUTES}, list(spec.period_labels))
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = (reader.option("header", True).csv(landing) if fmt == "csv" else reader.format(fmt).load(landing))
+    if fmt == "csv":
+        stream = reader.schema(file_schema(spark, landing, schema)).options(**CHECKED_CSV).csv(landing)
+    else:
+        stream = reader.schema(schema).format(fmt).load(landing)
+    stream = stream.selectExpr(*[f"`{c}`" for c in schema.names],
+                               "_metadata.file_modification_time AS __time", "_metadata.file_path AS __file")
 
     base = checkpoint or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -42,21 +56,16 @@ def ingest_wide(spark: SparkSession, landing: str, out: str, spec: ETL.CalendarS
     name = hashlib.sha256(f"{landing}\n{out}".encode()).hexdigest()[:16]
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # both outputs read it
+        raw = latest(ETL.keyed(batch.withColumnRenamed(province_col, "province_code")), ("province_code", "global_code"), DELIVERED)
+        raw = raw.persist()  # both outputs read it
         try:
-            products, sales = ETL.clean(batch, colors, bands, spec)
-            products = ETL.conform_products(products)
-            products.write.mode("overwrite").parquet(f"{out}/products/batch_id={batch_id}")
-            sales.write.mode("overwrite").parquet(f"{out}/sales/batch_id={batch_id}")
+            rows = ETL.enriched(ETL.cleaned_attributes(raw, spec), colors, bands, spec)
+            ids = ("province_code", "global_code")
+            merge_partitions(ETL.conform_products(ETL.products_of(rows)), f"{out}/products", ids, ids[:1])
+            merge_partitions(ETL.sales_of(rows, spec, ids), f"{out}/sales", (*ids, "sale_period"), ("province_code", "sale_period"))
         finally:
-            batch.unpersist()
+            raw.unpersist()
 
     return (stream.writeStream.foreachBatch(process)
             .option("checkpointLocation", f"{base.rstrip('/')}/ingest_wide-{name}")
             .trigger(availableNow=True).start())
-
-
-def _schema(spec: ETL.CalendarSpec, province_col: str):
-    from pyspark.sql import types as T
-
-    return wide_schema({province_col: T.StringType(), **RAW_ATTRIBUTES}, list(spec.period_labels))

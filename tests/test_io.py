@@ -46,7 +46,7 @@ def test_streaming_ingest_matches_batch(spark):
     q = ingest_wide(spark, f"{root}/landing", f"{root}/out", _spec("M"), proxy.color_map(spark),
                     proxy.price_band_rows(), checkpoint=f"{root}/ckpt")
     q.awaitTermination()
-    streamed = spark.read.parquet(f"{root}/out/sales").drop("batch_id")
+    streamed = spark.read.parquet(f"{root}/out/sales")
     _, batch = ETL.clean(raw, proxy.color_map(spark), proxy.price_band_rows(), _spec("M"))
     key = ["global_code", "sale_period"]
     a = streamed.groupBy().agg(F.count(F.lit(1)), F.sum("sale_actual_cases")).first()
@@ -145,11 +145,11 @@ def test_read_dim_keeps_the_files_order(spark):
 def test_write_sales_spreads_a_province(spark):
     out = tempfile.mkdtemp(prefix="shelfscope-sales-")
     df = spark.range(5000).selectExpr("cast(id as string) global_code", "'ON' province_code", "1.0 sale_actual_cases")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # 5,000 rows would fit one task
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")  # 5,000 rows would fit one task
     try:
         write_sales(df, f"{out}/s")
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     files = [f for f in os.listdir(f"{out}/s/province_code=ON") if f.endswith(".parquet")]
     assert len(files) > 1 and spark.read.parquet(f"{out}/s").count() == 5000
     with pytest.raises(ValueError, match="province_code"):
@@ -176,3 +176,74 @@ def test_published_benchmark_has_every_label(spark):
     got = spark.read.parquet(f"{out}/b").columns
     assert len(got) == 26 and "AMERICA Origin Top Brand - Market Share %" in got and "Brand#7 - Presence" in got
     assert set(TOP_SKU_LABELS) == {"volume_growth_frac", "market_share_pct"}
+
+
+def _labelled(spark, province, rows):
+    """A monthly file's rows: (code, first period's value), with a header in the schema's order."""
+    from shelfscope.sources.tables import RAW_ATTRIBUTES
+    labels = proxy.wide_labels("M")
+    text = {"description": "Some Wine", "brand": "B", "category_prov": "c", "color": "red", "country_of_origin": "usa", "varietal": "v",
+            "size_ml_per_unit": "750", "units_per_case": "12", "retail_price_this_year": "10"}
+    header = ["province_code", *RAW_ATTRIBUTES, *labels]
+    return header, [{"province_code": province, "code": c, labels[0]: v, **text} for c, v in rows]
+
+
+def _deliver(folder, header, rows):
+    _wide_file(folder, [",".join(header), *[",".join(r.get(c, "") for c in header) for r in rows]])
+
+
+def _ingest(spark, root):
+    from shelfscope.streaming.incremental import ingest_wide
+    ingest_wide(spark, f"{root}/landing", f"{root}/out", _spec("M"), proxy.color_map(spark), proxy.price_band_rows(),
+                checkpoint=f"{root}/ckpt", max_files_per_trigger=1).awaitTermination()
+    first = proxy.wide_labels("M")[0]
+    sales = spark.read.parquet(f"{root}/out/sales").where(F.col("sale_period") == first)
+    return sorted((r["global_code"], r["sale_actual_cases"]) for r in sales.collect())
+
+
+def test_a_corrected_delivery_counts_once(spark):
+    root = tempfile.mkdtemp(prefix="shelfscope-again-")
+    header, rows = _labelled(spark, "ON", [("1", "5"), ("2", "6")])
+    _deliver(f"{root}/landing", header, rows)
+    assert _ingest(spark, root) == [("ON1", 5.0), ("ON2", 6.0)]
+    _deliver(f"{root}/landing", header, rows)                               # the same again
+    _deliver(f"{root}/landing", *_labelled(spark, "ON", [("2", "8")]))      # corrected
+    _deliver(f"{root}/landing", *_labelled(spark, "QC", [("2", "1")]))
+    assert _ingest(spark, root) == [("ON1", 5.0), ("ON2", 8.0), ("QC2", 1.0)]
+    assert spark.read.parquet(f"{root}/out/products").count() == 3
+    assert spark.read.parquet(f"{root}/out/sales").count() == 3 * len(proxy.wide_labels("M"))
+
+
+def test_stream_goes_by_the_header_and_refuses_bad_values(spark):
+    root = tempfile.mkdtemp(prefix="shelfscope-swap-")
+    header, rows = _labelled(spark, "ON", [("1", "5")])
+    _deliver(f"{root}/landing", [*header[:-24], *reversed(header[-24:])], rows)
+    assert _ingest(spark, root) == [("ON1", 5.0)]
+    root = tempfile.mkdtemp(prefix="shelfscope-bad-")
+    _deliver(f"{root}/landing", *_labelled(spark, "ON", [("1", "bad")]))
+    with pytest.raises(Exception, match="(?i)malformed|bad"):
+        _ingest(spark, root)
+
+
+def test_rejected_rows_are_set_aside_with_reasons(spark):
+    from shelfscope.sources.tables import RAW_ATTRIBUTES, read_wide_checked
+    root = tempfile.mkdtemp(prefix="shelfscope-reject-")
+    header, rows = _labelled(spark, "ON", [("1", "5"), ("2", "bad"), ("", "7"), (" ", "x"), ("5", ""), ("6", " 3 "), ("7", "1e2")])
+    header, rows = header[1:], [{k: v for k, v in r.items() if k != "province_code"} for r in rows]
+    lines = [",".join(header), *[",".join(r.get(c, "") for c in header) for r in rows], "8,too,few"]
+    _wide_file(f"{root}/w", lines)
+    labels = proxy.wide_labels("M")
+    accepted, rejected = read_wide_checked(spark, f"{root}/w", labels)
+    assert accepted.schema.names == [*RAW_ATTRIBUTES, *labels]
+    assert {r["code"]: r[labels[0]] for r in accepted.collect()} == {"1": 5.0, "5": None, "6": 3.0, "7": 100.0}
+    got = sorted(tuple(r["reasons"]) for r in rejected.collect())
+    assert got == [(f"{labels[0]}: not double",), ("code: empty",), ("code: empty", f"{labels[0]}: not double"), ("row: number of values",)]
+    assert accepted.count() + rejected.count() == 8 and rejected.where("file LIKE '%/w/%'").count() == 4
+
+
+def test_counted_steps_show_a_broken_step(spark):
+    from shelfscope.operators.clean import filter_positive
+    from shelfscope.operators.reshape import counted
+    df = spark.createDataFrame([(1.0,), (0.0,), (-1.0,)], "total_sale double")
+    rows = {r["step"]: r["rows"] for r in counted({"raw": df, "kept": filter_positive(df, []), "broken": filter_positive(df, []).union(df)}).collect()}
+    assert rows == {"raw": 3, "kept": 1, "broken": 4}
