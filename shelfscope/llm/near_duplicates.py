@@ -350,6 +350,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -
                      .agg(F.min(F.struct("doc_id", "sig")).alias("m"))
                      .select("fp", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig")), "lsh-classes")
     found = linked(classes, docs, percent, k)
+    # rows that share an id are one document, so the classes of an id with several sets are one component
+    several = (all_sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id")
+               .agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id"))
+    ends = stored(all_sets.where("n_shingles > 0").join(several, "doc_id").select("doc_id", "fp").distinct()
+                  .join(classes.select("fp", "id"), "fp").select("doc_id", "id"), "lsh-shared-ids")
+    if not ends.isEmpty():
+        least = ends.groupBy("doc_id").agg(F.min("id").alias("least"))
+        same = ends.join(least, "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))
+        found = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).union(same))
     named = (classes.select("fp", "id").join(found, "id", "left")
              .select(F.col("fp").alias("__fp"), F.coalesce("component", "id").alias("__c")))
     out = (all_sets.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("fp")).alias("fp"))

@@ -89,3 +89,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55), (70, 70), (81, 80), (80, 81)] + [(100, k) for k in range(101, 160)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 50, 55: 50, 80: 80, 81: 80, **{k: 100 for k in range(100, 160)}}
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c, d = (prose(seed, 40) for seed in (91, 92, 93, 94))
+    rows = [(3, a), (10, a), (10, b), (5, b), (20, c), (20, d), (20, ""), (20, None), (21, c + " tail"), (22, d), (30, prose(95, 40)),
+            (None, a), (None, b)]
+    assert rows_of(near_duplicates.near_duplicates(edge_docs(spark, rows)), *COLUMNS) == brute(rows)
+    lone = [(1, a), (1, b), (2, c)]
+    assert rows_of(near_duplicates.near_duplicates(edge_docs(spark, lone)), *COLUMNS) == brute(lone)
