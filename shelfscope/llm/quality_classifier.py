@@ -197,7 +197,9 @@ def train(vectors: DataFrame, labels: DataFrame, label: str = "quality", rows: i
              .where(F.col("__id").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("__id"), 5) != 0))
              .groupBy("__id").agg(F.min("y").alias("y")))
     joined = vectors.join(bounded(known, "__id", rows), F.col("doc_id") == F.col("__id")).select("__id", "vec", "y")
-    got = joined.orderBy("__id", "vec").limit(2 * rows).collect()
+    # one row a sampled id, however often it is repeated, so the bound on ids is the bound on rows
+    got = joined.groupBy("__id").agg(F.min(F.struct("vec", "y")).alias("r")).select("__id", "r.*").collect()
+    got.sort(key=lambda r: r["__id"])
     if not got:
         return None
     return fit(np.array([np.frombuffer(r["vec"], np.float32) for r in got], float), np.array([r["y"] for r in got], float))

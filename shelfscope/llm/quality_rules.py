@@ -155,7 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     d = doc_bytes(docs)
     got = (d.join(F.broadcast(chosen), d["doc_id"] == F.col("__id")).select("doc_id", "text", "label")
            .mapInArrow(_features, "doc_id long, at binary, val binary, label int")
-           .orderBy("doc_id", "at").limit(2 * rows).collect())
+           # one row a sampled id, however often it is repeated, so the bound on ids is the bound on rows
+           .groupBy("doc_id").agg(F.min(F.struct("at", "val", "label")).alias("r")).select("doc_id", "r.*").collect())
+    got.sort(key=lambda r: r["doc_id"])
     return fit([(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["val"], np.float32).astype(float),
                  r["label"]) for r in got])
 

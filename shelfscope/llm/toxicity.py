@@ -106,9 +106,9 @@ def fit(p: list[np.ndarray], u: list[np.ndarray], prior: float, epochs: int = 10
 
 def _distinct(batches):
     known = Buckets()
-    yield from batches_of(((t, known.distinct(x).astype(np.int32).tobytes())
-                           for t, x in rows_of(batches, "toxic", "text")),
-                          pa.schema([("toxic", pa.bool_()), ("at", pa.binary())]), 200)
+    yield from batches_of(((i, t, known.distinct(x).astype(np.int32).tobytes())
+                           for i, t, x in rows_of(batches, "__id", "toxic", "text")),
+                          pa.schema([("__id", pa.int64()), ("toxic", pa.bool_()), ("at", pa.binary())]), 200)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_p: int = FIT_P,
@@ -125,9 +125,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_p: int =
     unlabelled = bounded(ids, "__id", fit_u).select("__id", F.lit(False).alias("toxic"))
     chosen = stored(positive.union(unlabelled), "pu-sample")
     d = doc_bytes(docs)
-    got = (d.join(F.broadcast(chosen), d["doc_id"] == F.col("__id")).select("toxic", "text")
-           .mapInArrow(_distinct, "toxic boolean, at binary")
-           .orderBy("toxic", "at").limit(2 * (fit_p + fit_u)).collect())
+    got = (d.join(F.broadcast(chosen), d["doc_id"] == F.col("__id")).select("__id", "toxic", "text")
+           .mapInArrow(_distinct, "__id long, toxic boolean, at binary")
+           # one row a sampled id, however often it is repeated, so the bound on ids is the bound on rows
+           .groupBy("__id", "toxic").agg(F.min("at").alias("at")).collect())
+    got.sort(key=lambda r: (r["__id"] is None, r["__id"] or 0))
     of = {y: [np.frombuffer(r["at"], np.int32) for r in got if r["toxic"] == y] for y in (True, False)}
     if not of[True] or not of[False]:
         return None

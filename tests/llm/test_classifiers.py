@@ -124,3 +124,18 @@ def test_risk_never_falls_to_memorised_positives():
     w, b = toxicity.fit(toxic[:60], clean + toxic, 80 / 480)
     z = [b + w[x].sum() for x in toxic[60:]], [b + w[x].sum() for x in clean]
     assert np.mean(np.array(z[0]) > 0) > 0.9 and np.mean(np.array(z[1]) > 0) < 0.05
+
+
+def test_a_repeated_id_does_not_fill_the_sample(spark):
+    """One id with very many rows counts once, whatever the bounds."""
+    rows = [(i, ("awful vile " if i % 2 else "kind calm ") + prose(i, 30)) for i in range(1, 60)]
+    rows += [(1000, "plain " + prose(1000, 20))] * 400 + [(2, rows[1][1])] * 400
+    docs = edge_docs(spark, rows)
+    marks = labels(spark, [(i, i % 2, i % 2) for i in range(1, 60)])
+    once = edge_docs(spark, sorted(set(rows)))
+    for module, bound in ((toxicity, {"fit_p": 60, "fit_u": 100}), (quality_rules, {"rows": 60})):
+        many, one = module.train(docs, marks, **bound), module.train(once, marks, **bound)
+        assert many is not None and repr(many) == repr(one)
+    vectors = quality_classifier.word_vectors(once)
+    many, one = (quality_classifier.train(quality_classifier.pooled(d, vectors), marks, rows=60) for d in (docs, once))
+    assert many is not None and repr(many) == repr(one)
