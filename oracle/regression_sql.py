@@ -3,6 +3,10 @@ two and the seasons leave of it (residuals row by row, no normal equations)."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+
 NAMES = ("tpr", "display", "trend")
 
 
@@ -38,6 +42,31 @@ left_over AS (SELECT series, sum(power(f.y - {' - '.join(f'coef_{v} * f.{v}' for
 fit AS (SELECT c.*, sse, sqrt(sse / (n - seasons - 3)) AS resid_se FROM coefs c JOIN left_over USING (series))"""
 
 
+def t95(dof: int) -> float:
+    """The 95 % quantile of Student's t: Newton's method on the integrated density."""
+    nodes, weights = np.polynomial.legendre.leggauss(80)
+    scale = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(dof * math.pi)
+
+    def density(x):
+        return scale * (1 + x * x / dof) ** (-(dof + 1) / 2)
+
+    t = 1.6
+    for _ in range(40):
+        inside = float((weights * density((nodes + 1) * t / 2)).sum()) * t / 2
+        t -= (inside - 0.45) / density(t)
+    return t
+
+
+QUANTILES = ", ".join(f"({v}, {t95(v)!r})" for v in range(4, 151))
+
+#: The leverage of a step: its distance from the season's means along three orthogonal directions.
+LEVERAGE = """,
+dots AS (SELECT series, sum(tpr * tpr) AS aa, sum(display * tpr) / sum(tpr * tpr) AS ba, sum(trend * tpr) / sum(tpr * tpr) AS ca FROM flat GROUP BY series),
+second AS (SELECT f.series, f.trend - ca * f.tpr AS c, f.display - ba * f.tpr AS b FROM flat f JOIN dots USING (series)),
+more AS (SELECT series, sum(b * b) AS bb, sum(c * b) / sum(b * b) AS cb FROM second GROUP BY series),
+third AS (SELECT series, sum(power(c - cb * b, 2)) AS cc FROM second JOIN more USING (series) GROUP BY series),
+bases AS (SELECT * FROM dots JOIN more USING (series) JOIN third USING (series))"""
+
 SQL = {
     "fc_ols_regressors": model() + f"""
 SELECT series, n, seasons, 3 AS used, {', '.join(f'coef_{v}, resid_se / size_{v} AS se_{v}' for v in NAMES)}, resid_se, 1 - sse / sst AS r2 FROM fit""",
@@ -49,5 +78,18 @@ fc AS (SELECT a.series, step, printf('%04dP%02d', (last + step) // 13, CAST((las
               (last + step) % 13 + 1 AS season, 1.6448536269514722 * resid_se AS band,
               y - coef_tpr * tpr - coef_display * display + coef_trend * (last + step - first - trend) AS forecast_median
        FROM ahead a JOIN fit USING (series) LEFT JOIN means m ON m.series = a.series AND m.season = (last + step) % 13 + 1)
+SELECT series, step, target_period, season, forecast_median, forecast_median + band AS forecast_high, forecast_median - band AS forecast_low FROM fc""",
+    "fc_bands_small_sample": model() + LEVERAGE + f""",
+quantiles(dof, t) AS (VALUES {QUANTILES}),
+means AS (SELECT series, season, count(*) AS m, avg(y) AS y, avg(tpr) AS tpr, avg(display) AS display, avg(trend) AS trend FROM pts GROUP BY ALL),
+ends AS (SELECT series, min(no) AS first, max(no) AS last FROM pts GROUP BY ALL),
+ahead AS (SELECT series, first, unnest(range(1, 14)) AS step, last FROM ends),
+away AS (SELECT a.*, m.y, m.m, -m.tpr AS d1, -m.display AS d2, last + step - first - m.trend AS d3, (last + step) % 12 + 1 AS season
+         FROM ahead a LEFT JOIN means m ON m.series = a.series AND m.season = (last + step) % 12 + 1),
+fc AS (SELECT w.series, step, printf('%04d-%02d', (last + step) // 12, CAST(season AS INTEGER)) AS target_period, season,
+              y + coef_tpr * d1 + coef_display * d2 + coef_trend * d3 AS forecast_median,
+              t * resid_se * sqrt(1 + 1.0 / m + d1 * d1 / aa + power(d2 - ba * d1, 2) / bb
+                                  + power(d3 - ca * d1 - cb * (d2 - ba * d1), 2) / cc) AS band
+       FROM away w JOIN fit USING (series) JOIN bases USING (series) JOIN quantiles ON dof = n - seasons - 3)
 SELECT series, step, target_period, season, forecast_median, forecast_median + band AS forecast_high, forecast_median - band AS forecast_low FROM fc""",
 }

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions.calendar import fiscal_period, label_seq, month_label
+from shelfscope.functions.quantiles import t_column
 from shelfscope.plans.forecast import HORIZON, PER_YEAR, Z90, period_text
 
 TOLERANCE = 1e-9
@@ -64,8 +65,9 @@ def gram(points: DataFrame, regressors: tuple[str, ...]) -> DataFrame:
     return by_season.groupBy("series").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("seasons"), total.alias("sst"), *within)
 
 
-def solved(g: DataFrame, regressors: tuple[str, ...]) -> DataFrame:
-    """Coefficients, standard errors, residual standard error and R^2 from the rows of ``gram``."""
+def solved(g: DataFrame, regressors: tuple[str, ...], inverse: bool = False) -> DataFrame:
+    """Coefficients, standard errors, residual standard error and R^2 from the rows of ``gram``;
+    with ``inverse`` also the inverse of the Cholesky factor (``m_i_j``)."""
     p = len(regressors)
     for j in range(p):
         # pivot, its inverse root (0: the regressor is left out), the column of the factor, the right side
@@ -92,7 +94,8 @@ def solved(g: DataFrame, regressors: tuple[str, ...]) -> DataFrame:
              for j, c in enumerate(regressors)}
     return g.select("series", "n", "seasons", "used", *[F.col(f"b_{j}").alias(f"coef_{c}") for j, c in enumerate(regressors)],
                     *[e.alias(f"se_{c}") for c, e in error.items()], "resid_se",
-                    (F.lit(1.0) - F.col("sse") / F.nullif("sst", F.lit(0.0))).alias("r2"))
+                    (F.lit(1.0) - F.col("sse") / F.nullif("sst", F.lit(0.0))).alias("r2"),
+                    *[f"m_{i}_{j}" for j in range(p) for i in range(j, p) if inverse])
 
 
 def fit(points: DataFrame, regressors: tuple[str, ...]) -> DataFrame:
@@ -101,26 +104,41 @@ def fit(points: DataFrame, regressors: tuple[str, ...]) -> DataFrame:
 
 
 def organic_forecast(points: DataFrame, promotions: tuple[str, ...], trend: str | None = "trend", horizon: int = HORIZON,
-                     z: float = Z90, calendar: str = "month") -> DataFrame:
+                     confidence: float | None = None, calendar: str = "month") -> DataFrame:
     """K3/K4 with several regressors: the ``horizon`` periods after each series' last one with
-    every promotion at zero and the trend carried on, and bands of +-z residual SE. A step
-    whose season was never seen is there with NULL values."""
+    every promotion at zero and the trend carried on. A step whose season was never seen is
+    there with NULL values.
+
+    Bands are +-1.645 residual SE. With a ``confidence`` they are prediction intervals of small
+    samples: the quantile of Student's t at the residual degrees of freedom times
+    s * sqrt(1 + 1/m + d'S^-1 d), for a season of m points and the distance d of the
+    step's regressors from their season means (the leverage, from the inverse factor)."""
     regressors = (*promotions, *([trend] if trend else []))
-    model = fit(points, regressors)
-    seasons = points.groupBy("series", "season").agg(F.max("period_no").alias("last"), F.avg("y").alias("y"),
+    model = solved(gram(points, regressors), regressors, inverse=True)
+    seasons = points.groupBy("series", "season").agg(F.max("period_no").alias("last"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("m"),
                                                      *[F.avg(c).alias(c) for c in regressors])
-    means = F.map_from_entries(F.collect_list(F.struct("season", F.struct("y", *regressors).alias("m"))))  # at most 13
+    means = F.map_from_entries(F.collect_list(F.struct("season", F.struct("y", "m", *regressors).alias("m"))))  # at most 13
     start = points.groupBy("series").agg(F.min("period_no").alias("first"))
     s = (seasons.groupBy("series").agg(F.max("last").alias("last"), means.alias("means")).join(start, "series").join(model, "series")
          .select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
          .withColumn("no", F.col("last") + F.col("step"))
-         .withColumn("season", (F.pmod("no", F.lit(PER_YEAR[calendar])) + 1).cast("int")))
-    m = F.try_element_at("means", F.col("season"))
-    median = m["y"]
-    for c in promotions:
-        median = median - F.col(f"coef_{c}") * m[c]
-    if trend:
-        median = median + F.col(f"coef_{trend}") * (F.col("no") - F.col("first") - m[trend])
-    band = F.lit(z) * F.coalesce(F.col("resid_se"), F.lit(0.0))
-    return s.select("series", "step", period_text(F.col("no"), calendar).alias("target_period"), "season",
-                    median.alias("forecast_median"), (median + band).alias("forecast_high"), (median - band).alias("forecast_low"))
+         .withColumn("season", (F.pmod("no", F.lit(PER_YEAR[calendar])) + 1).cast("int"))
+         .withColumn("at", F.try_element_at("means", F.col("season"))))
+    s = s.withColumns({f"d_{j}": (F.col("no") - F.col("first") if c == trend else F.lit(0.0)) - F.col(f"at.{c}")
+                       for j, c in enumerate(regressors)})
+    median = F.col("at.y")
+    for j, c in enumerate(regressors):
+        median = median + F.col(f"coef_{c}") * F.col(f"d_{j}")
+    if confidence is None:
+        band = F.lit(Z90) * F.coalesce(F.col("resid_se"), F.lit(0.0))
+    else:
+        leverage = F.lit(1.0) / F.col("at.m")
+        for i in range(len(regressors)):
+            part = _dot((f"m_{i}_{j}", f"d_{j}") for j in range(i + 1))
+            leverage = leverage + part * part
+        dof = F.col("n") - F.col("seasons") - F.col("used")
+        band = t_column(dof, confidence) * F.col("resid_se") * F.sqrt(F.lit(1.0) + leverage)
+    s = s.select("series", "step", period_text(F.col("no"), calendar).alias("target_period"), "season",
+                 median.alias("forecast_median"), band.alias("band"))
+    return s.select("series", "step", "target_period", "season", "forecast_median", (F.col("forecast_median") + F.col("band")).alias("forecast_high"),
+                    (F.col("forecast_median") - F.col("band")).alias("forecast_low"))

@@ -723,6 +723,12 @@ def q_fc_organic_regressors(spark, d):
     return REG.organic_forecast(_regressor_points(spark, d, "fiscal"), tuple(PROMO_TYPES), calendar="fiscal")
 
 
+@register("fc_bands_small_sample", ("forecast_median", "forecast_high", "forecast_low"), ("step", "season"))
+def q_fc_bands_small_sample(spark, d):
+    """90 % prediction intervals with the quantile of Student's t and the leverage of each step."""
+    return REG.organic_forecast(_regressor_points(spark, d), tuple(PROMO_TYPES), confidence=0.9)
+
+
 from shelfscope.plans import backtest as BT  # noqa: E402
 
 

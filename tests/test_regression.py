@@ -161,3 +161,36 @@ def test_activations(spark):
     lift = {r["series"]: (r["activations"], r["mean_lift_pct"], r["pooled_lift_pct"]) for r in BT.activation_lift(p).collect()}
     assert lift["a"] == (3, pytest.approx((140 + 500 / 3 + 25) / 3), pytest.approx(100 * (95 / 47.5 - 1)))
     assert lift["c"] == (1, None, None) and "e" not in lift
+
+
+def test_t_quantiles_are_the_tabled_ones(spark):
+    from shelfscope.functions.quantiles import t_column
+    # fixed values: two-sided 90 % and 95 % quantiles of Student's t
+    tabled = {0.9: {1: 6.313751515, 2: 2.919985580, 5: 2.015048373, 10: 1.812461123, 30: 1.697260887, 120: 1.657650899},
+              0.95: {1: 12.706204736, 4: 2.776445105, 20: 2.085963447, 60: 2.000297822}}
+    rows = spark.createDataFrame([(v,) for v in (0, 1, 2, 4, 5, 10, 20, 30, 60, 120, 200, 201, 100_000)], "v int")
+    for c, want in tabled.items():
+        got = {r["v"]: r["t"] for r in rows.select("v", t_column(rows.v, c).alias("t")).collect()}
+        assert got[0] is None
+        assert all(got[v] == pytest.approx(t, abs=1e-8) for v, t in want.items())
+        assert 0 < got[200] - got[201] < 1e-4 and got[100_000] == pytest.approx({0.9: 1.6448536, 0.95: 1.9599640}[c], abs=3e-5)
+
+
+def test_small_sample_bands_are_prediction_intervals(points):
+    from shelfscope.functions.quantiles import t_quantile
+    got = {(r["series"], r["step"]): r for r in REG.organic_forecast(points, ("tpr", "display"), confidence=0.9).collect()}
+    for name in ("plain", "gaps", "dupe"):
+        rows = CASES[name]
+        used = (3, 5) if name == "dupe" else (3, 4, 5)
+        seasons = sorted({r[1] for r in rows})
+        a = np.array([[*(float(r[1] == s) for s in seasons), *(r[c] for c in used)] for r in rows])
+        _, _, se, _, _ = least_squares(rows, used)
+        inverse = np.linalg.inv(a.T @ a)
+        last = max(r[0] for r in rows)
+        for step in (1, 7, 13):
+            no = last + step
+            x = np.array([*(float(no % 12 + 1 == s) for s in seasons), *(0.0 if c < 5 else no - 24000 for c in used)])
+            r = got[name, step]
+            want = t_quantile(0.95, len(rows) - a.shape[1]) * se * math.sqrt(1 + x @ inverse @ x)
+            assert r["forecast_high"] - r["forecast_median"] == pytest.approx(want, rel=1e-6)
+    assert got["one", 12]["forecast_median"] is not None and got["one", 12]["forecast_high"] is None
