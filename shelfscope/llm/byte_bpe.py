@@ -9,12 +9,13 @@ query of their own: where the pair's product can't be half of a pair of a lesser
 in the same step. That gives the same result in as many steps as a piece has distinct
 merges, so a piece of a hundred thousand letters ends too. A piece that is a
 token as a whole is that token, as in the public tokenizer library. Decoding joins ids
-with the vocabulary and aggregates the bytes in order.
+with the vocabulary and aggregates the bytes in order; ``round_trip`` does so once for
+each distinct run of ids that a piece was encoded to, and a text is its runs in order.
 
 Each task works on its own rows; there is no shuffle and nothing is sent but the
 tokenizer's path. The vocabulary is read from the installed tokenizer files on each
 worker. Memory: one slice of texts (``SLICE_BYTES`` or one text), ``ROOM`` remembered
-pieces, and a DuckDB instance under ``MEMORY``.
+pieces and half as many runs, and a DuckDB instance under ``MEMORY``.
 
 Defined results: a null or empty text has no tokens and decodes to nothing; a null
 ``doc_id`` is carried; special tokens' strings are ordinary text; rows alike get like
@@ -42,19 +43,22 @@ ROOM = 500_000
 MEMORY = "300MB"
 
 #: start(w, pos, tok) -> the tokens of each piece, for pieces of up to ``SHORT`` bytes: one
-#: contraction a step. ``best`` packs the least rank and its leftmost place.
+#: contraction a step. ``k`` packs piece and place; ``best`` packs the least rank and its leftmost place.
 CONTRACT = """
 WITH RECURSIVE state AS (
-  SELECT w, pos, tok, false AS done FROM start
+  SELECT w::BIGINT << 8 | pos AS k, tok, false AS done FROM start
   UNION ALL
-  SELECT w, pos, CASE WHEN best & 255 = pos THEN (best >> 8)::INTEGER ELSE tok END, best IS NULL
-  FROM (
-    SELECT w, pos, tok, before, min(merges.m::BIGINT << 8 | pos) OVER (PARTITION BY w) AS best
-    FROM (SELECT w, pos, tok, lead(tok) OVER line AS nxt, coalesce(lag(pos) OVER line, -1) AS before
-          FROM state WHERE NOT done WINDOW line AS (PARTITION BY w ORDER BY pos)) p
-    LEFT JOIN merges ON merges.l = p.tok AND merges.r = p.nxt)
-  WHERE best IS NULL OR before <> best & 255)
-SELECT w, list(tok ORDER BY pos) AS ids FROM state WHERE done GROUP BY w
+  (WITH p AS MATERIALIZED (
+     SELECT k, tok, before, merges.m::BIGINT << 8 | (k & 255) AS pair
+     FROM (SELECT k, tok, CASE WHEN ((lead(k) OVER line) >> 8) = (k >> 8) THEN lead(tok) OVER line END AS nxt,
+                  coalesce(lag(k) OVER line, -1) AS before
+           FROM state WHERE NOT done WINDOW line AS (ORDER BY k)) q
+     LEFT JOIN merges ON merges.l = q.tok AND merges.r = q.nxt),
+   least AS (SELECT k >> 8 AS w, min(pair) AS best FROM p GROUP BY k >> 8)
+   SELECT k, CASE WHEN (best & 255) = (k & 255) THEN (best >> 8)::INTEGER ELSE tok END, best IS NULL
+   FROM p JOIN least ON least.w = (k >> 8)
+   WHERE best IS NULL OR before <> ((w << 8) | (best & 255))))
+SELECT (k >> 8)::INTEGER AS w, tok FROM state WHERE done ORDER BY k
 """
 
 #: The same for longer pieces: all places of a pair whose product is safe go in one step.
@@ -82,12 +86,12 @@ WITH RECURSIVE state AS (
       WINDOW line AS (PARTITION BY w ORDER BY pos))
     WINDOW line AS (PARTITION BY w ORDER BY pos))
   WHERE NOT gone)
-SELECT w, list(tok ORDER BY pos) AS ids FROM state WHERE done GROUP BY w
+SELECT w, tok FROM state WHERE done ORDER BY w, pos
 """
 
-#: coded(r, i, tok) -> the bytes of each r in the order of i.
+#: coded(r, i, tok) -> the bytes of each r in the order of i, a character for each byte.
 DECODE = """
-SELECT r, string_agg(vocabulary.hex, '' ORDER BY i) AS hex FROM coded JOIN vocabulary ON vocabulary.id = tok GROUP BY r
+SELECT r, string_agg(vocabulary.chars, '' ORDER BY i) AS chars FROM coded JOIN vocabulary ON vocabulary.id = tok GROUP BY r
 """
 
 
@@ -101,7 +105,11 @@ class Bpe:
         #: Pieces of late, and those of the time before; what neither has is encoded anew.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        #: Runs of ids and their bytes.
+        self.spelled: dict[bytes, bytes] = {}
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.size[list(self.ranks.values())] = list(map(len, self.ranks))
         left, right, made, unsafe = [], [], [], set()
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -116,7 +124,7 @@ class Bpe:
         self._table("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), m=pa.array(made, pa.int32()),
                     safe=pa.array([m not in unsafe for m in made]))
         self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int32()),
-                    hex=pa.array([t.hex() for t in self.ranks]))
+                    chars=pa.array([t.decode("latin-1") for t in self.ranks]))
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
@@ -149,13 +157,12 @@ class Bpe:
                           "pos": (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32),
                           "tok": self.byte[np.frombuffer(b"".join(b for _, b in pieces), np.uint8)]})
         done = self._ask(sql, "start", start)
-        ids = done.column("ids").combine_chunks()
-        values, offsets = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        for w, a, b in zip(done.column("w").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            self.known[pieces[w][0]] = values[a:b].tobytes()
+        ids = done.column("tok").to_numpy().astype("<u4").tobytes()
+        ends = (4 * np.searchsorted(done.column("w").to_numpy(), np.arange(len(pieces) + 1))).tolist()
+        self.known.update((p, ids[a:b]) for (p, _), a, b in zip(pieces, ends, ends[1:], strict=False))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def runs(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The ids of each text's pieces as little-endian unsigned 32-bit integers."""
         cut = [self.pattern.findall(t.decode("utf-8", "replace")) for t in texts]
         pieces = set().union(*cut)
         if len(self.known) + len(pieces) > ROOM // 2:
@@ -170,7 +177,25 @@ class Bpe:
                 new.append(p)
         for s in range(0, len(new), 50_000):
             self.learn(new[s:s + 50_000])
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        return [list(map(self.known.__getitem__, c)) for c in cut]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return list(map(b"".join, self.runs(texts)))
+
+    def spell(self, runs: list[list[bytes]]) -> list[bytes]:
+        """The bytes of each list of runs; runs that aren't known yet are decoded first."""
+        distinct = set().union(*runs)
+        if len(self.spelled) + len(distinct) > ROOM // 2:
+            self.spelled.clear()
+        new = [r for r in distinct if r not in self.spelled]
+        for s, e in _slices([len(r) // 4 for r in new], SLICE_BYTES // 8):
+            # one line of ids for all, cut again by the tokens' sizes: an aggregate of few groups
+            ids = np.frombuffer(b"".join(new[s:e]), "<u4").astype(np.int32)
+            text = self.decode([ids])[0]
+            ends = np.cumsum(np.append(0, self.size[ids]))[np.cumsum([0, *(len(r) // 4 for r in new[s:e])])].tolist()
+            self.spelled.update((r, text[a:b]) for r, a, b in zip(new[s:e], ends, ends[1:], strict=False))
+        return [b"".join(map(self.spelled.__getitem__, r)) for r in runs]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each array of ids."""
@@ -180,8 +205,8 @@ class Bpe:
                           "tok": np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)})
         out = [b""] * len(ids)
         got = self._ask(DECODE, "coded", coded)
-        for r, text in zip(got.column("r").to_pylist(), got.column("hex").to_pylist(), strict=True):
-            out[r] = bytes.fromhex(text)
+        for r, text in zip(got.column("r").to_pylist(), got.column("chars").to_pylist(), strict=True):
+            out[r] = text.encode("latin-1")
         return out
 
 
@@ -259,13 +284,12 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
             for b in batches:
                 texts, doc_ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
                 for s, e in _slices([len(t) for t in texts], SLICE_BYTES):
-                    coded = bpe.encode(texts[s:e])
-                    ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coded]
-                    for f, g in _slices([len(x) for x in ids], SLICE_BYTES // 8):
-                        for i, text in enumerate(bpe.decode(ids[f:g]), f):
-                            yield (doc_ids[s + i], len(ids[i]), hashlib.sha256(coded[i]).hexdigest(),
-                                   hashlib.sha256(text).hexdigest())
+                    runs = bpe.runs(texts[s:e])
+                    for i, (coded, text) in enumerate(zip(map(b"".join, runs), bpe.spell(runs), strict=True), s):
+                        yield (doc_ids[i], len(coded) // 4, hashlib.sha256(coded).hexdigest(),
+                               hashlib.sha256(text).hexdigest())
             bpe.older.clear()  # what a worker keeps between tasks
+            bpe.spelled.clear()
 
         yield from batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
                                                  ("decoded_sha256", pa.string())]))
