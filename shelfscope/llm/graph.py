@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfscope.llm.common import stored
@@ -26,8 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).distinct())
-        e = stored(small, "cc-edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first())
+        # count and checksum are taken while the step is written; counted twice, they only cost a step
+        seen = Observation()
+        e = stored(small.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 31)).alias("sum")), "cc-edges")
+        now = (seen.get["n"], seen.get["sum"])
         if now == before:
             break
         before = now

@@ -8,15 +8,17 @@
    the order. In a small region every pair is a candidate. In a larger one the next
    places of the order decide: candidates are the neighbours with the longest common
    prefix, and the region's smallest id as a hub. A region of more than ``BIG`` classes is
-   cut into sub-regions by its further places before it is sorted, so no task sorts
-   an unbounded group; counts and hubs come from an aggregate.
+   cut into sub-regions by its further places before it is sorted, and a sub-region that
+   still is larger by its ids, so no task sorts an unbounded group; counts and hubs come
+   from an aggregate.
 3. *Confirmation.* Candidates are held against each other on their full shingle sets,
-   in rounds: first each class with the partner that most trees name, then with a few
-   more, then all that is left between different components. A pair inside one component
+   in two rounds: first each class with the ``FIRST`` partners that most trees name, then
+   all that is left between different components. A pair inside one component
    can't change the result and isn't computed. Texts travel to their partner in the
    order of the partner's id and are compared as a stream, so one set is in memory;
    a partner of many is copied to several places, ``MEMBERS`` a place.
-4. Links are joined to connected components by aggregates and joins.
+4. Links are joined to connected components by aggregates and joins; later links are
+   joined as edges between the components that were there before.
 5. *Open regions.* A region larger than ``SMALL`` whose members are then still in more
    than one component is open. All links between members of open regions are found by
    a prefix-filtered join: each set is ordered by how rare its shingles are, and two
@@ -54,6 +56,10 @@ from shelfscope.llm.graph import components
 SHINGLE, PERCENT = 5, 75
 K, TREES, DEPTH = 128, 32, 4
 SMALL, BIG = 8, 2_000
+#: Partners of a class in the first round.
+FIRST = 2
+#: Members of a region that are looked up in one place, in the mean.
+PLACE = 500
 #: Members of a hub that are compared in one place, in the mean.
 MEMBERS = 64
 BITMAP_BITS = 22
@@ -121,8 +127,9 @@ def forest(classes: DataFrame) -> DataFrame:
 
 
 def regions(trees: DataFrame) -> DataFrame:
-    """(region, rest, id, n, hub) of the regions of more than one class."""
-    size = trees.groupBy("region").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
+    """(region, rest, id, n, hub) of the regions of more than one class. The sizes are a table
+    of their own, so that a region that holds many rows is split when it is joined to them."""
+    size = stored(trees.groupBy("region").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "lsh-sizes")
     return trees.join(size, "region")
 
 
@@ -130,10 +137,15 @@ def candidates(shared: DataFrame) -> DataFrame:
     """(a, b, votes): candidate pairs a < b and the number of trees that name them."""
     cut = F.when(F.col("n") <= BIG, F.lit(0)).otherwise(
         F.pmod(F.xxhash64(F.shiftrightunsigned("rest", 32)), F.ceil(F.col("n") / BIG)))
-    w = W.partitionBy("region", "cut").orderBy("rest", "id")
+    shared = shared.withColumn("cut", cut).withColumn("part", F.lit(0).cast("long"))
+    crowded = stored(shared.where(F.col("n") > BIG).groupBy("region", "cut").agg(F.ceil(F.count("*") / BIG).alias("parts"))
+                     .where("parts > 1"), "lsh-crowded")
+    if not crowded.isEmpty():
+        shared = shared.join(crowded, ["region", "cut"], "left").withColumn(
+            "part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)))
+    w = W.partitionBy("region", "cut", "part").orderBy("rest", "id")
     near = [F.lead("id", j).over(w).alias(f"p{j}") for j in range(1, SMALL)]
-    return (shared.withColumn("cut", cut)
-            .select("id", "n", "hub", *near)
+    return (shared.select("id", "n", "hub", *near)
             .select("id", F.explode(F.when(F.col("n") <= SMALL, F.array(*(f"p{j}" for j in range(1, SMALL))))
                                     .otherwise(F.array("p1", "hub"))).alias("p"))
             .where("p <> id")
@@ -202,20 +214,36 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int =
     return sent_out.mapInArrow(compare, "a long, b long").distinct()
 
 
-def joined(pairs: DataFrame, links: DataFrame | None, found: DataFrame | None, docs: DataFrame, percent: int,
-           k: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links and components once the candidate pairs are confirmed, in rounds."""
-    left = stored(pairs.select("*", F.col("a").alias("ca"), F.col("b").alias("cb")), "lsh-pairs")
-    round_no, take = 0, (1, 3)
+def named(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs with the components of their ends as ``ca``, ``cb``; an end without one is its own."""
+    name = found.select(F.col("id").alias("__id"), F.col("component").alias("__c"))
+    for end, comp in (("a", "ca"), ("b", "cb")):
+        pairs = pairs.join(name, F.col(end) == F.col("__id"), "left").withColumn(
+            comp, F.coalesce("__c", end)).drop("__id", "__c")
+    return pairs
+
+
+def contracted(found: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The components ``found`` once more ``a``, ``b`` edges between their names join them."""
+    step = components(edges)
+    if found is None:
+        return step
+    name = step.select(F.col("id").alias("__id"), F.col("component").alias("__c"))
+    moved = (found.join(name, F.col("component") == F.col("__id"), "left")
+             .select("id", F.coalesce("__c", "component").alias("component")))
+    return stored(moved.union(step.join(found.select("id"), "id", "left_anti")), "lsh-components")
+
+
+def joined(pairs: DataFrame, found: DataFrame | None, docs: DataFrame, percent: int, k: int) -> DataFrame | None:
+    """Components once the candidate pairs are confirmed, in rounds."""
+    left = stored(named(pairs, found) if found is not None else pairs.select("*", F.col("a").alias("ca"), F.col("b").alias("cb")),
+                  "lsh-pairs")
+    first = True
     while not left.isEmpty():
-        if round_no < len(take):
+        if first:
             ends = left.select(F.col("a").alias("x"), F.col("b").alias("p"), "votes").union(left.select("b", "a", "votes"))
-            if take[round_no] == 1:
-                best = (ends.groupBy("x").agg(F.max(F.struct("votes", (-F.col("p")).alias("p"))).alias("m"))
-                        .select("x", (-F.col("m.p")).alias("p")))
-            else:
-                order = W.partitionBy("x").orderBy(F.desc("votes"), "p")
-                best = ends.withColumn("r", F.row_number().over(order)).where(F.col("r") <= take[round_no]).select("x", "p")
+            order = W.partitionBy("x").orderBy(F.desc("votes"), "p")
+            best = ends.withColumn("r", F.row_number().over(order)).where(F.col("r") <= FIRST).select("x", "p")
             # of two that name each other, the smaller is the hub
             chosen = (best.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"), F.col("p").alias("hub"))
                       .groupBy("a", "b").agg(F.min("hub").alias("hub")))
@@ -224,25 +252,26 @@ def joined(pairs: DataFrame, links: DataFrame | None, found: DataFrame | None, d
         chosen = stored(chosen, "lsh-chosen")
         asked = chosen.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
         new = stored(confirm(asked, docs, percent, k), "lsh-links")
-        links = new if links is None else links.union(new)
-        found = components(links)
-        name = found.select(F.col("id").alias("__id"), F.col("component").alias("__c"))
+        edges = new.join(left, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        found = contracted(found, edges)
+        if not first:
+            break
         rest = left.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "votes")
-        for end, comp in (("a", "ca"), ("b", "cb")):
-            rest = rest.join(name, F.col(end) == F.col("__id"), "left").withColumn(
-                comp, F.coalesce("__c", end)).drop("__id", "__c")
-        left = stored(rest.where("ca <> cb").select("a", "b", "votes", "ca", "cb"), "lsh-pairs")
-        round_no += 1
-    return links, found
+        left = stored(named(rest, found).where("ca <> cb"), "lsh-pairs")
+        first = False
+    return found
 
 
 def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
     """(id, c) of the members of regions above ``SMALL`` that hold several components."""
     name = found.select(F.col("id").alias("__id"), "component")
-    large = (shared.where(F.col("n") > SMALL).select("region", "id").join(name, F.col("id") == F.col("__id"), "left")
-             .select("region", "id", F.coalesce("component", "id").alias("c")))
-    several = large.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region")
-    return large.join(several, "region", "left_semi").select("id", "c").distinct()
+    places = F.ceil(F.col("n") / PLACE)
+    large = (shared.where(F.col("n") > SMALL).select("region", "id", "n", F.pmod(F.xxhash64("id"), places).alias("place"))
+             .join(name, F.col("id") == F.col("__id"), "left")
+             .select("region", "id", "n", "place", F.coalesce("component", "id").alias("c")))
+    several = (large.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("n").alias("n")).where("lo <> hi")
+               .select("region", F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("place")))
+    return large.join(several, ["region", "place"], "left_semi").select("id", "c").distinct()
 
 
 def common_shingles(texts: DataFrame, n: int, k: int) -> tuple[np.ndarray, bool]:
@@ -333,12 +362,12 @@ def open_pairs(members: DataFrame, docs: DataFrame, percent: int, k: int) -> Dat
 def linked(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """(id, component) of the classes that are linked with another one."""
     shared = stored(regions(forest(classes)), "lsh-regions")
-    links, found = joined(candidates(shared), None, None, docs, percent, k)
+    found = joined(candidates(shared), None, docs, percent, k)
     if found is None:
         return classes.select("id", F.col("id").alias("component")).limit(0)
     members = stored(open_members(shared, found), "lsh-open")
     if not members.isEmpty():
-        _, found = joined(open_pairs(members, docs, percent, k), links, found, docs, percent, k)
+        found = joined(open_pairs(members, docs, percent, k), found, docs, percent, k)
     return found
 
 
@@ -359,10 +388,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -
         least = ends.groupBy("doc_id").agg(F.min("id").alias("least"))
         same = ends.join(least, "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))
         found = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).union(same))
-    named = (classes.select("fp", "id").join(found, "id", "left")
-             .select(F.col("fp").alias("__fp"), F.coalesce("component", "id").alias("__c")))
+    of_set = (classes.select("fp", "id").join(found, "id", "left")
+              .select(F.col("fp").alias("__fp"), F.coalesce("component", "id").alias("__c")))
     out = (all_sets.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("fp")).alias("fp"))
-           .join(named, F.col("fp") == F.col("__fp"), "left")
+           .join(of_set, F.col("fp") == F.col("__fp"), "left")
            .select("doc_id", "n_shingles", F.coalesce("__c", "doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
