@@ -48,7 +48,7 @@ REPEAT = xxhash.xxh3_64_intdigest(b"repeated", seed=2) & ((1 << BITS) - 1)
 class Tokens(dict):
     """Word -> row of its core and row of its shape, packed in one integer."""
 
-    room = 300_000
+    room = 60_000
 
     def __missing__(self, word: bytes) -> int:
         m = (1 << BITS) - 1
