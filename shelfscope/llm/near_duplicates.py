@@ -329,13 +329,14 @@ def open_pairs(members: DataFrame, docs: DataFrame, percent: int, k: int) -> Dat
     """(a, b, votes): pairs a < b of different components that share a shingle at the rare
     ends of their sets, and the number of such shingles."""
     rare = stored(prefixes(members, docs, percent, k), "lsh-prefixes")
+    # a table of its own, so that a shingle of many sets is split when its sets are joined to it
     size = (rare.groupBy("token", "c").agg(F.count("*").alias("n_c"), F.count_if("short").alias("s_c"))
             .groupBy("token").agg(F.count("*").alias("components"), F.sum("n_c").alias("n_all"), F.sum("s_c").alias("s_all"),
                                   F.max(F.struct("n_c", "s_c", "c")).alias("most"))
             .where("components > 1 and s_all > 0")
             .select("token", "n_all", "s_all", F.col("most.c").alias("major"), F.col("most.n_c").alias("n_major"),
                     F.col("most.s_c").alias("s_major")))
-    rare = stored(rare.join(size, "token"), "lsh-shared")
+    rare = stored(rare.join(stored(size, "lsh-tokens"), "token"), "lsh-shared")
     own, other = F.col("c") == F.col("major"), F.col("c") != F.col("major")
 
     def pairs(x: DataFrame, y: DataFrame, n_x: str, n_y: str) -> DataFrame:
