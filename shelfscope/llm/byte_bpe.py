@@ -35,12 +35,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.llm.common import batches_of, doc_bytes, small_batches, table
+from shelfscope.llm.common import batches_of, doc_bytes, give_back, small_batches, table
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SHORT = 255
-ROOM = 500_000
-MEMORY = "300MB"
+ROOM = 360_000
+MEMORY = "150MB"
 
 #: start(w, pos, tok) -> the tokens of each piece, for pieces of up to ``SHORT`` bytes: one
 #: contraction a step. ``k`` packs piece and place; ``best`` packs the least rank and its leftmost place.
@@ -121,6 +121,7 @@ class Bpe:
                     unsafe.update(x for x in (a, b) if rank < x)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self.db.execute("SET preserve_insertion_order = false")
+        self.db.execute("SET allocator_flush_threshold = '8MB'")
         self._table("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), m=pa.array(made, pa.int32()),
                     safe=pa.array([m not in unsafe for m in made]))
         self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int32()),
@@ -189,7 +190,7 @@ class Bpe:
         if len(self.spelled) + len(distinct) > ROOM // 2:
             self.spelled.clear()
         new = [r for r in distinct if r not in self.spelled]
-        for s, e in _slices([len(r) // 4 for r in new], SLICE_BYTES // 8):
+        for s, e in _slices([len(r) // 4 for r in new], SLICE_BYTES // 2):
             # one line of ids for all, cut again by the tokens' sizes: an aggregate of few groups
             ids = np.frombuffer(b"".join(new[s:e]), "<u4").astype(np.int32)
             text = self.decode([ids])[0]
@@ -261,7 +262,7 @@ def decoded(coded: DataFrame, path: str | None = None, pattern: str | None = Non
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
         for b in batches:
-            for s, e in _slices([len(x) for x in b.column("ids")], SLICE_BYTES // 8):
+            for s, e in _slices([len(x) for x in b.column("ids")], SLICE_BYTES // 2):
                 part = b.slice(s, e - s)
                 ids = [x.values.to_numpy(zero_copy_only=False) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"),
@@ -278,6 +279,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     path, pattern = path or found[0], pattern or found[1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what an earlier stage left in this worker
         bpe = _loaded(path, pattern)
 
         def rows():
@@ -290,6 +292,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                                hashlib.sha256(text).hexdigest())
             bpe.older.clear()  # what a worker keeps between tasks
             bpe.spelled.clear()
+            give_back()
 
         yield from batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
                                                  ("decoded_sha256", pa.string())]))

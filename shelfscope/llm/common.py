@@ -12,6 +12,7 @@ Nothing outside this subpackage imports it. Conventions that every operator keep
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -153,8 +154,18 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker lives on after its task, beside
+    those of the next stages. Where the C library has no such call, only Arrow's is made."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples of Python values."""
+    give_back()  # what the worker's last task left
     for b in batches:
         yield from zip(*(b.column(n).to_pylist() for n in names), strict=True)
 
