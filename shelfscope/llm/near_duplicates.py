@@ -143,6 +143,8 @@ def candidates(shared: DataFrame) -> DataFrame:
     if not crowded.isEmpty():
         shared = shared.join(crowded, ["region", "cut"], "left").withColumn(
             "part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)))
+        # else the window would go by the join's partitions, which hold a sub-region as a whole
+        shared = shared.repartition("region", "cut", "part")
     w = W.partitionBy("region", "cut", "part").orderBy("rest", "id")
     near = [F.lead("id", j).over(w).alias(f"p{j}") for j in range(1, SMALL)]
     return (shared.select("id", "n", "hub", *near)
