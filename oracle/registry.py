@@ -123,6 +123,7 @@ SQL.update(etl_sql.SQL)
 SQL["conf_sales_view_etl"] = etl_sql.with_etl(etl_sql.VIEW_CTE + "\nSELECT * FROM calc_sales", products=True)
 SQL["market_outlook_etl"] = etl_sql.with_etl(
     etl_sql.VIEW_CTE + MO.outlook_chain(home="NATION_6", varietal="Promo", other="NATION_7") + MO.FINAL_SELECT, products=True)
+SQL["market_outlook_collated"] = SQL["market_outlook_etl"]
 
 # ------------------------------------------------------- insights, forecast
 from oracle import backtest_sql, insights_sql, regression_sql, seasons_sql  # noqa: E402

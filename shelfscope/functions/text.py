@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,18 +60,41 @@ def lead_strip(c, chars=tuple(LEAD_CHARS)) -> Column:
     return F.regexp_replace(_c(c), pattern, "")
 
 
+def _plain_letters() -> tuple[str, str]:
+    """(accented letters and then combining marks, the letters' plain forms), by the rule
+    of canonical decomposition: a letter of the Latin blocks is folded if what it is made of is
+    an ASCII letter and marks. Marks have no counterpart, so ``translate`` deletes them."""
+    parts = {chr(i): unicodedata.normalize("NFD", chr(i)) for i in range(0x80, 0x2000)}
+    folded = {c: d[0] for c, d in parts.items()
+              if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(unicodedata.category(x) == "Mn" for x in d[1:])}
+    marks = "".join(chr(i) for i in range(0x300, 0x370))
+    return "".join(folded) + marks, "".join(folded.values())
+
+
+ACCENTED, PLAIN = _plain_letters()
+_FOLD = str.maketrans(ACCENTED[:len(PLAIN)], PLAIN, ACCENTED[len(PLAIN):])
+
+
 def match_key(c) -> Column:
-    """Canonical comparison key: case- and edge-space-insensitive (trap T1)."""
-    return F.upper(F.trim(_c(c)))
+    """Canonical comparison key: insensitive to case, edge spaces and accents (trap T1), as a
+    plain string, so that keys group and join by hash. Text of ASCII only, told by its
+    length in bytes, isn't translated."""
+    k = F.upper(F.trim(_c(c)))
+    return F.when(F.octet_length(k) == F.char_length(k), k).otherwise(F.translate(k, ACCENTED, PLAIN))
+
+
+def match_text(s: str) -> str:
+    """The match key of a Python literal."""
+    return s.strip(" ").upper().translate(_FOLD)
 
 
 def ieq(a, b) -> Column:
     """Equality of match keys; ``b`` may be a Python literal."""
     if isinstance(b, str):
-        return match_key(a) == F.lit(b.strip().upper())
+        return match_key(a) == F.lit(match_text(b))
     return match_key(a) == match_key(b)
 
 
 def ine(a, b: str) -> Column:
     """Inequality of match keys: NULL ``a`` is neither equal nor unequal (excluded)."""
-    return match_key(a) != F.lit(b.strip().upper())
+    return match_key(a) != F.lit(match_text(b))

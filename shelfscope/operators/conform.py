@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.calendar import FISCAL_PERIODS, MONTHS, label_kind, label_ordinal, label_seq
-from shelfscope.functions.text import ieq, match_key
+from shelfscope.functions.text import ieq, match_key, match_text
 
 
 def period_analogy(labels: DataFrame, anchors: dict[str, str], label_col: str = "period_code",
@@ -65,10 +65,34 @@ def with_portfolio(df: DataFrame, varietals: DataFrame, how: str = "inner") -> D
 
 
 def canonical_keys(df: DataFrame, cols: list[str], suffix: str = "_key") -> DataFrame:
-    """Add upper-case, trimmed match keys beside display values."""
+    """Add match keys beside display values."""
     return df.withColumns({c + suffix: match_key(c) for c in cols})
 
 
+def one_spelling(products: DataFrame, cols: list[str], like: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Give values that compare equal (F4) one spelling, so that reports group and join them
+    as one, as a server does whose collation ignores case and accents. Meant for products,
+    before they meet the facts. The spelling is the one that the dim of ``like`` has for the
+    column, else the first in byte order. NULL stays NULL, and no row is lost or doubled.
+
+    Only spellings that change are joined: values are distinct before they move, and no
+    hint is given, since their number grows with the catalogue.
+    """
+    out = products
+    for c in cols:
+        seen = products.select(F.col(f"`{c}`").alias("__seen"), F.lit(1).alias("__given"))
+        if like and c in like:
+            seen = seen.unionByName(like[c].select(F.col(f"`{c}`").alias("__seen"), F.lit(0).alias("__given")))
+        seen = (seen.where(F.col("__seen").isNotNull()).groupBy("__seen").agg(F.min("__given").alias("__given"))
+                .withColumn("__key", match_key("__seen")))
+        one = seen.groupBy("__key").agg(F.min(F.struct("__given", "__seen")).alias("__one"))
+        changed = (seen.join(one, "__key").where(F.col("__seen") != F.col("__one.__seen"))
+                   .select("__seen", F.col("__one.__seen").alias("__put")))
+        out = (out.join(changed, F.col(f"`{c}`") == F.col("__seen"), "left")
+               .withColumn(c, F.coalesce("__put", F.col(f"`{c}`"))).drop("__seen", "__put"))
+    return out
+
+
 def market_filter(origin: str, exc_varietal: str | None = None, exc_origin: str | None = None,
                   portfolio_col: str | None = None):
     """(portfolio AND origin = home) OR (varietal = exception AND origin = exception)."""
@@ -81,5 +105,5 @@ def market_filter(origin: str, exc_varietal: str | None = None, exc_origin: str
     # Implied single-table conjunct: Catalyst does not split a disjunction that spans
     # joined tables, so state the origin-only consequence explicitly; it is pushed to
     # the supplier/origin side and shrinks that side before the fact joins.
-    implied = match_key("origin").isin(origin.strip().upper(), exc_origin.strip().upper())
+    implied = match_key("origin").isin(match_text(origin), match_text(exc_origin))
     return implied & either

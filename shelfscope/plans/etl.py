@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import NUMERIC_TEXT
 from shelfscope.operators import clean as C
-from shelfscope.operators.reshape import melt, union_all
+from shelfscope.operators.reshape import Observed, melt, union_all
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def keyed(raw: DataFrame, province_code: str | None = None) -> DataFrame:
     return C.global_code(df)
 
 
-def cleaned_attributes(df: DataFrame, spec: CalendarSpec) -> DataFrame:
+def cleaned_attributes(df: DataFrame, spec: CalendarSpec, observed: Observed | None = None) -> DataFrame:
     """Positive total, required attributes, title case + commas + whitespace,
     USA repair, leading-character strip.
 
@@ -43,10 +43,12 @@ def cleaned_attributes(df: DataFrame, spec: CalendarSpec) -> DataFrame:
     cleaning. An input that has ``total_sale`` instead of the period columns is the
     product branch's. The cleaning maps NULL to NULL and non-NULL to non-NULL, so checking
     first is equivalent -- and it keeps the (pushed-down) NOT NULL filter from
-    evaluating every cleaning expression a second time.
+    evaluating every cleaning expression a second time. ``observed`` counts the steps' rows
+    while they run (C5).
     """
-    df = C.filter_positive(df, [] if "total_sale" in df.columns else list(spec.period_labels))
-    df = C.require(df)
+    seen = observed.watch if observed else lambda step, rows: rows
+    df = C.filter_positive(seen("raw", df), [] if "total_sale" in df.columns else list(spec.period_labels))
+    df = seen("required_attributes", C.require(seen("positive_total", df)))
     df = C.title_case(df)
     if spec.fix_usa:
         df = C.replace_values(df, "country_of_origin", C.USA_FIX, F.col("province_code").isin(*spec.fix_usa))
@@ -84,9 +86,9 @@ def sales_of(df: DataFrame, spec: CalendarSpec, ids: tuple[str, ...] = ("global_
 
 
 def clean(raw: DataFrame, colors: DataFrame, bands: list[tuple[str, float, float]], spec: CalendarSpec,
-          unmatched: str = "null") -> tuple[DataFrame, DataFrame]:
+          unmatched: str = "null", observed: Observed | None = None) -> tuple[DataFrame, DataFrame]:
     """Full per-calendar block: returns (products, long sales)."""
-    e = enriched(cleaned_attributes(keyed(raw), spec), colors, bands, spec, unmatched)
+    e = enriched(cleaned_attributes(keyed(raw), spec, observed), colors, bands, spec, unmatched)
     return products_of(e), sales_of(e, spec)
 
 

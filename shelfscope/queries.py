@@ -526,6 +526,26 @@ def q_market_outlook_etl(spark, d):
     return outlook.market_outlook(_etl_view(spark, d), proxy.report_periods(spark), varietals, ETL_P)
 
 
+SPELLED = ("brand", "varietal", "country_of_origin")
+
+
+def _respelled(products):
+    """A third of the products written with accents and an edge space."""
+    other = F.crc32("global_code") % 3 == 0
+    return products.withColumns({c: F.when(other, F.concat(F.translate(c, "AEIOUaeiou", "ÁÉÍÓÚáéíóú"), F.lit(" "))).otherwise(F.col(c))
+                                 for c in SPELLED})
+
+
+@register("market_outlook_collated", OUTLOOK_DOUBLES, OUTLOOK_INTS)
+def q_market_outlook_collated(spark, d):
+    """Spellings that differ by case, accents or edge spaces are one brand, varietal and origin."""
+    from shelfscope.operators.conform import one_spelling
+    varietals = proxy.varietal_dim(spark, d).withColumn("varietal", F.initcap("varietal"))
+    products = one_spelling(_respelled(_products(spark, d)), list(SPELLED), {"varietal": varietals})
+    view = ETL.sales_view(_sales(spark, d), products, proxy.report_periods(spark))
+    return outlook.market_outlook(view, proxy.report_periods(spark), varietals, ETL_P)
+
+
 @register("dq_null_profile", (), ("null_count",))
 def q_dq_null_profile(spark, d):
     from shelfscope.operators.reshape import null_profile
