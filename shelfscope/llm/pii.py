@@ -296,10 +296,15 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             substr(__text, reach(c, i) + 1, greatest(0, c.start - reach(c, i))), if(c.until > reach(c, i), c.put, ''))),
         array(substr(__text, array_max(transform(cuts, x -> x.until)) + 1))), '')""".replace(
         "reach(c, i)", "if(i = 0, 0, array_max(transform(slice(cuts, 1, i), x -> x.until)))"))
-    new = cuts.select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"), put.alias("__clean"))
+    new = stored(cuts.select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"), put.alias("__clean")), "pii-clean")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{doc_id}`").alias("i"),
                         F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("v"))
-    return (whole.join(new, F.expr("i <=> __id and v = __v"), "left")
+    # rows whose text stays as it is don't move, but for those that share a bucket with one that is cut
+    whole = whole.withColumn("at", F.pmod("v", F.lit(TERM_BUCKETS)).cast("int"))
+    chosen = F.broadcast(new.select(F.pmod("__v", F.lit(TERM_BUCKETS)).cast("int").alias("at")).distinct())
+    kept = whole.join(chosen, "at", "left_anti").withColumn("__clean", F.lit(None).cast("string"))
+    cut = whole.join(chosen, "at", "left_semi").join(new, F.expr("i <=> __id and v = __v"), "left")
+    return (kept.unionByName(cut.drop("__id", "__v"))
             .select(*((F.coalesce("__clean", f"row.`{c}`") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns)))
 
 
