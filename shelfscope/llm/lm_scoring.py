@@ -1,44 +1,48 @@
 """Language-model scoring by logistic context mixing.
 
-The model gives a probability to a text's words (lower-cased A-Z, then one end):
-
-* *Bit predictors.* A word is coded as its bytes and a closing byte, bit by bit.
-  ``ORDERS`` hashed contexts (the last one to four bytes of the word) each predict the
-  next bit from their counts over the blocks' distinct training words. Their logits are
-  combined by gated weights: the gate is the bit's place in the byte and how much the
-  longest context has seen. The weights are learnt online, by one stochastic pass after
-  another over the training contexts in every partition, each prediction leaving out
-  the occurrence that it predicts; passes are averaged.
-* *Adaptive refinement.* Within a document, the bit coder is mixed with the counts of
-  whole training words, as a whole and by class (a hash of the training documents'
-  ``lang``), and with the words the document has had so far. The mixture's weights follow
-  each document by Bayes' rule over a grid of settings, so a document's probability is
-  exactly that of coding it word after word with weights that adapt. The scored
-  document's own ``lang`` isn't used.
+The model gives a probability to a text's words (lower-cased A-Z, then one end). A word is
+coded as its bytes and a closing byte, bit by bit:
+
+* *Bit predictors.* Each predicts the next bit by the training occurrences of its context:
+  ``ORDERS`` hashed byte contexts (the last one to four bytes of the word); the word's bytes
+  so far, in all training words and in those of a class (a hash of the training documents'
+  ``lang``); for the first byte, the hashed previous word and the hashed previous two words.
+* *Gated mixing.* The predictors' logits are combined by weights that a gate selects (the
+  bit's place in the byte and how much its longest context has seen), in two layers: the
+  byte contexts by stochastic passes over all training contexts, weights averaged over partitions,
+  then their mixture with the other predictors by Newton steps over all training words, whose
+  inputs are counted in cells of ``GRAIN``. Each prediction leaves out the occurrence that it predicts.
+* *Adaptive refinement.* There is a mixer for each class and each gain of ``GAINS``. Along a
+  document, the mixers' weight follows Bayes' rule, and with them that of small shares for
+  the words the document has had so far and for the byte contexts alone, so a document's
+  probability is exactly that of coding it word after word with weights that adapt. The
+  scored document's own ``lang`` isn't used.
 
 How it scales: documents are dealt by a hash into blocks of about ``BLOCK_BYTES``. A block
-emits one row for each distinct word and class (the word's 64-bit hash and its training
-count) and one for each distinct byte context; one shuffle sums both by their key, and a
-block gets back the counts that differ from its own. No vocabulary is broadcast or
-collected; what is broadcast is the bit predictors' table, ``ORDERS x 2**SLOT_BITS`` pairs
-of counts (16 MB) whatever the input, and the gates. For a word of several classes its
-greatest class count and the rest are kept.
+emits one row for each distinct word and class, byte context, and pair of previous words'
+hashes and first byte, with its training occurrences. Words meet by their first two bytes,
+in order, so the counts of all their beginnings are exact whatever the blocks are; a word's
+probability after its first byte is found there, once, and sent to the blocks that have it.
+No vocabulary is broadcast or collected. Tables of fixed size are: the byte contexts' ``ORDERS x
+2**SLOT_BITS`` pairs of counts (16 MB), the counts of the first two bytes, the first
+byte's probabilities after ``PAIRS`` pairs of previous words, the gates and the cells that
+their weights are learnt from.
 
 Defined results: null and empty texts are the end alone; rows alike in id and text are
 scored alike; a null ``doc_id`` counts as the empty text in the fold (so it is
-trained on); without training rows the base counts are 0 and the bit coder has its
+trained on); without training rows the base counts are 0 and the mixers have their
 uniform start; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.llm.common import batches_of, doc_bytes, fold, id_text, mixed, small_batches, stored, table
@@ -48,11 +52,24 @@ ORDERS, SLOT_BITS = 4, 19
 CLASSES = 8
 GATES = 8 * 4
 PASSES, RATE = 3, 0.02
-WORD, CONTEXT = 0, 1
+WORD, CONTEXT, FIRST = 0, 1, 2
 END = b"\n"
-#: Shares of the document's own words and of the bit coder; the rest goes to the
-#: training counts.
-GRID = [(c, b) for c in (0.02, 0.15) for b in (0.01, 0.08, 0.3)]
+#: Hashes of the previous word, and of it with the one before.
+PREVIOUS, PAIRS = 1 << 8, 1 << 11
+#: Start weights of the word's mixer (byte contexts, all words, words of the class) and of the
+#: first byte's (previous two words, previous word, all words, words of the class).
+START, START_FIRST = (0.5, 0.5, 0.2), (0.3, 0.3, 0.1, 0.3)
+#: Step and number of the values of an input that a mixer learns from.
+GRAIN, CELLS = 0.5, 33
+#: What a mixer's weights are multiplied by.
+GAINS = (1.0, 0.8)
+#: Shares of the document's own words and of the byte contexts alone; the rest goes to
+#: the mixers.
+GRID = [(c, 0.01) for c in (0.02, 0.15)]
+#: Rows of words that are taken together, and bytes of words that are mixed together.
+ROWS, PIECE = 40_000, 1 << 13
+#: Byte contexts in a partition that learns, in the mean.
+TAUGHT = 50_000
 
 
 def byte_contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +118,7 @@ class Mixer:
     def __init__(self, n0: np.ndarray, n1: np.ndarray, weights: np.ndarray | None = None):
         self.n0, self.n1 = n0, n1
         self.weights = np.full((GATES, ORDERS), 0.3) if weights is None else weights
+        self.logit = self.seen = None
 
     def learn(self, key: np.ndarray, times: np.ndarray, rng: np.random.Generator, rate: float = RATE) -> None:
         """One online pass over contexts that occurred ``times``, in random order."""
@@ -117,26 +135,94 @@ class Mixer:
                 g = np.bincount(gate.ravel(), (e * x[k]).ravel(), GATES)
                 self.weights[:, k] += rate * g / np.maximum(total, 1)
 
+    def signed(self, key: np.ndarray, out: int = 0) -> np.ndarray:
+        """Logit of the 8 actual bits of each context's byte, but for ``out`` occurrences of it."""
+        slots, bits = bit_slots(key)
+        last = slice((ORDERS - 1) << SLOT_BITS, None)
+        if self.logit is None:
+            self.logit = np.log((self.n1 + np.float32(0.4)) / (self.n0 + np.float32(0.4))).astype(np.float32)
+            self.seen = (self.n0[last] + self.n1[last]).astype(np.float32)
+        gate = _gate(_level(self.seen[slots[-1] - last.start] - out))
+        weights = self.weights.T.astype(np.float32)
+        z = np.zeros(gate.shape, np.float32)
+        for k in range(ORDERS):
+            if out:
+                n0, n1 = self.n0[slots[k]], self.n1[slots[k]]
+                z += weights[k][gate] * _ratio(np.where(bits == 1, n1, n0) - out, np.where(bits == 1, n0, n1))
+            else:
+                z += weights[k][gate] * self.logit[slots[k]]
+        if not out:
+            np.negative(z, out=z, where=bits == 0)
+        return z
+
     def word_bits(self, words: list[bytes], chunk: int = 1 << 13) -> np.ndarray:
         """-log2 of each word's probability."""
         of, key = byte_contexts(words)
-        logit = np.log((self.n1 + np.float32(0.4)) / (self.n0 + np.float32(0.4))).astype(np.float32)
-        last = slice((ORDERS - 1) << SLOT_BITS, None)
-        level = _level(self.n0[last] + self.n1[last]).astype(np.uint8)
-        weights = self.weights.T.astype(np.float32)
         out = np.zeros(len(words))
         for s in range(0, len(key), chunk):
-            slots, bits = bit_slots(key[s:s + chunk])
-            gate = _gate(level[slots[-1] - last.start])
-            z = np.zeros(gate.shape, np.float32)
-            for k in range(ORDERS):
-                z += weights[k][gate] * logit[slots[k]]
-            np.negative(z, out=z, where=bits == 1)
-            cost = np.log1p(np.exp(np.clip(z, -80, 80))).sum(1, dtype=np.float64)
-            np.add.at(out, of[s:s + chunk], cost)
+            np.add.at(out, of[s:s + chunk], _cost(self.signed(key[s:s + chunk])))
         return out / math.log(2)
 
 
+def _ratio(same: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Logit of what was seen ``same`` times against ``other`` times."""
+    return np.log((np.maximum(same, 0) + 0.4) / (other + 0.4)).astype(np.float32)
+
+
+def _cells(x: np.ndarray, gate: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gates and inputs (to the nearest ``GRAIN``) as one number, and how often."""
+    cell = gate.astype(np.int64)
+    for i in range(x.shape[-1]):
+        cell = cell * CELLS + np.clip(np.rint(x[..., i] / GRAIN), -(CELLS // 2), CELLS // 2).astype(np.int64) + CELLS // 2
+    return cell.ravel(), np.broadcast_to(times[:, None], cell.shape).ravel()
+
+
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0)
+    cell, times = (np.concatenate(x) for x in zip(*found, strict=True))
+    cell, inv = np.unique(cell, return_inverse=True)
+    return cell, np.bincount(inv, times, len(cell))
+
+
+def _cost(z: np.ndarray) -> np.ndarray:
+    """-log of the probability of each byte from the logits of its bits."""
+    return np.log1p(np.exp(-np.clip(z, -80, 80))).sum(-1, dtype=np.float64)
+
+
+class Gated:
+    """Gated weights for inputs that are signed by the actual bit."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    @classmethod
+    def start(cls, weights: tuple[float, ...]) -> Gated:
+        return cls(np.tile(weights, (GATES, 1)))
+
+    def fit(self, cell: np.ndarray, times: np.ndarray, steps: int = 10) -> None:
+        """Newton steps over all cells, with a weak pull to where the weights are."""
+        k = self.weights.shape[1]
+        gate, x = cell // CELLS ** k, np.empty((len(cell), k))
+        for i in range(k):
+            x[:, i] = (cell // CELLS ** (k - 1 - i) % CELLS - CELLS // 2) * GRAIN
+        start, pull = self.weights, np.eye(k) * 10
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip((self.weights[gate] * x).sum(-1), -20, 20)))
+            slope = times * p * (1 - p)
+            g = np.stack([np.bincount(gate, times * (1 - p) * x[:, i], GATES) for i in range(k)], -1)
+            h = np.stack([np.bincount(gate, slope * x[:, i] * x[:, j], GATES) for i in range(k) for j in range(k)], -1)
+            g = g - (self.weights - start) @ pull
+            move = np.linalg.solve(h.reshape(GATES, k, k) + pull, g[..., None])[..., 0]
+            self.weights = self.weights + np.clip(move, -0.5, 0.5)
+
+    def cost(self, x: np.ndarray, gate: np.ndarray, gain: float) -> np.ndarray:
+        """-log of each byte's probability."""
+        w = (gain * self.weights).astype(np.float32)
+        z = sum(w[:, i][gate] * x[..., i] for i in range(x.shape[-1]))
+        return _cost(z)
+
+
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text, class (-1: not trained on), block; dealt out by block."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
@@ -148,67 +234,201 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             .repartition(n, "block"))
 
 
+class _Ids(dict):
+    """Word -> dense id in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        i = len(self)
+        self[word] = i
+        return i
+
+    def of(self, text: bytes) -> np.ndarray:
+        """The ids of a text's words and of the end."""
+        tokens = text.lower().split()
+        tokens.append(END)
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+
+
+def hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+
+
+def previous(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each token of a document the hash of its previous two words, below ``PAIRS``; ``h`` are
+    the words' hashes. Before the first word there are ends."""
+    end = xxhash.xxh3_64_intdigest(END)
+    one = np.append(np.uint64(end), h[at[:-1]]) % np.uint64(PREVIOUS)
+    two = np.append(np.full(min(2, len(at)), end, np.uint64), h[at[:-2]]) >> np.uint64(32)
+    return (one * np.uint64(PAIRS // PREVIOUS) + two % np.uint64(PAIRS // PREVIOUS)).astype(np.int64)
+
+
 def gathered(dealt: DataFrame) -> DataFrame:
-    """What each block has: (block, kind, key, class, n): a word's hash with its training
-    count in a class (class -1 and 0 where the block has it in other documents only), or
-    a byte context with the number of distinct training words of the block that it is in."""
+    """What each block has: (block, kind, word, key, class, n): a word (closed) with its training
+    count in a class (class -1 and 0 where the block has it in other documents only), a byte
+    context with its training count, or the hash of the previous two words with the first byte
+    and its training count in a class."""
     def gather(batches):
-        now, found = None, {}
+        now, known, docs = None, _Ids(), []
         for b in batches:
             for text, kind, block in zip(b.column("text").to_pylist(), b.column("class").to_pylist(),
                                          b.column("block").to_pylist(), strict=True):
                 if block != now:
-                    yield from _block_rows(now, found)
-                    now, found = block, {}
-                counts = found.setdefault(kind, Counter())
-                counts.update(text.lower().split())
-                counts[END] += 1
-        yield from _block_rows(now, found)
+                    yield from _block_rows(now, known, docs)
+                    now, known, docs = block, _Ids(), []
+                docs.append((kind, known.of(text)))
+        yield from _block_rows(now, known, docs)
 
     return (dealt.select("text", "class", "block").sortWithinPartitions("block")  # one block at a time
-            .mapInArrow(gather, "block int, kind int, key long, class int, n long"))
-
-
-def _block_rows(block: int | None, by_class: dict[int, Counter]):
-    """The rows of one block from its words' counts by class; ``by_class`` is used up."""
-    others = by_class.pop(-1, Counter())
-    trained = set().union(*by_class.values())
-    by_class[-1] = dict.fromkeys(others.keys() - trained, 0)
-    del others
-    for kind in list(by_class):
-        counts = by_class.pop(kind)
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
-        yield from _rows(block, WORD, kind, h, np.fromiter(counts.values(), np.int64, len(counts)))
-        del counts
-    words, held = list(trained), []
-    del trained
-    for s in range(0, len(words), 50_000):
-        held.append(np.unique(byte_contexts(words[s:s + 50_000])[1], return_counts=True))
+            .mapInArrow(gather, "block int, kind int, word binary, key long, class int, n long"))
+
+
+def _closed(word: bytes) -> bytes:
+    return word if word == END else word + b" "
+
+
+def _block_rows(block: int | None, known: dict[bytes, int], docs: list[tuple[int, np.ndarray]]):
+    """The rows of one block from its words and the ids of each document's tokens."""
+    words = list(known)
+    h, first = hashes(words, len(words)), np.fromiter((w[0] for w in words), np.int64, len(words))
+    trained = np.zeros(len(words), np.int64)
+    for kind in sorted({kind for kind, _ in docs} - {-1}):
+        own = [at for k, at in docs if k == kind]
+        n = np.bincount(np.concatenate(own), minlength=len(words))
+        trained += n
+        yield from _rows(block, WORD, kind, n[n > 0], word=[_closed(words[i]) for i in np.flatnonzero(n)])
+        n = np.zeros(PAIRS << 8, np.int64)
+        for s in range(0, len(own), 500):
+            n += np.bincount(np.concatenate([previous(h, at) << 8 | first[at] for at in own[s:s + 500]]), minlength=len(n))
+        yield from _rows(block, FIRST, kind, n[n > 0], key=np.flatnonzero(n))
+    others = np.flatnonzero(trained == 0)
+    yield from _rows(block, WORD, -1, np.zeros(len(others), np.int64), word=[_closed(words[i]) for i in others])
+    held = []
+    at = np.flatnonzero(trained)
+    for s in range(0, len(at), 50_000):
+        part = at[s:s + 50_000]
+        of, key = byte_contexts([words[i] for i in part])
+        key, inv = np.unique(key, return_inverse=True)
+        held.append((key, np.bincount(inv, trained[part][of], len(key))))
     if held:
         key, inv = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
         n = np.bincount(inv, np.concatenate([c for _, c in held]), len(key)).astype(np.int64)
-        yield from _rows(block, CONTEXT, 0, key, n)
-
-
-def _rows(block: int, kind: int, class_: int, key: np.ndarray, n: np.ndarray):
-    for s in range(0, len(key), 50_000):
-        k = key[s:s + 50_000]
-        same = [pa.array(np.full(len(k), x, np.int32)) for x in (block, kind, class_)]
-        yield pa.RecordBatch.from_arrays([same[0], same[1], pa.array(k), same[2], pa.array(n[s:s + 50_000])],
-                                         names=["block", "kind", "key", "class", "n"])
-
-
-def totals(rows: DataFrame) -> DataFrame:
-    """The rows with their totals: ``c`` over all blocks, the greatest class and its count.
-    Kept are the first row of each key, and each word's rows whose block doesn't have
-    all there is of it."""
-    return (rows.withColumn("c", F.expr("sum(n) over (partition by kind, key)"))
-            .withColumn("in_class", F.expr("sum(n) over (partition by kind, key, class)"))
-            .withColumn("top", F.expr("max(struct(in_class as n, class)) over (partition by kind, key)"))
-            .withColumn("i", F.expr("row_number() over (partition by kind, key order by block, class)"))
-            .where("i = 1 or (kind = 0 and c > 0 and c <> n)")
-            .select("block", "kind", "key", "n", "c", F.col("top.n").alias("top"), F.col("top.class").alias("class"),
-                    (F.col("i") == 1).alias("first")))
+        yield from _rows(block, CONTEXT, 0, n, key=key)
+
+
+def _rows(block: int, kind: int, class_: int, n: np.ndarray, word: list[bytes] | None = None, key: np.ndarray | None = None):
+    for s in range(0, len(n), 50_000):
+        m = len(n[s:s + 50_000])
+        same = [pa.array(np.full(m, x, np.int32)) for x in (block, kind, class_)]
+        yield pa.RecordBatch.from_arrays(
+            [same[0], same[1], pa.nulls(m, pa.binary()) if word is None else pa.array(word[s:s + m], pa.binary()),
+             pa.nulls(m, pa.int64()) if key is None else pa.array(key[s:s + m]), same[2], pa.array(n[s:s + m])],
+            names=["block", "kind", "word", "key", "class", "n"])
+
+
+def vocabulary(rows: DataFrame, n: int) -> DataFrame:
+    """(word, block, class, n): the rows of the words that begin with the same two bytes in one
+    task, in order; in ``n`` partitions."""
+    return (rows.select("word", "block", "class", "n")
+            .repartition(n, F.substring("word", 1, 2)).sortWithinPartitions("word", "block", "class"))
+
+
+def _chapters(batches: Iterable[pa.RecordBatch], used: list[int]) -> Iterator[tuple]:
+    """Of sorted words, (words, n, of, blocks) at a time, never parting words that begin with the
+    same two bytes: the distinct words, their counts by class, and the word and block
+    of each of their rows."""
+    column = np.full(CLASSES + 1, -1)
+    column[used] = np.arange(len(used))
+
+    def made(word, block, kind, n):
+        new = [True, *(a != b for a, b in zip(word, word[1:], strict=False))]
+        of = np.cumsum(new) - 1
+        counts = np.zeros((of[-1] + 1, len(used)))
+        block, kind, n = np.array(block), np.array(kind), np.array(n)
+        np.add.at(counts, (of[kind >= 0], column[kind[kind >= 0]]), n[kind >= 0])
+        once = np.append(True, (of[1:] != of[:-1]) | (block[1:] != block[:-1]))
+        return [w for w, x in zip(word, new, strict=True) if x], counts, of[once], block[once]
+
+    held: list[list] = [[], [], [], []]
+    for b in batches:
+        got = [b.column(c).to_pylist() for c in ("word", "block", "class", "n")]
+        if len(held[0]) >= ROWS and got[0]:
+            last = held[0][-1][:2]
+            cut = next((i for i, w in enumerate(got[0]) if w[:2] != last), len(got[0]))
+            for h, g in zip(held, got, strict=True):
+                h.extend(g[:cut])
+            got = [g[cut:] for g in got]
+            if got[0]:
+                yield made(*held)
+                held = [[], [], [], []]
+        for h, g in zip(held, got, strict=True):
+            h.extend(g)
+    if held[0]:
+        yield made(*held)
+
+
+def byte_counts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the counts of the 256 bytes (last axis), for each bit of each byte how often what is
+    like it so far went on with the same bit and with the other one."""
+    parts = [n.reshape(*n.shape[:-1], 1 << j, 256 >> j).sum(-1).repeat(256 >> j, -1) for j in range(9)]
+    same = np.stack(parts[1:], -1)
+    return same, np.stack(parts[:-1], -1) - same
+
+
+def begun(words: list[bytes], n: np.ndarray, second: np.ndarray) -> Iterator[tuple]:
+    """(word, at, same, other) of the bytes after the first of sorted closed words: the words'
+    numbers, the places in the joined words, and for each bit and class how often words that begin
+    alike went on with the same bit and with the other one. ``second`` has the counts by class
+    of all words' first two bytes."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    off = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    active = np.flatnonzero(size > 1)
+    lead = flat[off[active]].astype(np.int64)
+    for b in np.unique(lead):
+        same, other = (np.moveaxis(x, 0, -1) for x in byte_counts(second[:, b]))
+        own = active[lead == b]
+        for s in range(0, len(own), PIECE):
+            i = own[s:s + PIECE]
+            yield i, off[i] + 1, same[flat[off[i] + 1]], other[flat[off[i] + 1]]
+    active = active[size[active] > 2]
+    two = flat[off[active]].astype(np.int64) << 8 | flat[off[active] + 1]
+    node, place, alone = np.cumsum(np.append(0, two[1:] != two[:-1])) if len(two) else two, 2, []
+    while len(active):
+        new = np.append(True, node[1:] != node[:-1])
+        start = np.flatnonzero(new)
+        single = (np.diff(np.append(start, len(active))) == 1)[np.cumsum(new) - 1]
+        alone.append((active[single], np.full(single.sum(), place)))
+        active, node = active[~single], node[~single]
+        if not len(active):
+            break
+        byte = flat[off[active] + place]
+        new, levels = np.append(True, node[1:] != node[:-1]), []
+        for j in range(9):
+            if j:
+                new[1:] |= byte[1:] >> (8 - j) != byte[:-1] >> (8 - j)
+            levels.append((np.cumsum(new) - 1, np.add.reduceat(n[active], np.flatnonzero(new), axis=0)))
+        for s in range(0, len(active), PIECE):
+            count = np.stack([c[run[s:s + PIECE]] for run, c in levels], 1)
+            yield active[s:s + PIECE], off[active[s:s + PIECE]] + place, count[:, 1:], count[:, :-1] - count[:, 1:]
+        node, place = levels[-1][0], place + 1
+        on = size[active] > place
+        active, node = active[on], node[on]
+    if alone:
+        # no other word begins like these
+        i, place = (np.concatenate(x) for x in zip(*alone, strict=True))
+        ends = np.cumsum(size[i] - place)
+        for s in range(0, int(ends[-1]) if len(ends) else 0, PIECE):
+            j = np.arange(s, min(s + PIECE, ends[-1]))
+            w = np.searchsorted(ends, j, side="right")
+            same = np.broadcast_to(n[i[w]][:, None, :], (len(j), 8, n.shape[1]))
+            yield i[w], off[i[w]] + size[i[w]] - (ends[w] - j), same, np.zeros((1, 8, n.shape[1]))
+
+
+def _inputs(z: np.ndarray, same: np.ndarray, other: np.ndarray, k: int, out: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and gates of the mixer of a class, leaving out ``out`` occurrences."""
+    all_same, all_other = same.sum(-1) - out, other.sum(-1)
+    x = np.stack([z, _ratio(all_same, all_other), _ratio(same[..., k] - out, other[..., k])], -1)
+    return x, _gate(_level(all_same + all_other))
 
 
 def bit_tables(contexts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -263,10 +483,103 @@ def train(contexts: DataFrame, passes: int = PASSES) -> Mixer:
     return Mixer(n0, n1, weights)
 
 
+def first_bytes(n: np.ndarray, contexts: Mixer) -> tuple[np.ndarray, np.ndarray]:
+    """-log of each first byte's probability after each hash of the previous two words, by the mixer
+    of each class and gain, and by the byte contexts alone. ``n`` are the counts by class,
+    hash and byte."""
+    used = len(n)
+    per = PAIRS // PREVIOUS
+    alone = contexts.signed(byte_contexts([bytes([b, b]) for b in range(256)])[1][::3])
+    total = n.sum(0)
+    one = total.reshape(PREVIOUS, per, 256).sum(1)
+    seen = byte_counts(total.sum(0)), [byte_counts(n[k].sum(0)) for k in range(used)]
+
+    def inputs(p: int, k: int, out: int):
+        both, own = byte_counts(total[p * per:(p + 1) * per]), byte_counts(one[p])
+        x = [_ratio(a - out, b) for a, b in (both, own, seen[0], seen[1][k])]
+        x = np.stack([x[0], *(np.broadcast_to(y, x[0].shape) for y in x[1:])], -1)
+        return x, _gate(_level(both[0] + both[1] - out))
+
+    mixer, found = Gated.start(START_FIRST), []
+    for p in range(PREVIOUS):
+        for k in range(used):
+            times = n[k, p * per:(p + 1) * per]
+            some = times > 0
+            if some.any():
+                x, gate = inputs(p, k, 1)
+                found.append(_summed([_cells(x[some], gate[some], times[some].astype(float))]))
+    mixer.fit(*_summed(found))
+    out = np.empty((used * len(GAINS), PAIRS, 256))
+    for p in range(PREVIOUS):
+        for k in range(used):
+            x, gate = inputs(p, k, 0)
+            for g, gain in enumerate(GAINS):
+                out[k * len(GAINS) + g, p * per:(p + 1) * per] = mixer.cost(x, gate, gain)
+    return out.reshape(len(out), -1), _cost(alone)
+
+
+def learnt(words: DataFrame, used: list[int], tables, second) -> tuple[Gated, int, int]:
+    """The weights of the words' mixer from all training words, these words' number and that of
+    their occurrences."""
+    def learn(batches):
+        m, count, total = Mixer(*tables.value), 0, 0
+        for names, n, _, _ in _chapters(batches, used):
+            key, found = byte_contexts([w if w == END else w[:-1] for w in names])[1], []
+            count, total = count + len(names), total + int(n.sum())
+            for i, at, same, other in begun(names, n, second.value):
+                for k in range(len(used)):
+                    some = np.flatnonzero(n[i, k] > 0)
+                    if len(some):
+                        one = other if len(other) == 1 else other[some]
+                        found.append(_cells(*_inputs(m.signed(key[at[some]], 1), same[some], one, k, 1), n[i[some], k]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(found)], names=["cell", "times"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([float(count), float(total)])], names=["cell", "times"])
+
+    got = words.mapInArrow(learn, "cell long, times double").groupBy("cell").agg(F.sum("times").alias("times")).orderBy("cell").toArrow()
+    cell, times = got.column("cell").to_numpy(), got.column("times").to_numpy()
+    mixer = Gated.start(START)
+    mixer.fit(cell[cell >= 0], times[cell >= 0])
+    return mixer, int(times[cell == -1].sum()), int(times[cell == -2].sum())
+
+
+def spelled(words: DataFrame, used: list[int], tables, second, weights: np.ndarray) -> DataFrame:
+    """(block, key, c, costs) of each word of each block: its hash, its training count, -log of its
+    probability after the first byte by the mixer of each class and gain and by the byte
+    contexts alone."""
+    def spell(batches):
+        m, mixer = Mixer(*tables.value), Gated(weights)
+        for names, n, of, block in _chapters(batches, used):
+            plain = [w if w == END else w[:-1] for w in names]
+            key = byte_contexts(plain)[1]
+            cost = np.zeros((len(names), len(used) * len(GAINS) + 1))
+            for i, at, same, other in begun(names, n, second.value):
+                z = m.signed(key[at])
+                np.add.at(cost[:, -1], i, _cost(z))
+                for k in range(len(used)):
+                    x, gate = _inputs(z, same, other, k)
+                    for g, gain in enumerate(GAINS):
+                        np.add.at(cost[:, k * len(GAINS) + g], i, mixer.cost(x, gate, gain))
+            h, c, cost = hashes(plain, len(plain)).view(np.int64), n.sum(1).astype(np.int64), cost.astype(np.float32)
+            width = cost.shape[1] * 4
+            for s in range(0, len(of), 50_000):
+                w = of[s:s + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[s:s + 50_000].astype(np.int32)), pa.array(h[w]), pa.array(c[w]),
+                     pa.Array.from_buffers(pa.binary(width), len(w), [None, pa.py_buffer(cost[w].tobytes())]).cast(pa.binary())],
+                    names=["block", "key", "c", "costs"])
+
+    return words.mapInArrow(spell, "block int, key long, c long, costs binary")
+
+
 def document_log10(at: np.ndarray, counted: np.ndarray, coder: np.ndarray) -> float:
     """log10 of a document's probability from its tokens' ids ``at``, the probability of
-    each id by the training counts (a row for each class) and by the bit coder; the
-    weights adapt along the document."""
+    each id by the mixers (a row for each) and by the bit coder; the weights adapt along
+    the document."""
+    return refined(at, counted[:, at], coder[at])
+
+
+def refined(at: np.ndarray, mixed_: np.ndarray, coder: np.ndarray) -> float:
+    """``document_log10`` from the probabilities of each token instead of each id."""
     n = len(at)
     order = np.argsort(at, kind="stable")
     same = np.empty(n, bool)
@@ -274,69 +587,78 @@ def document_log10(at: np.ndarray, counted: np.ndarray, coder: np.ndarray) -> fl
     first = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
     before = np.empty(n)
     before[order] = np.arange(n) - first
-    pb = coder[at]
     pc = before / np.maximum(np.arange(n), 1)
-    pc[0] = pb[0]
-    total = np.array([np.log(c * pc + b * pb + (1 - c - b) * row[at]).sum() for c, b in GRID for row in counted])
+    pc[0] = coder[0]
+    total = np.concatenate([np.log(c * pc + b * coder + (1 - c - b) * mixed_).sum(1) for c, b in GRID])
     return float((np.logaddexp.reduce(total) - math.log(len(total))) / math.log(10))
 
 
 def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and the bits
     a byte of the words with one space after each."""
+    spark = docs.sparkSession
     dealt = blocks(docs, block_bytes)
-    rows = stored(totals(gathered(dealt)), "lm-totals")
-    first = rows.where("first and kind = 0 and c > 0")
-    n_train, n_words, *mass = first.select(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count("*"),
-        *(F.coalesce(F.sum(F.when(F.col("class") == k, F.col("top")).otherwise((F.col("c") - F.col("top")) / (CLASSES - 1))),
-                     F.lit(0.0)) for k in range(CLASSES)),
-        *(F.coalesce(F.sum(F.when(F.col("class") == k, F.col("top"))), F.lit(0)) for k in range(CLASSES))).first()
-    mass, used = mass[:CLASSES], [k for k in range(CLASSES) if mass[CLASSES + k]]
-    m = train(rows.where("first and kind = 1").select("key", F.col("c").alias("n")))
-    sent = docs.sparkSession.sparkContext.broadcast((m.n0.astype(np.float32), m.n1.astype(np.float32), m.weights))
+    rows = stored(gathered(dealt), "lm-rows")
+    contexts = stored(rows.where(F.col("kind") == CONTEXT).groupBy("key").agg(F.sum("n").alias("n")), "lm-contexts")
+    # in an order that doesn't depend on the blocks
+    m = train(stored(contexts.repartition(max(1, contexts.count() // TAUGHT), "key").sortWithinPartitions("key"), "lm-taught"))
+
+    def counts(kind: int, key: Column, size: int) -> dict[int, np.ndarray]:
+        """The counts by class of a key below ``size``."""
+        got = rows.where((F.col("kind") == kind) & (F.col("class") >= 0)).groupBy("class", key.alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        kind, key, n = (got.column(c).to_numpy() for c in ("class", "key", "n"))
+        out = {int(k): np.zeros(size, np.int64) for k in np.unique(kind)}
+        for k in out:
+            out[k][key[kind == k]] = n[kind == k]
+        return out
+
+    first = counts(FIRST, F.col("key"), PAIRS << 8)
+    used = sorted(first) or [0]
+    lead = F.conv(F.hex(F.substring("word", 1, 2)), 16, 10).cast("long")  # the end is alone and has no second byte
+    two = counts(WORD, F.when(F.octet_length("word") > 1, lead).otherwise(0), 1 << 16)
+    none = np.zeros(PAIRS << 8, np.int64)
+    second = spark.sparkContext.broadcast(np.stack([two.get(k, none[:1 << 16]) for k in used]).reshape(len(used), 256, 256))
+    by_first = first_bytes(np.stack([first.get(k, none) for k in used]).reshape(len(used), PAIRS, 256), m)
+    sent = spark.sparkContext.broadcast([x.astype(np.float32) for x in by_first])
+    tables = spark.sparkContext.broadcast((m.n0.astype(np.float32), m.n1.astype(np.float32), m.weights))
+    # learning sees each word once and in an order that doesn't depend on the blocks
+    words = stored(rows.where((F.col("kind") == WORD) & (F.col("n") > 0)).groupBy("word", "class").agg(F.sum("n").alias("n"))
+                   .withColumn("block", F.lit(0)), "lm-words")
+    mixer, n_words, n_train = learnt(vocabulary(words, 1 + words.count() // ROWS), used, tables, second)
+    of_blocks = rows.where(F.col("kind") == WORD)
+    back = spelled(vocabulary(of_blocks, 1 + of_blocks.count() // ROWS), used, tables, second, mixer.weights)
     base = math.log10(n_train + n_words + 1)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
                         ("bits_per_byte", pa.float64())])
 
     def score(block: pa.Table, counts: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        at = []
-        for text in block.column("text"):
-            tokens = text.as_py().lower().split()
-            tokens.append(END)
-            at.append(np.fromiter((known.setdefault(t, len(known)) for t in tokens), np.int32, len(tokens)))
-        kinds = block.column("class").to_pylist()
+        known = _Ids()
+        at = [known.of(text.as_py()) for text in block.column("text")]
         names = list(known)
         del known
-        # the block's own counts, which are all there is of the words that don't come back
-        c, top, of = (np.zeros(len(names)) for _ in range(3))
-        for k in sorted(set(kinds) - {-1}):
-            n = np.bincount(np.concatenate([x for x, y in zip(at, kinds, strict=True) if y == k]), minlength=len(names))
-            c += n
-            of = np.where(n > top, k, of)
-            top = np.maximum(top, n)
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)).view(np.int64)
+        h = hashes(names, len(names))
+        lead = np.fromiter((x[0] for x in names), np.int64, len(names))
+        size = np.fromiter((len(x) + 1 if x != END else 0 for x in names), np.int64, len(names))
+        del names
         order = np.argsort(counts.column("key").to_numpy())
-        if len(order):
-            key, gc, gt, gk = (counts.column(x).to_numpy()[order] for x in ("key", "c", "top", "class"))
-            found = np.minimum(np.searchsorted(key, h), len(key) - 1)
-            back = key[found] == h
-            c, top, of = (np.where(back, g[found], own) for g, own in ((gc, c), (gt, top), (gk, of)))
-        coder = np.exp2(-np.minimum(Mixer(*sent.value).word_bits(names), 1000))
-        counted = np.stack([c / max(1, n_train)] + [np.where(of == k, top, (c - top) / (CLASSES - 1)) / mass[k] for k in used])
+        found = order[np.searchsorted(counts.column("key").to_numpy()[order], h.view(np.int64))]
+        c = counts.column("c").to_numpy()[found]
+        costs = np.frombuffer(b"".join(counts.column("costs").to_pylist()), np.float32).reshape(len(order), -1)[found].T
         log_base = np.log10(c + 1) - base
-        size = np.fromiter((len(x) + 1 if x != END else 0 for x in names), np.int64, len(names))
+        first, alone = sent.value
         out = []
-        for ids, doc_id, kind in zip(at, block.column("doc_id").to_pylist(), kinds, strict=True):
-            s = document_log10(ids, counted, coder)
+        for ids, doc_id, kind in zip(at, block.column("doc_id").to_pylist(), block.column("class").to_pylist(), strict=True):
+            cost = first[:, previous(h, ids) << 8 | lead[ids]] + costs[:-1, ids]
+            coder = alone[lead[ids]] + costs[-1, ids]
+            # a word's cost is at most 1000 bits
+            p, q = (np.exp(-np.minimum(x.astype(np.float64), 1000 * math.log(2))) for x in (cost, coder))
+            s = refined(ids, p, q)
             out.append((doc_id, kind == -1, len(ids), int((c[ids] > 0).sum()), n_train, float(log_base[ids].sum()), s,
                         -s / math.log10(2) / max(1, int(size[ids].sum()))))
         return pa.Table.from_batches(list(batches_of(out, schema)), schema)
 
-    back = rows.where("kind = 0 and c > 0 and c <> n").dropDuplicates(["block", "key"])
-    return (dealt.groupBy("block").cogroup(back.select("block", "key", "c", "top", "class").groupBy("block"))
+    return (dealt.groupBy("block").cogroup(back.groupBy("block"))
             .applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                  "base_score double, score double, bits_per_byte double"))
 

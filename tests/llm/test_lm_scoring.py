@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -79,3 +80,63 @@ def test_adaptive_mixture_is_sequential_bayes():
         total += math.log10(weights @ p)
         weights = weights * p / (weights @ p)
     assert abs(total - lm_scoring.document_log10(at, counted, coder)) < 1e-9
+
+
+def test_contexts_are_counted_by_occurrence(spark):
+    trained = [i for i in range(100) if fold(i, 7) != 2][:2]
+    docs = edge_docs(spark, [(trained[0], "ab ab ab ab cd"), (trained[1], "ab")])
+    rows = lm_scoring.gathered(lm_scoring.blocks(docs)).where(f"kind = {lm_scoring.CONTEXT}").collect()
+    _, key = lm_scoring.byte_contexts([b"ab"])
+    got = {r["key"]: r["n"] for r in rows}
+    assert [got[k] for k in key.tolist()] == [5, 5, 5]
+
+
+def test_scores_do_not_depend_on_blocks(spark):
+    one, many = ({r["doc_id"]: r["score"] for r in lm_scoring.scored(small(spark, "documents"), size).collect()}
+                 for size in (1 << 30, 20_000))
+    assert one.keys() == many.keys()
+    assert all(math.isclose(one[i], many[i], rel_tol=1e-6) for i in one)
+
+
+def test_order_of_words_matters(spark):
+    trained = [i for i in range(3000) if fold(i, 7) != 2]
+    held = [i for i in range(3000) if fold(i, 7) == 2][:2]
+    rows = [(i, "red wine white bread " * 5) for i in trained[:40]]
+    rows += [(held[0], "red wine white bread red wine white bread"), (held[1], "wine wine white white red red bread bread")]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.scored(edge_docs(spark, rows)).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+
+
+def test_beginnings_of_words_are_counted_exactly():
+    r = random.Random(5)
+    words = sorted({bytes(r.choice(b"ab\xc3z") for _ in range(r.randint(1, 6))) + b" " for _ in range(300)} | {b"q" * 40 + b" "})
+    n = np.array([[r.randint(0, 3), r.randint(0, 2)] for _ in words], float)
+    second = np.zeros((2, 256, 256))
+    for w, c in zip(words, n, strict=True):
+        second[:, w[0], w[1]] += c
+    size = [len(w) for w in words]
+    off = np.cumsum(size) - size
+    seen = set()
+
+    def bits(w):
+        return "".join(f"{b:08b}" for b in w)
+
+    for word, at, same, other in lm_scoring.begun(words, n, second):
+        other = np.broadcast_to(other, same.shape)
+        for i, p, s, o in zip(word.tolist(), (at - off[word]).tolist(), same, other, strict=True):
+            seen.add((i, p))
+            for j in range(8):
+                own = bits(words[i])[:8 * p + j + 1]
+                turned = own[:-1] + ("1" if own[-1] == "0" else "0")
+                assert s[j].tolist() == sum((c for w, c in zip(words, n, strict=True) if bits(w).startswith(own)), np.zeros(2)).tolist()
+                assert o[j].tolist() == sum((c for w, c in zip(words, n, strict=True) if bits(w).startswith(turned)), np.zeros(2)).tolist()
+    assert seen == {(i, p) for i in range(len(words)) for p in range(1, size[i])}
+
+
+def test_first_byte_is_a_distribution():
+    r = np.random.default_rng(3)
+    n = r.integers(0, 3, (2, lm_scoring.PAIRS, 256)) * (r.random((2, lm_scoring.PAIRS, 256)) < 0.02)
+    empty = np.zeros(lm_scoring.ORDERS << lm_scoring.SLOT_BITS)
+    after, alone = lm_scoring.first_bytes(n, lm_scoring.Mixer(empty, empty))
+    assert np.allclose(np.exp(-after).reshape(4, lm_scoring.PAIRS, 256).sum(-1), 1, atol=1e-4)
+    assert np.allclose(np.exp(-alone).sum(), 1)
