@@ -63,8 +63,8 @@ PLACE = 500
 #: Members of a hub that are compared in one place, in the mean.
 MEMBERS = 64
 BITMAP_BITS = 22
-#: Slots of the table of how common shingles are, and texts that it is counted on.
-SKETCH_BITS, SKETCH_TEXTS = 22, 1 << 17
+#: Slots of the table of how common shingles are.
+SKETCH_BITS = 22
 #: Sets of one shingle on each side of one place of the prefix join.
 SIDE = 1000
 _rng = np.random.default_rng(10)
@@ -276,24 +276,21 @@ def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
     return large.join(several, ["region", "place"], "left_semi").select("id", "c").distinct()
 
 
-def common_shingles(texts: DataFrame, n: int, k: int) -> tuple[np.ndarray, bool]:
-    """How common the shingles of a slot are, on a log scale, and whether all texts were counted."""
-    if n > SKETCH_TEXTS:
-        texts = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n)) < SKETCH_TEXTS)
-
+def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
+    """How common the shingles of a slot are in all the texts, on a log scale."""
     def count(batches):
-        hashes, slots = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        hashes, slots = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
         for _, text in rows_of(batches, "doc_id", "text"):
             np.add.at(slots, (shingle_set(text, hashes, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         at = np.flatnonzero(slots)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000].astype(np.int32)),
-                                              pa.array(slots[at[i:i + 100_000]].astype(np.int64))], names=["slot", "n"])
+                                              pa.array(slots[at[i:i + 100_000]])], names=["slot", "n"])
 
     got = (texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas())
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     out[got["slot"].to_numpy(np.int64)] = np.minimum(255, 4 * np.log2(got["n"].to_numpy(np.float64))).astype(np.uint8)
-    return out, n <= SKETCH_TEXTS
+    return out
 
 
 def prefixes(members: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -301,8 +298,7 @@ def prefixes(members: DataFrame, docs: DataFrame, percent: int, k: int) -> DataF
     with the set's size and the place. ``short``: also within the bound for a partner that
     is no smaller; the others matter for a smaller partner only."""
     texts = _texts_of(members, docs)
-    table, whole = common_shingles(texts, members.count(), k)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, k))
 
     def cut(batches):
         hashes, common = WordHashes(), sent.value
@@ -315,7 +311,7 @@ def prefixes(members: DataFrame, docs: DataFrame, percent: int, k: int) -> DataF
                 order = np.lexsort((s, often))[:len(s) + (-percent * len(s) // 100) + 1]
                 p = np.arange(len(order))
                 # a shingle of one set only can't be shared
-                keep = often[order] > 0 if whole else np.ones(len(order), bool)
+                keep = often[order] > 0
                 parts.append((s[order][keep].view(np.int64), np.full(keep.sum(), i), np.full(keep.sum(), c),
                               np.full(keep.sum(), len(s)), p[keep],
                               ((100 + percent) * (len(s) - p) >= 2 * percent * len(s))[keep]))

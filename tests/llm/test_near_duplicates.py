@@ -1,3 +1,5 @@
+import math
+from collections import Counter
 from itertools import combinations
 
 from shelfscope.llm import near_duplicates
@@ -98,3 +100,21 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert rows_of(near_duplicates.near_duplicates(edge_docs(spark, rows)), *COLUMNS) == brute(rows)
     lone = [(1, a), (1, b), (2, c)]
     assert rows_of(near_duplicates.near_duplicates(edge_docs(spark, lone)), *COLUMNS) == brute(lone)
+
+
+def test_shingles_are_counted_in_all_texts(spark, monkeypatch):
+    """However many members there are, those shingles are left out that no other set has."""
+    monkeypatch.setattr(near_duplicates, "SKETCH_TEXTS", 2, raising=False)
+    texts = {i: f"common words that all of the sets have {'again ' * (i % 3)}own{i} tail{i % 4} end" for i in range(1, 41)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    members = spark.createDataFrame([(i, i) for i in texts], "id long, c long")
+    sets = {i: near_duplicates.shingle_set(t.encode(), near_duplicates.WordHashes()).view("int64").tolist() for i, t in texts.items()}
+    in_sets = Counter(s for own in sets.values() for s in own)
+    slots = Counter(s >> 64 - near_duplicates.SKETCH_BITS for own in sets.values() for s in own)
+    assert all(slots[s >> 64 - near_duplicates.SKETCH_BITS] == n for s, n in in_sets.items())  # no two in one slot
+    got = {}
+    for r in near_duplicates.prefixes(members, docs, 75, 5).collect():
+        got.setdefault(r["id"], set()).add(r["token"])
+    for i, own in sets.items():
+        rare = sorted(own, key=lambda s: (int(4 * math.log2(in_sets[s])), s % (1 << 64)))[:len(own) + (-75 * len(own) // 100) + 1]
+        assert got.get(i, set()) == {s for s in rare if in_sets[s] > 1}
