@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfscope.llm.common import batches_of, doc_bytes, give_back, small_batches, table
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 SHORT = 255
-ROOM = 360_000
+ROOM = 700_000
 MEMORY = "150MB"
 
 #: start(w, pos, tok) -> the tokens of each piece, for pieces of up to ``SHORT`` bytes: one
@@ -107,6 +107,8 @@ class Bpe:
         self.older: dict[str, bytes] = {}
         #: Runs of ids and their bytes.
         self.spelled: dict[bytes, bytes] = {}
+        #: The distinct runs of the texts encoded last.
+        self.latest: set[bytes] = set()
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
         self.size[list(self.ranks.values())] = list(map(len, self.ranks))
@@ -178,6 +180,7 @@ class Bpe:
                 new.append(p)
         for s in range(0, len(new), 50_000):
             self.learn(new[s:s + 50_000])
+        self.latest = set(map(self.known.__getitem__, pieces))
         return [list(map(self.known.__getitem__, c)) for c in cut]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -185,12 +188,13 @@ class Bpe:
         return list(map(b"".join, self.runs(texts)))
 
     def spell(self, runs: list[list[bytes]]) -> list[bytes]:
-        """The bytes of each list of runs; runs that aren't known yet are decoded first."""
-        distinct = set().union(*runs)
+        """The bytes of each list of runs of the texts encoded last; runs that aren't known yet
+        are decoded first."""
+        distinct = self.latest
         if len(self.spelled) + len(distinct) > ROOM // 2:
             self.spelled.clear()
         new = [r for r in distinct if r not in self.spelled]
-        for s, e in _slices([len(r) // 4 for r in new], SLICE_BYTES // 2):
+        for s, e in _slices([len(r) // 4 for r in new], SLICE_BYTES // 8):
             # one line of ids for all, cut again by the tokens' sizes: an aggregate of few groups
             ids = np.frombuffer(b"".join(new[s:e]), "<u4").astype(np.int32)
             text = self.decode([ids])[0]
@@ -262,7 +266,7 @@ def decoded(coded: DataFrame, path: str | None = None, pattern: str | None = Non
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
         for b in batches:
-            for s, e in _slices([len(x) for x in b.column("ids")], SLICE_BYTES // 2):
+            for s, e in _slices([len(x) for x in b.column("ids")], SLICE_BYTES // 8):
                 part = b.slice(s, e - s)
                 ids = [x.values.to_numpy(zero_copy_only=False) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"),
@@ -292,6 +296,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                                hashlib.sha256(text).hexdigest())
             bpe.older.clear()  # what a worker keeps between tasks
             bpe.spelled.clear()
+            bpe.latest = set()
             give_back()
 
         yield from batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),

@@ -66,3 +66,11 @@ def test_other_tokenizer_file(spark):
     ids = byte_bpe.encoded(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     got = byte_bpe.decoded(ids, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).first()
     assert bytes(got["decoded"]).decode() == "Other ranks, same query."
+
+
+def test_each_slice_spells_its_own_distinct_runs():
+    bpe = byte_bpe.Bpe(PATH, PATTERN)
+    for texts in (["one two one two one", "two zzyzx"], ["three", "", "one zzyzx"]):
+        runs = bpe.runs([t.encode() for t in texts])
+        assert bpe.latest == {r for text in runs for r in text}
+        assert bpe.spell(runs) == [t.encode() for t in texts]
