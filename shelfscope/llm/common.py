@@ -47,12 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table below the shared folder and read it back: a lineage cut that
-    survives the loss of executors."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table below the shared folder (a folder for each value of ``by``) and read it
+    back: a lineage cut that survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -169,11 +169,11 @@ def _ratio(same: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.log((np.maximum(same, 0) + 0.4) / (other + 0.4)).astype(np.float32)
 
 
-def _cells(x: np.ndarray, gate: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cells(x: list[np.ndarray], gate: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gates and inputs (to the nearest ``GRAIN``) as one number, and how often."""
     cell = gate.astype(np.int64)
-    for i in range(x.shape[-1]):
-        cell = cell * CELLS + np.clip(np.rint(x[..., i] / GRAIN), -(CELLS // 2), CELLS // 2).astype(np.int64) + CELLS // 2
+    for y in x:
+        cell = cell * CELLS + np.clip(np.rint(y / np.float32(GRAIN)), -(CELLS // 2), CELLS // 2).astype(np.int32) + CELLS // 2
     return cell.ravel(), np.broadcast_to(times[:, None], cell.shape).ravel()
 
 
@@ -187,7 +187,7 @@ def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def _cost(z: np.ndarray) -> np.ndarray:
     """-log of the probability of each byte from the logits of its bits."""
-    return np.log1p(np.exp(-np.clip(z, -80, 80))).sum(-1, dtype=np.float64)
+    return np.log((1 + np.exp(-np.clip(z, -80, 80), dtype=np.float32)).prod(-1, dtype=np.float64))
 
 
 class Gated:
@@ -216,11 +216,11 @@ class Gated:
             move = np.linalg.solve(h.reshape(GATES, k, k) + pull, g[..., None])[..., 0]
             self.weights = self.weights + np.clip(move, -0.5, 0.5)
 
-    def cost(self, x: np.ndarray, gate: np.ndarray, gain: float) -> np.ndarray:
-        """-log of each byte's probability."""
-        w = (gain * self.weights).astype(np.float32)
-        z = sum(w[:, i][gate] * x[..., i] for i in range(x.shape[-1]))
-        return _cost(z)
+    def costs(self, x: list[np.ndarray], gate: np.ndarray) -> list[np.ndarray]:
+        """-log of each byte's probability, for each gain."""
+        w = self.weights.astype(np.float32)
+        z = sum(w[:, i][gate] * y for i, y in enumerate(x))
+        return [_cost(np.float32(gain) * z) for gain in GAINS]
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -424,11 +424,10 @@ def begun(words: list[bytes], n: np.ndarray, second: np.ndarray) -> Iterator[tup
             yield i[w], off[i[w]] + size[i[w]] - (ends[w] - j), same, np.zeros((1, 8, n.shape[1]))
 
 
-def _inputs(z: np.ndarray, same: np.ndarray, other: np.ndarray, k: int, out: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and gates of the mixer of a class, leaving out ``out`` occurrences."""
+def _inputs(same: np.ndarray, other: np.ndarray, out: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Logits by all training words and gates, leaving out ``out`` occurrences."""
     all_same, all_other = same.sum(-1) - out, other.sum(-1)
-    x = np.stack([z, _ratio(all_same, all_other), _ratio(same[..., k] - out, other[..., k])], -1)
-    return x, _gate(_level(all_same + all_other))
+    return _ratio(all_same, all_other), _gate(_level(all_same + all_other))
 
 
 def bit_tables(contexts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -497,8 +496,7 @@ def first_bytes(n: np.ndarray, contexts: Mixer) -> tuple[np.ndarray, np.ndarray]
     def inputs(p: int, k: int, out: int):
         both, own = byte_counts(total[p * per:(p + 1) * per]), byte_counts(one[p])
         x = [_ratio(a - out, b) for a, b in (both, own, seen[0], seen[1][k])]
-        x = np.stack([x[0], *(np.broadcast_to(y, x[0].shape) for y in x[1:])], -1)
-        return x, _gate(_level(both[0] + both[1] - out))
+        return [np.broadcast_to(y, x[0].shape) for y in x], _gate(_level(both[0] + both[1] - out))
 
     mixer, found = Gated.start(START_FIRST), []
     for p in range(PREVIOUS):
@@ -507,14 +505,13 @@ def first_bytes(n: np.ndarray, contexts: Mixer) -> tuple[np.ndarray, np.ndarray]
             some = times > 0
             if some.any():
                 x, gate = inputs(p, k, 1)
-                found.append(_summed([_cells(x[some], gate[some], times[some].astype(float))]))
+                found.append(_summed([_cells([y[some] for y in x], gate[some], times[some].astype(float))]))
     mixer.fit(*_summed(found))
     out = np.empty((used * len(GAINS), PAIRS, 256))
     for p in range(PREVIOUS):
         for k in range(used):
-            x, gate = inputs(p, k, 0)
-            for g, gain in enumerate(GAINS):
-                out[k * len(GAINS) + g, p * per:(p + 1) * per] = mixer.cost(x, gate, gain)
+            for g, x in enumerate(mixer.costs(*inputs(p, k, 0))):
+                out[k * len(GAINS) + g, p * per:(p + 1) * per] = x
     return out.reshape(len(out), -1), _cost(alone)
 
 
@@ -523,16 +520,22 @@ def learnt(words: DataFrame, used: list[int], tables, second) -> tuple[Gated, in
     their occurrences."""
     def learn(batches):
         m, count, total = Mixer(*tables.value), 0, 0
+        sums = np.zeros(GATES * CELLS ** len(START))
         for names, n, _, _ in _chapters(batches, used):
-            key, found = byte_contexts([w if w == END else w[:-1] for w in names])[1], []
+            key = byte_contexts([w if w == END else w[:-1] for w in names])[1]
             count, total = count + len(names), total + int(n.sum())
             for i, at, same, other in begun(names, n, second.value):
                 for k in range(len(used)):
                     some = np.flatnonzero(n[i, k] > 0)
                     if len(some):
                         one = other if len(other) == 1 else other[some]
-                        found.append(_cells(*_inputs(m.signed(key[at[some]], 1), same[some], one, k, 1), n[i[some], k]))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(found)], names=["cell", "times"])
+                        all_words, gate = _inputs(same[some], one, 1)
+                        x = [m.signed(key[at[some]], 1), all_words, _ratio(same[some, :, k] - 1, one[..., k])]
+                        cell, times = _cells(x, gate, n[i[some], k])
+                        sums += np.bincount(cell, times, len(sums))
+        at = np.flatnonzero(sums)
+        for s in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[s:s + 50_000]), pa.array(sums[at[s:s + 50_000]])], names=["cell", "times"])
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([float(count), float(total)])], names=["cell", "times"])
 
     got = words.mapInArrow(learn, "cell long, times double").groupBy("cell").agg(F.sum("times").alias("times")).orderBy("cell").toArrow()
@@ -555,10 +558,10 @@ def spelled(words: DataFrame, used: list[int], tables, second, weights: np.ndarr
             for i, at, same, other in begun(names, n, second.value):
                 z = m.signed(key[at])
                 np.add.at(cost[:, -1], i, _cost(z))
+                all_words, gate = _inputs(same, other)
                 for k in range(len(used)):
-                    x, gate = _inputs(z, same, other, k)
-                    for g, gain in enumerate(GAINS):
-                        np.add.at(cost[:, k * len(GAINS) + g], i, mixer.cost(x, gate, gain))
+                    for g, x in enumerate(mixer.costs([z, all_words, _ratio(same[..., k], other[..., k])], gate)):
+                        np.add.at(cost[:, k * len(GAINS) + g], i, x)
             h, c, cost = hashes(plain, len(plain)).view(np.int64), n.sum(1).astype(np.int64), cost.astype(np.float32)
             width = cost.shape[1] * 4
             for s in range(0, len(of), 50_000):
@@ -598,7 +601,7 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     a byte of the words with one space after each."""
     spark = docs.sparkSession
     dealt = blocks(docs, block_bytes)
-    rows = stored(gathered(dealt), "lm-rows")
+    rows = stored(gathered(dealt), "lm-rows", "kind")
     contexts = stored(rows.where(F.col("kind") == CONTEXT).groupBy("key").agg(F.sum("n").alias("n")), "lm-contexts")
     # in an order that doesn't depend on the blocks
     m = train(stored(contexts.repartition(max(1, contexts.count() // TAUGHT), "key").sortWithinPartitions("key"), "lm-taught"))
@@ -619,7 +622,7 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     none = np.zeros(PAIRS << 8, np.int64)
     second = spark.sparkContext.broadcast(np.stack([two.get(k, none[:1 << 16]) for k in used]).reshape(len(used), 256, 256))
     by_first = first_bytes(np.stack([first.get(k, none) for k in used]).reshape(len(used), PAIRS, 256), m)
-    sent = spark.sparkContext.broadcast([x.astype(np.float32) for x in by_first])
+    sent = spark.sparkContext.broadcast((np.ascontiguousarray(by_first[0].T, np.float32), by_first[1].astype(np.float32)))
     tables = spark.sparkContext.broadcast((m.n0.astype(np.float32), m.n1.astype(np.float32), m.weights))
     # learning sees each word once and in an order that doesn't depend on the blocks
     words = stored(rows.where((F.col("kind") == WORD) & (F.col("n") > 0)).groupBy("word", "class").agg(F.sum("n").alias("n"))
@@ -644,16 +647,17 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         order = np.argsort(counts.column("key").to_numpy())
         found = order[np.searchsorted(counts.column("key").to_numpy()[order], h.view(np.int64))]
         c = counts.column("c").to_numpy()[found]
-        costs = np.frombuffer(b"".join(counts.column("costs").to_pylist()), np.float32).reshape(len(order), -1)[found].T
+        costs = np.frombuffer(b"".join(counts.column("costs").to_pylist()), np.float32).reshape(len(order), -1)[found]
         log_base = np.log10(c + 1) - base
         first, alone = sent.value
         out = []
         for ids, doc_id, kind in zip(at, block.column("doc_id").to_pylist(), block.column("class").to_pylist(), strict=True):
-            cost = first[:, previous(h, ids) << 8 | lead[ids]] + costs[:-1, ids]
-            coder = alone[lead[ids]] + costs[-1, ids]
+            cost = costs[ids]
+            cost[:, :-1] += first[previous(h, ids) << 8 | lead[ids]]
+            cost[:, -1] += alone[lead[ids]]
             # a word's cost is at most 1000 bits
-            p, q = (np.exp(-np.minimum(x.astype(np.float64), 1000 * math.log(2))) for x in (cost, coder))
-            s = refined(ids, p, q)
+            p = np.exp(-np.minimum(cost.T, 1000 * math.log(2), dtype=np.float64))
+            s = refined(ids, p[:-1], p[-1])
             out.append((doc_id, kind == -1, len(ids), int((c[ids] > 0).sum()), n_train, float(log_base[ids].sum()), s,
                         -s / math.log10(2) / max(1, int(size[ids].sum()))))
         return pa.Table.from_batches(list(batches_of(out, schema)), schema)
