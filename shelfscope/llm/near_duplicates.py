@@ -63,8 +63,9 @@ PLACE = 500
 #: Members of a hub that are compared in one place, in the mean.
 MEMBERS = 64
 BITMAP_BITS = 22
-#: Slots of the table of how common shingles are.
-SKETCH_BITS = 22
+#: Slots of the table of how common shingles are, and texts that a task counts before it
+#: hands on what it has.
+SKETCH_BITS, SKETCH_TEXTS = 22, 1 << 17
 #: Sets of one shingle on each side of one place of the prefix join.
 SIDE = 1000
 _rng = np.random.default_rng(10)
@@ -278,14 +279,23 @@ def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
 
 def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
     """How common the shingles of a slot are in all the texts, on a log scale."""
+    most = SKETCH_TEXTS
+
     def count(batches):
         hashes, slots = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
-        for _, text in rows_of(batches, "doc_id", "text"):
+
+        def counted():
+            at = np.flatnonzero(slots)
+            for i in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000].astype(np.int32)),
+                                                  pa.array(slots[at[i:i + 100_000]])], names=["slot", "n"])
+            slots[at] = 0
+
+        for done, (_, text) in enumerate(rows_of(batches, "doc_id", "text")):
+            if done and done % most == 0:
+                yield from counted()
             np.add.at(slots, (shingle_set(text, hashes, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(slots)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000].astype(np.int32)),
-                                              pa.array(slots[at[i:i + 100_000]])], names=["slot", "n"])
+        yield from counted()
 
     got = (texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas())
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
