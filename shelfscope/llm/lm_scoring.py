@@ -37,10 +37,14 @@ uniform start; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,6 +123,7 @@ class Mixer:
         self.n0, self.n1 = n0, n1
         self.weights = np.full((GATES, ORDERS), 0.3) if weights is None else weights
         self.logit = self.seen = None
+        self.left: dict[int, np.ndarray] = {}
 
     def learn(self, key: np.ndarray, times: np.ndarray, rng: np.random.Generator, rate: float = RATE) -> None:
         """One online pass over contexts that occurred ``times``, in random order."""
@@ -142,15 +147,14 @@ class Mixer:
         if self.logit is None:
             self.logit = np.log((self.n1 + np.float32(0.4)) / (self.n0 + np.float32(0.4))).astype(np.float32)
             self.seen = (self.n0[last] + self.n1[last]).astype(np.float32)
-        gate = _gate(_level(self.seen[slots[-1] - last.start] - out))
+        if out and out not in self.left:
+            # of each slot with a 0 and with a 1
+            self.left[out] = np.stack([_ratio(self.n0 - out, self.n1), _ratio(self.n1 - out, self.n0)], -1).ravel()
+        gate = _gate(_level(self.seen.take(slots[-1] - last.start) - out)).astype(np.intp)
         weights = self.weights.T.astype(np.float32)
         z = np.zeros(gate.shape, np.float32)
         for k in range(ORDERS):
-            if out:
-                n0, n1 = self.n0[slots[k]], self.n1[slots[k]]
-                z += weights[k][gate] * _ratio(np.where(bits == 1, n1, n0) - out, np.where(bits == 1, n0, n1))
-            else:
-                z += weights[k][gate] * self.logit[slots[k]]
+            z += weights[k].take(gate) * (self.left[out].take(slots[k] * 2 + bits) if out else self.logit.take(slots[k]))
         if not out:
             np.negative(z, out=z, where=bits == 0)
         return z
@@ -169,11 +173,17 @@ def _ratio(same: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.log((np.maximum(same, 0) + 0.4) / (other + 0.4)).astype(np.float32)
 
 
-def _cells(x: list[np.ndarray], gate: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gates and inputs (to the nearest ``GRAIN``) as one number, and how often."""
+def _cell(x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+    """Gates (or gates and inputs before these) and inputs, to the nearest ``GRAIN``, as one number."""
     cell = gate.astype(np.int64)
     for y in x:
-        cell = cell * CELLS + np.clip(np.rint(y / np.float32(GRAIN)), -(CELLS // 2), CELLS // 2).astype(np.int32) + CELLS // 2
+        cell = cell * CELLS + (np.clip(np.rint(y / np.float32(GRAIN)), -(CELLS // 2), CELLS // 2).astype(np.int32) + CELLS // 2)
+    return cell
+
+
+def _cells(x: list[np.ndarray], gate: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gates and inputs as one number, and how often."""
+    cell = _cell(x, gate)
     return cell.ravel(), np.broadcast_to(times[:, None], cell.shape).ravel()
 
 
@@ -187,7 +197,11 @@ def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def _cost(z: np.ndarray) -> np.ndarray:
     """-log of the probability of each byte from the logits of its bits."""
-    return np.log((1 + np.exp(-np.clip(z, -80, 80), dtype=np.float32)).prod(-1, dtype=np.float64))
+    odds = 1 + np.exp(-np.clip(z, -80, 80), dtype=np.float32)
+    product = odds[..., 0].astype(np.float64)
+    for j in range(1, odds.shape[-1]):
+        product *= odds[..., j]
+    return np.log(product)
 
 
 class Gated:
@@ -216,11 +230,18 @@ class Gated:
             move = np.linalg.solve(h.reshape(GATES, k, k) + pull, g[..., None])[..., 0]
             self.weights = self.weights + np.clip(move, -0.5, 0.5)
 
+    def at(self, gate: np.ndarray) -> list[np.ndarray]:
+        """The weights of each input."""
+        gate = gate.astype(np.intp)
+        return [np.ascontiguousarray(w).take(gate) for w in self.weights.T.astype(np.float32)]
+
     def costs(self, x: list[np.ndarray], gate: np.ndarray) -> list[np.ndarray]:
         """-log of each byte's probability, for each gain."""
-        w = self.weights.astype(np.float32)
-        z = sum(w[:, i][gate] * y for i, y in enumerate(x))
-        return [_cost(np.float32(gain) * z) for gain in GAINS]
+        return _gained(sum(w * y for w, y in zip(self.at(gate), x, strict=True)))
+
+
+def _gained(z: np.ndarray) -> list[np.ndarray]:
+    return [_cost(np.float32(gain) * z) for gain in GAINS]
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -234,13 +255,11 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             .repartition(n, "block"))
 
 
-class _Ids(dict):
+class _Ids(defaultdict):
     """Word -> dense id in order of appearance."""
 
-    def __missing__(self, word: bytes) -> int:
-        i = len(self)
-        self[word] = i
-        return i
+    def __init__(self):
+        super().__init__(count().__next__)
 
     def of(self, text: bytes) -> np.ndarray:
         """The ids of a text's words and of the end."""
@@ -253,13 +272,23 @@ def hashes(words: Iterable[bytes], n: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
 
 
-def previous(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each token of a document the hash of its previous two words, below ``PAIRS``; ``h`` are
-    the words' hashes. Before the first word there are ends."""
-    end = xxhash.xxh3_64_intdigest(END)
-    one = np.append(np.uint64(end), h[at[:-1]]) % np.uint64(PREVIOUS)
-    two = np.append(np.full(min(2, len(at)), end, np.uint64), h[at[:-2]]) >> np.uint64(32)
-    return (one * np.uint64(PAIRS // PREVIOUS) + two % np.uint64(PAIRS // PREVIOUS)).astype(np.int64)
+def pair_parts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What words with the hashes ``h``, and after them one end, add to the hash of a pair as its later
+    and as its earlier word."""
+    h = np.append(h, np.uint64(xxhash.xxh3_64_intdigest(END)))
+    per = np.uint64(PAIRS // PREVIOUS)
+    return (h % np.uint64(PREVIOUS) * per).astype(np.int64), ((h >> np.uint64(32)) % per).astype(np.int64)
+
+
+def previous(parts: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """For each token of a document the hash of its previous two words, below ``PAIRS``. Before the
+    first word there are ends."""
+    one, two = parts
+    out = np.empty(len(at), np.int64)
+    out[:1], out[1:] = one[-1], one[at[:-1]]
+    out[:2] += two[-1]
+    out[2:] += two[at[:-2]]
+    return out
 
 
 def gathered(dealt: DataFrame) -> DataFrame:
@@ -282,26 +311,23 @@ def gathered(dealt: DataFrame) -> DataFrame:
             .mapInArrow(gather, "block int, kind int, word binary, key long, class int, n long"))
 
 
-def _closed(word: bytes) -> bytes:
-    return word if word == END else word + b" "
-
-
 def _block_rows(block: int | None, known: dict[bytes, int], docs: list[tuple[int, np.ndarray]]):
     """The rows of one block from its words and the ids of each document's tokens."""
     words = list(known)
-    h, first = hashes(words, len(words)), np.fromiter((w[0] for w in words), np.int64, len(words))
+    pairs, first = pair_parts(hashes(words, len(words))), np.fromiter(map(itemgetter(0), words), np.int64, len(words))
+    closed = pa.array([w + b" " if w != END else w for w in words], pa.binary())
     trained = np.zeros(len(words), np.int64)
     for kind in sorted({kind for kind, _ in docs} - {-1}):
         own = [at for k, at in docs if k == kind]
         n = np.bincount(np.concatenate(own), minlength=len(words))
         trained += n
-        yield from _rows(block, WORD, kind, n[n > 0], word=[_closed(words[i]) for i in np.flatnonzero(n)])
+        yield from _rows(block, WORD, kind, n[n > 0], word=closed.take(pa.array(np.flatnonzero(n))))
         n = np.zeros(PAIRS << 8, np.int64)
         for s in range(0, len(own), 500):
-            n += np.bincount(np.concatenate([previous(h, at) << 8 | first[at] for at in own[s:s + 500]]), minlength=len(n))
+            n += np.bincount(np.concatenate([previous(pairs, at) << 8 | first[at] for at in own[s:s + 500]]), minlength=len(n))
         yield from _rows(block, FIRST, kind, n[n > 0], key=np.flatnonzero(n))
     others = np.flatnonzero(trained == 0)
-    yield from _rows(block, WORD, -1, np.zeros(len(others), np.int64), word=[_closed(words[i]) for i in others])
+    yield from _rows(block, WORD, -1, np.zeros(len(others), np.int64), word=closed.take(pa.array(others)))
     held = []
     at = np.flatnonzero(trained)
     for s in range(0, len(at), 50_000):
@@ -315,12 +341,12 @@ def _block_rows(block: int | None, known: dict[bytes, int], docs: list[tuple[int
         yield from _rows(block, CONTEXT, 0, n, key=key)
 
 
-def _rows(block: int, kind: int, class_: int, n: np.ndarray, word: list[bytes] | None = None, key: np.ndarray | None = None):
+def _rows(block: int, kind: int, class_: int, n: np.ndarray, word: pa.Array | None = None, key: np.ndarray | None = None):
     for s in range(0, len(n), 50_000):
         m = len(n[s:s + 50_000])
         same = [pa.array(np.full(m, x, np.int32)) for x in (block, kind, class_)]
         yield pa.RecordBatch.from_arrays(
-            [same[0], same[1], pa.nulls(m, pa.binary()) if word is None else pa.array(word[s:s + m], pa.binary()),
+            [same[0], same[1], pa.nulls(m, pa.binary()) if word is None else word.slice(s, m),
              pa.nulls(m, pa.int64()) if key is None else pa.array(key[s:s + m]), same[2], pa.array(n[s:s + m])],
             names=["block", "kind", "word", "key", "class", "n"])
 
@@ -339,31 +365,36 @@ def _chapters(batches: Iterable[pa.RecordBatch], used: list[int]) -> Iterator[tu
     column = np.full(CLASSES + 1, -1)
     column[used] = np.arange(len(used))
 
-    def made(word, block, kind, n):
-        new = [True, *(a != b for a, b in zip(word, word[1:], strict=False))]
+    def made(held):
+        word = pa.concat_arrays([w for w, *_ in held])
+        block, kind, n = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+        new = np.append(True, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False))
         of = np.cumsum(new) - 1
-        counts = np.zeros((of[-1] + 1, len(used)))
-        block, kind, n = np.array(block), np.array(kind), np.array(n)
-        np.add.at(counts, (of[kind >= 0], column[kind[kind >= 0]]), n[kind >= 0])
+        some = np.flatnonzero(kind >= 0)
+        counts = np.bincount(of[some] * len(used) + column[kind[some]], n[some], (of[-1] + 1) * len(used))
         once = np.append(True, (of[1:] != of[:-1]) | (block[1:] != block[:-1]))
-        return [w for w, x in zip(word, new, strict=True) if x], counts, of[once], block[once]
+        return word.filter(pa.array(new)).to_pylist(), counts.reshape(-1, len(used)), of[once], block[once]
 
-    held: list[list] = [[], [], [], []]
+    held, size = [], 0
     for b in batches:
-        got = [b.column(c).to_pylist() for c in ("word", "block", "class", "n")]
-        if len(held[0]) >= ROWS and got[0]:
-            last = held[0][-1][:2]
-            cut = next((i for i, w in enumerate(got[0]) if w[:2] != last), len(got[0]))
-            for h, g in zip(held, got, strict=True):
-                h.extend(g[:cut])
+        if not len(b):
+            continue
+        got = [b.column("word"), *(b.column(c).to_numpy() for c in ("block", "class", "n"))]
+        if size >= ROWS:
+            last = held[-1][0][-1].as_py()[:2]
+            lead = pc.not_equal(pc.binary_slice(got[0], 0, 2), pa.scalar(last, pa.binary())).to_numpy(zero_copy_only=False)
+            cut = int(lead.argmax()) if lead.any() else len(lead)
+            if cut:
+                held.append([g[:cut] for g in got])
             got = [g[cut:] for g in got]
-            if got[0]:
-                yield made(*held)
-                held = [[], [], [], []]
-        for h, g in zip(held, got, strict=True):
-            h.extend(g)
-    if held[0]:
-        yield made(*held)
+            if len(got[0]):
+                yield made(held)
+                held, size = [], 0
+        if len(got[0]):
+            held.append(got)
+            size += len(got[0])
+    if held:
+        yield made(held)
 
 
 def byte_counts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -401,12 +432,12 @@ def begun(words: list[bytes], n: np.ndarray, second: np.ndarray) -> Iterator[tup
         active, node = active[~single], node[~single]
         if not len(active):
             break
-        byte = flat[off[active] + place]
+        byte, own = flat[off[active] + place], n[active]
         new, levels = np.append(True, node[1:] != node[:-1]), []
         for j in range(9):
             if j:
                 new[1:] |= byte[1:] >> (8 - j) != byte[:-1] >> (8 - j)
-            levels.append((np.cumsum(new) - 1, np.add.reduceat(n[active], np.flatnonzero(new), axis=0)))
+            levels.append((np.cumsum(new) - 1, np.add.reduceat(own, np.flatnonzero(new), axis=0)))
         for s in range(0, len(active), PIECE):
             count = np.stack([c[run[s:s + PIECE]] for run, c in levels], 1)
             yield active[s:s + PIECE], off[active[s:s + PIECE]] + place, count[:, 1:], count[:, :-1] - count[:, 1:]
@@ -424,9 +455,19 @@ def begun(words: list[bytes], n: np.ndarray, second: np.ndarray) -> Iterator[tup
             yield i[w], off[i[w]] + size[i[w]] - (ends[w] - j), same, np.zeros((1, 8, n.shape[1]))
 
 
+def _total(n: np.ndarray) -> np.ndarray:
+    """Counts of all classes."""
+    return sum(n[..., k] for k in range(n.shape[-1]))
+
+
+def _bits(same: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts that are the same for all bits of a byte, for one of them."""
+    return (same, other) if same.strides[1] else (same[:, :1], other[:, :1])
+
+
 def _inputs(same: np.ndarray, other: np.ndarray, out: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Logits by all training words and gates, leaving out ``out`` occurrences."""
-    all_same, all_other = same.sum(-1) - out, other.sum(-1)
+    all_same, all_other = _total(same) - out, _total(other)
     return _ratio(all_same, all_other), _gate(_level(all_same + all_other))
 
 
@@ -525,14 +566,14 @@ def learnt(words: DataFrame, used: list[int], tables, second) -> tuple[Gated, in
             key = byte_contexts([w if w == END else w[:-1] for w in names])[1]
             count, total = count + len(names), total + int(n.sum())
             for i, at, same, other in begun(names, n, second.value):
+                same, other = _bits(same, other)
+                all_words, gate = _inputs(same, other, 1)
+                both = _cell([m.signed(key[at], 1), all_words], gate)
                 for k in range(len(used)):
                     some = np.flatnonzero(n[i, k] > 0)
                     if len(some):
-                        one = other if len(other) == 1 else other[some]
-                        all_words, gate = _inputs(same[some], one, 1)
-                        x = [m.signed(key[at[some]], 1), all_words, _ratio(same[some, :, k] - 1, one[..., k])]
-                        cell, times = _cells(x, gate, n[i[some], k])
-                        sums += np.bincount(cell, times, len(sums))
+                        own = _ratio(same[some, :, k] - 1, other[..., k] if len(other) == 1 else other[some, :, k])
+                        np.add.at(sums, _cell([own], both[some]).ravel(), n[i[some], k].repeat(8))
         at = np.flatnonzero(sums)
         for s in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[s:s + 50_000]), pa.array(sums[at[s:s + 50_000]])], names=["cell", "times"])
@@ -558,9 +599,12 @@ def spelled(words: DataFrame, used: list[int], tables, second, weights: np.ndarr
             for i, at, same, other in begun(names, n, second.value):
                 z = m.signed(key[at])
                 np.add.at(cost[:, -1], i, _cost(z))
+                same, other = _bits(same, other)
                 all_words, gate = _inputs(same, other)
+                w = mixer.at(gate)
+                both = w[0] * z + w[1] * all_words
                 for k in range(len(used)):
-                    for g, x in enumerate(mixer.costs([z, all_words, _ratio(same[..., k], other[..., k])], gate)):
+                    for g, x in enumerate(_gained(both + w[2] * _ratio(same[..., k], other[..., k]))):
                         np.add.at(cost[:, k * len(GAINS) + g], i, x)
             h, c, cost = hashes(plain, len(plain)).view(np.int64), n.sum(1).astype(np.int64), cost.astype(np.float32)
             width = cost.shape[1] * 4
@@ -639,27 +683,33 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         known = _Ids()
         at = [known.of(text.as_py()) for text in block.column("text")]
         names = list(known)
-        del known
         h = hashes(names, len(names))
-        lead = np.fromiter((x[0] for x in names), np.int64, len(names))
-        size = np.fromiter((len(x) + 1 if x != END else 0 for x in names), np.int64, len(names))
-        del names
+        pairs, lead = pair_parts(h), np.fromiter(map(itemgetter(0), names), np.int64, len(names))
+        size = np.fromiter(map(len, names), np.int64, len(names)) + 1
+        size[known[END]] = 0
+        del known, names
         order = np.argsort(counts.column("key").to_numpy())
         found = order[np.searchsorted(counts.column("key").to_numpy()[order], h.view(np.int64))]
         c = counts.column("c").to_numpy()[found]
         costs = np.frombuffer(b"".join(counts.column("costs").to_pylist()), np.float32).reshape(len(order), -1)[found]
         log_base = np.log10(c + 1) - base
         first, alone = sent.value
-        out = []
-        for ids, doc_id, kind in zip(at, block.column("doc_id").to_pylist(), block.column("class").to_pylist(), strict=True):
-            cost = costs[ids]
-            cost[:, :-1] += first[previous(h, ids) << 8 | lead[ids]]
-            cost[:, -1] += alone[lead[ids]]
+        rows, out = list(zip(at, block.column("doc_id").to_pylist(), block.column("class").to_pylist(), strict=True)), []
+        ends = np.cumsum([len(ids) for ids in at])
+        # documents with about PIECE tokens at a time
+        for docs in np.split(np.arange(len(at)), np.flatnonzero(np.diff(ends // PIECE)) + 1):
+            every = np.concatenate([at[d] for d in docs])
+            cost = costs[every]
+            cost[:, :-1] += first[np.concatenate([previous(pairs, at[d]) for d in docs]) << 8 | lead[every]]
+            cost[:, -1] += alone[lead[every]]
             # a word's cost is at most 1000 bits
-            p = np.exp(-np.minimum(cost.T, 1000 * math.log(2), dtype=np.float64))
-            s = refined(ids, p[:-1], p[-1])
-            out.append((doc_id, kind == -1, len(ids), int((c[ids] > 0).sum()), n_train, float(log_base[ids].sum()), s,
-                        -s / math.log10(2) / max(1, int(size[ids].sum()))))
+            every = np.exp(-np.minimum(cost, 1000 * math.log(2), dtype=np.float64))
+            for d in docs:
+                ids, doc_id, kind = rows[d]
+                p, every = every[:len(ids)].T, every[len(ids):]
+                s = refined(ids, p[:-1], p[-1])
+                out.append((doc_id, kind == -1, len(ids), int((c[ids] > 0).sum()), n_train, float(log_base[ids].sum()), s,
+                            -s / math.log10(2) / max(1, int(size[ids].sum()))))
         return pa.Table.from_batches(list(batches_of(out, schema)), schema)
 
     return (dealt.groupBy("block").cogroup(back.groupBy("block"))

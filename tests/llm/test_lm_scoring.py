@@ -140,3 +140,22 @@ def test_first_byte_is_a_distribution():
     after, alone = lm_scoring.first_bytes(n, lm_scoring.Mixer(empty, empty))
     assert np.allclose(np.exp(-after).reshape(4, lm_scoring.PAIRS, 256).sum(-1), 1, atol=1e-4)
     assert np.allclose(np.exp(-alone).sum(), 1)
+
+
+def test_logits_without_an_occurrence_are_taken_once(monkeypatch):
+    """Each slot's logit is taken once a mixer, not for every bit of every context."""
+    r = np.random.default_rng(4)
+    n0, n1 = (r.integers(0, 5, lm_scoring.ORDERS << lm_scoring.SLOT_BITS).astype(np.float32) for _ in range(2))
+    m, taken = lm_scoring.Mixer(n0, n1), []
+    _, key = lm_scoring.byte_contexts([b"some", b"words", b"of", b"these"])
+    slots, bits = lm_scoring.bit_slots(key)
+    want = np.zeros(bits.shape)
+    gate = lm_scoring._gate(lm_scoring._level((n0 + n1)[slots[-1]] - 1))
+    for k in range(lm_scoring.ORDERS):
+        same, other = np.where(bits, n1[slots[k]], n0[slots[k]]), np.where(bits, n0[slots[k]], n1[slots[k]])
+        want += m.weights[gate, k] * np.log((np.maximum(same - 1, 0) + 0.4) / (other + 0.4))
+    ratio = lm_scoring._ratio
+    monkeypatch.setattr(lm_scoring, "_ratio", lambda *a: taken.append(1) or ratio(*a))
+    assert np.allclose(m.signed(key, 1), want, atol=1e-4)
+    first = len(taken)
+    assert np.allclose(m.signed(key, 1), want, atol=1e-4) and len(taken) == first
