@@ -35,7 +35,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     labels = table(spark, sf_dir, "labels")
     vectors = quality_classifier.word_vectors(docs)
-    pooled = quality_classifier.pooled(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), vectors)
+    # the texts that the fit reads are looked up by the sample's ids, so the others don't move
+    ids = F.broadcast(quality_classifier.sample(labels).select("__id"))
+    pooled = quality_classifier.pooled(docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi"), vectors)
     return quality_classifier.accepted(docs.select(*COLUMNS), vectors, quality_classifier.train(pooled, labels))
 
 

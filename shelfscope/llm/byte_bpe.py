@@ -35,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.llm.common import batches_of, doc_bytes, give_back, small_batches, table
+from shelfscope.llm.common import KEPT, batches_of, doc_bytes, give_back, small_batches, table
 
 SLICE_BYTES = 4 << 20
 SHORT = 255
@@ -221,6 +221,10 @@ def _loaded(path: str, pattern: str) -> Bpe:
     return Bpe(path, pattern)
 
 
+#: Tables, texts' pieces and ranks stay only while a worker has tasks of this operator.
+KEPT.append(_loaded.cache_clear)
+
+
 def default_tokenizer() -> tuple[str, str]:
     import public_tokenizers as P
 

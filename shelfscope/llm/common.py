@@ -15,7 +15,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +163,27 @@ def give_back() -> None:
         trim(0)
 
 
+#: What drops that which a worker keeps from task to task for one operator.
+KEPT: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Drop what this worker keeps for other operators."""
+    for drop in KEPT:
+        drop()
+
+
+def released(run: Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]):
+    """A Python operator that drops what its worker kept for others and hands its own memory back
+    when it ends: a worker lives on, beside the JVM's next stages, with all that it ever held."""
+    def ended(batches):
+        forget()
+        yield from run(batches)
+        give_back()
+
+    return ended
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples of Python values."""
     give_back()  # what the worker's last task left

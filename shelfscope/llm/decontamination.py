@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import WordHashes, batches_of, doc_bytes, gram_hashes, rows_of, small_batches, stored, table
+from shelfscope.llm.common import WordHashes, batches_of, doc_bytes, gram_hashes, released, rows_of, small_batches, stored, table
 
 WINDOW, SHINGLE = 10, 5
 BITMAP_BITS = 22
@@ -66,7 +66,7 @@ def windows(items: DataFrame, width: int = WINDOW, k: int = SHINGLE) -> DataFram
                                                  ("grams", pa.list_(pa.int64()))]), 500)
 
     return (doc_bytes(items, doc_id="item_id").where("doc_id is not null")
-            .mapInArrow(cut, "item_id long, win string, len int, grams array<long>"))
+            .mapInArrow(released(cut), "item_id long, win string, len int, grams array<long>"))
 
 
 def bitmap(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -103,7 +103,7 @@ def rarity(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
                 seen = {}
         yield from batches_of(seen.items(), schema, 50_000)
 
-    return (doc_bytes(docs).select("text").mapInArrow(count, "gram long, n long")
+    return (doc_bytes(docs).select("text").mapInArrow(released(count), "gram long, n long")
             .groupBy("gram").agg(F.sum("n").alias("n")))
 
 
@@ -133,7 +133,7 @@ def occurrences(docs: DataFrame, bits: np.ndarray, sizes: list[int], width: int
                                                  ("n_words", pa.int64()), ("found", place)]))
 
     return doc_bytes(docs).mapInArrow(
-        find, "doc_id long, version long, n_words long, "
+        released(find), "doc_id long, version long, n_words long, "
               "found array<struct<gram:long,at:int,first:int,near:string>>")
 
 

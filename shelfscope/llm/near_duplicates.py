@@ -49,8 +49,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import (WordHashes, batches_of, doc_bytes, gram_hashes, mixed, rows_of, small_batches, stored,
-                                   table)
+from shelfscope.llm.common import (WordHashes, batches_of, doc_bytes, gram_hashes, mixed, released, rows_of, small_batches,
+                                   stored, table)
 from shelfscope.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -101,7 +101,7 @@ def sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         yield from batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()),
                                                  ("fp", pa.binary()), ("sig", pa.binary())]))
 
-    return doc_bytes(docs).mapInArrow(make, "doc_id long, n_shingles long, fp binary, sig binary")
+    return doc_bytes(docs).mapInArrow(released(make), "doc_id long, n_shingles long, fp binary, sig binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def forest(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(region.ravel().view(np.int64)), pa.array(rest.ravel().view(np.int64)),
                                               pa.array(ids)], names=["region", "rest", "id"])
 
-    return classes.select("id", "sig").mapInArrow(expand, "region long, rest long, id long")
+    return classes.select("id", "sig").mapInArrow(released(expand), "region long, rest long, id long")
 
 
 def regions(trees: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
             yield b.filter(pa.array(keep.astype(bool))).select(["doc_id", "text"])
 
     return (doc_bytes(docs, F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << BITMAP_BITS)).alias("at"))
-            .where("doc_id is not null").mapInArrow(preselect, "doc_id long, text binary"))
+            .where("doc_id is not null").mapInArrow(released(preselect), "doc_id long, text binary"))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
@@ -214,7 +214,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int =
 
         yield from batches_of(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]), 10_000)
 
-    return sent_out.mapInArrow(compare, "a long, b long").distinct()
+    return sent_out.mapInArrow(released(compare), "a long, b long").distinct()
 
 
 def named(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
             np.add.at(slots, (shingle_set(text, hashes, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         yield from counted()
 
-    got = (texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas())
+    got = (texts.mapInArrow(released(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas())
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     out[got["slot"].to_numpy(np.int64)] = np.minimum(255, 4 * np.log2(got["n"].to_numpy(np.float64))).astype(np.uint8)
     return out
@@ -330,7 +330,7 @@ def prefixes(members: DataFrame, docs: DataFrame, percent: int, k: int) -> DataF
                                                  names=["token", "id", "c", "n", "p", "short"])
 
     return (members.join(texts, F.col("id") == F.col("doc_id")).select("id", "c", "text")
-            .mapInArrow(cut, "token long, id long, c long, n long, p long, short boolean"))
+            .mapInArrow(released(cut), "token long, id long, c long, n long, p long, short boolean"))
 
 
 def open_pairs(members: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:

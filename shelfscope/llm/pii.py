@@ -31,6 +31,8 @@ can't occur within a kind; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,6 +52,8 @@ WORD = r"\p{L}{2,}"
 SUPPORT, GENERALISE, REMOVE = 5, 0.8, 0.95
 VALUE_SUPPORT, REACH = 2, 120
 TERM_BUCKETS = 1 << 18
+#: Bytes of texts, in the mean, that a task cuts into word rows and orders: its rows take many times as much.
+WORDS_BYTES = 2 << 20
 
 
 def _digits(m: Column) -> Column:
@@ -146,7 +150,9 @@ def words_near(found: DataFrame) -> DataFrame:
     """The words outside base spans of the lines that hold base spans, or within ``REACH`` of
     one: doc_id, version, copies (rows alike), line, kinds of the line, values within reach,
     term, start, until."""
-    held = (found.where(F.size("spans") > 0).groupBy("doc_id", "version")
+    held = found.where(F.size("spans") > 0)
+    size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    held = (held.repartition(math.ceil(size / WORDS_BYTES) or 1, "doc_id", "version").groupBy("doc_id", "version")
             .agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("spans").alias("spans")))
     # of each span: the line it begins in, and what it protects
     digits = F.array(*(F.lit(k in ("card", "phone")) for k in KINDS))

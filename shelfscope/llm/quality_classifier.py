@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import batches_of, bounded, doc_bytes, fold, rows_of, small_batches, stored, table
+from shelfscope.llm.common import batches_of, bounded, doc_bytes, fold, released, rows_of, small_batches, stored, table
 
 BITS, DIM, NONZERO, WINDOW = 14, 32, 4, 2
 FIT_ROWS = 20_000
@@ -117,7 +117,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """The pooled table: a row for each token row, scaled and weighted, from all texts."""
     sums = [f"v{k}" for k in range(DIM)]
     got = (doc_bytes(docs).select("text")
-           .mapInArrow(_context_sums, "row int, n long, " + ", ".join(f"{c} long" for c in sums))
+           .mapInArrow(released(_context_sums), "row int, n long, " + ", ".join(f"{c} long" for c in sums))
            .groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
            .toPandas())
     out = np.zeros((1 << BITS, DIM), np.float32)
@@ -148,7 +148,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
         yield from batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("vec", pa.binary())]))
 
     return doc_bytes(docs, (fold(F.col("doc_id"), 5) == 0).alias("held_out")).mapInArrow(
-        pool, "doc_id long, held_out boolean, vec binary")
+        released(pool), "doc_id long, held_out boolean, vec binary")
 
 
 def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, l2: float = 1e-4, seed: int = 9) -> dict | None:
@@ -191,12 +191,17 @@ def probability(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z / model["temperature"], -30, 30)))
 
 
-def train(vectors: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> dict | None:
-    """Fit on at most ``rows`` labelled rows whose fold is not 0."""
+def sample(labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> DataFrame:
+    """(__id, y) of at most ``rows`` labelled ids whose fold is not 0."""
     known = (labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y"))
              .where(F.col("__id").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("__id"), 5) != 0))
              .groupBy("__id").agg(F.min("y").alias("y")))
-    joined = vectors.join(bounded(known, "__id", rows), F.col("doc_id") == F.col("__id")).select("__id", "vec", "y")
+    return bounded(known, "__id", rows)
+
+
+def train(vectors: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> dict | None:
+    """Fit on the ``sample`` of the labels."""
+    joined = vectors.join(sample(labels, label, rows), F.col("doc_id") == F.col("__id")).select("__id", "vec", "y")
     # one row a sampled id, however often it is repeated, so the bound on ids is the bound on rows
     got = joined.groupBy("__id").agg(F.min(F.struct("vec", "y")).alias("r")).select("__id", "r.*").collect()
     got.sort(key=lambda r: r["__id"])
@@ -218,7 +223,7 @@ def scores(vectors: DataFrame, model: dict | None, threshold: float = THRESHOLD)
                                                   pa.array((s >= threshold).astype(np.int32))],
                                                  names=["doc_id", "held_out", "score", "predicted"])
 
-    return vectors.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return vectors.mapInArrow(released(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, vectors: np.ndarray, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -235,7 +240,7 @@ def accepted(docs: DataFrame, vectors: np.ndarray, model: dict | None, threshold
                     x[i] = np.bincount(at, minlength=1 << BITS) @ v / len(at) if len(at) > 20_000 else v[at].mean(0)
             yield b.filter(pa.array(probability(m, x.astype(float)) >= threshold)) if m else b
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:

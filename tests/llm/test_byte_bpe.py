@@ -4,7 +4,7 @@ import hashlib
 import numpy as np
 import tiktoken
 
-from shelfscope.llm import byte_bpe
+from shelfscope.llm import byte_bpe, common
 from tests.llm.support import ROWS, edge_docs, rows_of, small, small_texts
 
 COLUMNS = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -74,3 +74,9 @@ def test_each_slice_spells_its_own_distinct_runs():
         runs = bpe.runs([t.encode() for t in texts])
         assert bpe.latest == {r for text in runs for r in text}
         assert bpe.spell(runs) == [t.encode() for t in texts]
+
+
+def test_other_operators_drop_what_a_worker_keeps():
+    byte_bpe._loaded(*byte_bpe.default_tokenizer())
+    assert list(common.released(lambda batches: batches)([1, 2])) == [1, 2]
+    assert byte_bpe._loaded.cache_info().currsize == 0

@@ -102,3 +102,10 @@ def test_empty_table(spark):
 def test_plan_is_native(spark):
     plan = pii.digests(edge_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_word_rows_in_many_parts(spark, monkeypatch):
+    docs = edge_docs(spark, disclosing())
+    want = rows_of(pii.digests(docs), *COLUMNS, "spans")
+    monkeypatch.setattr(pii, "WORDS_BYTES", 200)
+    assert rows_of(pii.digests(docs), *COLUMNS, "spans") == want
