@@ -63,7 +63,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids' digest, the decoded bytes' digest."""
     small_batches(spark)
-    return byte_bpe.round_trip(docs)
+    return byte_bpe.round_trip(docs, keep=False)
 
 
 STAGES = [

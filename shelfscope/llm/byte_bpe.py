@@ -35,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.llm.common import KEPT, batches_of, doc_bytes, give_back, small_batches, table
+from shelfscope.llm.common import KEPT, batches_of, doc_bytes, give_back, released, small_batches, table
 
 SLICE_BYTES = 4 << 20
 SHORT = 255
@@ -280,9 +280,10 @@ def decoded(coded: DataFrame, path: str | None = None, pattern: str | None = Non
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep: bool = True) -> DataFrame:
     """n_tokens and the digests of the ids and of the decoded bytes: ``encoded`` and
-    ``decoded`` in one pass, so that a task has one Python worker and no ids travel."""
+    ``decoded`` in one pass, so that a task has one Python worker and no ids travel. Unless
+    told to ``keep`` tables and pieces for its next task, an idle worker holds none."""
     found = default_tokenizer()
     path, pattern = path or found[0], pattern or found[1]
 
@@ -301,12 +302,14 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
             bpe.older.clear()  # what a worker keeps between tasks
             bpe.spelled.clear()
             bpe.latest = set()
+            if not keep:
+                _loaded.cache_clear()
             give_back()
 
         yield from batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
                                                  ("decoded_sha256", pa.string())]))
 
-    return doc_bytes(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return doc_bytes(docs).mapInArrow(run if keep else released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def digests(both: DataFrame) -> DataFrame:

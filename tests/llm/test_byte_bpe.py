@@ -80,3 +80,9 @@ def test_other_operators_drop_what_a_worker_keeps():
     byte_bpe._loaded(*byte_bpe.default_tokenizer())
     assert list(common.released(lambda batches: batches)([1, 2])) == [1, 2]
     assert byte_bpe._loaded.cache_info().currsize == 0
+
+
+def test_round_trip_of_workers_that_keep_nothing(spark):
+    docs = edge_docs(spark, ROWS)
+    columns = "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
+    assert rows_of(byte_bpe.round_trip(docs, keep=False), *columns) == rows_of(byte_bpe.round_trip(docs), *columns)
