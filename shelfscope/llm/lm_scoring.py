@@ -72,6 +72,9 @@ GAINS = (1.0, 0.8)
 GRID = [(c, 0.01) for c in (0.02, 0.15)]
 #: Rows of words that are taken together, and bytes of words that are mixed together.
 ROWS, PIECE = 40_000, 1 << 13
+#: Words of a block in a row of costs, and tokens whose probabilities are multiplied before
+#: their logarithm is taken.
+PACK, RUN = 96, 8
 #: Byte contexts in a partition that learns, in the mean.
 TAUGHT = 50_000
 
@@ -587,9 +590,9 @@ def learnt(words: DataFrame, used: list[int], tables, second) -> tuple[Gated, in
 
 
 def spelled(words: DataFrame, used: list[int], tables, second, weights: np.ndarray) -> DataFrame:
-    """(block, key, c, costs) of each word of each block: its hash, its training count, -log of its
-    probability after the first byte by the mixer of each class and gain and by the byte
-    contexts alone."""
+    """(block, key, c, costs) of ``PACK`` words of a block at most, side by side in numbers of 8, 8 and 4
+    bytes: the words' hashes, their training counts, -log of their probabilities after the first
+    byte by the mixer of each class and gain and by the byte contexts alone."""
     def spell(batches):
         m, mixer = Mixer(*tables.value), Gated(weights)
         for names, n, of, block in _chapters(batches, used):
@@ -607,37 +610,80 @@ def spelled(words: DataFrame, used: list[int], tables, second, weights: np.ndarr
                     for g, x in enumerate(_gained(both + w[2] * _ratio(same[..., k], other[..., k]))):
                         np.add.at(cost[:, k * len(GAINS) + g], i, x)
             h, c, cost = hashes(plain, len(plain)).view(np.int64), n.sum(1).astype(np.int64), cost.astype(np.float32)
-            width = cost.shape[1] * 4
+            order = np.argsort(block, kind="stable")
+            of, block = of[order], block[order].astype(np.int32)
             for s in range(0, len(of), 50_000):
-                w = of[s:s + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block[s:s + 50_000].astype(np.int32)), pa.array(h[w]), pa.array(c[w]),
-                     pa.Array.from_buffers(pa.binary(width), len(w), [None, pa.py_buffer(cost[w].tobytes())]).cast(pa.binary())],
-                    names=["block", "key", "c", "costs"])
+                w, b = of[s:s + 50_000], block[s:s + 50_000]
+                edges = packs(b)
+                yield pa.RecordBatch.from_arrays([pa.array(b[edges[:-1]]), *(packed(x[w], edges) for x in (h, c, cost))],
+                                                 names=["block", "key", "c", "costs"])
 
-    return words.mapInArrow(spell, "block int, key long, c long, costs binary")
+    return words.mapInArrow(spell, "block int, key binary, c binary, costs binary")
+
+
+def packs(block: np.ndarray) -> np.ndarray:
+    """Where sorted blocks' rows are parted so that ``PACK`` of one block stay together at most, and their end."""
+    new = np.append(True, block[1:] != block[:-1])
+    place = np.arange(len(block))
+    place -= np.flatnonzero(new)[np.cumsum(new) - 1]
+    return np.append(np.flatnonzero(place % PACK == 0), len(block))
+
+
+def packed(x: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The rows of ``x`` between two edges as one binary value each."""
+    x = np.ascontiguousarray(x)
+    at = (edges * (x.nbytes // max(1, len(x)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(x)])
+
+
+def unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 def document_log10(at: np.ndarray, counted: np.ndarray, coder: np.ndarray) -> float:
     """log10 of a document's probability from its tokens' ids ``at``, the probability of
     each id by the mixers (a row for each) and by the bit coder; the weights adapt along
     the document."""
-    return refined(at, counted[:, at], coder[at])
+    return float(refined(at, np.zeros(1, np.int64), np.append(counted, coder[None], axis=0).T[at])[0])
+
+
+def repeats(at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each token how often its id was in its document before. Documents lie side by side."""
+    n = len(at)
+    shift = n.bit_length()
+    key = np.sort(at.astype(np.int64) << shift | np.arange(n))
+    place = key & (1 << shift) - 1
+    key >>= shift
+    same = np.append(False, (key[1:] == key[:-1]) & (doc[place[1:]] == doc[place[:-1]]))
+    out = np.empty(n)
+    out[place] = np.arange(n) - np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+    return out
 
 
-def refined(at: np.ndarray, mixed_: np.ndarray, coder: np.ndarray) -> float:
-    """``document_log10`` from the probabilities of each token instead of each id."""
+def refined(at: np.ndarray, start: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """``document_log10`` of documents side by side, which begin at ``start``, from their tokens' ids and
+    the probabilities of each token by the mixers and, last, by the bit coder."""
     n = len(at)
-    order = np.argsort(at, kind="stable")
-    same = np.empty(n, bool)
-    same[0], same[1:] = False, at[order[1:]] == at[order[:-1]]
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
-    before = np.empty(n)
-    before[order] = np.arange(n) - first
-    pc = before / np.maximum(np.arange(n), 1)
-    pc[0] = coder[0]
-    total = np.concatenate([np.log(c * pc + b * coder + (1 - c - b) * mixed_).sum(1) for c, b in GRID])
-    return float((np.logaddexp.reduce(total) - math.log(len(total))) / math.log(10))
+    size = np.diff(np.append(start, n))
+    doc = np.repeat(np.arange(len(start)), size)
+    place = np.arange(n) - start[doc]
+    mixed_, coder = chances[:, :-1], chances[:, -1]
+    pc = repeats(at, doc) / np.maximum(place, 1)
+    pc[start] = coder[start]
+    # one logarithm for RUN tokens of a document
+    run = np.flatnonzero(place % RUN == 0)
+    of = np.searchsorted(run, start)
+    total = np.empty((len(start), len(GRID) * mixed_.shape[1]))
+    for i, (c, b) in enumerate(GRID):
+        p = (1 - c - b) * mixed_
+        p += (c * pc + b * coder)[:, None]
+        product = np.multiply.reduceat(p, run, axis=0)
+        if product.min() > 1e-290:
+            found = np.add.reduceat(np.log(product), of, axis=0)
+        else:
+            found = np.add.reduceat(np.log(p), start, axis=0)
+        total[:, i * mixed_.shape[1]:(i + 1) * mixed_.shape[1]] = found
+    return (np.logaddexp.reduce(total, axis=1) - math.log(total.shape[1])) / math.log(10)
 
 
 def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -688,28 +734,30 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         size = np.fromiter(map(len, names), np.int64, len(names)) + 1
         size[known[END]] = 0
         del known, names
-        order = np.argsort(counts.column("key").to_numpy())
-        found = order[np.searchsorted(counts.column("key").to_numpy()[order], h.view(np.int64))]
-        c = counts.column("c").to_numpy()[found]
-        costs = np.frombuffer(b"".join(counts.column("costs").to_pylist()), np.float32).reshape(len(order), -1)[found]
+        key = unpacked(counts.column("key"), np.int64)
+        order = np.argsort(key)
+        found = order[np.searchsorted(key[order], h.view(np.int64))]
+        c = unpacked(counts.column("c"), np.int64)[found]
+        costs = unpacked(counts.column("costs"), np.float32).reshape(len(order), -1)[found]
         log_base = np.log10(c + 1) - base
         first, alone = sent.value
-        rows, out = list(zip(at, block.column("doc_id").to_pylist(), block.column("class").to_pylist(), strict=True)), []
+        rows, out = list(zip(block.column("doc_id").to_pylist(), block.column("class").to_pylist(), strict=True)), []
         ends = np.cumsum([len(ids) for ids in at])
         # documents with about PIECE tokens at a time
         for docs in np.split(np.arange(len(at)), np.flatnonzero(np.diff(ends // PIECE)) + 1):
             every = np.concatenate([at[d] for d in docs])
+            start = ends[docs] - ends[docs[0]] + len(at[docs[0]])
+            start = np.append(0, start[:-1])
             cost = costs[every]
             cost[:, :-1] += first[np.concatenate([previous(pairs, at[d]) for d in docs]) << 8 | lead[every]]
             cost[:, -1] += alone[lead[every]]
             # a word's cost is at most 1000 bits
-            every = np.exp(-np.minimum(cost, 1000 * math.log(2), dtype=np.float64))
-            for d in docs:
-                ids, doc_id, kind = rows[d]
-                p, every = every[:len(ids)].T, every[len(ids):]
-                s = refined(ids, p[:-1], p[-1])
-                out.append((doc_id, kind == -1, len(ids), int((c[ids] > 0).sum()), n_train, float(log_base[ids].sum()), s,
-                            -s / math.log10(2) / max(1, int(size[ids].sum()))))
+            s = refined(every, start, np.exp(-np.minimum(cost, 1000 * math.log(2), dtype=np.float64)))
+            n, known, length = (np.add.reduceat(x, start) for x in (np.ones(len(every), np.int64), (c[every] > 0).astype(np.int64), size[every]))
+            every = np.add.reduceat(log_base[every], start)
+            out += [(*rows[d], *x) for d, x in zip(docs, zip(n.tolist(), known.tolist(), every.tolist(), s.tolist(),
+                                                             (-s / math.log10(2) / np.maximum(1, length)).tolist(), strict=True), strict=True)]
+        out = [(doc_id, kind == -1, n, known, n_train, base, s, bits) for doc_id, kind, n, known, base, s, bits in out]
         return pa.Table.from_batches(list(batches_of(out, schema)), schema)
 
     return (dealt.groupBy("block").cogroup(back.groupBy("block"))

@@ -159,3 +159,30 @@ def test_logits_without_an_occurrence_are_taken_once(monkeypatch):
     assert np.allclose(m.signed(key, 1), want, atol=1e-4)
     first = len(taken)
     assert np.allclose(m.signed(key, 1), want, atol=1e-4) and len(taken) == first
+
+
+def test_documents_side_by_side_are_refined_alike():
+    """Several documents at once, also where products of probabilities leave the range of a double."""
+    r = np.random.default_rng(8)
+    for least in (1e-3, 1e-300):
+        chances = r.uniform(least, 3 * least, (3, 50)) if least < 1e-9 else r.dirichlet(np.ones(50), 3)
+        docs = [r.integers(0, 50, n) for n in (1, 30, 8, 9, 400)]
+        start = np.cumsum([0] + [len(d) for d in docs])[:-1]
+        at = np.concatenate(docs)
+        got = lm_scoring.refined(at, start, chances.T[at])
+        assert np.isfinite(got).all()
+        for d, s in zip(docs, got, strict=True):
+            assert math.isclose(s, lm_scoring.document_log10(d, chances[:-1], chances[-1]), rel_tol=1e-12)
+            n = np.arange(len(d))
+            cache = np.array([(d[:i] == t).sum() / i if i else chances[-1, t] for i, t in enumerate(d)])
+            total = [np.log(c * cache + b * chances[-1, d] + (1 - c - b) * row[d]).sum() for c, b in lm_scoring.GRID for row in chances[:-1]]
+            assert len(n) and math.isclose(s, (np.logaddexp.reduce(total) - math.log(len(total))) / math.log(10), rel_tol=1e-9)
+
+
+def test_costs_of_a_block_lie_side_by_side():
+    block = np.repeat([0, 2, 3], [lm_scoring.PACK * 2 + 1, 1, lm_scoring.PACK])
+    edges = lm_scoring.packs(block)
+    assert edges.tolist() == [0, lm_scoring.PACK, lm_scoring.PACK * 2, lm_scoring.PACK * 2 + 1, lm_scoring.PACK * 2 + 2, len(block)]
+    x = np.random.default_rng(9).random((len(block), 5)).astype(np.float32)
+    column = lm_scoring.packed(x, edges)
+    assert len(column) == 5 and (lm_scoring.unpacked(column, np.float32).reshape(-1, 5) == x).all()
