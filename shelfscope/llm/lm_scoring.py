@@ -36,10 +36,9 @@ uniform start; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count
 from operator import itemgetter
 
 import numpy as np
@@ -49,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import batches_of, doc_bytes, fold, id_text, mixed, small_batches, stored, table
+from shelfscope.llm.common import doc_bytes, fold, id_text, mixed, small_batches, stored, table
 
 BLOCK_BYTES = 24 << 20
 ORDERS, SLOT_BITS = 4, 19
@@ -258,17 +257,22 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             .repartition(n, "block"))
 
 
-class _Ids(defaultdict):
-    """Word -> dense id in order of appearance."""
+def tokens(texts: pa.Array) -> pa.ListArray:
+    """The lower-cased words of each text (bytes) and after them the end as an empty word."""
+    texts = texts.cast(pa.binary())
+    # spaces and letters of ASCII are told by their bytes, whether a text is UTF-8 or not
+    text = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
+    text = pc.ascii_lower(pc.ascii_trim_whitespace(text))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(text, "", " ")))
 
-    def __init__(self):
-        super().__init__(count().__next__)
 
-    def of(self, text: bytes) -> np.ndarray:
-        """The ids of a text's words and of the end."""
-        tokens = text.lower().split()
-        tokens.append(END)
-        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+def numbered(found: list[pa.ListArray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens in order of appearance, the place of each token among them, and where each text
+    begins and the last one ends."""
+    flat = pa.chunked_array([x.flatten() for x in found], pa.string()).dictionary_encode()  # of all chunks at once
+    names = [w or END for w in flat.chunk(0).dictionary.cast(pa.binary()).to_pylist()]
+    size = np.concatenate([pc.list_value_length(x).to_numpy() for x in found])
+    return names, np.concatenate([x.indices.to_numpy() for x in flat.chunks]), np.append(0, np.cumsum(size, dtype=np.int64))
 
 
 def hashes(words: Iterable[bytes], n: int) -> np.ndarray:
@@ -283,14 +287,17 @@ def pair_parts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(PREVIOUS) * per).astype(np.int64), ((h >> np.uint64(32)) % per).astype(np.int64)
 
 
-def previous(parts: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
-    """For each token of a document the hash of its previous two words, below ``PAIRS``. Before the
-    first word there are ends."""
-    one, two = parts
-    out = np.empty(len(at), np.int64)
-    out[:1], out[1:] = one[-1], one[at[:-1]]
-    out[:2] += two[-1]
-    out[2:] += two[at[:-2]]
+def previous(parts: tuple[np.ndarray, np.ndarray], at: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each token of documents side by side, which begin at ``start``, the hash of its previous two words,
+    below ``PAIRS``. Before the first word there are ends."""
+    out = np.zeros(len(at), np.int64)
+    for back, part in enumerate(parts, 1):
+        one = np.empty(len(at), np.int64)
+        one[back:] = part[at[:-back]]
+        for skip in range(back):
+            # where a document is shorter, the next one's first tokens are set after
+            one[np.minimum(start + skip, len(at) - 1)] = part[-1]
+        out += one
     return out
 
 
@@ -300,35 +307,41 @@ def gathered(dealt: DataFrame) -> DataFrame:
     context with its training count, or the hash of the previous two words with the first byte
     and its training count in a class."""
     def gather(batches):
-        now, known, docs = None, _Ids(), []
+        now, found, kinds = None, [], []
         for b in batches:
-            for text, kind, block in zip(b.column("text").to_pylist(), b.column("class").to_pylist(),
-                                         b.column("block").to_pylist(), strict=True):
-                if block != now:
-                    yield from _block_rows(now, known, docs)
-                    now, known, docs = block, _Ids(), []
-                docs.append((kind, known.of(text)))
-        yield from _block_rows(now, known, docs)
+            block, kind = (b.column(c).to_numpy() for c in ("block", "class"))
+            edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1)).tolist()
+            for s, e in itertools.pairwise(edges):
+                if found and block[s] != now:
+                    yield from _block_rows(now, found, kinds)
+                    found, kinds = [], []
+                now = int(block[s])
+                found.append(tokens(b.column("text").slice(s, e - s)))
+                kinds.append(kind[s:e])
+        if found:
+            yield from _block_rows(now, found, kinds)
 
     return (dealt.select("text", "class", "block").sortWithinPartitions("block")  # one block at a time
             .mapInArrow(gather, "block int, kind int, word binary, key long, class int, n long"))
 
 
-def _block_rows(block: int | None, known: dict[bytes, int], docs: list[tuple[int, np.ndarray]]):
-    """The rows of one block from its words and the ids of each document's tokens."""
-    words = list(known)
+def _block_rows(block: int, found: list[pa.ListArray], kinds: list[np.ndarray]):
+    """The rows of one block from its documents' tokens and classes."""
+    words, ids, start = numbered(found)
+    del found[:]
+    kind_of = np.repeat(np.concatenate(kinds).astype(np.int8), np.diff(start))
     pairs, first = pair_parts(hashes(words, len(words))), np.fromiter(map(itemgetter(0), words), np.int64, len(words))
+    after = (previous(pairs, ids, start[:-1]) << 8 | first[ids]).astype(np.int32)
     closed = pa.array([w + b" " if w != END else w for w in words], pa.binary())
     trained = np.zeros(len(words), np.int64)
-    for kind in sorted({kind for kind, _ in docs} - {-1}):
-        own = [at for k, at in docs if k == kind]
-        n = np.bincount(np.concatenate(own), minlength=len(words))
+    for kind in sorted(set(np.unique(kind_of).tolist()) - {-1}):
+        own = kind_of == kind
+        n = np.bincount(ids[own], minlength=len(words))
         trained += n
         yield from _rows(block, WORD, kind, n[n > 0], word=closed.take(pa.array(np.flatnonzero(n))))
-        n = np.zeros(PAIRS << 8, np.int64)
-        for s in range(0, len(own), 500):
-            n += np.bincount(np.concatenate([previous(pairs, at) << 8 | first[at] for at in own[s:s + 500]]), minlength=len(n))
+        n = np.bincount(after[own], minlength=PAIRS << 8)
         yield from _rows(block, FIRST, kind, n[n > 0], key=np.flatnonzero(n))
+    del after, ids, kind_of
     others = np.flatnonzero(trained == 0)
     yield from _rows(block, WORD, -1, np.zeros(len(others), np.int64), word=closed.take(pa.array(others)))
     held = []
@@ -726,14 +739,12 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                         ("bits_per_byte", pa.float64())])
 
     def score(block: pa.Table, counts: pa.Table) -> pa.Table:
-        known = _Ids()
-        at = [known.of(text.as_py()) for text in block.column("text")]
-        names = list(known)
+        names, at, start = numbered([tokens(text) for text in block.column("text").chunks])
         h = hashes(names, len(names))
         pairs, lead = pair_parts(h), np.fromiter(map(itemgetter(0), names), np.int64, len(names))
         size = np.fromiter(map(len, names), np.int64, len(names)) + 1
-        size[known[END]] = 0
-        del known, names
+        size[names.index(END)] = 0
+        del names
         key = unpacked(counts.column("key"), np.int64)
         order = np.argsort(key)
         found = order[np.searchsorted(key[order], h.view(np.int64))]
@@ -741,24 +752,20 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         costs = unpacked(counts.column("costs"), np.float32).reshape(len(order), -1)[found]
         log_base = np.log10(c + 1) - base
         first, alone = sent.value
-        rows, out = list(zip(block.column("doc_id").to_pylist(), block.column("class").to_pylist(), strict=True)), []
-        ends = np.cumsum([len(ids) for ids in at])
+        ends, log10s = start[1:], []
         # documents with about PIECE tokens at a time
-        for docs in np.split(np.arange(len(at)), np.flatnonzero(np.diff(ends // PIECE)) + 1):
-            every = np.concatenate([at[d] for d in docs])
-            start = ends[docs] - ends[docs[0]] + len(at[docs[0]])
-            start = np.append(0, start[:-1])
+        for docs in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(ends // PIECE)) + 1):
+            every, begin = at[start[docs[0]]:ends[docs[-1]]], start[docs] - start[docs[0]]
             cost = costs[every]
-            cost[:, :-1] += first[np.concatenate([previous(pairs, at[d]) for d in docs]) << 8 | lead[every]]
+            cost[:, :-1] += first[previous(pairs, every, begin) << 8 | lead[every]]
             cost[:, -1] += alone[lead[every]]
             # a word's cost is at most 1000 bits
-            s = refined(every, start, np.exp(-np.minimum(cost, 1000 * math.log(2), dtype=np.float64)))
-            n, known, length = (np.add.reduceat(x, start) for x in (np.ones(len(every), np.int64), (c[every] > 0).astype(np.int64), size[every]))
-            every = np.add.reduceat(log_base[every], start)
-            out += [(*rows[d], *x) for d, x in zip(docs, zip(n.tolist(), known.tolist(), every.tolist(), s.tolist(),
-                                                             (-s / math.log10(2) / np.maximum(1, length)).tolist(), strict=True), strict=True)]
-        out = [(doc_id, kind == -1, n, known, n_train, base, s, bits) for doc_id, kind, n, known, base, s, bits in out]
-        return pa.Table.from_batches(list(batches_of(out, schema)), schema)
+            log10s.append(refined(every, begin, np.exp(-np.minimum(cost, 1000 * math.log(2), dtype=np.float64))))
+        s = np.concatenate(log10s)
+        known, log_base, size = (np.add.reduceat(x[at], start[:-1]) for x in ((c > 0).astype(np.int64), log_base, size))
+        return pa.table([block.column("doc_id").cast(pa.int64()), pc.equal(block.column("class"), -1), pa.array(np.diff(start)),
+                         pa.array(known), pa.array(np.full(len(s), n_train, np.int64)), pa.array(log_base), pa.array(s),
+                         pa.array(-s / math.log10(2) / np.maximum(1, size))], schema=schema)
 
     return (dealt.groupBy("block").cogroup(back.groupBy("block"))
             .applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from shelfscope.llm import lm_scoring
 from tests.llm.support import ROWS, edge_docs, fold, lower, rows_of, small, small_texts, space_words
@@ -186,3 +187,21 @@ def test_costs_of_a_block_lie_side_by_side():
     x = np.random.default_rng(9).random((len(block), 5)).astype(np.float32)
     column = lm_scoring.packed(x, edges)
     assert len(column) == 5 and (lm_scoring.unpacked(column, np.float32).reshape(-1, 5) == x).all()
+
+
+def test_words_are_parted_and_numbered_like_bytes():
+    """All texts' words are numbered at once, whatever their bytes and the batches they come in."""
+    r = random.Random(6)
+    texts = [bytes(r.choice(b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x00\x85\xa0AbZ\xc3\x89\xff") for _ in range(r.randint(0, 12))) for _ in range(500)]
+    texts += [bytes(range(256)), b"", b"  ", b" a", b"a "]
+    column = pa.array(texts, pa.binary())
+    names, at, start = lm_scoring.numbered([lm_scoring.tokens(column[s:s + 37]) for s in range(0, len(texts), 37)])
+    assert len(set(names)) == len(names) and len(start) == len(texts) + 1
+    for t, s, e in zip(texts, start[:-1], start[1:], strict=True):
+        assert [names[i] for i in at[s:e]] == [*t.lower().split(), lm_scoring.END]
+    h = np.random.default_rng(7).integers(0, 1 << 63, len(names)).astype(np.uint64)
+    one, two = parts = lm_scoring.pair_parts(h)
+    got = lm_scoring.previous(parts, at, start[:-1])
+    for s, e in zip(start[:-1], start[1:], strict=True):
+        ids = [-1, -1, *at[s:e]]
+        assert got[s:e].tolist() == [one[b] + two[a] for a, b in zip(ids[:-2], ids[1:-1], strict=True)]
