@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import doc_bytes, fold, id_text, mixed, small_batches, stored, table
+from shelfscope.llm.common import doc_bytes, fold, give_back, id_text, mixed, small_batches, stored, table
 
 BLOCK_BYTES = 24 << 20
 ORDERS, SLOT_BITS = 4, 19
@@ -320,6 +320,7 @@ def gathered(dealt: DataFrame) -> DataFrame:
                 kinds.append(kind[s:e])
         if found:
             yield from _block_rows(now, found, kinds)
+        give_back()
 
     return (dealt.select("text", "class", "block").sortWithinPartitions("block")  # one block at a time
             .mapInArrow(gather, "block int, kind int, word binary, key long, class int, n long"))
@@ -329,6 +330,7 @@ def _block_rows(block: int, found: list[pa.ListArray], kinds: list[np.ndarray]):
     """The rows of one block from its documents' tokens and classes."""
     words, ids, start = numbered(found)
     del found[:]
+    give_back()
     kind_of = np.repeat(np.concatenate(kinds).astype(np.int8), np.diff(start))
     pairs, first = pair_parts(hashes(words, len(words))), np.fromiter(map(itemgetter(0), words), np.int64, len(words))
     after = (previous(pairs, ids, start[:-1]) << 8 | first[ids]).astype(np.int32)
@@ -740,6 +742,7 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     def score(block: pa.Table, counts: pa.Table) -> pa.Table:
         names, at, start = numbered([tokens(text) for text in block.column("text").chunks])
+        give_back()
         h = hashes(names, len(names))
         pairs, lead = pair_parts(h), np.fromiter(map(itemgetter(0), names), np.int64, len(names))
         size = np.fromiter(map(len, names), np.int64, len(names)) + 1
