@@ -14,8 +14,8 @@ each distinct run of ids that a piece was encoded to, and a text is its runs in
 
 Each task works on its own rows; there is no shuffle and nothing is sent but the
 tokenizer's path. The vocabulary is read from the installed tokenizer files on each
-worker. Memory: one slice of texts (``SLICE_BYTES`` or one text), ``ROOM`` remembered
-pieces and half as many runs, and a DuckDB instance under ``MEMORY``.
+worker. Memory: one slice of texts (``Bounds.slice_bytes`` or one text), ``Bounds.room``
+remembered pieces and half as many runs, and a DuckDB instance under ``MEMORY``.
 
 Defined results: a null or empty text has no tokens and decodes to nothing; a null
 ``doc_id`` is carried; special tokens' strings are ordinary text; rows alike get like
@@ -28,6 +28,7 @@ import base64
 import functools
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import duckdb
 import numpy as np
@@ -37,11 +38,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfscope.llm.common import KEPT, batches_of, doc_bytes, give_back, released, small_batches, table
 
-SLICE_BYTES = 4 << 20
 SHORT = 255
-ROOM = 700_000
 MEMORY = "150MB"
 
+
+class Bounds(NamedTuple):
+    """What a worker holds at once; the results don't depend on it."""
+
+    #: Bytes of the texts that are cut into pieces together.
+    slice_bytes: int = 4 << 20
+    #: Remembered pieces.
+    room: int = 700_000
+    #: New pieces of one query.
+    new: int = 50_000
+
+
+#: For workers beside a JVM that long jobs have left little room: smaller slices and queries, and pieces are met anew.
+LEAN = Bounds(1 << 18, 100_000, 4_000)
+
+
 #: start(w, pos, tok) -> the tokens of each piece, for pieces of up to ``SHORT`` bytes: one
 #: contraction a step. ``k`` packs piece and place; ``best`` packs the least rank and its leftmost place.
 CONTRACT = """
@@ -98,7 +113,8 @@ SELECT r, string_agg(vocabulary.chars, '' ORDER BY i) AS chars FROM coded JOIN v
 class Bpe:
     """A tokenizer file of ranks: its vocabulary and merges as DuckDB tables."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, bounds: Bounds = Bounds()):
+        self.bounds = bounds
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
@@ -168,7 +184,7 @@ class Bpe:
         """The ids of each text's pieces as little-endian unsigned 32-bit integers."""
         cut = [self.pattern.findall(t.decode("utf-8", "replace")) for t in texts]
         pieces = set().union(*cut)
-        if len(self.known) + len(pieces) > ROOM // 2:
+        if len(self.known) + len(pieces) > self.bounds.room // 2:
             self.older, self.known = self.known, {}
         new = []
         for p in pieces:
@@ -178,8 +194,8 @@ class Bpe:
                 self.known[p] = self.older[p]
             else:
                 new.append(p)
-        for s in range(0, len(new), 50_000):
-            self.learn(new[s:s + 50_000])
+        for s in range(0, len(new), self.bounds.new):
+            self.learn(new[s:s + self.bounds.new])
         self.latest = set(map(self.known.__getitem__, pieces))
         return [list(map(self.known.__getitem__, c)) for c in cut]
 
@@ -191,10 +207,10 @@ class Bpe:
         """The bytes of each list of runs of the texts encoded last; runs that aren't known yet
         are decoded first."""
         distinct = self.latest
-        if len(self.spelled) + len(distinct) > ROOM // 2:
+        if len(self.spelled) + len(distinct) > self.bounds.room // 2:
             self.spelled.clear()
         new = [r for r in distinct if r not in self.spelled]
-        for s, e in _slices([len(r) // 4 for r in new], SLICE_BYTES // 8):
+        for s, e in _slices([len(r) // 4 for r in new], self.bounds.slice_bytes // 8):
             # one line of ids for all, cut again by the tokens' sizes: an aggregate of few groups
             ids = np.frombuffer(b"".join(new[s:e]), "<u4").astype(np.int32)
             text = self.decode([ids])[0]
@@ -216,9 +232,9 @@ class Bpe:
 
 
 @functools.lru_cache(maxsize=1)
-def _loaded(path: str, pattern: str) -> Bpe:
+def _loaded(path: str, pattern: str, bounds: Bounds = Bounds()) -> Bpe:
     """One tokenizer for each worker process; a worker's later tasks go on with it."""
-    return Bpe(path, pattern)
+    return Bpe(path, pattern, bounds)
 
 
 #: Tables, texts' pieces and ranks stay only while a worker has tasks of this operator.
@@ -252,7 +268,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
         bpe = _loaded(path, pattern)
         for b in batches:
             texts = b.column("text").to_pylist()
-            for s, e in _slices([len(t) for t in texts], SLICE_BYTES):
+            for s, e in _slices([len(t) for t in texts], bpe.bounds.slice_bytes):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode(texts[s:e])]
                 at = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -270,7 +286,7 @@ def decoded(coded: DataFrame, path: str | None = None, pattern: str | None = Non
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
         for b in batches:
-            for s, e in _slices([len(x) for x in b.column("ids")], SLICE_BYTES // 8):
+            for s, e in _slices([len(x) for x in b.column("ids")], bpe.bounds.slice_bytes // 8):
                 part = b.slice(s, e - s)
                 ids = [x.values.to_numpy(zero_copy_only=False) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"),
@@ -283,22 +299,25 @@ def decoded(coded: DataFrame, path: str | None = None, pattern: str | None = Non
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep: bool = True) -> DataFrame:
     """n_tokens and the digests of the ids and of the decoded bytes: ``encoded`` and
     ``decoded`` in one pass, so that a task has one Python worker and no ids travel. Unless
-    told to ``keep`` tables and pieces for its next task, an idle worker holds none."""
+    told to ``keep`` tables and pieces for its next task, an idle worker holds none, and a
+    busy one keeps within ``LEAN``."""
     found = default_tokenizer()
     path, pattern = path or found[0], pattern or found[1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()  # what an earlier stage left in this worker
-        bpe = _loaded(path, pattern)
+        bpe = _loaded(path, pattern, Bounds() if keep else LEAN)
 
         def rows():
             for b in batches:
                 texts, doc_ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-                for s, e in _slices([len(t) for t in texts], SLICE_BYTES):
+                for s, e in _slices([len(t) for t in texts], bpe.bounds.slice_bytes):
                     runs = bpe.runs(texts[s:e])
                     for i, (coded, text) in enumerate(zip(map(b"".join, runs), bpe.spell(runs), strict=True), s):
                         yield (doc_ids[i], len(coded) // 4, hashlib.sha256(coded).hexdigest(),
                                hashlib.sha256(text).hexdigest())
+                    if not keep:
+                        give_back()
             bpe.older.clear()  # what a worker keeps between tasks
             bpe.spelled.clear()
             bpe.latest = set()

@@ -307,7 +307,8 @@ def prefixes(members: DataFrame, docs: DataFrame, percent: int, k: int) -> DataF
     """(token, id, c, n, p, short): the shingles at the rare end of each member's sets,
     with the set's size and the place. ``short``: also within the bound for a partner that
     is no smaller; the others matter for a smaller partner only."""
-    texts = _texts_of(members, docs)
+    # read twice; stored, so that no task has two Python workers, which would live on beside each other
+    texts = stored(_texts_of(members, docs), "lsh-texts")
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, k))
 
     def cut(batches):

@@ -82,6 +82,17 @@ def test_other_operators_drop_what_a_worker_keeps():
     assert byte_bpe._loaded.cache_info().currsize == 0
 
 
+def test_lean_bounds_give_the_same_runs_and_hold_less():
+    texts = [" ".join(f"w{i * j % 9973}x{i}" for j in range(400)).encode() for i in range(60)]
+    lean, wide = byte_bpe.Bpe(PATH, PATTERN, byte_bpe.LEAN._replace(room=4_000, new=300)), byte_bpe.Bpe(PATH, PATTERN)
+    for s in range(0, len(texts), 4):
+        runs = lean.runs(texts[s:s + 4])
+        assert runs == wide.runs(texts[s:s + 4]) and lean.spell(runs) == texts[s:s + 4]
+        assert len(lean.known) + len(lean.older) <= 4_000 and len(lean.spelled) <= 2_000
+    assert len(wide.known) > 4_000
+    assert byte_bpe.LEAN.room < byte_bpe.Bounds().room and byte_bpe.LEAN.slice_bytes < byte_bpe.Bounds().slice_bytes
+
+
 def test_round_trip_of_workers_that_keep_nothing(spark):
     docs = edge_docs(spark, ROWS)
     columns = "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"

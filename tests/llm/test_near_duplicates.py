@@ -118,3 +118,10 @@ def test_shingles_are_counted_in_all_texts(spark, monkeypatch):
     for i, own in sets.items():
         rare = sorted(own, key=lambda s: (int(4 * math.log2(in_sets[s])), s % (1 << 64)))[:len(own) + (-75 * len(own) // 100) + 1]
         assert got.get(i, set()) == {s for s in rare if in_sets[s] > 1}
+
+
+def test_no_task_has_two_python_workers_for_the_rare_shingles(spark, capsys):
+    texts = {i: f"words that both sets have here own{i}" for i in range(1, 5)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    near_duplicates.prefixes(spark.createDataFrame([(i, 1) for i in texts], "id long, c long"), docs, 75, 5).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
