@@ -64,8 +64,8 @@ PLACE = 500
 MEMBERS = 64
 BITMAP_BITS = 22
 #: Slots of the table of how common shingles are, and texts that a task counts before it
-#: hands on what it has.
-SKETCH_BITS, SKETCH_TEXTS = 22, 1 << 17
+#: hands on what it has; slots that come to the driver as one row.
+SKETCH_BITS, SKETCH_TEXTS, SKETCH_RUN = 22, 1 << 17, 1 << 10
 #: Sets of one shingle on each side of one place of the prefix join.
 SIDE = 1000
 _rng = np.random.default_rng(10)
@@ -161,9 +161,9 @@ def _bits_of(ids: DataFrame, column: str) -> np.ndarray:
     at = F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS))
     got = (ids.select(at.alias("at"))
            .selectExpr("cast(shiftright(at, 5) as int) w", "shiftleft(1L, cast(at & 31L as int)) bit")
-           .groupBy("w").agg(F.bit_or("bit").alias("bit")).toPandas())
+           .groupBy("w").agg(F.bit_or("bit").alias("bit")).toArrow())
     out = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
-    out[got["w"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64).astype(np.uint32)
+    out[got["w"].to_numpy()] = got["bit"].to_numpy().astype(np.uint32)
     return out
 
 
@@ -278,7 +278,9 @@ def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
-    """How common the shingles of a slot are in all the texts, on a log scale."""
+    """How common the shingles of a slot are in all the texts, on a log scale. The counts of
+    a run of slots are added up in one task, and the run comes to the driver as one row of
+    bytes: a row a slot would be up to ``2**SKETCH_BITS`` objects there."""
     most = SKETCH_TEXTS
 
     def count(batches):
@@ -297,10 +299,23 @@ def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
             np.add.at(slots, (shingle_set(text, hashes, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         yield from counted()
 
-    got = (texts.mapInArrow(released(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas())
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    out[got["slot"].to_numpy(np.int64)] = np.minimum(255, 4 * np.log2(got["n"].to_numpy(np.float64))).astype(np.uint8)
-    return out
+    def levels(batches):
+        slots = np.zeros(1 << SKETCH_BITS, np.int64)
+        for b in batches:
+            np.add.at(slots, b.column("slot").to_numpy(), b.column("n").to_numpy())
+        runs = slots.reshape(-1, SKETCH_RUN)
+
+        def rows():
+            for i in np.flatnonzero((runs > 1).any(1)).tolist():
+                yield i, np.minimum(255, 4 * np.log2(np.maximum(runs[i], 1))).astype(np.uint8).tobytes()
+
+        yield from batches_of(rows(), pa.schema([("run", pa.int32()), ("level", pa.binary())]))
+
+    out = np.zeros(((1 << SKETCH_BITS) // SKETCH_RUN, SKETCH_RUN), np.uint8)
+    for r in (texts.mapInArrow(released(count), "slot int, n long").repartition(F.expr(f"slot div {SKETCH_RUN}"))
+              .mapInArrow(released(levels), "run int, level binary").collect()):
+        out[r["run"]] = np.frombuffer(r["level"], np.uint8)
+    return out.ravel()
 
 
 def prefixes(members: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:

@@ -125,3 +125,27 @@ def test_no_task_has_two_python_workers_for_the_rare_shingles(spark, capsys):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     near_duplicates.prefixes(spark.createDataFrame([(i, 1) for i in texts], "id long, c long"), docs, 75, 5).explain()
     assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_common_shingles_come_to_the_driver_by_runs_of_slots(spark, monkeypatch):
+    """A row a slot on the driver would be millions of objects on large tables."""
+    texts = {i: f"{prose(seed, 300)} own{i}" for i, seed in enumerate([1, 1, 2, 2, 2, 3, 4])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    slots = Counter(int(s) >> 64 - near_duplicates.SKETCH_BITS for t in texts.values()
+                    for s in near_duplicates.shingle_set(t.encode(), near_duplicates.WordHashes()))
+    monkeypatch.setattr(near_duplicates, "SKETCH_RUN", 1 << 13, raising=False)
+    cells = 0
+
+    def counted(frame, f):
+        def run(*a, **b):
+            nonlocal cells
+            got = f(frame, *a, **b)
+            cells += len(got)
+            return got
+        return run
+
+    for kind, name in ((type(docs), "collect"), (type(docs), "toPandas"), (type(docs), "toArrow")):
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name), **b: counted(self, f)(*a, **b))
+    got = near_duplicates.common_shingles(docs, 5)
+    assert {int(s): int(got[s]) for s in got.nonzero()[0]} == {s: int(4 * math.log2(n)) for s, n in slots.items() if n > 1}
+    assert 0 < cells <= 1 << near_duplicates.SKETCH_BITS - 13 < sum(n > 1 for n in slots.values())
