@@ -2,6 +2,7 @@ import math
 from collections import Counter
 from itertools import combinations
 
+import corpus_pipeline
 from shelfscope.llm import near_duplicates
 from shelfscope.llm.graph import components
 from tests.llm.support import BASE, ROWS, edge_docs, lower, prose, rows_of, small, small_texts, space_words
@@ -149,3 +150,17 @@ def test_common_shingles_come_to_the_driver_by_runs_of_slots(spark, monkeypatch)
     got = near_duplicates.common_shingles(docs, 5)
     assert {int(s): int(got[s]) for s in got.nonzero()[0]} == {s: int(4 * math.log2(n)) for s, n in slots.items() if n > 1}
     assert 0 < cells <= 1 << near_duplicates.SKETCH_BITS - 13 < sum(n > 1 for n in slots.values())
+
+
+def test_pipeline_stage_gathers_few_rows_on_the_driver(spark, monkeypatch):
+    """What comes as Python rows follows neither the texts nor their shingles."""
+    monkeypatch.setattr(near_duplicates, "SKETCH_RUN", 1 << 16, raising=False)
+    docs, rows = edge_docs(spark, family(40)), []
+    for name in ("collect", "toPandas"):
+        def noted(self, *a, f=getattr(type(docs), name), **b):
+            rows.append(len(got := f(self, *a, **b)))
+            return got
+        monkeypatch.setattr(type(docs), name, noted)
+    kept = corpus_pipeline.near_duplicates_stage(spark, docs, "")
+    assert rows and max(rows) <= 1 << near_duplicates.SKETCH_BITS - 16
+    assert kept.count() == 30
